@@ -118,7 +118,7 @@ def write_warc(pages: DataFrame, out: str, id_col: str = "page_id", url_col: str
                 state.update(n=state["n"] + 1, records=0, size=0, sum=hashlib.sha256())
                 state["tmp"] = f"tmp-{run_id}/{attempt}-{state['shard']:06d}-{state['n']:04d}"
                 store.create_dir(f"{root}/tmp-{run_id}", recursive=True)
-                state["file"] = store.open_output_stream(f"{root}/{state['tmp']}")
+                state["file"] = store.open_output_stream(f"{root}/{state['tmp']}", compression=None)
                 info = f"software: {SOFTWARE}\r\nformat: {VERSION}\r\n".encode()
                 name = f"{state['shard']:06d}-{state['n']:04d}"
                 head = f"{VERSION}\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: {record_id('warcinfo', None, name, 0)}\r\nWARC-Date: {DATE}\r\nWARC-Filename: {name}.warc.gz\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(info)}\r\n\r\n"
@@ -215,7 +215,7 @@ def read_warc(spark: SparkSession, out: str, full: bool = False) -> DataFrame:
         for b in batches:
             for name in b.column(0).to_pylist():
                 rows, size = [], 0
-                with store.open_input_stream(f"{root}/{name}") as f:
+                with store.open_input_stream(f"{root}/{name}", compression=None) as f:
                     for h, block in read_records(f):
                         if h["WARC-Type"] == "warcinfo":
                             continue
