@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmill.llm import bpe, jaccard_join, langid, near_vectors, pii, warc
+from quillmill.llm import bpe, jaccard_join, langid, lm_score, mixing, near_vectors, pii, quality, url_filter, warc
 from quillmill.llm.common import Scratch
 
 
@@ -24,6 +24,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.lm_score(table(spark, sf_dir, "documents"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_languages(table(spark, sf_dir, "documents"))
 
@@ -34,15 +38,31 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scratch.finish(warc.read_warc(spark, scratch.path))
 
 
+#: Host and path rules of op6: fixed values of its contract.
+RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "block"), ("example.net/de/8", "block"), ("org/es/", "block")]
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.url_filter(table(spark, sf_dir, "pages"), RULES)
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_rules(table(spark, sf_dir, "documents"))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(mixing.with_measures(table(spark, sf_dir, "documents")))
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_classes(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_vectors, op2_bpe, op4_language_id, op5_warc, op7_pii, op10_jaccard_join)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_vectors, op2_bpe, op3_lm_score, op4_language_id, op5_warc, op6_url_filter, op7_pii, op8_quality, op9_mixing, op10_jaccard_join)}
 ORACLE_SQL: dict[str, str] = {
     "op5_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
