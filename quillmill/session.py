@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -18,3 +20,17 @@ def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g"
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset (tests, a laptop) a temporary folder is made and set.
+    """
+    sc = spark.sparkContext
+    found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    now = sc._jsc.sc().getCheckpointDir()
+    found = found or (now.get() if now.isDefined() else None) or "file://" + tempfile.mkdtemp(prefix="quillmill-")
+    if not now.isDefined():
+        sc.setCheckpointDir(found)
+    return found
