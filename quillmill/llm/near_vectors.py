@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from quillmill.llm.common import Scratch, components
 
-#: Rows for fitting the centroids; they steer speed only. Rows of one block of a cell.
-FIT_ROWS, BLOCK, MAX_CELLS = 20_000, 1024, 1024
+#: Rows for fitting the centroids; they steer speed only. Own rows and other rows that one task compares, about.
+FIT_ROWS, BLOCK, OTHERS, MAX_CELLS = 20_000, 2048, 16_384, 1024
 
 
 def spherical_kmeans(x: np.ndarray, k: int, turns: int = 6) -> np.ndarray:
@@ -37,7 +37,10 @@ def spherical_kmeans(x: np.ndarray, k: int, turns: int = 6) -> np.ndarray:
 
 
 def unit(raw: list[bytes], dim: int) -> np.ndarray:
-    x = np.frombuffer(b"".join(raw), np.float64).reshape(len(raw), dim)
+    single = bool(raw) and len(raw[0]) == 4 * dim
+    if any(len(r) != len(raw[0]) for r in raw):
+        raw, single = [np.frombuffer(r, np.float32).astype(np.float64).tobytes() if len(r) == 4 * dim else r for r in raw], False
+    x = np.frombuffer(b"".join(raw), np.float32 if single else np.float64).astype(np.float64).reshape(len(raw), dim)
     x = x / np.abs(x).max(1, keepdims=True)  # neither squares overflow nor tiny ones vanish
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
@@ -64,8 +67,11 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
 
         for b in batches:
             raw = [np.array(v, np.float64) + 0.0 for v in b.column(1).to_pylist()]
-            raw = [v.tobytes() for v in raw]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(v) // 8 for v in raw], pa.int32()), pa.array(raw, pa.binary()), pa.array([hashlib.sha256(v).digest() for v in raw], pa.binary())], names=["id", "dim", "raw", "sig"])
+            with np.errstate(over="ignore"):
+                short = [v.astype(np.float32) for v in raw]
+            size = [len(v) for v in raw]
+            raw = [(f if np.array_equal(f.astype(np.float64), v) else v).tobytes() for f, v in zip(short, raw, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int32()), pa.array(raw, pa.binary()), pa.array([hashlib.sha256(b"%d:" % n + v).digest() for n, v in zip(size, raw, strict=True)], pa.binary())], names=["id", "dim", "raw", "sig"])
 
     flat = scratch.stash(rows.where("good").select("id", "v").mapInArrow(packed, "id long, dim int, raw binary, sig binary"))
     uniq = scratch.stash(flat.groupBy("sig").agg(F.min("id").alias("node"), F.count("*").alias("w"), F.first("dim").alias("dim"), F.first("raw").alias("raw")))
@@ -90,7 +96,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
 
 def one_length(uniq: DataFrame, dim: int, n: int, threshold: float, scratch: Scratch) -> DataFrame:
     """(node, links, root) of the distinct vectors of one length; links are to be summed."""
-    k = int(min(MAX_CELLS, max(1, round(math.sqrt(n) / 2))))
+    k = int(min(MAX_CELLS, max(1, round(math.sqrt(n) / 6))))
     rate = min(1.0, FIT_ROWS / n)
     fit = uniq.where(F.pmod(F.xxhash64("sig"), F.lit(1 << 30)) < int(rate * (1 << 30))).orderBy("node").limit(2 * FIT_ROWS).collect()
     if not fit:
@@ -118,46 +124,57 @@ def one_length(uniq: DataFrame, dim: int, n: int, threshold: float, scratch: Scr
                 yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), pa.array(home[row], pa.int32()), *(part.column(i).take(take) for i in range(3))], names=["cell", "home", "node", "raw", "w"])
 
     placed = scratch.stash(uniq.select("node", "raw", "w").mapInArrow(assign, "cell int, home int, node long, raw binary, w long"))
-    # a cell's own rows in blocks of about BLOCK; each block meets all rows of the cell
-    blocks = placed.groupBy("cell").agg(F.count(F.when(F.col("home") == F.col("cell"), 1)).alias("own"))
-    blocks = {r["cell"]: -(-r["own"] // BLOCK) for r in blocks.collect()}  # at most MAX_CELLS rows
-    spread = F.create_map(*[F.lit(int(v)) for kv in (blocks.items() or {0: 0}.items()) for v in kv])
-    of = F.when(F.col("home") == F.col("cell"), F.pmod(F.xxhash64("node"), spread[F.col("cell")])).cast("int")
-    tasks = placed.withColumn("own", of).withColumn("block", F.explode(F.sequence(F.lit(1), spread[F.col("cell")]))).withColumn("block", F.col("block") - 1).where(F.expr("block >= 0"))
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches))
-        if not len(table):
-            return
-        cell, block = table.column("cell")[0].as_py(), table.column("block")[0].as_py()
+    # tasks: a block of a cell's own rows with a block of all its rows
+    sizes = placed.groupBy("cell").agg(F.count(F.when(F.col("home") == F.col("cell"), 1)).alias("own"), F.count("*").alias("all")).collect()  # at most MAX_CELLS rows
+    number = lambda name, most: F.create_map(*[F.lit(int(v)) for r in sizes for v in (r["cell"], -(-r[name] // most))])[F.col("cell")]
+    n_own, n_all = number("own", BLOCK), number("all", OTHERS)
+    upto = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    own_block, all_block = F.pmod(F.xxhash64("node"), n_own).cast("int"), F.pmod(F.xxhash64("node", F.lit("all")), n_all).cast("int")
+    cols = ["cell", "home", "node", "raw", "w"]
+    mine = placed.where("home = cell").select(*cols, own_block.alias("i"), upto(n_all).alias("j"), F.lit(True).alias("mine"))
+    rest = placed.where(n_own > 0).select(*cols, upto(n_own).alias("i"), all_block.alias("j"), F.lit(False).alias("mine"))
+    tasks = mine.unionByName(rest)
+
+    kinds = pa.schema([("node", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
+
+    def compare(table: pa.Table) -> pa.Table:
+        """Links between own rows and others, counted on the own side, and for visitors on both."""
+        is_own = table.column("mine").to_numpy()
+        if not is_own.any() or is_own.all():
+            return kinds.empty_table()
+        cell = table.column("cell")[0].as_py()
         node, home, w = (table.column(i).to_numpy() for i in ("node", "home", "w"))
-        mine = table.column("own").combine_chunks().fill_null(-1).to_numpy() == block
-        x = unit(table.column("raw").to_pylist(), dim)
-        own = np.nonzero(mine)[0]
-        y, away = x[own], home != cell
-        if not len(own):
-            return
+        own, other = np.nonzero(is_own)[0], np.nonzero(~is_own)[0]
+        raw = table.column("raw")
+        y = unit(raw.take(pa.array(own)).to_pylist(), dim)
         back = visits(y)[1]  # whether own rows visit other cells
-        links = np.zeros(len(x), np.int64)
-        label = node.copy()
-        for at in range(0, len(x), 4096):
-            sel = slice(at, min(len(x), at + 4096))
-            s = y @ x[sel].T >= threshold
-            far = away[sel]
-            if far.any():  # pairs that meet in both cells count in the one of the lower number
-                s[:, far] &= ~(back[:, home[sel][far]] & (home[sel][far] < cell))
+        links, found = np.zeros(len(node), np.int64), []
+        for at in range(0, len(other), 4096):
+            sel = other[at : at + 4096]
+            s = y @ unit(raw.take(pa.array(sel)).to_pylist(), dim).T >= threshold
+            away = home[sel] != cell
+            if away.any():  # pairs that meet in both cells count in the one of the lower number
+                far = home[sel][away]
+                s[:, away] &= ~(back[:, far] & (far < cell))
             i, j = np.nonzero(s)
-            j = j + at
-            other = own[i] != j
-            i, j = own[i[other]], j[other]
+            i, j = own[i], sel[j]
+            real = node[i] != node[j]
+            i, j = i[real], j[real]
             np.add.at(links, i, w[j])
-            out = away[j]
+            out = home[j] != cell
             np.add.at(links, j[out], w[i[out]])
-            join(label, i, j)
-        hit = np.nonzero((links > 0) | (label != node))[0]
-        yield pa.RecordBatch.from_arrays([pa.array(node[hit], pa.int64()), pa.array(links[hit], pa.int64()), pa.array(label[hit], pa.int64())], names=["node", "links", "root"])
-
-    return tasks.groupBy("cell", "block").applyInArrow(lambda t: pa.Table.from_batches(list(compare(iter(t.to_batches()))) or [], schema=pa.schema([("node", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])), "node long, links long, root long")
+            found.append(np.stack([i, j]))
+        names, at = np.unique(node, return_inverse=True)
+        label = names.copy()
+        i, j = np.concatenate(found, 1)
+        join(label, at[i], at[j])
+        total = np.bincount(at, links, len(names)).astype(np.int64)
+        hit = np.nonzero((total > 0) | (label != names))[0]
+        return pa.Table.from_arrays([pa.array(names[hit], pa.int64()), pa.array(total[hit]), pa.array(label[hit], pa.int64())], schema=kinds)
+
+    if not sizes:
+        return uniq.sparkSession.createDataFrame([], "node long, links long, root long")
+    return tasks.groupBy("cell", "i", "j").applyInArrow(compare, "node long, links long, root long")
 
 
 def join(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
