@@ -1,0 +1,163 @@
+import random
+
+from pyspark.sql import functions as F
+
+from quillmill.operators import answers, attribution, budget, cleaning, comments, cost, metering, repository, secrets, similarity
+
+
+def one(spark, col, *values):
+    return [r[1] for r in spark.createDataFrame(list(enumerate(values)), "i int, v string").select("i", col(F.col("v"))).orderBy("i").collect()]
+
+
+def test_quotas_and_trim(spark):
+    q = budget.quotas({"commit": 100000, "doc": 10, "comment": 10, "pr": 0}, 1000)
+    assert q["commit"] > 400 and sum(q.values()) <= 1004
+    rng = random.Random(4)
+    rows = [(i, k, rng.randint(0, 30)) for i, k in enumerate(rng.choices("abc", k=200))]
+    quota = {"a": 200, "b": 0, "c": 10_000}
+    got = {r["pos"] for r in budget.trim_to_quota(spark.createDataFrame(rows, "pos long, kind string, n int"), "kind", F.col("n"), "pos", quota).collect()}
+    want = set()
+    for k, cap in quota.items():
+        mine = [(i, n) for i, x, n in rows if x == k]
+        for i, _ in sorted(mine, key=lambda r: -r[1]):
+            if sum(n for _, n in mine) <= cap:
+                break
+            mine = [r for r in mine if r[0] != i]
+        want |= {i for i, _ in mine} if cap > 0 else set()
+    assert got == want
+
+
+def test_fill_is_skip_greedy(spark):
+    rng = random.Random(9)
+    rows = [(i, rng.randint(0, 40)) for i in range(300)]
+    got = budget.fill(spark.createDataFrame(rows, "id long, n int"), "id", F.col("n"), [F.col("id")], 200, step=7)
+    used, want = 0, []
+    for i, n in rows:
+        if n and (not want and not any(x == 0 for _, x in rows[:i]) or used + n <= 200):
+            want.append(i)
+            used += n
+    assert got == want
+
+
+def test_survivors_like_a_walk(spark):
+    rng = random.Random(2)
+    base = [[rng.choice("abcdefghijklmnop") * 3 + str(rng.randint(0, 99)) for _ in range(30)] for _ in range(6)]
+    texts = []
+    for i in range(60):
+        w = list(base[i % 6])
+        for _ in range(rng.randint(0, 2)):
+            w[rng.randrange(30)] = f"x{rng.randint(0, 9)}"
+        texts.append(" ".join(w))
+    texts += ["", "  ", "same few words", "same few words", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = {r["id"]: r["twin"] for r in similarity.survivors(df, "id", "text", [F.col("id")]).collect()}
+
+    def sh(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    kept, want = [], {}
+    for i, t in enumerate(texts):
+        s = sh(t)
+        twin = next((k for k, o in kept if s and 5 * len(s & o) >= 4 * len(s | o)), None)
+        want[i] = twin
+        if twin is None:
+            kept.append((i, s))
+    assert got == want
+
+
+def test_secrets(spark):
+    body = "Ab3dE5fG7hJ9kL1mN2pQ4rS6tU8vW0xY"
+    planted = {
+        "aws-access-key-id": "AKIA" + "ABCDEFGH12345678",
+        "google-api-key": "AIza" + body + "abc",
+        "github-token": "ghp_" + body + "Zz12",
+        "slack-token": "xoxb-" + body[:20],
+        "private-key-pem-block": "-----BEGIN PRIVATE KEY-----\n" + body + "\n-----END PRIVATE KEY-----",
+        "generic-secret-assignment": 'password = "' + body[:9] + "-" + body[9:20] + '"',
+        "connection-string-credentials": "postgres://me:" + body[:9] + "@host/db",
+        "dotenv-high-entropy-value": "MY_SETTING=" + body + "==",
+    }
+    innocent = ["password = os.environ", "token: your-api-key-here", "see https://example.org/a", "api_key = get_key()", "commit " + "a1b2" * 10, None, ""]
+    df = spark.createDataFrame([*((k, f"line one\nset {v}\nend" if k[0] != "d" else f"x\n{v}\ny") for k, v in planted.items()), *((f"ok{i}", t) for i, t in enumerate(innocent))], "name string, text string")
+    rows = {r["name"]: r for r in secrets.scan(df).collect()}
+    for k, v in planted.items():
+        hits = rows[k]["hits"]
+        assert [h["rule"] for h in hits] == [k] and hits[0]["line"] == 2
+        assert not secrets.leaks(rows[k]["redacted"], body) and f"<REDACTED:{k}>" in rows[k]["redacted"]
+        assert secrets.replaced(rows[k]["redacted"], secrets.spans(rows[k]["redacted"])) == rows[k]["redacted"]
+    assert all(not rows[f"ok{i}"]["hits"] for i in range(len(innocent)))
+    assert {r["rule"] for r in secrets.findings(df).collect()} == set(planted)
+    assert secrets.entropy("") == secrets.entropy("aaaa") == 0
+
+
+def test_cost(spark):
+    rows = [("gemini-2.5-flash", 10**6, 10**6, 2.8), ("models/gemini-2.5-flash-lite-001", 10**6, 10**6, 0.5), ("gemini-2.5-pro", 300_000, 0, 0.75), ("gemini-2.5-pro", 100_000, 0, 0.125), ("unknown", 1, 1, None), ("gemini-2.5-flash-image", 1, 1, None), (None, 1, 1, None)]
+    df = spark.createDataFrame(rows, "m string, i long, o long, want double")
+    for r in cost.with_cost(df, "i", "o", "m").collect():
+        assert (r["cost"] is None) == (r["want"] is None) and (r["cost"] is None or abs(r["cost"] - r["want"]) < 1e-9)
+    assert one(spark, cost.estimate_tokens, "", "a", "abcd", "a" * 400, None) == [0, 1, 1, 100, 0]
+
+
+def test_cleaning(spark):
+    assert one(spark, cleaning.strip_trailers, "Subject\n\nBody  \n\n\n\nmore\nSigned-off-by: x\nCo-authored-by: y\nFoo-by: z", None) == ["Subject\n\nBody\n\nmore", ""]
+    doc = "---\ntitle: x\n---\n# Head `code`\n![b](u)\n[b]: u\n\n```py\nx = 1\n```\n| a | b |\n    code\nSee [here](u) <b>now</b>.\n<!-- gone\n-->\n- item"
+    assert one(spark, cleaning.clean_markdown, doc) == ["Head code\n\nSee here now.\n\n- item"]
+    noise = spark.createDataFrame([("Bump x", "a@b", "A"), ("fix typos", "a@b", "A"), ("Explain the cache", "a@b", "A"), ("Explain", "dependabot[bot]@x", "B"), ("", "a", "b")], "s string, e string, n string")
+    assert [r[0] for r in noise.select(cleaning.is_noise_commit(F.col("s"), F.col("e"), F.col("n"))).collect()] == [True, True, False, True, True]
+    prose = "This is a longer comment that says in plain words what the code below is for."
+    assert one(spark, cleaning.looks_like_prose, prose, "https://example.org/" + "a" * 80, "Licensed under the terms. " + prose, None) == [True, False, False, False]
+
+
+def test_comments():
+    src = '"""Module doc."""\n# one\n# two\n# ----\n# three\nx = 1  # trailing\ns = """\n# not a\n# comment\n"""\n'
+    assert comments.blocks(".py", src) == [("Module doc.", 1, 1), ("one\ntwo", 2, 3)]
+    assert comments.blocks(".ts", "/* a\n * b\n */\n// x\n// ===\n// y\ncode\n// z") == [("a\nb", 1, 3), ("x\ny", 4, 6)]
+    assert comments.blocks(".sh", "#!/bin/sh\n# a\n# b\n") == [("a\nb", 2, 3)]
+
+
+def test_attribution(spark):
+    files = spark.createDataFrame([("a.md", "l1\nl2\nl3"), ("b.md", "x")], "path string, text string")
+    blame = spark.createDataFrame([("a.md", 1, "Al@x.org"), ("a.md", 2, "bo@x.org")], "path string, line_no int, author string")
+    got = {r["path"]: r["masked"] for r in attribution.mask_lines(files, blame, "al@x.org").collect()}
+    assert got == {"a.md": "l1\n\n", "b.md": "x"}
+    blocks = spark.createDataFrame([("a.md", 1, 1), ("a.md", 1, 2), ("a.md", 5, 6), ("b.md", 1, 1)], "path string, lo int, hi int")
+    assert sorted((r["path"], r["lo"], r["hi"]) for r in attribution.owned_blocks(blocks, blame, "al@x.org").collect()) == [("a.md", 1, 1), ("b.md", 1, 1)]
+
+
+def test_metering_like_a_walk(spark):
+    rng = random.Random(6)
+    caps = metering.Caps(user=2, user_aux=3, total=25, total_aux=9)
+    rows = [(i, f"2024-01-0{rng.randint(1, 3)} 10:{rng.randint(0, 59):02d}:00", rng.choice("uvwxyz"), rng.choice(["aux", "persona"])) for i in range(400)]
+    df = spark.createDataFrame(rows, "event_id long, s string, user string, op string").withColumn("ts", F.to_timestamp("s"))
+    got = {r["event_id"]: (r["admitted"], r["reason"]) for r in metering.admission(df, caps).collect()}
+    days: dict = {}
+    for i, s, u, op in sorted(rows, key=lambda r: (r[1], r[0])):
+        d = days.setdefault(s[:10], {"all": 0, "aux": 0})
+        why = "global" if d["all"] >= 25 else "aux_global" if op == "aux" and d["aux"] >= 9 else "user" if d.get((u, op), 0) >= (3 if op == "aux" else 2) else None
+        if not why:
+            d["all"] += 1
+            d["aux"] += op == "aux"
+            d[u, op] = d.get((u, op), 0) + 1
+        assert got[i] == (why is None, why)
+
+
+def test_answers(spark):
+    raw = ['```json\n[{"question": " Why? ", "options": ["a", "b"]}]\n```', '{"items": [{"prompt": "P", "choices": "only"}, {"question": "no options"}, 3]}', '{"question": "Q", "options": [1, " "]}', "junk", None, '{"x": 1}']
+    df = spark.createDataFrame(list(enumerate(raw)), "i int, raw string")
+    got = sorted((r["i"], r["pos"], r["question"], r["options"]) for r in answers.questions(df).collect())
+    assert got == [(0, 0, "Why?", ["a", "b"]), (1, 0, "P", ["only"]), (2, 0, "Q", ["1"])]
+    bodies = ['{"candidates":[{"content":{"parts":[{"text":"a"},{"text":"b"}]}}]}', '{"promptFeedback":{"blockReason":"SAFETY"}}', '{"candidates":[]}']
+    assert [(x["text"], x["error"]) for x in one(spark, answers.extract_text, *bodies)] == [("ab", None), (None, "blocked: SAFETY"), (None, "no candidates")]
+    assert one(spark, answers.mask_key, None, "abcdefgh", "abcdefghijkl") == ["(not set)", "…gh", "abcd…ijkl"]
+
+
+def test_miners(spark):
+    commits = spark.createDataFrame([(1, "s" * 9, "a@x", "A", "Explain why the cache is cold at first and warm later"), (2, "t" * 9, "a@x", "A", "explain why the  cache is cold at first and warm later"), (3, "u" * 9, "a@x", "A", "typo")], "pos long, sha string, email string, name string, body string")
+    assert [r["pos"] for r in repository.mine_commits(commits).collect()] == [1]
+    text = "A design note in words. " * 8
+    files = spark.createDataFrame([("README.md", text), ("docs/a.md", text + "b"), ("LICENSE.md", text), ("node_modules/x.md", text), ("a.py", f"# {text}\n# {text}\n")], "path string, text string")
+    assert [r["origin"] for r in repository.mine_docs(files).orderBy("pos").collect()] == ["README.md", "docs/a.md"]
+    assert [r["origin"] for r in repository.mine_comments(files).collect()] == ["a.py:1"]
+    every = repository.mine_all([repository.mine_commits(commits), repository.mine_docs(files)], 100)
+    assert every.count() <= 2
