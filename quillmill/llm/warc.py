@@ -85,7 +85,7 @@ def write_warc(pages: DataFrame, out: str, id_col: str = "page_id", url_col: str
     # equal payloads: by length and SHA-256
     ids = scratch.stash(rows.select("page", F.xxhash64("url").alias("u"), size.alias("size"), F.unhex(F.sha2("body", 256)).alias("sig")))
     groups = ids.where((F.col("size") >= least) & F.col("page").isNotNull()).groupBy("sig", "size").agg(F.min("page").alias("first"), F.count("*").alias("n")).where("n > 1")
-    revisits = ids.join(groups, ["sig", "size"]).select("page", "sig", "first").distinct()
+    revisits = ids.where("page is not null").join(groups, ["sig", "size"]).select("page", "sig", "first").distinct()
     bounds = ids.agg(F.min("page"), F.max("page")).first()
     low, high = bounds[0] or 0, bounds[1] or 0
     taken = {r["s"]: r["b"] for r in ids.groupBy(slots(F.col("page"), low, high).alias("s")).agg(F.sum("size").alias("b")).collect()}  # at most SLOTS + 1 rows
