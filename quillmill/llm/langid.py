@@ -106,7 +106,7 @@ class LanguageModel:
         return self.langs[best], float(p[best])
 
 
-def fit_language_model(learn: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_rows: int = 900) -> LanguageModel:
+def fit_language_model(learn: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_rows: int = 600) -> LanguageModel:
     """Learn from the rows of ``learn`` with a language; about ``fit_rows`` rows of each are fitted on."""
     size = 1 << BUCKET_BITS
     learn = learn.where(F.col(lang_col).isNotNull())
@@ -123,8 +123,8 @@ def fit_language_model(learn: DataFrame, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows of the sample (lang set), then this task's document frequencies."""
         df, docs = np.zeros(size, np.int64), 0
-        names = ["lang", "r", "i", "c"]
-        kinds = pa.schema([("lang", pa.string()), ("r", pa.int64()), ("i", pa.list_(pa.int32())), ("c", pa.list_(pa.int64()))])
+        names = ["lang", "r", "raw_i", "raw_c", "i", "c"]
+        kinds = [pa.string(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64())]
         for b in batches:
             rows = []
             for text, lang, hit, r in zip(*(b.column(k) for k in range(4)), strict=True):
@@ -136,22 +136,22 @@ def fit_language_model(learn: DataFrame, id_col: str = "doc_id", text_col: str =
                 df[i] += 1
                 docs += 1
                 if hit.as_py():
-                    rows.append((lang.as_py(), r.as_py(), i.astype(np.int32), c[i]))
+                    rows.append((lang.as_py(), r.as_py(), i.astype(np.int32).tobytes(), c[i].astype(np.int32).tobytes(), None, None))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds.types, strict=True)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
         i = np.nonzero(df)[0].astype(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([docs], pa.int64()), pa.array([i], pa.list_(pa.int32())), pa.array([df[i]], pa.list_(pa.int64()))], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((None, docs, None, None, i, df[i]), kinds, strict=True)], names=names)
 
-    seen = cols.mapInArrow(run, "lang string, r long, i array<int>, c array<long>").persist()
+    seen = cols.mapInArrow(run, "lang string, r long, raw_i binary, raw_c binary, i array<int>, c array<long>").persist()
     counts = seen.where("lang is null")
     total = counts.agg(F.sum("r")).first()[0] or 0
     df = np.zeros(size)
     for i, n in counts.select(F.explode(F.arrays_zip("i", "c")).alias("x")).groupBy("x.i").agg(F.sum("x.c")).collect():
         df[i] = n
     idf = np.log((1 + total) / (1 + df)) + 1
-    sample = sorted(seen.where("lang is not null").collect(), key=lambda r: (r["r"], r["lang"], len(r["i"])))
+    sample = sorted(seen.where("lang is not null").select("lang", "r", "raw_i", "raw_c").collect(), key=lambda r: (r["r"], r["lang"], bytes(r["raw_i"])))
     seen.unpersist()
-    rows = [(i := np.array(r["i"]), weighed_values(np.array(r["c"]), idf[i])) for r in sample]
+    rows = [(i := np.frombuffer(r["raw_i"], np.int32), weighed_values(np.frombuffer(r["raw_c"], np.int32), idf[i])) for r in sample]
     y = np.array([langs.index(r["lang"]) for r in sample], int)
     held = np.arange(len(rows)) % 5 == 4 if len(rows) >= 50 else np.zeros(len(rows), bool)
     w = fit_ftrl([r for r, h in zip(rows, held, strict=True) if not h], y[~held], len(langs), size)
@@ -185,7 +185,7 @@ def predict_languages(docs: DataFrame, model: LanguageModel, text_col: str = "te
     return docs.select(*cols).mapInArrow(run, ", ".join([*(f"`{k}` {kinds[k]}" for k in keep), "lang_pred string", "score double"]))
 
 
-def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 4, fold: int = 2, fit_rows: int = 900) -> DataFrame:
+def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 4, fold: int = 2, fit_rows: int = 600) -> DataFrame:
     """``id_col``, held_out, lang_pred, score of every document.
 
     Documents whose crc32(id as text) modulo ``folds`` is ``fold`` are held out: nothing
