@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +27,10 @@ AUTOMATED = [
     r"\bthis is an automated\b|\bdo not reply to this\b", r"\bauto(?:matic|mated)[- ]repl(?:y|ies)\b", r"\byou are receiving this (?:e-?mail|message)\b", r"\bunsubscribe\b",
     r"\bconfidentiality notice\b", r"\bdelivery status notification\b",
 ]
+# For each pattern above, in lower case, what a text it matches must contain (any of them).
+LEGAL_WORDS = ["hereinafter", "whereas,", "deemed", "witness", "pursuant", "the part", "conditions", "governing", "reserved", "deposit", "lessee|lessor|tenant|landlord"]
+FINANCIAL_WORDS = ["invoice", "due", "account", "routing", "sort", "statement", "balance", "pay", "subtotal", "tax|vat", "policy", "bill", "remit|pay", "wages|form"]
+AUTOMATED_WORDS = ["automated|reply", "repl", "receiving", "unsubscribe", "confidentiality", "notification"]
 MONEY = r"[$£€]\s?\d[\d,]*(?:\.\d{2})?|\b\d[\d,]*\.\d{2}\b"
 LOG_LINE = r"^\s*(?:\[)?\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}|^\s*(?:DEBUG|INFO|WARN|WARNING|ERROR|TRACE|FATAL)\b"
 CONTRACTION = r"(?i)\b\w+'(?:s|t|re|ve|ll|d|m)\b"
@@ -110,8 +117,17 @@ def line_shares(body: Column) -> Column:
     return let(F.filter(lines(body), lambda s: ~is_blank(s)), shares)
 
 
-def marker_hits(flat: Column, patterns: list[str]) -> Column:
-    hits = [flat.rlike(IU + p).cast("int") for p in patterns]
+def folded(text: Column) -> Column:
+    """Lower case, with the letters that patterns without case take for ASCII ones."""
+    return F.lower(F.translate(text, "\u017f\u212a\u0130\u0131", "skii"))
+
+
+def marker_hits(flat: Column, low: Column, patterns: list[str], words: list[str]) -> Column:
+    """How many patterns are found in flat; each is tried only where low, the folded text, holds one of its words."""
+    hits = []
+    for p, some in zip(patterns, words, strict=True):
+        held = [F.contains(low, F.lit(w)) for w in some.split("|")]
+        hits.append((reduce(or_, held) & flat.rlike(IU + p)).cast("int"))
     return sum(hits[1:], hits[0])
 
 
@@ -133,7 +149,9 @@ def score_text(df: DataFrame, text: str = "text", origin: str | None = None) ->
     flat = collapse(F.col("_b"))
     named = F.coalesce(F.col(origin), F.lit("")) if origin else F.lit("")
     out = out.withColumns({"_f": flat, "_m": machine_kind(F.col("_b")), "_s": line_shares(F.col("_b"))})
-    out = out.withColumns({"_legal": marker_hits(F.col("_f"), LEGAL), "_fin": marker_hits(F.col("_f"), FINANCIAL), "_auto": marker_hits(F.col("_f"), AUTOMATED)})
+    out = out.withColumn("_l", folded(F.col("_f")))
+    hits = lambda patterns, words: marker_hits(F.col("_f"), F.col("_l"), patterns, words)
+    out = out.withColumns({"_legal": hits(LEGAL, LEGAL_WORDS), "_fin": hits(FINANCIAL, FINANCIAL_WORDS), "_auto": hits(AUTOMATED, AUTOMATED_WORDS)})
     d, prose, short = F.col("_d"), F.col("_prose"), F.col("_n") < SHORT_CHARS
     protected = (d >= 0.025) & (F.col("_w.n") >= 120) & (prose >= 0.10)
     voiceless = short & ~((F.col("_w.first") >= 1) & (F.col("_w.n") >= 10) & ((d >= 0.03) | (prose >= 0.10)))
@@ -163,7 +181,7 @@ def score_text(df: DataFrame, text: str = "text", origin: str | None = None) ->
         "reason": pick(F.lit("empty"), F.lit("too short to show a voice"), F.when(F.col("_m") == "log", REASONS["log"]).otherwise(REASONS["export"]), reason),
         "verdict": pick(F.lit("drop"), F.lit("drop"), F.lit("drop"), F.col("_v")),
     })
-    return out.drop("_b", "_w", "_n", "_prose", "_d", "_f", "_m", "_s", "_legal", "_fin", "_auto", "_p", "_score", "_v")
+    return out.drop("_b", "_w", "_n", "_prose", "_d", "_f", "_l", "_m", "_s", "_legal", "_fin", "_auto", "_p", "_score", "_v")
 
 
 def score_binary(df: DataFrame, filename: str = "filename", mimetype: str = "mimetype") -> DataFrame:

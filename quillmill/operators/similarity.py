@@ -6,17 +6,27 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmill.functions.text import WS, let
+from quillmill.functions.text import let
 from quillmill.session import shared_dir
 
 
 def shingles(text: Column, size: int = 5) -> Column:
     """Distinct shingles of ``size`` words of a-z and 0-9 (lower case); a shorter text is one shingle, an empty one none."""
-    words = F.filter(F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), rf"[^a-z0-9{WS}]", " "), rf"[{WS}]+"), lambda w: w != "")
+    words = shingle_words(text)
     many = lambda w: F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(w) - size), lambda i: F.array_join(F.slice(w, i + 1, size), " ")))
     return let(words, lambda w: F.when(F.size(w) == 0, F.array().cast("array<string>")).when(F.size(w) < size, F.array(F.array_join(w, " "))).otherwise(many(w)))
 
 
+def shingle_words(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("([a-z0-9]+)"), 1)
+
+
+def shingle_hashes(text: Column, size: int = 5) -> Column:
+    """64-bit hashes of the shingles, distinct; the strings are not built."""
+    many = lambda w: F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(w) - size), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(size)])))
+    return let(shingle_words(text), lambda w: F.when(F.size(w) == 0, F.array().cast("array<bigint>")).when(F.size(w) < size, F.array(F.xxhash64(F.array_join(w, " ")))).otherwise(many(w)))
+
+
 def similar_pairs(docs: DataFrame, id_col: str, text_col: str, pct: int = 80, size: int = 5) -> DataFrame:
     """(a, b, inter, total): pairs of distinct shingle sets with Jaccard >= pct / 100; a < b are the sets' smallest ids.
 
@@ -28,7 +38,7 @@ def similar_pairs(docs: DataFrame, id_col: str, text_col: str, pct: int = 80, si
 
 def shingle_classes(docs: DataFrame, id_col: str, text_col: str, size: int = 5) -> DataFrame:
     """(id, rep, n, hashes): documents with equal sets share the smallest id as rep."""
-    hashes = F.array_sort(F.transform(shingles(F.col(text_col), size), lambda s: F.xxhash64(s)))
+    hashes = F.sort_array(shingle_hashes(F.col(text_col), size))
     sets = docs.select(F.col(id_col).alias("id"), hashes.alias("hashes")).withColumn("sig", F.sha2(F.array_join("hashes", ","), 256))
     reps = sets.groupBy("sig").agg(F.min("id").alias("rep"))
     return sets.join(reps, "sig").select("id", "rep", F.size("hashes").alias("n"), F.when(F.col("id") == F.col("rep"), F.col("hashes")).alias("hashes"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillmill.operators import answers, attribution, budget, cleaning, cost, metering, relevance, repository, report, secrets, similarity
 from quillmill.operators.triage import triage
+from quillmill.session import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -19,6 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    """A table with long texts, for expressions that cost more than dealing rows out to all cores."""
+    return spread(table(spark, sf_dir, name))
+
+
 def query(sql: str | None = None):
     """Register a query under its name, with its SQL if there is one."""
 
@@ -95,7 +101,7 @@ pairs AS (SELECT a, b, inter, na.n + nb.n - inter AS total FROM i JOIN n na ON n
 def doc_signals(spark, sf_dir):
     from quillmill.functions.text import strip
 
-    d = table(spark, sf_dir, "documents").select("doc_id", strip(F.coalesce("text", F.lit(""))).alias("b")).withColumn("w", relevance.word_signals(F.col("b")))
+    d = texts(spark, sf_dir).select("doc_id", strip(F.coalesce("text", F.lit(""))).alias("b")).withColumn("w", relevance.word_signals(F.col("b")))
     density = F.when(F.col("w.n") > 0, F.col("w.first") / F.col("w.n")).otherwise(0.0)
     return d.select("doc_id", F.col("w.n").cast("long").alias("n_words"), F.col("w.first").cast("long").alias("n_first"), F.round(density, 6).alias("density"), F.round(relevance.prose_bonus(F.col("b"), F.col("w.discourse")), 6).alias("prose"))
 
@@ -117,7 +123,7 @@ def cost_by_model(spark, sf_dir):
 
 
 def judged(spark, sf_dir):
-    return relevance.score_text(table(spark, sf_dir, "documents"), "text", "source").withColumn("score", F.round("score", 6))
+    return relevance.score_text(texts(spark, sf_dir), "text", "source").withColumn("score", F.round("score", 6))
 
 
 @query(VERDICTS + "SELECT doc_id, score, reason, verdict FROM verdicts")
@@ -139,7 +145,7 @@ def verdict_vs_quality(spark, sf_dir):
     " SELECT conv_id, turn, kept AS text, round(CASE WHEN length(t) = 0 THEN 0 ELSE greatest(0, 1 - length(kept)::DOUBLE / length(t)) END, 6) AS removed FROM k"
 )
 def strip_quoted_conversations(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").withColumn("q", relevance.strip_quoted(F.col("text")))
+    c = texts(spark, sf_dir, "conversations").withColumn("q", relevance.strip_quoted(F.col("text")))
     return c.select("conv_id", "turn", F.col("q.text").alias("text"), F.round("q.removed", 6).alias("removed"))
 
 
@@ -152,7 +158,7 @@ def strip_quoted_conversations(spark, sf_dir):
 def machine_generated(spark, sf_dir):
     from quillmill.functions.text import strip
 
-    docs = table(spark, sf_dir, "documents").select(F.lit("doc").alias("origin"), strip(F.coalesce("text", F.lit(""))).alias("b"))
+    docs = texts(spark, sf_dir).select(F.lit("doc").alias("origin"), strip(F.coalesce("text", F.lit(""))).alias("b"))
     props = table(spark, sf_dir, "events").select(F.lit("event").alias("origin"), strip(F.coalesce("props", F.lit(""))).alias("b"))
     return docs.unionByName(props).groupBy("origin", relevance.machine_kind(F.col("b")).alias("kind")).agg(F.count("*").alias("n"))
 
@@ -160,7 +166,7 @@ def machine_generated(spark, sf_dir):
 @query("WITH" + SHINGLED + " SELECT a, b, inter, total FROM pairs")
 def shingle_pairs(spark, sf_dir):
     """All similar pairs: pairs of distinct sets, and their copies by membership."""
-    classes = similarity.shingle_classes(table(spark, sf_dir, "documents"), "doc_id", "text").persist()
+    classes = similarity.shingle_classes(texts(spark, sf_dir), "doc_id", "text").persist()
     of = classes.select("id", "rep", "n")
     pairs = similarity.pairs_of(classes, 80).select(F.col("a").alias("x"), F.col("b").alias("y"), "inter", "total")
     member = lambda rep, name: of.select(F.col("rep").alias(rep), F.col("id").alias(name))
@@ -178,12 +184,12 @@ def shingle_pairs(spark, sf_dir):
     " SELECT r.doc_id, t.doc_id AS twin FROM r CROSS JOIN fin LEFT JOIN g ON g.worse = r.k AND list_contains(fin.dropped, r.k) LEFT JOIN r t ON t.k = list_min(list_filter(g.ups, lambda u: NOT list_contains(fin.dropped, u)))"
 )
 def near_dup_survivors(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    d = texts(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     return similarity.survivors(d, "doc_id", "text", [F.length("text"), F.col("doc_id")]).select(F.col("id").alias("doc_id"), "twin")
 
 
 def samples(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("sample_id"), F.col("doc_id").alias("pos"), F.col("source").alias("origin"), "text")
+    return texts(spark, sf_dir).select(F.col("doc_id").alias("sample_id"), F.col("doc_id").alias("pos"), F.col("source").alias("origin"), "text")
 
 
 @query()
@@ -217,12 +223,12 @@ def first_wins_distinct(spark, sf_dir):
 
 @query()
 def secret_findings(spark, sf_dir):
-    return secrets.findings(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return secrets.findings(texts(spark, sf_dir).select("doc_id", "text"))
 
 
 @query()
 def redacted_docs(spark, sf_dir):
-    out = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = secrets.scan(texts(spark, sf_dir).select("doc_id", "text"))
     return out.select("doc_id", F.size("hits").cast("long").alias("n_hits"), F.sha2(F.coalesce("redacted", F.lit("")), 256).alias("redacted_sha256"))
 
 
@@ -231,7 +237,7 @@ def redacted_docs(spark, sf_dir):
     " SELECT word, round(-sum(k / length(word) * log2(k / length(word))), 5) AS bits FROM g GROUP BY word"
 )
 def entropy_words(spark, sf_dir):
-    w = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z0-9]{16,})"), 1)).alias("word")).distinct()
+    w = texts(spark, sf_dir).select(F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z0-9]{16,})"), 1)).alias("word")).distinct()
     return w.select("word", F.round(secrets.entropy_column(F.col("word")), 5).alias("bits"))
 
 
@@ -240,12 +246,12 @@ PROSE_SQL = "WITH t AS (SELECT doc_id, trim(coalesce(text, ''), ' ' || chr(9) ||
 
 @query(PROSE_SQL)
 def license_and_prose(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", cleaning.looks_like_prose(F.col("text")).alias("prose"))
+    return texts(spark, sf_dir).select("doc_id", cleaning.looks_like_prose(F.col("text")).alias("prose"))
 
 
 @query()
 def html_clean(spark, sf_dir):
-    p = table(spark, sf_dir, "pages")
+    p = texts(spark, sf_dir, "pages")
     return p.select("page_id", cleaning.clean_markdown(F.col("html")).alias("text"))
 
 
@@ -318,14 +324,14 @@ def evidence_summary(spark, sf_dir):
 
 @query()
 def report_totals(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select(F.col("source").alias("origin"), "text", F.lit(0).alias("tokens"))
+    d = texts(spark, sf_dir).select(F.col("source").alias("origin"), "text", F.lit(0).alias("tokens"))
     return report.totals(d, secrets.findings(d.select("origin", "text")))
 
 
 @query()
 def commits_mined(spark, sf_dir):
     """Documents as commit messages: trailers off, noise out, each text once, newest first."""
-    c = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pos"), F.sha1(F.col("doc_id").cast("string")).alias("sha"), F.concat("source", F.lit("@example.org")).alias("email"), F.col("source").alias("name"), F.col("text").alias("body"))
+    c = texts(spark, sf_dir).select(F.col("doc_id").alias("pos"), F.sha1(F.col("doc_id").cast("string")).alias("sha"), F.concat("source", F.lit("@example.org")).alias("email"), F.col("source").alias("name"), F.col("text").alias("body"))
     return repository.mine_commits(c).select("pos", "origin", F.sha2("text", 256).alias("text_sha256"), "author")
 
 
@@ -340,5 +346,5 @@ def benchmark_overlap(spark, sf_dir):
     s = lambda df: F.explode(similarity.shingles(F.col("text"))).alias("s")
     items = table(spark, sf_dir, "benchmark").withColumn("n", F.size(similarity.shingles(F.col("text"))).cast("long"))
     q = items.select("item_id", "n", s(items))
-    d = table(spark, sf_dir, "documents")
+    d = texts(spark, sf_dir)
     return d.select("doc_id", s(d)).join(q, "s").groupBy("item_id", "doc_id").agg(F.count("*").alias("shared"), F.first("n").alias("n"))

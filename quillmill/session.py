@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -22,6 +22,12 @@ def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g"
     )
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its scan has fewer partitions than those, as for a table of one file; a large table stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 

@@ -1,5 +1,7 @@
 from pyspark.sql import functions as F
 
+from quillmill.operators import relevance as R
+from quillmill.operators import similarity as S
 from quillmill.operators.relevance import score_binary, score_text, strip_quoted
 from quillmill.operators.triage import triage
 
@@ -61,3 +63,26 @@ def test_triage_keeps_all_rows(spark):
     assert any(r["reason"].startswith("nearly identical to ") and r["score"] <= 0.2 for r in rows.values())
     only = [r["sample_id"] for r in triage(samples, None, budget_chars=1).collect() if r["kept"]]
     assert len(only) == 1
+
+
+def test_gated_markers_equal_plain_patterns(spark):
+    """The words that gate the patterns never hide a match, in any case or with letters that fold to ASCII."""
+    hits = [
+        "HEREINAFTER", "whereas, he", "shall be deemed", "in witneſſ whereof", "pursuant to", "the parties of the", "terms and conditions", "governing law", "all rİghts reserved", "security deposit",
+        "lessor", "TENANT SHALL", "Invoice #4", "amount due", "account number", "routing number", "sort code", "statement period", "closing balance", "net pay", "subtotal", "VAT", "sales tax", "policy number",
+        "billing address", "remit to", "pay to the order", "wages, tips", "FORM W-2", "this is an automated", "do not reply to this", "auto-replies", "you are receiving this email", "unſubscribe",
+        "confidentiality notice", "delivery status notification", "nothing here", "",
+    ]
+    df = spark.createDataFrame([(h,) for h in hits], "t string")
+    for patterns, words in ((R.LEGAL, R.LEGAL_WORDS), (R.FINANCIAL, R.FINANCIAL_WORDS), (R.AUTOMATED, R.AUTOMATED_WORDS)):
+        plain = sum((F.col("t").rlike(R.IU + p).cast("int") for p in patterns), F.lit(0))
+        rows = df.select("t", plain.alias("a"), R.marker_hits(F.col("t"), R.folded(F.col("t")), patterns, words).alias("b")).collect()
+        assert [r.a for r in rows] == [r.b for r in rows]
+        assert sum(r.a for r in rows) >= len(patterns)
+
+
+def test_shingle_hashes_count_distinct_shingles(spark):
+    texts = ["", None, "one two", "a b c d e", "a b c d e a b c d e a b c d e", "x-y: Z 9 q w e r t"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in df.select(S.shingles(F.col("t")).alias("s"), S.shingle_hashes(F.col("t")).alias("h")).collect():
+        assert len(r.s) == len(r.h) == len(set(r.h))
