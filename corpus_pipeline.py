@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from quillmill.llm import bpe, jaccard_join, langid, mixing, pii
 from quillmill.llm.common import Scratch, sized
 
+#: Near copies are documents whose sets of so many words a shingle have so many hundredths in common (op10 has values of its own).
+NEAR_WORDS, NEAR_PCT = 5, 80
 #: A language is rejected below this probability (and where the text has no letter).
 LEAST_SCORE = 0.3
 
@@ -30,7 +32,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of the n-gram Jaccard join the document with the smallest id stays."""
-    classes = jaccard_join.jaccard_classes(docs)
+    classes = jaccard_join.jaccard_classes(docs, n=NEAR_WORDS, pct=NEAR_PCT)
     gone = classes.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
     return docs.join(sized(gone), "doc_id", "left_anti").select(*docs.columns)
 

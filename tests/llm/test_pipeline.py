@@ -26,6 +26,17 @@ def test_stages(spark):
     assert p.encode(spark, mixed, "").count() == mixed.count()
 
 
+def test_near_duplicates_by_five_words(spark):
+    import corpus_pipeline as p
+
+    w = [f"w{i}" for i in range(50)]
+    near = [*w[:25], "other", *w[26:]]  # 41 of 51 shingles of five words in common (0.804), 43 of 51 of four (0.843)
+    less = [*w[:12], "one", *w[13:38], "two", *w[39:]]  # 36 of 56 of five words: not a near copy of either
+    rows = [(i, " ".join(x), "en", "s", 0) for i, x in enumerate([w, near, less], 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r["doc_id"] for r in p.near_duplicates(spark, docs, "").collect()) == [1, 3]
+
+
 def test_empty(spark):
     import corpus_pipeline as p
 
