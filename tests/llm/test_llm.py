@@ -111,6 +111,20 @@ def test_lm_score(spark, monkeypatch):
     assert lm_score.lm_score(documents(spark, [])).count() == 0
 
 
+def test_lm_learns_from_all_documents(spark):
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice(["the", "cat", "sat"]) for _ in range(30)), "en", "s") for i in range(40)]
+    learn = documents(spark, [*rows, (None, "no id", "en", "s"), (90, None, "en", "s")])
+    voc = lm_score.Vocabulary([("the".encode(), 400), ("cat".encode(), 400), ("sat".encode(), 400)], 42, [0] * lm_score.ENDINGS)
+    net, scratch = lm_score.Network(voc), Scratch(spark)
+    before = {k: v.copy() for k, v in net.p.items()}
+    total = 40 * 31 + 3 + 1
+    assert lm_score.train_network(net, learn, "doc_id", "text", total, scratch) == [total] * lm_score.ROUNDS
+    assert np.abs(net.p["u"] - before["u"]).max() > 0
+    assert lm_score.shards_for(100 * lm_score.SHARD_TOKENS) == 100 and lm_score.shards_for(0) == lm_score.SHARDS
+    scratch.drop()
+
+
 def test_lm_probabilities_sum_to_one():
     voc = lm_score.Vocabulary([(b"w%d" % i, 100 - i % 90) for i in range(3000)], 50, [3] * lm_score.ENDINGS)
     net = lm_score.Network(voc)
