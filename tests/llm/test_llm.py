@@ -111,6 +111,11 @@ def test_lm_score(spark, monkeypatch):
     assert lm_score.lm_score(documents(spark, [])).count() == 0
 
 
+def test_lm_frequent_words_are_told_apart():
+    voc = lm_score.Vocabulary([(b"w%d" % i, 5000 - i) for i in range(3000)], 50, [3] * lm_score.ENDINGS)
+    assert len(set(voc.symbol[:2048])) == 2048 and voc.own == 2048
+
+
 def test_lm_learns_from_all_documents(spark):
     rng = random.Random(4)
     rows = [(i, " ".join(rng.choice(["the", "cat", "sat"]) for _ in range(30)), "en", "s") for i in range(40)]
