@@ -18,6 +18,8 @@ SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 #: Share of a group's rows in the core; concentration steps; rows that a group needs for estimates of its own.
 CORE, STEPS, LEAST_ROWS = 0.75, 3, 200
+#: Rows that the estimates from all rows need.
+LEAST_ALL = 20
 #: Least standard deviation of each transformed statistic: differences below it count as none.
 FLOORS = (0.25, 0.08, 0.15, 0.15, 0.15)
 #: Median of chi-squared with five degrees of freedom, and the squared distance (in its scale) that rejects.
@@ -123,8 +125,9 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     windows. Other rows are kept unless their distance (squared, scaled so that the
     group's median is chi-squared's) exceeds CUTOFF. Groups are language and source
     (null is a value of its own); those with under LEAST_ROWS rows are pooled by
-    language, then all together, and if there are still fewer nothing is rejected
-    there. A null text has no words. Repeated rows give repeated results, an empty
+    language, then all together, and if there are still fewer they are judged by
+    estimates from all rows that pass base_failed (with under LEAST_ALL such rows
+    nothing is rejected). A null text has no words. Repeated rows give repeated results, an empty
     table an empty result.
     """
     scratch = Scratch(docs.sparkSession)
@@ -138,16 +141,19 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sizes = good.groupBy("lang", "source").agg(F.count("*").alias("n"))
     langs = sizes.where(F.col("n") < LEAST_ROWS).groupBy("lang").agg(F.sum("n").alias("pooled"))
     group = F.when(F.col("n") >= LEAST_ROWS, F.concat_ws("\x01", "lang", "source")).when(F.col("pooled") >= LEAST_ROWS, F.col("lang")).otherwise(F.lit(""))
-    groups = scratch.stash(sizes.join(langs, "lang", "left").select("lang", "source", group.alias("g")))
-    rows = stats.join(groups, ["lang", "source"], "left").withColumn("g", F.when(~F.col("base_failed"), F.col("g")))
+    groups = scratch.stash(sizes.join(langs, "lang", "left").select("lang", "source", "n", group.alias("g")))
+    last = groups.where("g = ''").agg(F.sum("n").alias("n")).first()["n"] or 0
+    rows = stats.join(groups.drop("n"), ["lang", "source"], "left").withColumn("g", F.when(~F.col("base_failed"), F.col("g")))
     rows = scratch.stash(rows.select("id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "g", *(x.alias(f"x{i}") for i, x in enumerate(vector()))))
     fit = rows.where("g is not null").select("g", *X)
+    if 0 < last < LEAST_ROWS:
+        fit = fit.where("g <> ''").union(fit.withColumn("g", F.lit("")))
     params = scratch.stash(start_params(fit))
     for _ in range(STEPS):
         params = scratch.stash(concentrated(fit, params))
     scale = with_distance(fit, params).groupBy("g").agg((F.percentile_approx("d", 0.5, 1000) / CHI_MEDIAN).alias("scale"), F.count("*").alias("members"))
     far = with_distance(rows.where("g is not null"), params).join(scale, "g")
-    distance = F.when(F.col("members") >= LEAST_ROWS, F.col("d") / F.greatest("scale", F.lit(1e-9))).otherwise(F.lit(0.0))
+    distance = F.when(F.col("members") >= LEAST_ALL, F.col("d") / F.greatest("scale", F.lit(1e-9))).otherwise(F.lit(0.0))
     cols = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     judged = far.select("id", *cols, distance.alias("distance"))
     out = judged.unionByName(rows.where("g is null").select("id", *cols, F.lit(None).cast("double").alias("distance")))

@@ -239,6 +239,15 @@ def test_pii(spark):
     assert pii.find_pii(documents(spark, [])).count() == 0
 
 
+def test_quality_of_a_small_last_pool(spark):
+    rng = random.Random(6)
+    text = lambda k: " ".join("".join(rng.choices("abcdefgh", k=k)) for _ in range(rng.randint(80, 160)))
+    rows = [(i, text(6), "en", "s") for i in range(220)] + [(1000 + i, text(6), "xx", "r") for i in range(3)]
+    rows += [(2000, " ".join("#$%&" + "".join(rng.choices("abcdefgh", k=6)) for _ in range(100)), "xx", "r")]
+    got = {r["doc_id"]: r["kept"] for r in quality.quality_rules(documents(spark, rows)).collect()}
+    assert [i for i, kept in got.items() if not kept] == [2000]
+
+
 def test_quality(spark):
     rng = random.Random(7)
     plain = lambda n: " ".join(rng.choice("abcdefgh") * rng.randint(1, 6) + str(rng.randint(0, 400)) for _ in range(n))
