@@ -76,14 +76,17 @@ def survivors(ranked: DataFrame, id_col: str, text_col: str, rank: list[Column],
     edges = ordered.select(F.when(F.col("ra") < F.col("rb"), F.col("a")).otherwise(F.col("b")).alias("better"), F.when(F.col("ra") < F.col("rb"), F.col("b")).otherwise(F.col("a")).alias("worse"), F.least("ra", "rb").alias("rbest"))
     edges = edges.checkpoint()
     state = edges.select(F.col("better").alias("id")).union(edges.select("worse")).distinct().withColumn("kept", F.lit(None).cast("boolean"))
-    for _ in range(1000):
+    undecided = None
+    while undecided != 0:  # the best-ranked undecided document is decided in each round
         near = edges.join(state.select(F.col("id").alias("better"), "kept"), "better").groupBy("worse").agg(F.bool_or(F.coalesce("kept", F.lit(False))).alias("out"), F.bool_or(F.col("kept").isNull()).alias("open"))
         state = state.join(near.withColumnRenamed("worse", "id"), "id", "left")
         now = F.when(F.col("out"), False).when(~F.coalesce("open", F.lit(False)), True)
         state = state.select("id", F.coalesce("kept", now).alias("kept"))
         state = state.checkpoint()
-        if state.where("kept is null").isEmpty():
-            break
+        left = state.where("kept is null").count()
+        if left and left == undecided:
+            raise ValueError("rank does not order the documents completely")
+        undecided = left
     accepted = edges.join(state.where("kept").select(F.col("id").alias("better")), "better").groupBy("worse").agg(F.min_by("better", "rbest").alias("twin_rep"))
     result = best.join(accepted.select(F.col("worse").alias("rep"), "twin_rep"), "rep", "left")
     result = result.join(best.select(F.col("rep").alias("twin_rep"), F.col("best").alias("twin_best")), "twin_rep", "left")

@@ -161,3 +161,20 @@ def test_miners(spark):
     assert [r["origin"] for r in repository.mine_comments(files).collect()] == ["a.py:1"]
     every = repository.mine_all([repository.mine_commits(commits), repository.mine_docs(files)], 100)
     assert every.count() <= 2
+
+
+def test_survivors_of_a_chain_take_as_many_rounds_as_needed(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from quillmill.operators import similarity
+
+    monkeypatch.setattr(similarity, "range", lambda n: [0] * min(n, 2), raising=False)  # a bound on rounds, were there one
+    rows = [(i, " ".join(f"w{j}" for j in range(3 * i, 3 * i + 60))) for i in range(7)]
+    docs = spark.createDataFrame(rows, "id long, text string")
+    got = {r["id"]: r["twin"] for r in similarity.survivors(docs, "id", "text", [F.col("id")]).collect()}
+    want = {}
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(56)} for i, t in rows}
+    for i in sorted(sets):
+        twins = [j for j in sorted(want) if want[j] is None and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8]
+        want[i] = twins[0] if twins else None
+    assert got == want
