@@ -21,17 +21,18 @@ GENERATED = r"(?i)do not edit|@generated|code generated by|autogenerated|auto-ge
 
 
 def first_wins(df: DataFrame, key, pos: str) -> DataFrame:
-    """The first row of each key in order of pos."""
-    w = Window.partitionBy("_key").orderBy(pos)
-    return df.withColumn("_key", key).withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_key", "_r")
+    """The first row of each key in order of pos; a key of many rows costs partial minima only."""
+    first = F.min(F.struct(F.col(pos).alias("_pos"), F.struct(*df.columns).alias("_row"))).alias("_first")
+    return df.groupBy(key.alias("_key")).agg(first).select("_first._row.*")
 
 
-def mine_commits(commits: DataFrame, limit: int = COMMITS, min_chars: int = MIN_COMMIT) -> DataFrame:
-    """pos, kind, origin, text, author from (pos, sha, email, name, body), newest first; commits beyond 5 x limit are never seen."""
-    seen = commits.orderBy("pos").limit(5 * limit)
+def mine_commits(commits: DataFrame, limit: int | None = COMMITS, min_chars: int = MIN_COMMIT) -> DataFrame:
+    """pos, kind, origin, text, author from (pos, sha, email, name, body), newest first; commits beyond 5 x limit are never seen (None: no limit)."""
+    seen = commits if limit is None else commits.orderBy("pos").limit(5 * limit)
     subject = let(lines(strip(F.coalesce("body", F.lit("")))), lambda a: F.coalesce(F.get(a, F.lit(0)), F.lit("")))
     good = seen.where(~is_noise_commit(subject, F.trim("email"), F.col("name"))).withColumn("text", strip_trailers(F.col("body"))).where(F.length("text") >= min_chars)
-    out = first_wins(good, distinct_key(F.col("text")), "pos").orderBy("pos").limit(limit)
+    out = first_wins(good, distinct_key(F.col("text")), "pos").orderBy("pos")
+    out = out if limit is None else out.limit(limit)
     return out.select("pos", F.lit("commit").alias("kind"), F.concat(F.lit("git log "), F.left(F.trim("sha"), F.lit(7))).alias("origin"), "text", F.nullif(F.trim("email"), F.lit("")).alias("author"))
 
 

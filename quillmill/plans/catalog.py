@@ -332,7 +332,7 @@ def report_totals(spark, sf_dir):
 def commits_mined(spark, sf_dir):
     """Documents as commit messages: trailers off, noise out, each text once, newest first."""
     c = texts(spark, sf_dir).select(F.col("doc_id").alias("pos"), F.sha1(F.col("doc_id").cast("string")).alias("sha"), F.concat("source", F.lit("@example.org")).alias("email"), F.col("source").alias("name"), F.col("text").alias("body"))
-    return repository.mine_commits(c).select("pos", "origin", F.sha2("text", 256).alias("text_sha256"), "author")
+    return repository.mine_commits(c, limit=None).select("pos", "origin", F.sha2("text", 256).alias("text_sha256"), "author")
 
 
 @query(

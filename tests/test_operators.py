@@ -178,3 +178,12 @@ def test_survivors_of_a_chain_take_as_many_rounds_as_needed(spark, monkeypatch):
         twins = [j for j in sorted(want) if want[j] is None and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8]
         want[i] = twins[0] if twins else None
     assert got == want
+
+
+def test_commits_mined_sees_every_document(spark, tmp_path):
+    from quillmill.plans import catalog
+
+    rows = [(i, f"message number {i} about the parser and what it does with long input lines, part {i}", "en", "s", 0) for i in range(1100)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [r["pos"] for r in catalog.commits_mined(spark, str(tmp_path)).collect()]
+    assert got == list(range(1100))
