@@ -17,6 +17,8 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from quillmill.llm.common import through
+
 END = "</w>"
 #: White space as the vocabulary's own pattern takes it.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
@@ -266,4 +268,4 @@ def bpe_encode(docs: DataFrame, path: str, text: str = "text", keep: tuple[str,
                 yield pa.RecordBatch.from_arrays(cols, names=[*keep, "n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if full else [])])
                 start, size = i + 1, 0
 
-    return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)
+    return through(docs.select(*dict.fromkeys([*keep, text])), run, schema)

@@ -1,9 +1,11 @@
-"""What several operators share: shared-folder tables, word splitting, components."""
+"""What several operators share: shared-folder tables, Arrow passes, word splitting, components."""
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,13 +17,19 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 class Scratch:
-    """Tables written in the shared folder to cut lineage; dropped when done."""
+    """Tables written in the shared folder to cut lineage; dropped at the end of a ``with`` block, after errors too."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.path = f"{shared_dir(spark)}/quillmill-{uuid.uuid4().hex}"
         self.n = 0
 
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *error) -> None:
+        self.drop()
+
     def stash(self, df: DataFrame) -> DataFrame:
         """``df`` written as Parquet and read again."""
         self.n += 1
@@ -41,6 +49,43 @@ class Scratch:
         return out
 
 
+#: Rows and bytes of an Arrow batch on its way to Python, at most (one row may be longer).
+BATCH_ROWS, BATCH_BYTES = 4096, 2 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batch sizes to BATCH_ROWS and BATCH_BYTES, so that memory does not follow 10,000 long texts."""
+    size = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        if not 0 < size(spark.conf.get(key)) <= most:
+            spark.conf.set(key, str(most))
+
+
+def give_back() -> None:
+    """Return memory that Arrow and the C library hold for reuse, as Python workers outlive their tasks."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def through(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` with small batches, its memory given back when a task ends."""
+    bound_batches(df.sparkSession)
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(tidy, schema)
+
+
 def ascii_lower(col: Column) -> Column:
     return F.translate(col, UPPER, LOWER)
 
@@ -50,28 +95,33 @@ def crc_mod(col: Column, n: int) -> Column:
     return F.crc32(F.coalesce(col.cast("string"), F.lit(""))) % n
 
 
+def picked(share: float, *cols: Column | str) -> Column:
+    """Whether a row's hash over ``cols`` falls in the first ``share`` of all hashes."""
+    return F.pmod(F.xxhash64(*cols), F.lit(1 << 40)) < int(min(1.0, max(0.0, share)) * (1 << 40))
+
+
 #: Ids that may be broadcast: 8 bytes each, so 8 MB.
 BROADCAST_IDS = 1_000_000
 
 
-def sized(ids: DataFrame) -> DataFrame:
-    """A table of ids with a broadcast hint if its counted size allows one."""
-    return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
+def sized(ids: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
+    """A narrow table with a broadcast hint if its counted size allows one."""
+    return F.broadcast(ids) if ids.limit(most + 1).count() <= most else ids
 
 
-def components(edges: DataFrame, scratch: Scratch, small: int = 200) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, component): component is the smallest node that links reach.
 
     ``edges`` has long columns a and b. Every round each node is merged into the
     neighbour (or itself) of least hashed rank and links between merged nodes
-    fall away, so a few rounds suffice for any shape; hubs cost one partial
-    aggregate. No rows are gathered in one place.
+    fall away; as at least one link falls in each round, the rounds go on until
+    none is left, a few for any shape. Hubs cost one partial aggregate. No rows
+    are gathered in one place.
     """
     links = scratch.stash(edges.where("a <> b").distinct())
     maps: list[DataFrame] = []
-    for turn in range(small):
-        if links.isEmpty():
-            break
+    while not links.isEmpty():
+        turn = len(maps)
         both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         rank = lambda c: F.struct(F.xxhash64(c, F.lit(turn)).alias("r"), c.alias("v"))  # noqa: B023, E731
         near = both.groupBy("a").agg(F.min(rank(F.col("b"))).alias("m"))
@@ -93,7 +143,7 @@ def components(edges: DataFrame, scratch: Scratch, small: int = 200) -> DataFram
 class WordHashes(dict):
     """64-bit hashes of words, kept until there are too many."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 100_000):
         super().__init__()
         import xxhash
 

@@ -15,10 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmill.llm.common import crc_mod
+from quillmill.llm.common import crc_mod, picked, through
 
-#: Hashed features (2**BUCKET_BITS); languages that may be learnt.
-BUCKET_BITS, MAX_LANGS = 13, 512
+#: Hashed features (2**BUCKET_BITS); a language costs 8 bytes of each in every worker.
+BUCKET_BITS = 13
 #: Characters hashed at a time, so that memory does not follow the longest text.
 STEP = 1 << 18
 K = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
@@ -107,18 +107,21 @@ class LanguageModel:
 
 
 def fit_language_model(learn: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_rows: int = 600) -> LanguageModel:
-    """Learn from the rows of ``learn`` with a language; about ``fit_rows`` rows of each are fitted on."""
+    """Learn from the rows of ``learn`` with a language; about ``fit_rows`` distinct rows of each are fitted on.
+
+    Rows are picked by a hash of id and text, so that neither a repeated nor a null id
+    decides for many documents. The driver holds a row per language and the sample.
+    """
     size = 1 << BUCKET_BITS
     learn = learn.where(F.col(lang_col).isNotNull())
-    per = {r["lang"]: r["n"] for r in learn.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).orderBy("lang").limit(MAX_LANGS + 1).collect()}
-    if len(per) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages")
+    per = {r["lang"]: r["n"] for r in learn.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).collect()}
     langs = sorted(per)
     if not langs:
         return LanguageModel([], np.ones(size), np.zeros((size, 0)), 1.0)
     rate = F.element_at(F.create_map(*[F.lit(x) for k, n in per.items() for x in (k, min(1.0, fit_rows / n))]), F.col(lang_col))
-    taken = F.pmod(F.xxhash64(F.col(id_col), F.lit("fit")), F.lit(1 << 40)) < rate * (1 << 40)
-    cols = learn.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), taken.alias("taken"), F.xxhash64(F.col(id_col)).alias("r"))
+    r = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col))
+    taken = F.pmod(F.xxhash64(r, F.lit("fit")), F.lit(1 << 40)) < rate * (1 << 40)
+    cols = learn.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), taken.alias("taken"), r.alias("r"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows of the sample (lang set), then this task's document frequencies."""
@@ -142,14 +145,14 @@ def fit_language_model(learn: DataFrame, id_col: str = "doc_id", text_col: str =
         i = np.nonzero(df)[0].astype(np.int32)
         yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((None, docs, None, None, i, df[i]), kinds, strict=True)], names=names)
 
-    seen = cols.mapInArrow(run, "lang string, r long, raw_i binary, raw_c binary, i array<int>, c array<long>").persist()
+    seen = through(cols, run, "lang string, r long, raw_i binary, raw_c binary, i array<int>, c array<long>").persist()
     counts = seen.where("lang is null")
     total = counts.agg(F.sum("r")).first()[0] or 0
     df = np.zeros(size)
     for i, n in counts.select(F.explode(F.arrays_zip("i", "c")).alias("x")).groupBy("x.i").agg(F.sum("x.c")).collect():
         df[i] = n
     idf = np.log((1 + total) / (1 + df)) + 1
-    sample = sorted(seen.where("lang is not null").select("lang", "r", "raw_i", "raw_c").collect(), key=lambda r: (r["r"], r["lang"], bytes(r["raw_i"])))
+    sample = sorted(seen.where("lang is not null").select("lang", "r", "raw_i", "raw_c").dropDuplicates(["lang", "r"]).collect(), key=lambda r: (r["r"], r["lang"], bytes(r["raw_i"])))
     seen.unpersist()
     rows = [(i := np.frombuffer(r["raw_i"], np.int32), weighed_values(np.frombuffer(r["raw_c"], np.int32), idf[i])) for r in sample]
     y = np.array([langs.index(r["lang"]) for r in sample], int)
@@ -173,16 +176,16 @@ def predict_languages(docs: DataFrame, model: LanguageModel, text_col: str = "te
     """
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     model = docs.sparkSession.sparkContext.broadcast(model)  # 2**BUCKET_BITS rows of one number per language
-    keep_n = len(keep)
+    sent = [*keep, *([] if text_col in keep else [text_col])]  # the text goes to Python once
+    keep_n, at = len(keep), sent.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for b in batches:
-            got = [m.predict(t.as_py()) for t in b.column(keep_n)]
+            got = [m.predict(t.as_py()) for t in b.column(at)]
             yield pa.RecordBatch.from_arrays([*b.columns[:keep_n], pa.array([x for x, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64())], names=[*keep, "lang_pred", "score"])
 
-    cols = [*(F.col(f"`{k}`") for k in keep), F.col(text_col).alias("__text")]
-    return docs.select(*cols).mapInArrow(run, ", ".join([*(f"`{k}` {kinds[k]}" for k in keep), "lang_pred string", "score double"]))
+    return through(docs.select(*(F.col(f"`{k}`") for k in sent)), run, ", ".join([*(f"`{k}` {kinds[k]}" for k in keep), "lang_pred string", "score double"]))
 
 
 def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 4, fold: int = 2, fit_rows: int = 600) -> DataFrame:
