@@ -3,7 +3,9 @@
 Labelled URLs are reduced to counts per vector of binned features before anything
 is fitted, and every level of a tree is one aggregate of gradient sums per node,
 feature and bin; the driver sees only those sums. The fitted trees are one
-conditional expression.
+conditional expression. URLs fall in folds by hash: the suffix statistic of a URL
+that is learnt from comes from the other folds, and one fold is held out to choose
+the probability from which the trees block, so that the precision there is met.
 """
 
 from __future__ import annotations
@@ -17,8 +19,10 @@ from quillmill.llm.common import Scratch, ascii_lower
 
 #: Trees, levels, shrinkage, ridge; bins of a feature; buckets of host suffixes.
 TREES, DEPTH, RATE, RIDGE, BINS, BUCKETS = 10, 3, 0.4, 1.0, 16, 4096
-#: Probability from which the trees block.
-BLOCK = 0.9
+#: Folds of labelled URLs, of which the last is held out; the precision on it that blocking must meet; steps of probability.
+FOLDS, PRECISION, GRAIN = 5, 0.9, 1000
+#: Words of hosts that a labeller takes for unwanted ones: seeds of the labels where none are given.
+SEEDS = ("adult", "ads", "bet", "bets", "casino", "click", "crack", "dating", "escort", "gambling", "loan", "loans", "lottery", "pills", "poker", "porn", "replica", "slots", "spam", "sweepstakes", "torrent", "track", "tracker", "viagra", "warez", "xxx")
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -55,6 +59,11 @@ def suffix_bucket() -> Column:
     return F.pmod(F.xxhash64(F.substring_index("host", ".", -2)), F.lit(BUCKETS)).cast("int")
 
 
+def seeded(host: Column) -> Column:
+    """Whether one of the host's words is a seed."""
+    return F.arrays_overlap(F.split(host, r"[^a-z0-9]+"), F.array(*map(F.lit, SEEDS)))
+
+
 def binned(url: Column) -> list[Column]:
     """Lexical features as bins 0..BINS-1 (columns host and path are there)."""
     u = F.coalesce(url, F.lit(""))
@@ -63,7 +72,7 @@ def binned(url: Column) -> list[Column]:
     count = lambda s, c: F.length(s) - F.length(F.translate(s, c, ""))
     query = F.regexp_extract(u, r"\?([^#]*)", 1)
     params = F.when(F.length(query) > 0, 1 + count(query, "&")).otherwise(0)
-    raw = [F.length(u) / 8, count(F.col("path"), "/"), digits / n * BINS, entropy(u) * 3, params, F.length("host") / 3, count(F.col("host"), "."), count(u, "-_~%@")]
+    raw = [F.length(u) / 8, count(F.col("path"), "/"), digits / n * BINS, entropy(u) * 3, params, F.length("host") / 3, count(F.col("host"), "."), count(u, "_~%@"), count(F.col("host"), "-0123456789")]
     return [F.least(F.lit(BINS - 1), F.greatest(F.lit(0), F.floor(x))).cast("int") for x in raw]
 
 
@@ -134,41 +143,85 @@ def fit_trees(counts: DataFrame, features: int) -> tuple[float, list[dict]]:
     return base, trees
 
 
+def suffix_share(counts: DataFrame, prior: float, own: str | None = None) -> DataFrame:
+    """(bucket, share): the smoothed share of labelled 1 per suffix bucket, BUCKETS rows at most; with ``own`` a share per bucket and fold, from the other folds."""
+    per = counts.groupBy("bucket", "fold").agg(F.sum("n").alias("n"), F.sum("y").alias("y"))
+    every = per.groupBy("bucket").agg(F.sum("n").alias("all_n"), F.sum("y").alias("all_y"))
+    binned_share = lambda y, n: F.least(F.lit(BINS - 1), F.floor((y + 5 * F.lit(prior)) / (n + 5) * BINS)).cast("int").alias("share")
+    if own is None:
+        return every.select("bucket", binned_share(F.col("all_y"), F.col("all_n")))
+    return per.join(F.broadcast(every), "bucket").select("bucket", "fold", binned_share(F.col("all_y") - F.col("y"), F.col("all_n") - F.col("n")))  # BUCKETS rows
+
+
+def threshold(rows: list[tuple[int, int, int]], precision: float = PRECISION) -> tuple[float, float]:
+    """(probability, area under the ROC curve) from (GRAIN-th of probability, rows, rows labelled 1).
+
+    The probability is the least one from which on the share of rows labelled 1 is
+    at least ``precision``; 2, which nothing reaches, where there is none.
+    """
+    n = y = area = 0
+    found = 2.0
+    for at, m, k in sorted(rows, reverse=True):
+        area += (m - k) * (y + k / 2)
+        n, y = n + m, y + k
+        if y >= precision * n:
+            found = at / GRAIN
+    return found, area / (y * (n - y)) if 0 < y < n else 0.5
+
+
+def fit_filter(known: DataFrame, lexical: list[str], scratch: Scratch) -> dict:
+    """The model from labelled rows (bucket, fold, label, lexical features): base margin, trees, prior, suffix table, threshold, held-out area."""
+    counts = scratch.stash(known.groupBy("bucket", "fold", *lexical).agg(F.count("*").alias("n"), F.sum("label").alias("y")))
+    learn, last = counts.where(F.col("fold") < FOLDS - 1), f"f{len(lexical)}"
+    prior = float(learn.agg((F.sum("y") + 1) / (F.sum("n") + 2)).first()[0] or 0.5)
+    out_of_fold = scratch.stash(suffix_share(learn, prior, "fold"))
+    suffix = scratch.stash(suffix_share(learn, prior))
+    rows = learn.join(F.broadcast(out_of_fold), ["bucket", "fold"]).withColumnRenamed("share", last)
+    base, trees = fit_trees(scratch.stash(rows.groupBy(*lexical, last).agg(F.sum("n").alias("n"), F.sum("y").alias("y"))), len(lexical) + 1)
+    model = {"base": base, "trees": trees, "prior": prior, "suffix": suffix, "last": last}
+    held = probability(counts.where(F.col("fold") == FOLDS - 1), model)
+    grains = held.groupBy(F.floor(F.col("probability") * GRAIN).cast("int").alias("at")).agg(F.sum("n").alias("n"), F.sum("y").alias("y")).collect()  # GRAIN + 1 rows at most
+    model["block"], model["area"] = threshold([(r["at"], r["n"], r["y"]) for r in grains])
+    return model
+
+
+def probability(rows: DataFrame, model: dict) -> DataFrame:
+    """rows (bucket and lexical features) with probability."""
+    margin = F.lit(model["base"])
+    for t in model["trees"]:
+        margin = margin + tree_column(t)
+    prior = F.lit(min(BINS - 1, int(model["prior"] * BINS)))
+    out = rows.join(F.broadcast(model["suffix"]), "bucket", "left").withColumn(model["last"], F.coalesce("share", prior))  # BUCKETS rows
+    return out.withColumn("probability", 1 / (1 + F.exp(-margin))).drop("share", model["last"])
+
+
+def with_features(df: DataFrame, url: str, keep: list[Column]) -> DataFrame:
+    out = df.select(*keep, F.col(url).cast("string").alias("__url"))
+    host, path = host_and_path(F.col("__url"))
+    out = out.withColumns({"host": host, "path": path})
+    more = {f"f{i}": c for i, c in enumerate(binned(F.col("__url")))}
+    return out.withColumns(more | {"bucket": suffix_bucket(), "fold": F.pmod(F.xxhash64("__url"), F.lit(FOLDS)).cast("int")}).drop("__url")
+
+
 def url_filter(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id", url_col: str = "url", labels: DataFrame | None = None) -> DataFrame:
     """``id_col``, host, path, rule, verdict, probability of every URL.
 
     ``rules`` is a list of (``host/path-start``, ``block`` or ``allow``); the longest that
-    fits decides. Elsewhere the trees decide: block from probability BLOCK. They learn
-    from ``labels`` (url, label 1 = block) if given, else from the URLs themselves,
-    labelled 1 where the rules block. Null URLs and those without ``://`` have an empty
-    host and path and are judged by their other features. Repeated rows give repeated
-    results, an empty table an empty result.
+    fits decides. Elsewhere the trees decide: they block from the least probability
+    whose precision on the held-out fold is PRECISION, and nothing where none has it.
+    They learn from ``labels`` (url, label 1 = block) if given, else from the URLs
+    themselves: 1 where the rules block or a word of the host is one of SEEDS, 0 where
+    the rules allow, and 0 for the others, of which nothing is known. Null URLs and
+    those without ``://`` have an empty host and path and are judged by their other
+    features. Repeated rows give repeated results, an empty table an empty result.
     """
-    scratch = Scratch(pages.sparkSession)
-
-    def parsed(df: DataFrame, url: str, keep: list[Column]) -> DataFrame:
-        out = df.select(*keep, F.col(url).cast("string").alias("__url"))
-        host, path = host_and_path(F.col("__url"))
-        out = out.withColumns({"host": host, "path": path})
-        f = binned(F.col("__url"))
-        return out.withColumns({f"f{i}": c for i, c in enumerate(f)} | {"bucket": suffix_bucket()}).drop("__url")
-
-    rule, verdict = rule_verdict(rules)
-    rows = scratch.stash(parsed(pages, url_col, [F.col(id_col).alias("id")]).withColumns({"rule": rule, "ruled": verdict}))
-    lexical = [c for c in rows.columns if c[0] == "f" and c[1:].isdigit()]
-    last = f"f{len(lexical)}"
-    known = rows.withColumn("label", (F.coalesce(F.col("ruled"), F.lit("allow")) == "block").cast("int")) if labels is None else parsed(labels, "url", [F.col("label").cast("int").alias("label")])
-    known = scratch.stash(known.groupBy("bucket", *lexical).agg(F.count("*").alias("n"), F.sum("label").alias("y")))
-    total = known.agg((F.sum("y") + 1) / (F.sum("n") + 2)).first()[0] or 0.5
-    # the smoothed share of blocked URLs per suffix bucket: at most BUCKETS rows
-    rate = (F.sum("y") + 5 * F.lit(total)) / (F.sum("n") + 5)
-    suffix = scratch.stash(known.groupBy("bucket").agg(F.least(F.lit(BINS - 1), F.floor(rate * BINS)).cast("int").alias(last)))
-    prior = F.lit(min(BINS - 1, int(total * BINS)))
-    counts = scratch.stash(known.join(F.broadcast(suffix), "bucket").groupBy(*lexical, last).agg(F.sum("n").alias("n"), F.sum("y").alias("y")))
-    base, trees = fit_trees(counts, len(lexical) + 1)
-    margin = F.lit(base)
-    for t in trees:
-        margin = margin + tree_column(t)
-    out = rows.join(F.broadcast(suffix), "bucket", "left").withColumn(last, F.coalesce(F.col(last), prior)).withColumn("probability", 1 / (1 + F.exp(-margin)))
-    judged = F.coalesce("ruled", F.when(F.col("probability") >= BLOCK, "block").otherwise("allow"))
-    return scratch.finish(out.select(F.col("id").alias(id_col), "host", "path", "rule", judged.alias("verdict"), "probability"))
+    with Scratch(pages.sparkSession) as scratch:
+        rule, verdict = rule_verdict(rules)
+        rows = scratch.stash(with_features(pages, url_col, [F.col(id_col).alias("id")]).withColumns({"rule": rule, "ruled": verdict}))
+        lexical = [c for c in rows.columns if c[0] == "f" and c[1:].isdigit()]
+        said = F.when(F.col("ruled") == "block", 1).when(F.col("ruled") == "allow", 0).otherwise(seeded(F.col("host")).cast("int"))
+        known = rows.withColumn("label", said) if labels is None else with_features(labels, "url", [F.col("label").cast("int").alias("label")])
+        model = fit_filter(known, lexical, scratch)
+        out = probability(rows, model)
+        judged = F.coalesce("ruled", F.when(F.col("probability") >= model["block"], "block").otherwise("allow"))
+        return scratch.finish(out.select(F.col("id").alias(id_col), "host", "path", "rule", judged.alias("verdict"), "probability"))
