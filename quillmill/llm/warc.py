@@ -1,11 +1,11 @@
 """Deterministic sharded WARC writer and reader.
 
-Records are range-sorted by id into shards whose bounds come from exact byte
-histograms of the ids, so files do not depend on how the input is partitioned.
-Each shard is one task, which rolls files by compressed size. Tasks write under
-temporary names that no other attempt shares; the manifest lists the files of the
-attempts that Spark committed, and only those are renamed to their final names,
-before the manifest itself is renamed into place.
+Records are sorted by id and a hash of url and body, and cut into shards by the
+running sum of their bytes, so files do not depend on how the input is
+partitioned. Each shard is one task, which rolls files by compressed size. Tasks
+write under temporary names that no other attempt shares; only files of attempts
+that Spark committed are renamed to their final names, by tasks that may be run
+again. The manifest, in parts of many files each, is renamed into place last.
 """
 
 from __future__ import annotations
@@ -17,17 +17,19 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillmill.llm.common import Scratch
+from quillmill.llm.common import Scratch, through
 
 #: Fixed record fields.
 DATE, VERSION, SOFTWARE = "2020-01-01T00:00:00Z", "WARC/1.1", "quillmill"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Slots of the id histogram.
-SLOTS = 4096
+#: Bytes that a record has besides its payload, about; files in a part of the manifest; the place of null ids in the order.
+HEADER_BYTES, PART_FILES, LAST = 700, 20_000, (1 << 63) - 1
 
 
 def filesystem(uri: str):
@@ -37,8 +39,8 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri or not uri.startswith("file:") else "file://" + uri.removeprefix("file:"))
 
 
-def record_id(kind: str, page: int | None, digest: str, copy: int) -> str:
-    return f"<urn:uuid:{uuid.UUID(bytes=hashlib.sha256(f'{kind}:{page}:{digest}:{copy}'.encode()).digest()[:16])}>"
+def record_id(kind: str, page: int | None, mark: int | str, copy: int) -> str:
+    return f"<urn:uuid:{uuid.UUID(bytes=hashlib.sha256(f'{kind}:{page}:{mark}:{copy}'.encode()).digest()[:16])}>"
 
 
 def header_safe(value: str | None) -> str:
@@ -46,14 +48,15 @@ def header_safe(value: str | None) -> str:
     return "".join(f"%{ord(c):02X}" if ord(c) < 32 or ord(c) == 127 else c for c in value or "")
 
 
-def record(page: int | None, url: str | None, payload: bytes, length: int, digest: str, first: int | None, copy: int) -> bytes:
-    """One uncompressed record; ``first`` is set for a revisit."""
+def record(page: int | None, u: int, url: str | None, payload: bytes, digest: str, first: tuple[int, int] | None, copy: int) -> bytes:
+    """One uncompressed record; ``first`` (id and hash of the response) is set for a revisit."""
+    length = len(payload)
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: " + str(length).encode() + b"\r\n\r\n"
     block = http + (payload if first is None else b"")
     kind = "response" if first is None else "revisit"
-    head = [VERSION, f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(kind, page, digest, copy)}", f"WARC-Date: {DATE}", f"WARC-Target-URI: {header_safe(url)}"]
+    head = [VERSION, f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(kind, page, u, copy)}", f"WARC-Date: {DATE}", f"WARC-Target-URI: {header_safe(url)}"]
     if first is not None:
-        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id('response', first, digest, 0)}", f"WARC-Refers-To-Page: {first}"]
+        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id('response', *first, 0)}", f"WARC-Refers-To-Page: {first[0]}"]
     head += [f"WARC-Page: {'' if page is None else page}", f"WARC-Payload-Length: {length}", f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Block-Digest: sha1:{base64.b32encode(hashlib.sha1(block).digest()).decode()}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -64,43 +67,73 @@ def member(raw: bytes) -> bytes:
     return z.compress(raw) + z.flush()
 
 
-def slots(page: Column, low: int, high: int) -> Column:
-    """The slot of an id among SLOTS equal ranges of low..high; null ids come last."""
-    width = max(1, -(-(high - low + 1) // SLOTS))
-    return F.coalesce(F.floor((page - F.lit(low)) / F.lit(width)), F.lit(SLOTS)).cast("int")
+def shard_starts(keys: DataFrame, shard_bytes: int, scratch: Scratch) -> tuple[np.ndarray, np.ndarray]:
+    """(key, u) of the first record of each shard, from rows (key, u, size): a row a shard comes to the driver, 16 bytes each.
+
+    Rows are range-sorted; a partition's running sums start from the sums of those before it.
+    """
+    dealt = scratch.stash(keys.repartitionByRange("key", "u").withColumn("part", F.spark_partition_id()))
+    before, total = {}, 0
+    for r in dealt.groupBy("part").agg(F.sum("size").alias("b")).orderBy("part").collect():  # a row a partition
+        before[r["part"]] = total
+        total += r["b"]
+    if not before:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    offsets = keys.sparkSession.createDataFrame(list(before.items()), "part int, before long")
+    run = F.sum("size").over(Window.partitionBy("part").orderBy("key", "u").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    placed = dealt.withColumn("run", run).join(F.broadcast(offsets), "part")  # a row a partition
+    shard = F.floor((F.col("before") + F.col("run") - F.col("size")) / shard_bytes)
+    starts = placed.groupBy(shard.alias("shard")).agg(F.min(F.struct("key", "u")).alias("at")).select("at.key", "at.u").distinct().collect()
+    starts = sorted((r["key"], r["u"]) for r in starts)
+    return np.array([k for k, _ in starts], np.int64), np.array([u for _, u in starts], np.int64)
+
+
+def shard_of(key: np.ndarray, u: np.ndarray, starts: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The last shard that starts at or before each (key, u)."""
+    k, v = starts
+    lo, hi = np.searchsorted(k, key, "left"), np.searchsorted(k, key, "right")
+    out = lo - 1
+    for at in np.unique(lo[hi > lo]):  # keys that a shard starts at
+        rows = np.nonzero((lo == at) & (hi > lo))[0]
+        out[rows] = at - 1 + np.searchsorted(v[at : hi[rows[0]]], u[rows], "right")
+    return np.maximum(out, 0)
 
 
 def write_warc(pages: DataFrame, out: str, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", shard_bytes: int = 24 << 20, file_bytes: int = 8 << 20, least: int = 0) -> dict:
-    """Write one record per row under ``out`` and return the manifest.
+    """Write one record per row under ``out`` and return the manifest's head (parts, files, records, size).
 
     The payload is the body in UTF-8 (null: empty). Of rows with equal payloads of at
-    least ``least`` bytes the smallest id (then the first in order of url) is the
-    response and the others are revisits of it; a row with a null id is always a
-    response. Rows with one id are told apart by a copy number in the record id.
-    An empty table gives a manifest without files. Extra columns are ignored.
+    least ``least`` bytes the smallest id (then the first by hash of url and body) is
+    the response and the others are revisits of it; a row with a null id is always a
+    response. Fully equal rows are told apart by a copy number in the record id and stay
+    in one shard. An empty table gives a manifest without files. Extra columns are ignored.
     """
-    spark, scratch = pages.sparkSession, Scratch(pages.sparkSession)
-    rows = pages.select(F.col(id_col).cast("long").alias("page"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(body_col).cast("string"), F.lit("")).alias("body"))
-    size = F.octet_length("body")
-    # equal payloads: by length and SHA-256
-    ids = scratch.stash(rows.select("page", F.xxhash64("url").alias("u"), size.alias("size"), F.unhex(F.sha2("body", 256)).alias("sig")))
-    groups = ids.where((F.col("size") >= least) & F.col("page").isNotNull()).groupBy("sig", "size").agg(F.min("page").alias("first"), F.count("*").alias("n")).where("n > 1")
-    revisits = ids.where("page is not null").join(groups, ["sig", "size"]).select("page", "sig", "first").distinct()
-    bounds = ids.agg(F.min("page"), F.max("page")).first()
-    low, high = bounds[0] or 0, bounds[1] or 0
-    taken = {r["s"]: r["b"] for r in ids.groupBy(slots(F.col("page"), low, high).alias("s")).agg(F.sum("size").alias("b")).collect()}  # at most SLOTS + 1 rows
-    shard_of, shard, full = [], 0, 0
-    for s in range(SLOTS + 1):
-        b = taken.get(s, 0)
-        if full and full + b > shard_bytes:
-            shard, full = shard + 1, 0
-        full += b
-        shard_of.append(shard)
-    names = F.array(*map(F.lit, shard_of))
-    body = rows.select("page", F.lit(1).alias("kind"), "url", "body", F.lit(None).cast("binary").alias("sig"), F.lit(None).cast("long").alias("first"))
-    marks = revisits.select("page", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("body"), "sig", "first")
-    both = body.union(marks).withColumn("shard", names[slots(F.col("page"), low, high)])
-    run_id = uuid.uuid4().hex
+    spark = pages.sparkSession
+    with Scratch(spark) as scratch:
+        rows = pages.select(F.col(id_col).cast("long").alias("page"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(body_col).cast("string"), F.lit("")).alias("body"))
+        rows = rows.withColumns({"key": F.coalesce("page", F.lit(LAST)), "u": F.xxhash64("url", "body")})
+        # equal payloads: by length and SHA-256
+        ids = scratch.stash(rows.select("page", "key", "u", F.octet_length("body").cast("long").alias("bytes"), F.unhex(F.sha2("body", 256)).alias("sig")))
+        groups = ids.where((F.col("bytes") >= least) & F.col("page").isNotNull()).groupBy("sig", "bytes").agg(F.min(F.struct("page", "u")).alias("first"), F.count("*").alias("n")).where("n > 1")
+        revisits = ids.where("page is not null").join(groups, ["sig", "bytes"]).select("key", "u", "sig", "first").distinct()
+        starts = shard_starts(ids.select("key", "u", (F.col("bytes") + HEADER_BYTES).alias("size")), shard_bytes, scratch)
+        cut = spark.sparkContext.broadcast(starts)  # 16 bytes a shard
+
+        @F.pandas_udf("int")
+        def shard(key: pd.Series, u: pd.Series) -> pd.Series:
+            return pd.Series(shard_of(key.to_numpy(), u.to_numpy(), cut.value))
+
+        body = rows.select("key", "u", F.lit(1).alias("kind"), "page", "url", "body", F.lit(None).cast("binary").alias("sig"), F.lit(None).cast("struct<page:long,u:long>").alias("first"))
+        marks = revisits.select("key", "u", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("page"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("body"), "sig", "first")
+        dealt = body.union(marks).withColumn("shard", shard("key", "u")).repartitionById(max(1, len(starts[0])), F.col("shard")).sortWithinPartitions("key", "u", "kind")
+        run_id = uuid.uuid4().hex
+        columns = dealt.select("shard", "key", "u", "kind", "page", "url", "body", "sig", F.col("first.page").alias("first_page"), F.col("first.u").alias("first_u"))
+        done = scratch.stash(through(columns, writer(out, run_id, file_bytes), "shard long, n long, tmp string, records long, size long, sha256 string"))
+        return commit(done, out, run_id)
+
+
+def writer(out: str, run_id: str, file_bytes: int):
+    """The task that writes one shard's files under temporary names; yields a row a file."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = filesystem(out)
@@ -130,47 +163,88 @@ def write_warc(pages: DataFrame, out: str, id_col: str = "page_id", url_col: str
             if state["size"] >= file_bytes:
                 close()
 
-        page, marks, copies = object(), {}, {}
+        place, marks, copy = None, {}, -1
         for b in batches:
-            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                shard, this, kind, url, text, sig, first = row
+            for shard, key, u, kind, page, url, text, sig, first_page, first_u in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if shard != state["shard"]:
                     close()
                     state.update(shard=shard, n=-1)
-                if this != page:
-                    page, marks, copies = this, {}, {}
+                if (key, u) != place:
+                    place, marks, copy = (key, u), {}, -1
                 if kind == 0:
-                    marks[sig] = first
+                    marks[sig] = (first_page, first_u)
                     continue
                 payload = text.encode()
                 digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
-                first = marks.get(hashlib.sha256(payload).digest()) if marks else None
-                copy = copies[digest] = copies.get(digest, -1) + 1
-                if first == this and copy == 0:
-                    first = None
-                put(member(record(this, url, payload, len(payload), digest, first, copy)))
+                first = marks.get(hashlib.sha256(payload).digest()) if marks and page is not None else None
+                copy += 1
+                put(member(record(page, u, url, payload, digest, None if first == (page, u) and copy == 0 else first, copy)))
         close()
         if state["done"]:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*state["done"], strict=True)], names=["shard", "n", "tmp", "records", "size", "sha256"])
 
-    count = shard + 1
-    dealt = both.select("shard", "page", "kind", "url", "body", "sig", "first").repartition(count, "shard").sortWithinPartitions("shard", F.col("page").asc_nulls_last(), "kind", "url", "body")
-    done = scratch.stash(dealt.mapInArrow(write, "shard long, n long, tmp string, records long, size long, sha256 string"))
-    files = [{"file": f"{r['shard']:06d}-{r['n']:04d}.warc.gz", **{k: r[k] for k in ("records", "size", "sha256")}, "tmp": r["tmp"]} for r in done.orderBy("shard", "n").collect()]
+    return write
+
+
+def moved(store, source: str, target: str) -> None:
+    """Rename a file; done before, it is left as it is."""
+    from pyarrow import fs
+
+    if store.get_file_info(source).type != fs.FileType.NotFound:
+        store.move(source, target)
+    elif store.get_file_info(target).type == fs.FileType.NotFound:
+        raise FileNotFoundError(source)
+
+
+def commit(done: DataFrame, out: str, run_id: str) -> dict:
+    """Rename the files that ``done`` lists and write the manifest: parts with a line a file, then its head."""
+    from pyarrow import fs
+
     store, root = filesystem(out)
     store.create_dir(root, recursive=True)
-    for f in files:
-        store.move(f"{root}/{f.pop('tmp')}", f"{root}/{f['file']}")
-    manifest = {"version": VERSION, "files": files}
+    sums = done.agg(F.count("*").alias("files"), F.coalesce(F.sum("records"), F.lit(0)).alias("records"), F.coalesce(F.sum("size"), F.lit(0)).alias("size")).first()
+
+    def rename(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, root = filesystem(out)
+        lines, parts = [], []
+        for b in batches:
+            for shard, n, tmp, records, size, sha256 in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                name = f"{shard:06d}-{n:04d}.warc.gz"
+                moved(store, f"{root}/{tmp}", f"{root}/{name}")
+                lines.append(json.dumps({"file": name, "records": records, "size": size, "sha256": sha256}) + "\n")
+        if lines:
+            part = f"manifest-{lines[0][10:21]}.jsonl"
+            tmp = f"{root}/{part}.{uuid.uuid4().hex}.tmp"
+            with store.open_output_stream(tmp) as f:
+                f.write("".join(lines).encode())
+            if store.get_file_info(f"{root}/{part}").type == fs.FileType.NotFound:
+                store.move(tmp, f"{root}/{part}")
+            else:  # by an earlier attempt, with the same lines
+                store.delete_file(tmp)
+            parts.append(part)
+        yield pa.RecordBatch.from_arrays([pa.array(parts, pa.string())], names=["part"])
+
+    many = max(1, -(-sums["files"] // PART_FILES))
+    listed = done.repartitionByRange(many, "shard", "n").sortWithinPartitions("shard", "n").select("shard", "n", "tmp", "records", "size", "sha256")
+    parts = sorted(r["part"] for r in through(listed, rename, "part string").collect())  # a row for PART_FILES files
+    head = {"version": VERSION, "parts": parts, **sums.asDict()}
     with store.open_output_stream(f"{root}/manifest-{run_id}.tmp") as f:
-        f.write(json.dumps(manifest, indent=1).encode())
+        f.write(json.dumps(head, indent=1).encode())
     store.move(f"{root}/manifest-{run_id}.tmp", f"{root}/manifest.json")
-    from pyarrow import fs
-
     if store.get_file_info(f"{root}/tmp-{run_id}").type != fs.FileType.NotFound:
         store.delete_dir(f"{root}/tmp-{run_id}")
-    scratch.drop()
-    return manifest
+    return head
+
+
+def manifest_files(spark: SparkSession, out: str) -> DataFrame:
+    """(file, records, size, sha256) of the archives under ``out``."""
+    store, root = filesystem(out)
+    with store.open_input_stream(f"{root}/manifest.json") as f:
+        parts = json.loads(f.read())["parts"]
+    schema = "file string, records long, size long, sha256 string"
+    return spark.read.schema(schema).json([f"{out}/{p}" for p in parts]) if parts else spark.createDataFrame([], schema)
 
 
 def read_records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -203,12 +277,7 @@ def read_warc(spark: SparkSession, out: str, full: bool = False) -> DataFrame:
     page_id, payload_bytes, payload_digest, record_type, refers_to; with ``full`` also
     url and payload (empty for revisits). Lost or altered files raise an error.
     """
-    store, root = filesystem(out)
-    with store.open_input_stream(f"{root}/manifest.json") as f:
-        files = [x["file"] for x in json.loads(f.read())["files"]]
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", url string, payload binary" * full
-    if not files:
-        return spark.createDataFrame([], schema)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = filesystem(out)
@@ -238,5 +307,6 @@ def read_warc(spark: SparkSession, out: str, full: bool = False) -> DataFrame:
         n = 5 + 2 * full
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds[:n], strict=True)], names=names[:n])
 
-    paths = spark.createDataFrame([(f,) for f in files], "file string").repartition(min(len(files), 10_000))
-    return paths.mapInArrow(read, schema)
+    files = manifest_files(spark, out).select("file")
+    many = min(max(1, files.count()), 100_000)
+    return through(files.repartition(many), read, schema)
