@@ -7,11 +7,11 @@ and prefix form one group; groups meet in the lists of their prefix elements.
 The order puts elements that a sample of documents shows to be frequent last;
 the sample only steers the order and never a result.
 
-Short lists give all their pairs. In long lists (large groups of near copies)
-every member meets the list's leader first; what then lies in one component
-needs no further comparison, and all pairs across components are compared. So
-no link between components is lost, and a large group costs rows in proportion
-to its size. Candidates pass a size test, a position test and a bitmap test
+Lists of few members give all their pairs. In long lists (large groups of near
+copies, in one group of equal prefixes or several) every member meets the list's
+leader first; what then lies in one component needs no further comparison, and
+pairs across components are compared. So no link between components is lost, and
+a large group of near copies costs rows in proportion to its size. Candidates pass a size test, a position test and a bitmap test
 (none loses a link) before their whole sets are intersected.
 """
 
@@ -24,11 +24,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmill.llm.common import Scratch, WordHashes, components, sized
+from quillmill.llm.common import Scratch, WordHashes, components, sized, through
 
 M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-#: Lists of up to so many groups give all their pairs.
+#: Lists of up to so many members, over all their groups, give all their pairs.
 SHORT = 48
 #: Bits of a set's bitmap.
 BITS = 1024
@@ -69,19 +69,25 @@ def set_pass(docs: DataFrame, id_col: str, text_col: str, n: int, make, schema:
                 sets = [shingle_set(x.as_buffer().to_pybytes() if x.is_valid else b"", words, n) for x in part.column(1)]
                 yield make(part.column(0).to_numpy(zero_copy_only=False), sets)
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null").mapInArrow(run, schema)
+    return through(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null"), run, schema)
 
 
-def frequent(docs: DataFrame, id_col: str, text_col: str, n: int, share: int = 16, least: int = 6, most: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
-    """Elements that one document in ``share`` shows often, with their counts; at most ``most`` (1.6 MB)."""
+def frequent(docs: DataFrame, id_col: str, text_col: str, n: int, scratch: Scratch, share: int = 16, least: int = 6, most: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
+    """Elements that one document in ``share`` shows often, with their counts; at most ``most`` (1.6 MB), those above one bound on counts."""
 
     def make(ids, sets):
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate([*sets, np.empty(0, np.uint64)]).view(np.int64))], names=["h"])
 
     part = docs.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(share)) == 0)
-    seen = set_pass(part, id_col, text_col, n, make, "h long").groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") >= least)
-    rows = seen.orderBy(F.desc("c"), "h").limit(most).collect()
-    rows.sort(key=lambda r: r["h"] % (1 << 64))
+    seen = scratch.stash(set_pass(part, id_col, text_col, n, make, "h long").groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") >= least))
+    octave = F.floor(8 * F.log2("c")).cast("int")
+    bound, total = 1 << 30, 0
+    for r in seen.groupBy(octave.alias("o")).agg(F.count("*").alias("n")).orderBy(F.desc("o")).collect():  # at most 8 x 63 rows
+        total += r["n"]
+        if total > most:
+            break
+        bound = r["o"]
+    rows = sorted(seen.where(octave >= bound).collect(), key=lambda r: r["h"] % (1 << 64))
     return np.array([r["h"] for r in rows], np.int64).view(np.uint64), np.array([r["c"] for r in rows], np.int64)
 
 
@@ -115,7 +121,7 @@ def verified(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
 
     x = sets.select(F.col("node").alias("a"), F.col("set").alias("sa"))
     y = sets.select(F.col("node").alias("b"), F.col("set").alias("sb"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return through(pairs.join(x, "a").join(y, "b").select("a", "b", "sa", "sb"), run, "a long, b long")
 
 
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, pct: int = 85) -> DataFrame:
@@ -129,8 +135,12 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component; a repeated id counts as one document with each of its texts. An
     empty table gives an empty result; extra columns are ignored.
     """
-    scratch = Scratch(docs.sparkSession)
-    hot, count = frequent(docs, id_col, text_col, n)
+    with Scratch(docs.sparkSession) as scratch:
+        return scratch.finish(classes_of(docs, id_col, text_col, n, pct, scratch))
+
+
+def classes_of(docs: DataFrame, id_col: str, text_col: str, n: int, pct: int, scratch: Scratch) -> DataFrame:
+    hot, count = frequent(docs, id_col, text_col, n, scratch)
     words64 = BITS // 64
 
     def make(ids, sets):
@@ -163,11 +173,11 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = classes.groupBy("gid").agg(F.count("*").alias("members"), F.min("node").alias("node"))
     carriers = full.select("id", "gid", "n", "prefix").join(members.select(F.col("node").alias("id"), "gid", "members"), ["id", "gid"]).dropDuplicates(["gid"])
     entries = carriers.select("gid", "n", "members", F.posexplode("prefix").alias("pos", "h")).repartition("h")
-    lists = entries.groupBy("h").agg(F.count("*").alias("groups"), F.sum("members").alias("nodes"), F.min(F.struct(F.xxhash64("gid", "h").alias("r"), "gid")).alias("lead")).where("nodes > 1")
-    shared = scratch.stash(entries.join(lists.select("h", "groups", F.col("lead.gid").alias("lead")), "h"))
+    lists = entries.groupBy("h").agg(F.sum("members").alias("nodes"), F.min(F.struct(F.xxhash64("gid", "h").alias("r"), "gid")).alias("lead")).where("nodes > 1")
+    shared = scratch.stash(entries.join(lists.select("h", "nodes", F.col("lead.gid").alias("lead")), "h"))
 
     # short lists: all pairs of groups, and of members within a group
-    side = lambda x: shared.where(F.col("groups") <= SHORT).select("h", *(F.col(c).alias(c + x) for c in ("gid", "n", "pos", "members")))
+    side = lambda x: shared.where(F.col("nodes") <= SHORT).select("h", *(F.col(c).alias(c + x) for c in ("gid", "n", "pos", "members")))
     meet = side("a").join(side("b"), "h").where((F.col("gida") < F.col("gidb")) | ((F.col("gida") == F.col("gidb")) & (F.col("membersa") > 1)))
     meet = meet.where(similar(F.col("na"), F.col("nb"), pct) & reachable(F.col("na"), F.col("posa"), F.col("nb"), F.col("posb"), pct))
     met = meet.select("gida", "gidb").distinct()
@@ -175,11 +185,11 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     close = near_bits("bitsa", "bitsb", "na", "nb", pct)
     expand = lambda pairs: pairs.join(node("a"), "gida").join(node("b"), "gidb").where(F.col("nodea") != F.col("nodeb")).where(close)
     ordered = lambda df: df.select(F.least("nodea", "nodeb").alias("a"), F.greatest("nodea", "nodeb").alias("b"))
-    # long lists: each member and the list's leader
-    long = shared.where(F.col("groups") > SHORT)
-    led = long.where("gid <> lead").select(F.col("gid").alias("gida"), F.col("lead").alias("gidb")).distinct()
+    # long lists: each member, of the leading group too, and the leader, which is that group's first member
+    long = shared.where(F.col("nodes") > SHORT)
+    led = long.where("gid <> lead or members > 1").select(F.col("gid").alias("gida"), F.col("lead").alias("gidb")).distinct()
     first = members.select(F.col("node").alias("nodeb"), F.col("gid").alias("gidb")).join(node("b").drop("gidb"), "nodeb")
-    leads = led.join(node("a"), "gida").join(first, "gidb").where(similar(F.col("na"), F.col("nb"), pct) & close)
+    leads = led.join(node("a"), "gida").join(first, "gidb").where((F.col("nodea") != F.col("nodeb")) & similar(F.col("na"), F.col("nb"), pct) & close)
     pairs = scratch.stash(ordered(expand(met)).union(ordered(leads)).distinct())
 
     # the whole sets of documents that are compared
@@ -191,7 +201,11 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "set"])
 
     sets = scratch.stash(set_pass(texts, "id", text_col, n, whole, "node long, set binary"))
-    links = scratch.stash(verified(pairs, sets, pct))
+    # an id whose rows hold several texts joins their components
+    several = full.groupBy("id").agg(F.min("sig").alias("sig"), F.max("sig").alias("other")).where("sig <> other").select("id")
+    held = full.select("id", "sig").distinct().join(several, "id").join(classes.select("sig", "node"), "sig").select("id", "node")
+    same = held.groupBy("id").agg(F.min("node").alias("a")).join(held, "id").select("a", F.col("node").alias("b")).where("a <> b")
+    links = scratch.stash(verified(pairs, sets, pct).union(same))
     found = scratch.stash(components(links, scratch))
 
     # long lists once more: pairs across components
@@ -210,6 +224,5 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     ids = every.select("id", "n", "sig").join(classes.select("sig", "node"), "sig", "left")
     out = ids.join(found, "node", "left").select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "node")).otherwise(F.col("id")).alias("component_id"), F.coalesce("node", "id").alias("class_id"))
-    # an id whose several rows lie in different components joins them
     nulls = docs.where(F.col(id_col).isNull()).select(F.col(id_col).cast("long").alias(id_col), F.lit(None).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"), F.lit(None).cast("long").alias("class_id"))
-    return scratch.finish(out.unionByName(nulls))
+    return out.unionByName(nulls)

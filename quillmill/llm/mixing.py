@@ -7,13 +7,15 @@ cell's weight over the cell's tokens, scaled so that the largest is one.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmill.llm.common import Scratch
 
-#: Raking turns at most, and how far a marginal may be from its target, relatively.
-TURNS, CLOSE = 25, 1e-4
+#: How far a marginal may be from its target, relatively; turns without a gain of a hundredth after which targets count as out of reach.
+CLOSE, PATIENCE = 1e-4, 5
 #: Targets that are not given are shares to this power: large categories weigh less than they hold.
 FLATTEN = 0.85
 
@@ -42,36 +44,39 @@ def shape_topic(text: Column, tokens: Column) -> Column:
 def flattened(cells: DataFrame, dim: str) -> DataFrame:
     """(dim, target): shares of tokens to the power FLATTEN, made to sum to one."""
     per = cells.groupBy(dim).agg(F.pow(F.sum("tokens").cast("double"), F.lit(FLATTEN)).alias("t"))
-    return per.crossJoin(F.broadcast(per.agg(F.sum("t").alias("all")))).select(dim, (F.col("t") / F.col("all")).alias("target"))
+    total = per.agg(F.sum("t")).first()[0] or 1.0
+    return per.select(dim, (F.col("t") / F.lit(total)).alias("target"))
 
 
 def rake(cells: DataFrame, dims: list[str], targets: dict[str, DataFrame], scratch: Scratch) -> DataFrame:
     """cells with column w, whose shares by each dimension are the targets as nearly as cells allow.
 
     ``targets[dim]`` has columns dim and target. A value without a target gets weight 0.
+    Turns go on until every marginal is within CLOSE of its target; where PATIENCE turns
+    bring no gain, the targets contradict each other or the cells, which is warned of.
     """
     goals = {d: scratch.stash(targets[d] if d in targets else flattened(cells, d)) for d in dims}
-    out = scratch.stash(cells.withColumn("w", F.col("tokens") / F.greatest(F.sum("tokens").over(_all()), F.lit(1))))
-    for _ in range(TURNS):
+    total = cells.agg(F.sum("tokens")).first()[0] or 1
+    out = scratch.stash(cells.withColumn("w", F.col("tokens") / F.lit(total)))
+    best, stale = float("inf"), 0
+    while stale < PATIENCE:
         worst = F.lit(0.0)
         for d in dims:
             now = out.groupBy(d).agg(F.sum("w").alias("now")).join(goals[d], d, "left")
             factor = F.when(F.col("now") > 0, F.coalesce("target", F.lit(0.0)) / F.col("now")).otherwise(F.lit(0.0))
-            out = out.join(now.select(d, factor.alias("f")), d).withColumn("w", F.col("w") * F.col("f")).withColumn(f"off_{d}", F.abs(F.col("f") - 1)).drop("f")
+            out = out.join(now.select(d, factor.alias("f")), d).withColumn("w", F.col("w") * F.col("f")).withColumn(f"off_{d}", F.when(F.col("w") > 0, F.abs(F.col("f") - 1)).otherwise(0.0)).drop("f")
             worst = F.greatest(worst, F.max(f"off_{d}"))
         turn = scratch.stash(out)
         out = turn.drop(*(f"off_{d}" for d in dims))
-        if (turn.agg(worst.alias("x")).first()["x"] or 0) < CLOSE:
-            break
+        off = turn.agg(worst.alias("x")).first()["x"] or 0
+        if off < CLOSE:
+            return out
+        stale = 0 if off < 0.99 * best else stale + 1
+        best = min(best, off)
+    warnings.warn(f"targets are not all met: a marginal is off by {off:.3g} of its target", stacklevel=2)
     return out
 
 
-def _all():
-    from pyspark.sql import Window
-
-    return Window.partitionBy()
-
-
 def mix(docs: DataFrame, id_col: str = "doc_id", dims: tuple[str, ...] = ("source", "lang", "topic"), tokens_col: str = "n_tokens", targets: dict[str, DataFrame] | None = None, seed: str = "mix") -> DataFrame:
     """docs' ``id_col``, dims and tokens, with probability and kept.
 
@@ -82,20 +87,20 @@ def mix(docs: DataFrame, id_col: str = "doc_id", dims: tuple[str, ...] = ("sourc
     probability of their cell, or 0 where the cell has no tokens at all. An empty
     table gives an empty result.
     """
-    scratch = Scratch(docs.sparkSession)
-    # null is spelt out so that joins match it
-    spelt = [F.coalesce(F.concat(F.lit("="), F.col(d).cast("string")), F.lit("-")).alias(f"d{i}") for i, d in enumerate(dims)]
-    rows = scratch.stash(docs.select(F.col(id_col).alias("id"), *(F.col(d) for d in dims), F.col(tokens_col).cast("long").alias("tokens"), *spelt))
-    keys = [f"d{i}" for i in range(len(dims))]
-    cells = scratch.stash(rows.groupBy(*keys).agg(F.sum("tokens").alias("tokens")))
-    goals = {keys[i]: targets[d].select(F.coalesce(F.concat(F.lit("="), F.col(d).cast("string")), F.lit("-")).alias(keys[i]), "target") for i, d in enumerate(dims) if targets and d in targets}
-    raked = rake(cells.where("tokens > 0"), keys, goals, scratch)
-    rates = raked.select(*keys, (F.col("w") / F.col("tokens")).alias("rate"))
-    top = rates.agg(F.max("rate")).first()[0] or 1.0
-    rates = scratch.stash(rates.withColumn("p", F.col("rate") / F.lit(top)).drop("rate"))
-    chance = (F.shiftrightunsigned(F.xxhash64("id", F.lit(seed)), 11).cast("double")) / F.lit(float(1 << 53))
-    out = rows.join(rates, keys, "left").withColumn("p", F.coalesce("p", F.lit(0.0)))
-    return scratch.finish(out.select(F.col("id").alias(id_col), *dims, F.col("tokens").alias(tokens_col), F.col("p").alias("probability"), (chance < F.col("p")).alias("kept")))
+    with Scratch(docs.sparkSession) as scratch:
+        # null is spelt out so that joins match it
+        spelt = [F.coalesce(F.concat(F.lit("="), F.col(d).cast("string")), F.lit("-")).alias(f"d{i}") for i, d in enumerate(dims)]
+        rows = scratch.stash(docs.select(F.col(id_col).alias("id"), *(F.col(d) for d in dims), F.col(tokens_col).cast("long").alias("tokens"), *spelt))
+        keys = [f"d{i}" for i in range(len(dims))]
+        cells = scratch.stash(rows.groupBy(*keys).agg(F.sum("tokens").alias("tokens")))
+        goals = {keys[i]: targets[d].select(F.coalesce(F.concat(F.lit("="), F.col(d).cast("string")), F.lit("-")).alias(keys[i]), "target") for i, d in enumerate(dims) if targets and d in targets}
+        raked = rake(cells.where("tokens > 0"), keys, goals, scratch)
+        rates = raked.select(*keys, (F.col("w") / F.col("tokens")).alias("rate"))
+        top = rates.agg(F.max("rate")).first()[0] or 1.0
+        rates = scratch.stash(rates.withColumn("p", F.col("rate") / F.lit(top)).drop("rate"))
+        chance = (F.shiftrightunsigned(F.xxhash64("id", F.lit(seed)), 11).cast("double")) / F.lit(float(1 << 53))
+        out = rows.join(rates, keys, "left").withColumn("p", F.coalesce("p", F.lit(0.0)))
+        return scratch.finish(out.select(F.col("id").alias(id_col), *dims, F.col("tokens").alias(tokens_col), F.col("p").alias("probability"), (chance < F.col("p")).alias("kept")))
 
 
 def with_measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
