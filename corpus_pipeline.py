@@ -22,12 +22,19 @@ NEAR_WORDS, NEAR_PCT = 5, 80
 LEAST_SCORE = 0.3
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with its columns named __0, __1, .. so that no extra column meets an operator's own names; the new name of each."""
+    names = {c: f"__{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Set lang to the predicted language; documents without letters or with an unsure language go."""
-    model = langid.fit_language_model(docs)
-    said = langid.predict_languages(docs, model, "text", tuple(docs.columns))
+    rows, name = numbered(docs)
+    model = langid.fit_language_model(rows, name["doc_id"], name["text"], name["lang"])
+    said = langid.predict_languages(rows, model, name["text"], tuple(rows.columns))
     kept = said.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
-    return kept.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    return kept.withColumn(name["lang"], F.col("lang_pred")).select(*(F.col(n).alias(c) for c, n in name.items()))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,8 +46,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace each span of personal data by its kind; n_chars follows."""
-    found = pii.find_pii(docs, keep=tuple(docs.columns), redact=True)
-    return found.withColumn("text", F.col("redacted")).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    rows, name = numbered(docs)
+    found = pii.find_pii(rows, name["doc_id"], name["text"], keep=tuple(c for c in rows.columns if c != name["text"]), redact=True)
+    found = found.withColumn(name["text"], F.col("redacted")).withColumn(name["n_chars"], F.length("redacted").cast("long"))
+    return found.select(*(F.col(n).alias(c) for c, n in name.items()))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
