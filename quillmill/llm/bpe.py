@@ -40,7 +40,7 @@ class TrieBPE:
     ``decode`` work on whole texts.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 100_000):
         import regex
 
         with open(path, encoding="utf-8") as f:
