@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quillmill.llm import bpe, jaccard_join, langid, lm_score, mixing, near_vectors, pii, quality, url_filter, warc
 from quillmill.llm.common import Scratch
@@ -62,8 +63,86 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_classes(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_vectors, op2_bpe, op3_lm_score, op4_language_id, op5_warc, op6_url_filter, op7_pii, op8_quality, op9_mixing, op10_jaccard_join)}
+def base_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op3 without the model's score, which SQL cannot say."""
+    return op3_lm_score(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 3).alias("base_score"))
+
+
+def base_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op6's hosts, paths and rules, and its verdict where a rule gives it."""
+    return op6_url_filter(spark, sf_dir).select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("verdict"))
+
+
+def base_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op7's base spans."""
+    return op7_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256")
+
+
+def base_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op8's counts and base rule."""
+    return op8_quality(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_vectors, op2_bpe, op3_lm_score, op4_language_id, op5_warc, op6_url_filter, op7_pii, op8_quality, op9_mixing, op10_jaccard_join, base_lm, base_url_rules, base_pii, base_quality)}
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+SPLIT = "list_filter(string_split_regex({}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+#: crc32 of an id's text, bit by bit.
+CRC = "xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT), lambda acc, x: list_reduce([xor(acc, x)] || range(8), lambda y, i: xor(y >> 1, CASE WHEN y % 2 = 1 THEN 3988292384 ELSE 0 END))), 4294967295)"
+PII_KINDS = {
+    "email": ("[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)+", "true"),
+    "ip": ("[0-9]+\\.[0-9]+\\.[0-9]+\\.[0-9]+", "len(list_filter(string_split(m, '.'), lambda x: coalesce(try_cast(x AS HUGEINT), 256) > 255)) = 0"),
+    "card": ("[0-9](?:[\\x20-]?[0-9])+", "length(d) BETWEEN 13 AND 19 AND list_sum(list_transform(range(1, length(d) + 1), lambda i: CASE WHEN i % 2 = 1 THEN substr(d, length(d) + 1 - i, 1)::INT WHEN substr(d, length(d) + 1 - i, 1)::INT > 4 THEN 2 * substr(d, length(d) + 1 - i, 1)::INT - 9 ELSE 2 * substr(d, length(d) + 1 - i, 1)::INT END)) % 10 = 0"),
+    "phone": ("\\+[0-9][\\x20().0-9-]+[0-9]", "length(d) BETWEEN 9 AND 15"),
+}
+PII_PARTS = " UNION ALL ".join(
+    f"SELECT doc_id, {n} AS o, '{kind}' AS kind, start, m FROM (SELECT doc_id, m, start, regexp_replace(m, '[^0-9]', '', 'g') AS d FROM (SELECT doc_id, ms[i] AS m, list_sum(list_transform(ps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS start FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '{p}') AS ms, string_split_regex(text, '{p}') AS ps FROM documents)))) WHERE {ok}"
+    for n, (kind, (p, ok)) in enumerate(PII_KINDS.items())
+)
 ORACLE_SQL: dict[str, str] = {
+    "op1_near_vectors": """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+ok AS (SELECT * FROM v WHERE v IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM ok x JOIN ok y ON x.vec_id <> y.vec_id AND len(x.v) = len(y.v) AND list_cosine_similarity(x.v, y.v) >= 0.9),
+reach(vec_id, c) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT b, c FROM reach JOIN links ON a = vec_id AND c < b),
+least AS (SELECT vec_id, min(c) AS component_id FROM reach GROUP BY vec_id), n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM least LEFT JOIN n ON a = vec_id
+""",
+    "op10_jaccard_join": f"""
+WITH RECURSIVE w AS (SELECT doc_id, {SPLIT.format(LOWER)} AS a FROM documents),
+e AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(a) = 0 THEN [] WHEN len(a) < 4 THEN [array_to_string(a, ' ')] ELSE list_transform(range(1, len(a) - 2), lambda i: array_to_string(a[i:i + 3], ' ')) END) AS s FROM w),
+n AS (SELECT doc_id, count(*) AS n, md5(string_agg(s, chr(10) ORDER BY s)) AS sig FROM e GROUP BY doc_id),
+i AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS inter FROM e x JOIN e y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM i JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * inter >= 85 * (na.n + nb.n - inter)),
+reach(doc_id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT b, c FROM reach JOIN links ON a = doc_id AND c < b),
+least AS (SELECT doc_id, min(c) AS component_id FROM reach GROUP BY doc_id)
+SELECT l.doc_id, coalesce(n, 0) AS n_shingles, component_id, CASE WHEN n IS NULL THEN l.doc_id ELSE min(l.doc_id) OVER (PARTITION BY sig) END AS class_id FROM least l LEFT JOIN n USING (doc_id)
+""",
+    "base_lm": f"""
+WITH d AS (SELECT doc_id, {CRC} % 7 = 2 AS held_out, {SPLIT.format(LOWER)} AS w FROM documents),
+t AS (SELECT doc_id, unnest(w) AS word FROM d WHERE NOT held_out), c AS (SELECT word, count(*) AS c FROM t GROUP BY word),
+s AS (SELECT (SELECT sum(c) FROM c) + (SELECT count(*) FROM d WHERE NOT held_out) AS n, (SELECT count(*) FROM c) + 1 AS v, (SELECT count(*) FROM d WHERE NOT held_out) AS ends),
+x AS (SELECT doc_id, unnest(w) AS word FROM d), p AS (SELECT doc_id, count(*) AS n, count(c) AS known, sum(log10(coalesce(c, 0) + 1)) AS l FROM x LEFT JOIN c USING (word) GROUP BY doc_id)
+SELECT d.doc_id, held_out, coalesce(p.n, 0) + 1 AS n_tokens, coalesce(known, 0) + 1 AS n_known, s.n::BIGINT AS train_tokens, round(coalesce(l, 0) + log10(ends + 1) - (coalesce(p.n, 0) + 1) * log10(s.n + s.v + 1), 3) AS base_score FROM d CROSS JOIN s LEFT JOIN p USING (doc_id)
+""",
+    "base_url_rules": """
+WITH r AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
+q AS (SELECT *, CASE WHEN ends_with('.' || host, '.example.com') AND starts_with(path, '/en/7') THEN 'example.com/en/7' WHEN ends_with('.' || host, '.example.net') AND starts_with(path, '/de/8') THEN 'example.net/de/8'
+  WHEN ends_with('.' || host, '.com') AND starts_with(path, '/en/') THEN 'com/en/' WHEN ends_with('.' || host, '.net') AND starts_with(path, '/de/') THEN 'net/de/' WHEN ends_with('.' || host, '.org') AND starts_with(path, '/es/') THEN 'org/es/' END AS rule FROM p)
+SELECT page_id, host, path, rule, CASE rule WHEN 'example.com/en/7' THEN 'allow' ELSE CASE WHEN rule IS NOT NULL THEN 'block' END END AS verdict FROM q
+""",
+    "base_pii": f"""
+WITH s AS ({PII_PARTS}), g AS (SELECT doc_id, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone,
+  string_agg(kind || ':' || start || ':' || start + length(m), ',' ORDER BY o, start) AS said FROM s GROUP BY doc_id)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(said, '')) AS base_sha256 FROM documents LEFT JOIN g USING (doc_id)
+""",
+    "base_quality": f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, {SPLIT.format("coalesce(text, '')")} AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM documents),
+x AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, w FROM d WHERE len(w) > 2), y AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS n FROM x),
+z AS (SELECT doc_id, count(DISTINCT i + k) AS r FROM y, range(3) g(k) WHERE n > 1 GROUP BY doc_id),
+s AS (SELECT doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(r, 0) AS n_repeat_words FROM d LEFT JOIN z USING (doc_id))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM s
+""",
     "op5_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
 g AS (SELECT page_id, octet_length(encode(body)) AS payload_bytes, sha1(body) AS h, min(page_id) OVER (PARTITION BY body) AS first FROM p),
