@@ -94,3 +94,73 @@ def sanitize(text: Column, key: str | None = None) -> Column:
 def mask_key(key: Column) -> Column:
     k = F.coalesce(key, F.lit(""))
     return F.when(k == "", "(not set)").when(F.length(k) <= 8, F.concat(F.lit("…"), F.right(k, F.lit(2)))).otherwise(F.concat(F.left(k, F.lit(4)), F.lit("…"), F.right(k, F.lit(4))))
+
+
+def first_set(values: dict[str, Column]) -> Column:
+    """struct(value, source): the first value that is not blank, trimmed, with its name; ``none`` where all are blank."""
+    some = {name: F.nullif(strip(F.coalesce(c, F.lit(""))), F.lit("")) for name, c in values.items()}
+    source = F.coalesce(*[F.when(c.isNotNull(), F.lit(name)) for name, c in some.items()], F.lit("none"))
+    return F.struct(F.coalesce(*some.values()).alias("value"), source.alias("source"))
+
+
+def model_rank(name: Column) -> Column:
+    """struct(family, version, plain): flash models that neither think nor speak live, then pro ones; null for others."""
+    has = lambda s: F.contains(name, F.lit(s))
+    family = F.when(has("flash") & ~has("thinking") & ~has("live"), 2).when(has("pro"), 1)
+    version = F.coalesce(F.nullif(F.regexp_extract(name, r"gemini-(\d+(?:\.\d+)?)", 1), F.lit("")).cast("double"), F.lit(0.0))
+    plain = F.regexp_replace(name, r"[0-9.\-]+\z", "").endswith("flash").cast("int")
+    return F.when(family.isNotNull(), F.struct(family.alias("family"), version.alias("version"), plain.alias("plain")))
+
+
+def preferred_model(models: DataFrame, name: str = "name", pos: str = "pos") -> DataFrame:
+    """The best model's name, one row: the newest flash, a plain one first, then the first listed; without any flash among all, the newest pro; no row without either."""
+    ranked = models.withColumn("_r", model_rank(F.col(name))).where("_r is not null")
+    best = ranked.groupBy().agg(F.max(F.struct("_r", (-F.col(pos)).alias("p"), F.col(name).alias("name"))).alias("best"))
+    return best.where("best is not null").select(F.col("best.name").alias(name))
+
+
+def evidence_line(samples: DataFrame, files: DataFrame | None = None, text: str = "text") -> DataFrame:
+    """evidence: what there is to work from, in words, one row."""
+    n = evidence_summary(samples, text)
+    some = F.when(F.col("n_samples") > 0, F.format_string("%d text sample(s), about %s words in total", "n_samples", F.format_number("n_words", 0)))
+    count = files.agg(F.count("*").alias("n_files")) if files is not None else samples.sparkSession.range(1).select(F.lit(0).cast("long").alias("n_files"))
+    both = n.crossJoin(F.broadcast(count))  # one row each
+    seen = F.when(F.col("n_files") > 0, F.format_string("%d image(s) or document(s) you must read yourself", "n_files"))
+    said = F.coalesce(F.nullif(F.concat_ws(" and ", some, seen), F.lit("")), F.lit("no writing samples at all"))
+    return both.select("n_samples", "n_files", F.concat(said, F.when(F.col("thin"), ". That is very little. Expect most claims to be provisional").otherwise("")).alias("evidence"))
+
+
+def prompt(samples: DataFrame, answers: DataFrame, templates: dict[str, str], name: str, description: str | None = None, files: DataFrame | None = None, text: str = "text") -> DataFrame:
+    """regime, prompt, one row: how to ask for a persona.
+
+    ``templates`` has ``invent`` (from a description alone, without any evidence),
+    ``extract`` and ``described`` (which goes before it if there is a description), with
+    places for {target_name}, {description}, {evidence} and {answers}; answers has pos,
+    question and answer, of one interview. Braces in values survive.
+    """
+    pairs = F.sort_array(F.collect_list(F.struct("pos", F.concat(F.lit("Q: "), "question", F.lit("\nA: "), "answer").alias("said"))))
+    told = answers.agg(F.array_join(F.transform(pairs, lambda x: x["said"]), "\n\n").alias("answers"))
+    row = evidence_line(samples, files, text).crossJoin(F.broadcast(told))  # one row each
+    alone = (F.col("n_samples") == 0) & (F.col("n_files") == 0) if description else F.lit(False)
+    values = {"evidence": F.col("evidence"), "target_name": F.lit(name or "the author"), "answers": F.col("answers"), "description": F.lit(description or "")}
+    extract = fill_template((templates["described"] if description else "") + templates["extract"], **values)
+    regime = F.when(alone, "invent").otherwise("described" if description else "extract")
+    return row.select(regime.alias("regime"), F.when(alone, fill_template(templates["invent"], **values)).otherwise(extract).alias("prompt"))
+
+
+def answered(prompts: DataFrame, call, prompt_col: str = "prompt") -> DataFrame:
+    """prompts with raw, what ``call(prompt)`` returns, and error, what it raises; ``call`` is the caller's own, run on executors. Nothing here opens a connection."""
+
+    @F.pandas_udf("raw string, error string")
+    def ask(texts):
+        import pandas as pd
+
+        rows = []
+        for t in texts:
+            try:
+                rows.append((call(t), None))
+            except Exception as e:  # the caller's own errors are data here
+                rows.append((None, f"{type(e).__name__}: {e}"))
+        return pd.DataFrame(rows, columns=["raw", "error"])
+
+    return prompts.withColumn("_a", ask(prompt_col)).withColumns({"raw": F.col("_a.raw"), "error": F.col("_a.error")}).drop("_a")

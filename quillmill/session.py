@@ -31,12 +31,17 @@ def spread(df: DataFrame) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where it is unset (tests, a laptop) a temporary folder is made and set.
+    Where it is unset and the master is local (tests, a laptop) a temporary folder is
+    made and set; on a cluster an unset folder is an error, as executors share no local one.
     """
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     now = sc._jsc.sc().getCheckpointDir()
-    found = found or (now.get() if now.isDefined() else None) or "file://" + tempfile.mkdtemp(prefix="quillmill-")
+    found = found or (now.get() if now.isDefined() else None)
+    if not found:
+        if not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="quillmill-")
     if not now.isDefined():
         sc.setCheckpointDir(found)
     return found
