@@ -61,7 +61,7 @@ def file_part(filename: Column, mimetype: Column, content: Column) -> Column:
     """struct(text, mime, data): text kinds inline, others in base64 without line ends."""
     mime = F.coalesce(F.nullif(mimetype, F.lit("")), F.lit("application/octet-stream"))
     text = mime.startswith("text/") | mime.isin("application/json", "message/rfc822")
-    return F.struct(F.when(text, document_part(filename, F.decode(content, "UTF-8"))).alias("text"), F.when(~text, mime).alias("mime"), F.when(~text, F.regexp_replace(F.base64(content), r"[\r\n]", "")).alias("data"))
+    return F.struct(F.when(text, document_part(filename, F.make_valid_utf8(content.cast("string")))).alias("text"), F.when(~text, mime).alias("mime"), F.when(~text, F.regexp_replace(F.base64(content), r"[\r\n]", "")).alias("data"))
 
 
 def fill_template(template: str, **values: Column) -> Column:

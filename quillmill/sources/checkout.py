@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import subprocess
 from pathlib import Path
 
@@ -51,10 +52,10 @@ def repository_files(spark: SparkSession, repo: str) -> DataFrame:
     if not real:
         return spark.createDataFrame([], "path string, text string")
     names = spark.createDataFrame(list(real.items()), "real string, name string")
-    read = spark.read.format("binaryFile").load([Path(p).as_uri() for p in real])
-    read = read.withColumn("real", F.url_decode(F.regexp_replace(F.regexp_replace("path", r"^file:/*", "/"), r"\+", "%2B")))
+    literal = [re.sub(r"([\\*?\[\]{}])", r"\\\1", p) for p in real]  # the reader takes paths for patterns
+    read = spark.read.format("binaryFile").load([f"file://{p}" for p in literal]).withColumn("real", F.regexp_replace("path", r"^file:/*", "/"))
     text = read.where(~F.contains(F.substring("content", 1, SNIFF), F.lit(bytearray(b"\x00"))))
-    return text.join(F.broadcast(names), "real").select(F.col("name").alias("path"), F.decode("content", "UTF-8").alias("text"))  # one row a tracked file
+    return text.join(F.broadcast(names), "real").select(F.col("name").alias("path"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))  # one row a tracked file
 
 
 def commits(spark: SparkSession, repo: str, author: str | None = None, most: int = 1000) -> DataFrame:

@@ -60,7 +60,7 @@ def load(spark: SparkSession, folder: str | list[str], max_files: int = MAX_FILE
     places = spark.createDataFrame([(r["path"], i + 1) for i, r in enumerate(rows)], "path string, pos long")
     read = spark.read.format("binaryFile").load([r["path"] for r in rows]).join(F.broadcast(places), "path")
     name = F.regexp_extract("path", r"([^/]*)\z", 1)
-    text = F.regexp_replace(F.decode("content", "UTF-8"), r"\r\n?", "\n")
+    text = F.regexp_replace(F.make_valid_utf8(F.col("content").cast("string")), r"\r\n?", "\n")
     samples = read.where(suffix(F.col("path")).isin(*sorted(TEXT))).select("path", F.col("pos").alias("sample_id"), "pos", F.lit("file").alias("kind"), name.alias("origin"), F.left(text, F.lit(max_bytes)).alias("text"), F.lit(None).cast("string").alias("author"), F.lit(0).alias("tokens"))
     mime = F.create_map(*[F.lit(x) for kv in BINARY.items() for x in kv])[suffix(F.col("path"))]
     content = F.when(F.col("length") > max_bytes, F.raise_error(F.concat(F.col("path"), F.lit(" is too large"))).cast("binary")).otherwise(F.col("content"))

@@ -86,3 +86,23 @@ def test_shingle_hashes_count_distinct_shingles(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     for r in df.select(S.shingles(F.col("t")).alias("s"), S.shingle_hashes(F.col("t")).alias("h")).collect():
         assert len(r.s) == len(r.h) == len(set(r.h))
+
+
+def test_json_as_a_plain_parser_takes_it(spark):
+    cases = {'{"a": 1, "a": 2}': True, "[NaN, 1]": True, "[1, 2]": True, "{}": True, "[1] and [2]": False, "[1], [2]": False, "{'a': 1}": False, "[a]": False, "[01]": False}
+    df = spark.createDataFrame([(k,) for k in cases], "t string")
+    assert {r["t"]: r["k"] == "export" for r in df.select("t", R.machine_kind(F.col("t")).alias("k")).collect()} == cases
+
+
+def test_put_back_and_unpack(spark):
+    from quillmill.operators import triage as T
+
+    assert T.picked_positions("1,3 5 3", 5) == [1, 3, 5] and T.picked_positions("6", 5) is None and T.picked_positions("x", 5) is None and T.picked_positions("", 5) == []
+    samples = spark.createDataFrame([(1, 1, "essay.txt", ESSAY), (2, 2, "invoice.txt", INVOICE), (3, 3, "log.txt", LOG)], "sample_id long, pos long, origin string, text string")
+    files = spark.createDataFrame([(9, 9, "IMG_1.png", "image/png")], "sample_id long, pos long, filename string, mimetype string")
+    judged = triage(samples, files)
+    back = T.put_back(judged, [2], [F.col("pos")])
+    assert {r["sample_id"] for r in back.where("kept").collect()} == {1, 3, 9}
+    texts, binary = T.unpack(back)
+    assert {r["sample_id"] for r in texts.collect()} == {1, 3} and [r["sample_id"] for r in binary.collect()] == [9]
+    assert T.put_back(judged, [], [F.col("pos")]).where("kept").count() == 2

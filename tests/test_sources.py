@@ -1,18 +1,27 @@
+import os
+import subprocess
+
+import pytest
 from pyspark.sql import functions as F
 
-from quillmill.sources import files, gitlog
+from quillmill.sources import checkout, documents, files, gitlog
 from quillmill.streaming import usage
 
 
 def test_folder(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     (tmp_path / ".secret").mkdir()
-    for name, data in {"essay.txt": b"hello\r\nyou", "sub/notes.md": b"note", "scan.png": b"\x89PNG", "ignored.exe": b"x", "empty.txt": b"  ", ".secret/p.txt": b"no"}.items():
+    for name, data in {"essay.txt": b"hello\r\nyou", "sub/notes.md": b"not\xe9", "scan.png": b"\x89PNG", "ignored.exe": b"x", "empty.txt": b"  ", ".secret/p.txt": b"no"}.items():
         (tmp_path / name).write_bytes(data)
     samples, binary = files.load(spark, str(tmp_path))
-    assert {r["origin"]: r["text"] for r in samples.collect()} == {"essay.txt": "hello\nyou", "notes.md": "note"}
+    assert {r["origin"]: r["text"] for r in samples.collect()} == {"essay.txt": "hello\nyou", "notes.md": "not\ufffd"}
     assert [(r["filename"], r["mimetype"]) for r in binary.collect()] == [("scan.png", "image/png")]
     assert files.expand(spark, str(tmp_path), 2).count() == 2
+    rows = files.load_triaged(spark, [str(tmp_path), str(tmp_path / "essay.txt")]).collect()
+    assert sorted(r["origin"] for r in rows) == ["essay.txt", "notes.md", "scan.png"] and len({r["pos"] for r in rows}) == 3
+    for bad in ("nowhere", "ignored.exe", ".secret"):
+        with pytest.raises(files.SourceError):
+            files.expand(spark, str(tmp_path / bad))
 
 
 def test_log_and_blame(spark):
@@ -31,3 +40,36 @@ def test_usage_stream(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("usage_rows").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
     q.awaitTermination(120)
     assert sorted((r["user"], r["op"], r["n"]) for r in spark.table("usage_rows").collect()) == [("u", "aux", 2), ("v", "persona", 1)]
+
+
+def test_checkout(spark, tmp_path):
+    repo = str(tmp_path / "r")
+    os.mkdir(repo)
+    assert not checkout.is_git_repo(repo) and checkout.tracked_files(repo) == []
+    git = lambda *a: subprocess.run(["git", "-C", repo, "-c", "user.email=me@x.org", "-c", "user.name=Me", *a], check=True, capture_output=True)
+    git("init", "-q")
+    for name, data in {"a b+c.md": b"one\ntwo\n", "bin.md": b"x\x00y", "big.md": b"z" * 1_000_001, "odd.md": b"caf\xe9"}.items():
+        with open(f"{repo}/{name}", "wb") as f:
+            f.write(data)
+    os.symlink("/etc/hostname", f"{repo}/link.md")
+    git("add", "-A")
+    git("commit", "-qm", "Explain the reason\n\nbody")
+    with open(f"{repo}/not-tracked.md", "w") as f:
+        f.write("no")
+    assert checkout.is_git_repo(repo) and "link.md" in checkout.tracked_files(repo)
+    assert [checkout.safe_path(repo, n) for n in ("link.md", "/etc/passwd", "../x", "", "big.md", "none")] == [None] * 6
+    assert {r["path"]: r["text"] for r in checkout.repository_files(spark, repo).collect()} == {"a b+c.md": "one\ntwo\n", "odd.md": "caf\ufffd"}
+    assert [(r["email"], r["body"].strip()) for r in checkout.commits(spark, repo).collect()] == [("me@x.org", "Explain the reason\n\nbody")]
+    assert checkout.commits(spark, repo, "you@x.org").count() == 0
+    assert [(r["line_no"], r["author"]) for r in checkout.blame(spark, repo, ["a b+c.md", "none"]).orderBy("line_no").collect()] == [(1, "me@x.org"), (2, "me@x.org")]
+    log, changed = checkout.history(spark, repo, ["a b+c.md", "not-tracked.md"])
+    assert [r["author"] for r in log.collect()] == ["me@x.org"] and [r["path"] for r in changed.collect()] == ["not-tracked.md"]
+
+
+def test_documents(tmp_path):
+    first = documents.write_document(str(tmp_path / "AGENTS.md"), "text", header="head")
+    assert open(first).read() == "head\n\ntext"
+    second = documents.write_document(str(tmp_path / "AGENTS.md"), "new", header="head")
+    assert second.endswith("AGENTS-new.md") and open(first).read() == "head\n\ntext"
+    assert open(documents.write_document(first, "new", replace=True)).read() == "\n\nnew"
+    assert open(documents.write_document(str(tmp_path / "me.md"), "text", header="head")).read() == "text"
