@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -9,6 +11,9 @@ from pyspark.sql import functions as F
 from quillmill.functions.text import let
 from quillmill.session import shared_dir
 
+#: Slots of the table that tells how often shingles occur, a byte each.
+SLOTS = 1 << 16
+
 
 def shingles(text: Column, size: int = 5) -> Column:
     """Distinct shingles of ``size`` words of a-z and 0-9 (lower case); a shorter text is one shingle, an empty one none."""
@@ -31,7 +36,7 @@ def similar_pairs(docs: DataFrame, id_col: str, text_col: str, pct: int = 80, si
     """(a, b, inter, total): pairs of distinct shingle sets with Jaccard >= pct / 100; a < b are the sets' smallest ids.
 
     See :func:`shingle_classes` for the documents of each set. Candidates share one of
-    the first ``n - ceil(pct*n/100) + 1`` shingles in order of hash, which loses no pair.
+    the first ``n - ceil(pct*n/100) + 1`` shingles, rare ones first, which loses no pair.
     """
     return pairs_of(shingle_classes(docs, id_col, text_col, size), pct)
 
@@ -44,13 +49,37 @@ def shingle_classes(docs: DataFrame, id_col: str, text_col: str, size: int = 5)
     return sets.join(reps, "sig").select("id", "rep", F.size("hashes").alias("n"), F.when(F.col("id") == F.col("rep"), F.col("hashes")).alias("hashes"))
 
 
+def rare_first(reps: DataFrame, share: int = 16, least: int = 6) -> Callable[[Column], Column]:
+    """An order of hashes that puts those which one set in ``share`` shows often last.
+
+    Counts are kept by slot (at most SLOTS rows of the sample's reach the driver); the
+    order is the same for every set, so it steers how many candidates meet, never a result.
+    """
+    part = reps.where(F.pmod(F.xxhash64("id"), F.lit(share)) == 0)
+    seen = part.select(F.explode("hashes").alias("h")).groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") >= least)
+    slot = lambda h: F.pmod(h, F.lit(SLOTS))
+    counts = bytearray(SLOTS)
+    for r in seen.groupBy(slot(F.col("h")).alias("slot")).agg(F.max("c").alias("c")).collect():
+        counts[r["slot"]] = min(255, 4 * r["c"].bit_length())
+    table = F.lit(bytes(counts))
+    return lambda h: F.struct(F.substring(table, (slot(h) + 1).cast("int"), F.lit(1)).alias("often"), h.alias("h"))
+
+
+def candidates(reps: DataFrame, pct: int) -> DataFrame:
+    """(a, b): pairs of sets (id, n, hashes) that share a prefix element, by sizes and places not too unlike."""
+    rare = F.sort_array(F.transform("hashes", rare_first(reps)))
+    prefix = F.slice(rare, 1, F.col("n") - F.ceil(F.col("n") * pct / 100).cast("int") + 1)
+    posts = reps.select("id", "n", F.posexplode(F.transform(prefix, lambda x: x["h"])).alias("pos", "h"))
+    a, b = (posts.select(F.col("id").alias(x), F.col("n").alias("n" + x), F.col("pos").alias("pos" + x), "h") for x in "ab")
+    size = (100 * F.least("na", "nb") >= pct * F.greatest("na", "nb")) & (F.col("a") < F.col("b"))
+    # for a pair's first common shingle, what follows it in both sets bounds their intersection
+    enough = (100 + pct) * F.least(F.col("na") - F.col("posa"), F.col("nb") - F.col("posb")) >= pct * (F.col("na") + F.col("nb"))
+    return a.join(b, "h").where(size & enough).select("a", "b").distinct()
+
+
 def pairs_of(classes: DataFrame, pct: int) -> DataFrame:
     reps = classes.where((F.col("id") == F.col("rep")) & (F.col("n") > 0)).select("id", "n", "hashes").dropDuplicates(["id"])
-    prefix = F.slice("hashes", 1, F.col("n") - F.ceil(F.col("n") * pct / 100).cast("int") + 1)
-    posts = reps.select("id", "n", F.explode(prefix).alias("h"))
-    a, b = (posts.select(F.col("id").alias(x), F.col("n").alias("n" + x), "h") for x in "ab")
-    size = (100 * F.least("na", "nb") >= pct * F.greatest("na", "nb")) & (F.col("a") < F.col("b"))
-    met = a.join(b, "h").where(size).select("a", "b").distinct()
+    met = candidates(reps, pct)
     left, right = (reps.select(F.col("id").alias(x), F.col("n").alias("n" + x), F.col("hashes").alias("h" + x)) for x in "ab")
     both = met.join(left, "a").join(right, "b").withColumn("inter", F.size(F.array_intersect("ha", "hb")))
     both = both.withColumn("total", F.col("na") + F.col("nb") - F.col("inter"))

@@ -66,6 +66,21 @@ def test_survivors_like_a_walk(spark):
     assert got == want
 
 
+def test_passages_that_many_documents_share_make_few_candidates(spark):
+    rng = random.Random(6)
+    passage = " ".join(f"p{i}" for i in range(30))
+    own = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(40)) for _ in range(600)]
+    texts = [f"{passage} {o}" if i % 2 else f"{o} {passage}" for i, o in enumerate(own)]
+    texts += [t.rsplit(" ", 2)[0] for t in texts[:20]]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    classes = similarity.shingle_classes(df, "id", "text")
+    met = similarity.candidates(classes.where("id = rep").select("id", "n", "hashes"), 80)
+    got = {(r["a"], r["b"]) for r in met.collect()}
+    assert {(i, 600 + i) for i in range(20)} <= got
+    assert len(got) < 2000  # of 192,510; the passage makes up 40 % of each set
+    assert {(r["a"], r["b"]) for r in similarity.pairs_of(classes, 80).collect()} == {(i, 600 + i) for i in range(20)}
+
+
 BODY = "Ab3dE5fG7hJ9kL1mN2pQ4rS6tU8vW0xY"
 PLANTED = {
     "private-key-pem-block": "-----BEGIN RSA PRIVATE KEY-----\n" + BODY + "\n-----END RSA PRIVATE KEY-----",
