@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.llm import bpe, jaccard_join, langid, lm_score, mixing, near_vectors, pii, quality, url_filter, warc
+from quillmill.llm import bpe, collocations, jaccard_join, langid, lexical_search, lm_score, mixing, near_vectors, pii, quality, secret_novelty, url_filter, warc
 from quillmill.llm.common import Scratch
 
 
@@ -63,6 +63,18 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_classes(table(spark, sf_dir, "documents"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.lexical_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_secret_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_novelty.find_secrets(table(spark, sf_dir, "documents"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def base_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op3 without the model's score, which SQL cannot say."""
     return op3_lm_score(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 3).alias("base_score"))
@@ -83,7 +95,12 @@ def base_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8_quality(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_vectors, op2_bpe, op3_lm_score, op4_language_id, op5_warc, op6_url_filter, op7_pii, op8_quality, op9_mixing, op10_jaccard_join, base_lm, base_url_rules, base_pii, base_quality)}
+def base_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op12's base spans."""
+    return op12_secret_novelty(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_vectors, op2_bpe, op3_lm_score, op4_language_id, op5_warc, op6_url_filter, op7_pii, op8_quality, op9_mixing, op10_jaccard_join, op11_lexical_search, op12_secret_novelty, op13_collocations, base_lm, base_url_rules, base_pii, base_quality, base_secrets)}
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 SPLIT = "list_filter(string_split_regex({}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
 #: crc32 of an id's text, bit by bit.
@@ -98,7 +115,43 @@ PII_PARTS = " UNION ALL ".join(
     f"SELECT doc_id, {n} AS o, '{kind}' AS kind, start, m FROM (SELECT doc_id, m, start, regexp_replace(m, '[^0-9]', '', 'g') AS d FROM (SELECT doc_id, ms[i] AS m, list_sum(list_transform(ps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS start FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '{p}') AS ms, string_split_regex(text, '{p}') AS ps FROM documents)))) WHERE {ok}"
     for n, (kind, (p, ok)) in enumerate(PII_KINDS.items())
 )
+either = lambda word: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
+SECRET_KINDS = {
+    "assign": ("(?:" + "|".join(map(either, ("password", "passwd", "secret", "token", "api_?key"))) + ")[\"'']?\\x20*[:=]\\x20*[\"'']?[A-Za-z0-9+/_.=-]+", "length(regexp_extract(m, '^[A-Za-z_]+[\"'']?\\x20*[:=]\\x20*[\"'']?([A-Za-z0-9+/_.=-]+)$', 1)) >= 12"),
+    "access": ("AKIA[A-Z0-9]+", "length(m) >= 18"),
+    "hex": ("[0-9a-f]+", "length(m) >= 16"),
+}
+SECRET_PARTS = " UNION ALL ".join(
+    f"SELECT doc_id, {n} AS o, '{kind}' AS kind, start, m FROM (SELECT doc_id, ms[i] AS m, list_sum(list_transform(ps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS start FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '{p}') AS ms, string_split_regex(text, '{p}') AS ps FROM documents))) WHERE {ok}"
+    for n, (kind, (p, ok)) in enumerate(SECRET_KINDS.items())
+)
+TERMS = "regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
 ORACLE_SQL: dict[str, str] = {
+    "op11_lexical_search": f"""
+WITH q AS (SELECT DISTINCT item_id, unnest({TERMS.format("text")}) AS term FROM benchmark),
+x AS (SELECT doc_id, unnest({TERMS.format("text")}) AS term FROM documents), n AS (SELECT doc_id, count(*) AS n FROM x GROUP BY doc_id),
+s AS (SELECT count(*) AS docs, sum(n)::BIGINT AS tokens FROM n), tf AS (SELECT doc_id, term, count(*) AS tf FROM x SEMI JOIN q USING (term) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM tf, s GROUP BY term, docs),
+p AS (SELECT doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * docs) // tokens))) AS v FROM tf JOIN w USING (term) JOIN n USING (doc_id), s),
+r AS (SELECT item_id, doc_id, sum(v)::BIGINT AS score FROM q JOIN p USING (term) GROUP BY ALL HAVING sum(v) > 0)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INT AS rank, doc_id, score FROM r QUALIFY rank <= 50
+""",
+    "base_secrets": f"""
+WITH s AS ({SECRET_PARTS}), g AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+  string_agg(kind || ':' || start || ':' || start + length(m), ',' ORDER BY start, o) AS said FROM s GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(said, '')) AS base_sha256 FROM documents LEFT JOIN g USING (doc_id)
+""",
+    "op13_collocations": f"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, list_filter(string_split_regex(unnest(string_split_regex({LOWER}, '[.,;:!?\x0A-\x0D]')), '[\x20\x09]+'), lambda x: x <> '') AS w FROM documents),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM p GROUP BY lang),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM p, range(1, 5) t(k) WHERE len(w) >= k),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 30), c AS (SELECT lang, k, phrase, f, string_split(phrase, ' ') AS w FROM f),
+i AS (SELECT lang, array_to_string(w[b:b + m - 1], ' ') AS phrase, max(f) AS most FROM c, range(2, 4) t(m), range(1, 4) u(b) WHERE m < k AND b + m - 1 <= k GROUP BY ALL),
+a AS (SELECT c.* FROM c LEFT JOIN i USING (lang, phrase) WHERE k > 1 AND (most IS NULL OR 100 * most < 80 * f)),
+s AS (SELECT a.lang, a.phrase, a.f AS a, cut, l.f AS l, r.f AS r, (2000000::HUGEINT * a.f) // (l.f + r.f) AS score FROM a, range(1, 4) t(cut) JOIN f l ON l.lang = a.lang AND l.phrase = array_to_string(a.w[1:cut], ' ') JOIN f r ON r.lang = a.lang AND r.phrase = array_to_string(a.w[cut + 1:a.k], ' ') WHERE cut < a.k),
+b AS (SELECT lang, phrase, a, l, r, score::BIGINT AS score FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY s.score, cut) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY b.score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM b JOIN n USING (lang) QUALIFY rank <= 2000
+""",
     "op1_near_vectors": """
 WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
 ok AS (SELECT * FROM v WHERE v IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
