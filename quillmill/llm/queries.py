@@ -142,9 +142,11 @@ WITH s AS ({SECRET_PARTS}), g AS (SELECT doc_id, count(*) FILTER (kind = 'assign
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(said, '')) AS base_sha256 FROM documents LEFT JOIN g USING (doc_id)
 """,
     "op13_collocations": f"""
-WITH p AS (SELECT coalesce(lang, 'und') AS lang, list_filter(string_split_regex(unnest(string_split_regex({LOWER}, '[.,;:!?\x0A-\x0D]')), '[\x20\x09]+'), lambda x: x <> '') AS w FROM documents),
-n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM p GROUP BY lang),
-g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM p, range(1, 5) t(k) WHERE len(w) >= k),
+WITH d AS (SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang, string_split_regex({LOWER}, '[.,;:!?\\x0A-\\x0D]') AS t FROM documents),
+p AS (SELECT d, lang, unnest(t) AS t, generate_subscripts(t, 1) AS p FROM d), v AS (SELECT d, lang, p, list_filter(string_split_regex(t, '[\\x20\\x09]+'), lambda x: x <> '') AS w FROM p),
+x AS (SELECT d, lang, p, unnest(w) AS w1, generate_subscripts(w, 1) AS i FROM v), n AS (SELECT lang, count(*) AS n FROM x GROUP BY lang),
+y AS (SELECT lang, w1, lead(w1, 1) OVER o AS w2, lead(w1, 2) OVER o AS w3, lead(w1, 3) OVER o AS w4 FROM x WINDOW o AS (PARTITION BY d, p ORDER BY i)),
+g AS (SELECT lang, 1 AS k, w1 AS phrase FROM y UNION ALL SELECT lang, 2, w1 || ' ' || w2 FROM y WHERE w2 IS NOT NULL UNION ALL SELECT lang, 3, w1 || ' ' || w2 || ' ' || w3 FROM y WHERE w3 IS NOT NULL UNION ALL SELECT lang, 4, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4 FROM y WHERE w4 IS NOT NULL),
 f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 30), c AS (SELECT lang, k, phrase, f, string_split(phrase, ' ') AS w FROM f),
 i AS (SELECT lang, array_to_string(w[b:b + m - 1], ' ') AS phrase, max(f) AS most FROM c, range(2, 4) t(m), range(1, 4) u(b) WHERE m < k AND b + m - 1 <= k GROUP BY ALL),
 a AS (SELECT c.* FROM c LEFT JOIN i USING (lang, phrase) WHERE k > 1 AND (most IS NULL OR 100 * most < 80 * f)),

@@ -33,10 +33,13 @@ SENSITIVE = re.compile(rb"pass(?:w|phrase|code)|passwd|pwd|secret|token|api_?key
 CANDIDATE, REACH = re.compile(rb"[A-Za-z0-9+/_.~!@#$%^&*-]{12,}={0,2}"), 64
 EDGE = b".!#$%^&*"
 #: Bytes of text before and after a candidate that it is measured against; compressed bytes a byte from which it is reported; zstandard's level.
-AROUND, NOVEL, LEVEL = 512, 0.85, 9
+AROUND, NOVEL, LEVEL = 512, 0.9, 19
+#: Bytes of the dictionary that go before what is measured, so that a block is never stored as it is; bytes measured at once, too few for letter statistics of their own.
+LEAD, AT_ONCE = 128, 48
 #: Bytes of the identifier dictionary, and identifiers that are looked at for it, from the most frequent on.
 DICT_BYTES, DICT_WORDS = 1 << 16, 20_000
-LETTERS = bytes(c if chr(c).isalpha() and c < 128 or c == 95 or c >= 128 else 32 for c in range(256))
+#: Runs of these are words; a word is an identifier if it has letters and underscores only and occurs so often at least.
+WORDS, IDENTIFIER, OFTEN = bytes(c if chr(c).isalnum() and c < 128 or c in b"_+/=!@#$%^&*~" or c >= 128 else 32 for c in range(256)), re.compile(rb"[A-Za-z_\x80-\xff]{4,24}"), 5
 #: Identifiers that a task counts before it sends them on.
 HELD = 300_000
 
@@ -72,23 +75,25 @@ def candidates(text: bytes) -> list[tuple[int, int]]:
     return out
 
 
-def novelty(text: bytes, s: int, e: int, zstd: zstandard.ZstdCompressor) -> float:
-    """Bytes that the string adds to the compressed text around it, per byte of its own."""
-    before, after = text[max(0, s - AROUND) : s], text[e : e + AROUND]
-    return (len(zstd.compress(after + before + text[s:e])) - len(zstd.compress(after + before))) / (e - s)
+def novelty(text: bytes, s: int, e: int, known: bytes) -> float:
+    """Bytes that the string adds to a compressed text, per byte of its own, given the identifiers and the text around it."""
+    around = known + text[e : e + AROUND] + text[max(0, s - AROUND) : s]
+    zstd = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(around, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_checksum=False, write_content_size=False)
+    lead = around[:LEAD]
+    none = len(zstd.compress(lead))
+    return sum(len(zstd.compress(lead + text[i : min(e, i + AT_ONCE)])) - none for i in range(s, e, AT_ONCE)) / (e - s)
 
 
-def novel_spans(text: bytes, base: Spans, zstd: zstandard.ZstdCompressor) -> Spans:
-    """Candidates that no base span meets, of at least two kinds of characters, whose novelty is NOVEL or more."""
-    out = []
-    for s, e in candidates(text):
-        if any(a < e and s < b for _, a, b in base):
-            continue
-        word = text[s:e]
-        mixed = (re.search(rb"[0-9]", word) is not None) + (re.search(rb"[a-z]", word) is not None) + (re.search(rb".[A-Z]", word) is not None) + (re.search(rb"[^A-Za-z0-9]", word) is not None)
-        if mixed >= 2 and novelty(text, s, e, zstd) >= NOVEL:
-            out.append(("novel", s, e))
-    return out
+def mixed(word: bytes) -> bool:
+    """Whether a string has digits and others, or letters of both cases and signs."""
+    digit, lower, upper, sign = (re.search(x, word) is not None for x in (rb"[0-9]", rb"[a-z]", rb".[A-Z]", rb"[^A-Za-z0-9]"))
+    return digit + lower + upper + sign >= (2 if digit else 3)
+
+
+def novel_spans(text: bytes, base: Spans, known: bytes) -> Spans:
+    """Candidates that no base span meets, of mixed characters, whose novelty is NOVEL or more."""
+    free = [(s, e) for s, e in candidates(text) if not any(a < e and s < b for _, a, b in base)]
+    return [("novel", s, e) for s, e in free if mixed(text[s:e]) and novelty(text, s, e, known) >= NOVEL]
 
 
 def in_code_points(text: bytes, spans: Spans) -> Spans:
@@ -108,26 +113,26 @@ def said(spans: Spans) -> str:
 def identifier_dictionary(docs: DataFrame, text_col: str = "text") -> bytes:
     """The most frequent identifiers (letters and underscores, 4 to 24 bytes) of all texts, DICT_BYTES at most, the most frequent last.
 
-    Strings with digits never enter, so that a key in many copies stays unknown.
+    Strings with digits or signs never enter, so that a key in many copies stays unknown.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[bytes] = Counter()
 
         def send() -> pa.RecordBatch:
-            words = [w for w in seen if 4 <= len(w) <= 24]
+            words = [w for w in seen if IDENTIFIER.fullmatch(w)]
             return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([seen[w] for w in words], pa.int64())], names=["word", "c"])
 
         for batch in batches:
             for x in batch.column(0):
                 if x.is_valid:
-                    seen.update(x.as_buffer().to_pybytes().translate(LETTERS).split())
+                    seen.update(x.as_buffer().to_pybytes().translate(WORDS).split())
                     if len(seen) > HELD:
                         yield send()
                         seen.clear()
         yield send()
 
-    counts = through(spread(docs.select(F.col(text_col).cast("string"))), run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    counts = through(spread(docs.select(F.col(text_col).cast("string"))), run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")).where(F.col("c") >= OFTEN)
     best = counts.orderBy(F.desc(F.col("c") * (F.octet_length("word") - 3)), "word").limit(DICT_WORDS).collect()  # DICT_WORDS rows of 24 bytes at most
     out: list[bytes] = []
     size = 0
@@ -150,15 +155,12 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     known = docs.sparkSession.sparkContext.broadcast(identifier_dictionary(docs, text_col))  # DICT_BYTES at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        d = zstandard.ZstdCompressionDict(known.value, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        d.precompute_compress(level=LEVEL)
-        zstd = zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_checksum=False, write_content_size=False)
         for b in batches:
             rows = []
             for raw in b.column(1):
                 text = raw.as_buffer().to_pybytes() if raw.is_valid else b""
                 base = base_spans(text)
-                more = novel_spans(text, base, zstd)
+                more = novel_spans(text, base, known.value)
                 both = in_code_points(text, sorted(base + more, key=lambda x: (x[1], (*KINDS, "novel").index(x[0]))))
                 own = said([x for x in both if x[0] in KINDS])
                 rows.append((*(sum(x[0] == k for x in base) for k in KINDS), hashlib.sha256(own.encode()).hexdigest(), said(both), len(more)))
