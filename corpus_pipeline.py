@@ -28,20 +28,27 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     return docs.toDF(*names.values()), names
 
 
+def named(rows: DataFrame, names: dict[str, str]) -> DataFrame:
+    """Only numbered()'s columns, by the names that they had."""
+    return rows.select(*(F.col(n).alias(c) for c, n in names.items()))
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Set lang to the predicted language; documents without letters or with an unsure language go."""
     rows, name = numbered(docs)
     model = langid.fit_language_model(rows, name["doc_id"], name["text"], name["lang"])
     said = langid.predict_languages(rows, model, name["text"], tuple(rows.columns))
     kept = said.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
-    return kept.withColumn(name["lang"], F.col("lang_pred")).select(*(F.col(n).alias(c) for c, n in name.items()))
+    return named(kept.withColumn(name["lang"], F.col("lang_pred")), name)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of the n-gram Jaccard join the document with the smallest id stays."""
-    classes = jaccard_join.jaccard_classes(docs, n=NEAR_WORDS, pct=NEAR_PCT)
-    gone = classes.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(sized(gone), "doc_id", "left_anti").select(*docs.columns)
+    rows, name = numbered(docs)
+    key = name["doc_id"]
+    classes = jaccard_join.jaccard_classes(rows, key, name["text"], n=NEAR_WORDS, pct=NEAR_PCT)
+    gone = classes.where(F.col(key) != F.col("component_id")).select(key).distinct()
+    return named(rows.join(sized(gone), key, "left_anti"), name)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,18 +56,20 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     rows, name = numbered(docs)
     found = pii.find_pii(rows, name["doc_id"], name["text"], keep=tuple(c for c in rows.columns if c != name["text"]), redact=True)
     found = found.withColumn(name["text"], F.col("redacted")).withColumn(name["n_chars"], F.length("redacted").cast("long"))
-    return found.select(*(F.col(n).alias(c) for c, n in name.items()))
+    return named(found, name)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sample documents so that sources, languages and topics meet flattened shares."""
-    mixed = mixing.mix(mixing.with_measures(docs)).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(sized(mixed), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select(*docs.columns)
+    rows, name = numbered(docs)
+    measured = rows.select(*(F.col(name[c]).alias(c) for c in ("doc_id", "text", "lang", "source")))
+    kept = mixing.mix(mixing.with_measures(measured)).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    return named(rows.join(sized(kept), F.col(name["doc_id"]).eqNullSafe(F.col("kept_id")), "left_semi"), name)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of ids and decoded text of what is left."""
-    return bpe.bpe_encode(docs, public_tokenizers.path("word_bpe_49k.json"), keep=("doc_id", "lang", "source"))
+    return bpe.bpe_encode(docs.select("doc_id", "text", "lang", "source"), public_tokenizers.path("word_bpe_49k.json"), keep=("doc_id", "lang", "source"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -70,7 +79,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("source_mix", source_mix),
     ("encode", encode),
 ]
-#: Models are trained on the way, which SQL cannot express; tests compare with a plain version.
+#: Models are trained on the way, which SQL cannot express; tests compare each stage's decisions with plain versions.
 ORACLE_SQL = None
 
 
