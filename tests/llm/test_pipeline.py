@@ -55,3 +55,27 @@ def test_op5_against_sql(spark):
     con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{SF}/pages.parquet')")
     want = sorted(con.execute(queries.ORACLE_SQL["op5_warc"]).fetchall())
     assert sorted(tuple(r) for r in queries.op5_warc(spark, SF).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()) == want
+
+
+def test_edge_rows_and_clashing_columns(spark):
+    """Nulls, repeated ids, very long texts and columns with the operators' own names, in every stage."""
+    import corpus_pipeline as p
+
+    extra = ["kept_id", "component_id", "class_id", "lang_pred", "score", "redacted", "spans", "n_tokens", "topic", "probability", "kept", "id", "sig", "ids", "text_"]
+    rows = [(i, f"the and of thing number {i} is that which x{i} " * 12, "en", f"s{i % 2}", 0) for i in range(60)]
+    rows += [(None, None, None, None, None), (None, "the thing that is without an id " * 9, "en", "s0", 0), (7, rows[7][1], "en", "s1", 0), (70, "the of and that which is " * 20_000, "en", None, 0), (71, "", "en", "s0", None)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in extra)
+    docs = spark.createDataFrame([(*r, *([f"v{r[0]}"] * len(extra))) for r in rows], schema)
+    for name, stage in p.STAGES:
+        out = stage(spark, docs, "").collect()
+        if name == "encode":
+            assert len(out) == len(rows)
+            continue
+        assert list(out[0].asDict()) == docs.columns, name
+        assert all(r[c] == f"v{r['doc_id']}" for r in out for c in extra), name
+        ids = [r["doc_id"] for r in out]
+        assert len(ids) <= len(rows) and {70} <= set(ids) or name == "source_mix", name
+        if name == "near_duplicates":
+            assert ids.count(7) == 2 and ids.count(None) == 2  # rows that share an id stand together, null ids stay
+        if name == "personal_data":
+            assert len(ids) == len(rows)
