@@ -1,13 +1,15 @@
 """Phrase collocation mining: distinct pieces with multiplicities, weighted n-gram counts by duckdb per hash bucket, parts looked up by shuffled requests.
 
-Four steps. (1) Texts are cut into pieces of words; equal pieces of a language
+Five steps. (1) Texts are cut into pieces of words; equal pieces of a language
 become one row with a multiplicity, so copies of documents, lines and passages
-are counted once from here on. (2) Each task sums the words, word pairs and
-windows of three or four words of its pieces, and sends them, sorted and compressed, to
-the bucket of their hash (of their first three words). A frequent word or pair thus
-costs a task one row, however often it occurs. (3) A bucket is counted by
+are counted once from here on. (2) Words are counted; a bitmap of the hashes of those that
+are frequent enough goes to all tasks. Phrases of such words only can be candidates
+or parts of one, so others end a piece. (3) Each task sums the pairs and
+windows of three or four words of its pieces, and sends them, in order and compressed, to
+the bucket of their hash (of their first three words). A frequent pair thus
+costs a task one row, however often it occurs. (4) A bucket is counted by
 duckdb, which spills to its task's own folder beyond its memory limit; what
-occurs often enough is kept. (4) Every part and every longer phrase of a candidate is at
+occurs often enough is kept. (5) Every part and every longer phrase of a candidate is at
 least as frequent as the candidate or asks for it, so all of them are in that
 table: candidates send requests to the rows of their parts and of the phrases inside them.
 """
@@ -15,6 +17,7 @@ table: candidates send requests to the rows of their parts and of the phrases in
 from __future__ import annotations
 
 import tempfile
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +35,9 @@ CUT = bytes(10 if c in ENDS else 32 if c == 9 else c + 32 if chr(c) in UPPER els
 #: Words of a phrase, at most; a candidate's least count; a longer phrase with so many hundredths of its count displaces it; phrases a language.
 LONGEST, LEAST, COVER, FIRST = 4, 30, 80, 2000
 #: Words that a task sums before it sends them on; bytes of pieces that a bucket stands for, about; duckdb's memory in a task; buckets that a task deals to at once.
-RUN_WORDS, BUCKET_BYTES, DUCK_MB, DEAL = 4 << 20, 16 << 20, 256, 2048
+RUN_WORDS, BUCKET_BYTES, DUCK_MB, DEAL = 2 << 20, 16 << 20, 256, 2048
+#: Different words that a task counts before it sends them on; bits a frequent word in the bitmap, and of the whole bitmap at most (16 MB; a fuller one lets more words pass and loses none), and of a row of it.
+HELD, BITS, MOST_BITS, ROW_BITS = 300_000, 16, 1 << 27, 1 << 15
 
 
 def pieces(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
@@ -56,10 +61,10 @@ def pieces(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> D
 
 
 def summed(word: np.ndarray, left: np.ndarray, m: np.ndarray, names: pa.Array, langs: pa.Array, hashes: np.ndarray) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """(table of lang, g, w, m; hashes of lang and g) of the distinct words, pairs and windows: g is the first one, two or three words, w the fourth (or empty).
+    """(table of lang, g, w, m; hashes of lang and g) of the distinct pairs and windows: g is the first two or three words, w the fourth (or empty).
 
-    Per place: its word's number, the words left in its piece (itself included), its
-    piece's multiplicity. Per number: its word, language and hash; 0 is no word.
+    Per place: its word's number, the words left in its piece (itself included, 0 for
+    a word that is none of a phrase), its piece's multiplicity. Per number: its word, language and hash; 0 is no word.
     """
     n = len(word)
     pad = np.concatenate([word, np.zeros(4, word.dtype)]).astype(np.int64)
@@ -67,7 +72,7 @@ def summed(word: np.ndarray, left: np.ndarray, m: np.ndarray, names: pa.Array, l
     later = np.concatenate([pair, np.zeros(2, pair.dtype)])[2 : n + 2] + 1
     # where a piece ends after three words, the pair that begins with the third says nothing more than its word: take that, negative
     window = pair << 32 | (np.where(left > 3, later, -pad[2 : n + 2]) & 0xFFFFFFFF)
-    for size, key in ((1, pad[:n]), (2, pair), (3, window)):
+    for size, key in ((2, pair), (3, window)):
         at = np.flatnonzero(left >= size)
         if not len(at):
             continue
@@ -84,12 +89,12 @@ def summed(word: np.ndarray, left: np.ndarray, m: np.ndarray, names: pa.Array, l
         yield pa.table([langs.take(pa.array(of[0])), g, w, pa.array(total)], names=["lang", "g", "w", "m"]), h ^ (h >> np.uint64(32))
 
 
-def shipped(table: pa.Table, h: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+def shipped(table: pa.Table, h: np.ndarray, buckets: int, twice: bool) -> Iterator[pa.RecordBatch]:
     """A row a bucket: (bucket, rows), the bucket's rows of the table compressed, with their hashes where they are dealt twice."""
     bucket = (h % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     edge = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=-1))
-    if buckets > DEAL:
+    if twice:
         table = table.append_column("h", pa.array(h))
     table = table.take(pa.array(order)).combine_chunks()
     for a, b in zip(edge[:-1], edge[1:], strict=True):
@@ -99,42 +104,107 @@ def shipped(table: pa.Table, h: np.ndarray, buckets: int) -> Iterator[pa.RecordB
         yield pa.RecordBatch.from_arrays([pa.array([int(bucket[order[a]])]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["bucket", "rows"])
 
 
-def partial_counts(found: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, rows): each task's own sums, by bucket."""
+def word_counts(found: DataFrame, least: int) -> DataFrame:
+    """(lang, phrase, k, f): the words that occur ``least`` times."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        ids: dict[str, dict[bytes, int]] = {}
-        names, langs, hashes = [b""], [""], [0]
-        parts: list[tuple[list[int], int]] = []
-        held = 0
+        seen: dict[str, dict[bytes, int]] = {}
 
         def send() -> Iterator[pa.RecordBatch]:
-            size = np.array([len(p[0]) for p in parts], np.int64)
-            word = np.concatenate([np.array(p[0], np.int32) for p in parts])
-            left = np.repeat(np.cumsum(size), size) - np.arange(len(word))
-            m = np.repeat(np.array([p[1] for p in parts], np.int64), size)
-            for table, h in summed(word, left, m, pa.array(names, pa.binary()).cast(pa.string()), pa.array(langs), np.array(hashes, np.uint64)):
-                yield from shipped(table, h, buckets)
+            for lang, count in seen.items():
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(count), pa.string()), pa.array(list(count), pa.binary()).cast(pa.string()), pa.array(list(count.values()), pa.int64())], names=["lang", "phrase", "f"])
 
         for batch in batches:
             for lang, piece, m in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                words, known = piece.as_buffer().to_pybytes().split(b" "), ids.setdefault(lang, {})
+                count = seen.setdefault(lang, {})
+                for w in piece.as_buffer().to_pybytes().split(b" "):
+                    count[w] = count.get(w, 0) + m
+            if sum(map(len, seen.values())) > HELD:
+                yield from send()
+                seen = {}
+        yield from send()
+
+    per = through(found, run, "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+    return per.where(F.col("f") >= least).select("lang", "phrase", F.lit(1).alias("k"), "f")
+
+
+def word_hash(lang: str, word: bytes) -> int:
+    import xxhash
+
+    return xxhash.xxh3_64_intdigest(lang.encode() + b"\0" + word)
+
+
+def bitmap(words: DataFrame) -> bytes:
+    """Bits at the hashes of words, BITS a word (a power of two in all, MOST_BITS at most); in rows of ROW_BITS, so that no task holds it all."""
+    bits = ROW_BITS
+    n = words.count()
+    while bits < min(MOST_BITS, BITS * n):
+        bits *= 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.array([word_hash(lang, w.encode()) % bits for lang, w in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(at // ROW_BITS), pa.array(at % ROW_BITS)], names=["row", "at"])
+
+    def one(table: pa.Table) -> pa.Table:
+        part = np.zeros(ROW_BITS, np.uint8)
+        part[np.asarray(table["at"])] = 1
+        return pa.table([table["row"].slice(0, 1), pa.array([np.packbits(part).tobytes()], pa.binary())], names=["row", "bits"])
+
+    out = bytearray(bits // 8)
+    for r in through(words.select("lang", "phrase"), run, "row long, at long").distinct().groupBy("row").applyInArrow(one, "row long, bits binary").collect():  # MOST_BITS at most
+        out[r["row"] * ROW_BITS // 8 : (r["row"] + 1) * ROW_BITS // 8] = r["bits"]
+    return bytes(out)
+
+
+def partial_counts(found: DataFrame, frequent_words: bytes, buckets: int) -> DataFrame:
+    """(bucket, rows): each task's own sums, by bucket."""
+    sent, twice = found.sparkSession.sparkContext.broadcast(frequent_words), buckets > DEAL
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(sent.value, np.uint8)
+
+        class Words:
+            """Numbers of words, from 1; a word that is not frequent is 0."""
+
+            def __init__(self) -> None:
+                self.names, self.langs, self.hashes, self.ids = [b""], [""], [0], {}
+                self.flat, self.size, self.m = array("i"), [], []
+
+            def add(self, lang: str, piece: bytes, m: int) -> None:
+                known, words = self.ids.setdefault(lang, {}), piece.split(b" ")
                 for w in words:
                     if w not in known:
-                        known[w] = len(names)
-                        names.append(w)
-                        langs.append(lang)
-                        hashes.append(xxhash.xxh3_64_intdigest(lang.encode() + b"\0" + w))
-                parts.append(([known[w] for w in words], m))
-                held += len(words)
-                if held >= RUN_WORDS:
-                    yield from send()
-                    ids, parts, held = {}, [], 0
-                    names, langs, hashes = [b""], [""], [0]
-        if parts:
-            yield from send()
+                        h = word_hash(lang, w)
+                        at = h % (len(bits) * 8)
+                        often = bits[at >> 3] >> (7 - (at & 7)) & 1
+                        known[w] = len(self.names) if often else 0
+                        if often:
+                            self.names.append(w)
+                            self.langs.append(lang)
+                            self.hashes.append(h)
+                self.flat.extend([known[w] for w in words])
+                self.size.append(len(words))
+                self.m.append(m)
+
+            def send(self) -> Iterator[pa.RecordBatch]:
+                word, size = np.frombuffer(self.flat, np.int32), np.array(self.size, np.int64)
+                place = np.arange(len(word))
+                stop = np.where(word == 0, place, len(word))
+                stop = np.minimum(np.minimum.accumulate(stop[::-1])[::-1], np.repeat(np.cumsum(size), size))
+                m = np.repeat(np.array(self.m, np.int64), size)
+                for table, h in summed(word, stop - place, m, pa.array(self.names, pa.binary()).cast(pa.string()), pa.array(self.langs), np.array(self.hashes, np.uint64)):
+                    yield from shipped(table, h, buckets, twice)
+
+        run = Words()
+        for batch in batches:
+            for lang, piece, m in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                run.add(lang, piece.as_buffer().to_pybytes(), m)
+                if len(run.flat) >= RUN_WORDS:
+                    yield from run.send()
+                    run = Words()
+        if run.size:
+            yield from run.send()
 
     return through(found, run, "bucket long, rows binary")
 
@@ -155,10 +225,10 @@ def dealt(parts: DataFrame, buckets: int) -> DataFrame:
             for blob in batch.column(1):
                 held += unshipped(blob)
                 if sum(map(len, held)) >= RUN_WORDS:
-                    yield from shipped(pa.Table.from_batches(held).drop_columns("h"), np.concatenate([np.asarray(x["h"]) for x in held]), buckets)
+                    yield from shipped(pa.Table.from_batches(held).drop_columns("h"), np.concatenate([np.asarray(x["h"]) for x in held]), buckets, False)
                     held = []
         if held:
-            yield from shipped(pa.Table.from_batches(held).drop_columns("h"), np.concatenate([np.asarray(x["h"]) for x in held]), buckets)
+            yield from shipped(pa.Table.from_batches(held).drop_columns("h"), np.concatenate([np.asarray(x["h"]) for x in held]), buckets, False)
 
     groups = parts.withColumn("bucket", F.pmod("bucket", F.lit(DEAL))).repartition(DEAL, "bucket")
     return through(groups, run, "bucket long, rows binary").repartition(buckets, "bucket")
@@ -204,8 +274,9 @@ def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
         words = scratch.stash(found.groupBy("lang").agg(F.sum(F.col("m") * long).alias("n"), F.sum(F.octet_length("piece")).alias("bytes")))
         volume = words.agg(F.sum("bytes")).first()[0] or 0
         buckets = max(docs.sparkSession.sparkContext.defaultParallelism, -(-volume // BUCKET_BYTES))
-        counts = scratch.stash(frequent(dealt(partial_counts(found, buckets), buckets), least))
-        return scratch.finish(ranked(counts, words.select("lang", "n"), cover, first))
+        single = scratch.stash(word_counts(found, least))
+        counts = scratch.stash(frequent(dealt(partial_counts(found, bitmap(single), buckets), buckets), least))
+        return scratch.finish(ranked(single.unionByName(counts), words.select("lang", "n"), cover, first))
     finally:
         scratch.drop()
 

@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmill.llm.common import through
+from quillmill.llm.common import Scratch, through
 from quillmill.session import spread
 
 Spans = list[tuple[str, int, int]]
@@ -132,8 +132,16 @@ def identifier_dictionary(docs: DataFrame, text_col: str = "text") -> bytes:
                         seen.clear()
         yield send()
 
-    counts = through(spread(docs.select(F.col(text_col).cast("string"))), run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")).where(F.col("c") >= OFTEN)
-    best = counts.orderBy(F.desc(F.col("c") * (F.octet_length("word") - 3)), "word").limit(DICT_WORDS).collect()  # DICT_WORDS rows of 24 bytes at most
+    with Scratch(docs.sparkSession) as scratch:
+        counts = through(spread(docs.select(F.col(f"`{text_col}`").cast("string"))), run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")).where(F.col("c") >= OFTEN)
+        counts = scratch.stash(counts.withColumn("worth", F.col("c") * (F.octet_length("word") - 3)).withColumn("octave", F.floor(8 * F.log2("worth")).cast("int")))
+        bound, total = 1 << 30, 0
+        for r in counts.groupBy("octave").agg(F.count("*").alias("n")).orderBy(F.desc("octave")).collect():  # at most 8 x 63 rows
+            total += r["n"]
+            if total > DICT_WORDS:
+                break
+            bound = r["octave"]
+        best = sorted(counts.where(F.col("octave") >= bound).collect(), key=lambda r: (-r["worth"], r["word"]))  # DICT_WORDS rows of 24 bytes at most
     out: list[bytes] = []
     size = 0
     for r in best:
