@@ -2,10 +2,10 @@
 
 Five steps. (1) Texts are cut into pieces of words; equal pieces of a language
 become one row with a multiplicity, so copies of documents, lines and passages
-are counted once from here on. (2) Words are counted; a bitmap of the hashes of those that
-are frequent enough goes to all tasks. Phrases of such words only can be candidates
-or parts of one, so others end a piece. (3) Each task sums the pairs and
-windows of three or four words of its pieces, and sends them, in order and compressed, to
+are counted once from here on. (2) Words, then pairs, then windows of three or
+four words are counted. A phrase cannot be more frequent than what is in it, so a
+bitmap of the hashes of frequent words, and then of frequent pairs, tells tasks where a
+phrase must end. (3) Each task sums the pairs or windows of its pieces and sends them, in order and compressed, to
 the bucket of their hash (of their first three words). A frequent pair thus
 costs a task one row, however often it occurs. (4) A bucket is counted by
 duckdb, which spills to its task's own folder beyond its memory limit; what
@@ -35,8 +35,8 @@ CUT = bytes(10 if c in ENDS else 32 if c == 9 else c + 32 if chr(c) in UPPER els
 #: Words of a phrase, at most; a candidate's least count; a longer phrase with so many hundredths of its count displaces it; phrases a language.
 LONGEST, LEAST, COVER, FIRST = 4, 30, 80, 2000
 #: Words that a task sums before it sends them on; bytes of pieces that a bucket stands for, about; duckdb's memory in a task; buckets that a task deals to at once.
-RUN_WORDS, BUCKET_BYTES, DUCK_MB, DEAL = 2 << 20, 16 << 20, 256, 2048
-#: Different words that a task counts before it sends them on; bits a frequent word in the bitmap, and of the whole bitmap at most (16 MB; a fuller one lets more words pass and loses none), and of a row of it.
+RUN_WORDS, BUCKET_BYTES, DUCK_MB, DEAL = 2 << 20, 4 << 20, 256, 4096
+#: Different words that a task counts before it sends them on; bits a frequent phrase in a bitmap, of a whole bitmap at most (16 MB; a fuller one lets more phrases pass and loses none), and of a row of it.
 HELD, BITS, MOST_BITS, ROW_BITS = 300_000, 16, 1 << 27, 1 << 15
 
 
@@ -60,33 +60,38 @@ def pieces(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> D
     return through(spread(rows), run, "lang string, piece string, m long").groupBy("lang", "piece").agg(F.sum("m").alias("m"))
 
 
-def summed(word: np.ndarray, left: np.ndarray, m: np.ndarray, names: pa.Array, langs: pa.Array, hashes: np.ndarray) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """(table of lang, g, w, m; hashes of lang and g) of the distinct pairs and windows: g is the first two or three words, w the fourth (or empty).
+def phrase_hash(words: list[np.ndarray]) -> np.ndarray:
+    """Hashes of phrases from those of their first, second, .. words."""
+    h = np.full(len(words[0]), len(words), np.uint64)
+    for x in words:
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + x
+    return h ^ (h >> np.uint64(32))
 
-    Per place: its word's number, the words left in its piece (itself included, 0 for
-    a word that is none of a phrase), its piece's multiplicity. Per number: its word, language and hash; 0 is no word.
+
+def summed(size: int, word: np.ndarray, left: np.ndarray, m: np.ndarray, names: pa.Array, langs: pa.Array, hashes: np.ndarray) -> tuple[pa.Table, np.ndarray] | None:
+    """(table of lang, g, w, m; hashes of lang and g) of the distinct phrases: g is the first ``size`` words (2 or 3), w after three the fourth (or empty).
+
+    Per place: its word's number, how many words from it on can be a phrase (0 or
+    more), its piece's multiplicity. Per number: its word, language and hash; 0 is
+    no word.
     """
-    n = len(word)
+    at = np.flatnonzero(left >= size)
+    if not len(at):
+        return None
     pad = np.concatenate([word, np.zeros(4, word.dtype)]).astype(np.int64)
-    _, pair = np.unique(pad[:n] << 32 | np.where(left > 1, pad[1 : n + 1], 0), return_inverse=True)
-    later = np.concatenate([pair, np.zeros(2, pair.dtype)])[2 : n + 2] + 1
-    # where a piece ends after three words, the pair that begins with the third says nothing more than its word: take that, negative
-    window = pair << 32 | (np.where(left > 3, later, -pad[2 : n + 2]) & 0xFFFFFFFF)
-    for size, key in ((2, pair), (3, window)):
-        at = np.flatnonzero(left >= size)
-        if not len(at):
-            continue
-        order = np.argsort(key[at], kind="stable")
-        where = at[order]
-        start = np.flatnonzero(np.diff(key[where], prepend=-1 << 62))
-        total, first = np.add.reduceat(m[where], start), where[start]
-        of = [pad[first + j] for j in range(size)]
-        h = np.full(len(first), size, np.uint64)
-        for ids in of:
-            h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + hashes[ids]
-        g = pc.binary_join_element_wise(*[names.take(pa.array(ids)) for ids in of], " ")
-        w = names.take(pa.array(np.where(left[first] > 3, pad[first + 3], 0) if size == 3 else np.zeros(len(first), np.int64)))
-        yield pa.table([langs.take(pa.array(of[0])), g, w, pa.array(total)], names=["lang", "g", "w", "m"]), h ^ (h >> np.uint64(32))
+    key = pad[at] << 32 | pad[at + 1]
+    if size == 3:
+        last = np.where(left[at] > 3, pad[at + 3], 0)
+        _, rank = np.unique(np.concatenate([key, pad[at + 2] << 32 | last]), return_inverse=True)
+        key = rank[: len(at)] << 32 | rank[len(at) :]
+    order = np.argsort(key, kind="stable")
+    where = at[order]
+    start = np.flatnonzero(np.diff(key[order], prepend=-1))
+    total, first = np.add.reduceat(m[where], start), where[start]
+    of = [pad[first + j] for j in range(size)]
+    g = pc.binary_join_element_wise(*[names.take(pa.array(ids)) for ids in of], " ")
+    w = names.take(pa.array(np.where(left[first] > 3, pad[first + 3], 0) if size == 3 else np.zeros(len(first), np.int64)))
+    return pa.table([langs.take(pa.array(of[0])), g, w, pa.array(total)], names=["lang", "g", "w", "m"]), phrase_hash([hashes[ids] for ids in of])
 
 
 def shipped(table: pa.Table, h: np.ndarray, buckets: int, twice: bool) -> Iterator[pa.RecordBatch]:
@@ -134,17 +139,19 @@ def word_hash(lang: str, word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(lang.encode() + b"\0" + word)
 
 
-def bitmap(words: DataFrame) -> bytes:
-    """Bits at the hashes of words, BITS a word (a power of two in all, MOST_BITS at most); in rows of ROW_BITS, so that no task holds it all."""
+def bitmap(phrases: DataFrame) -> bytes:
+    """Bits at the hashes of phrases of one length, BITS a phrase (a power of two in all, MOST_BITS at most); in rows of ROW_BITS, so that no task holds it all."""
     bits = ROW_BITS
-    n = words.count()
+    n = phrases.count()
     while bits < min(MOST_BITS, BITS * n):
         bits *= 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = np.array([word_hash(lang, w.encode()) % bits for lang, w in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(at // ROW_BITS), pa.array(at % ROW_BITS)], names=["row", "at"])
+            said = [[word_hash(lang, w.encode()) for w in p.split(" ")] for lang, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            if said:
+                at = (phrase_hash([np.array(x, np.uint64) for x in zip(*said, strict=True)]) % np.uint64(bits)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(at // ROW_BITS), pa.array(at % ROW_BITS)], names=["row", "at"])
 
     def one(table: pa.Table) -> pa.Table:
         part = np.zeros(ROW_BITS, np.uint8)
@@ -152,17 +159,22 @@ def bitmap(words: DataFrame) -> bytes:
         return pa.table([table["row"].slice(0, 1), pa.array([np.packbits(part).tobytes()], pa.binary())], names=["row", "bits"])
 
     out = bytearray(bits // 8)
-    for r in through(words.select("lang", "phrase"), run, "row long, at long").distinct().groupBy("row").applyInArrow(one, "row long, bits binary").collect():  # MOST_BITS at most
+    for r in through(phrases.select("lang", "phrase"), run, "row long, at long").distinct().groupBy("row").applyInArrow(one, "row long, bits binary").collect():  # MOST_BITS at most
         out[r["row"] * ROW_BITS // 8 : (r["row"] + 1) * ROW_BITS // 8] = r["bits"]
     return bytes(out)
 
 
-def partial_counts(found: DataFrame, frequent_words: bytes, buckets: int) -> DataFrame:
-    """(bucket, rows): each task's own sums, by bucket."""
-    sent, twice = found.sparkSession.sparkContext.broadcast(frequent_words), buckets > DEAL
+def marked(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    at = (h % np.uint64(len(bits) * 8)).astype(np.int64)
+    return (bits[at >> 3] >> (7 - (at & 7)) & 1).astype(bool)
+
+
+def partial_counts(found: DataFrame, size: int, often: list[bytes], buckets: int) -> DataFrame:
+    """(bucket, rows): each task's own sums of pairs, or of windows, by bucket; ``often`` holds the bitmaps of the words, and of the pairs, that can be in them."""
+    sent, twice = found.sparkSession.sparkContext.broadcast(often), buckets > DEAL
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(sent.value, np.uint8)
+        bits = [np.frombuffer(x, np.uint8) for x in sent.value]
 
         class Words:
             """Numbers of words, from 1; a word that is not frequent is 0."""
@@ -173,13 +185,13 @@ def partial_counts(found: DataFrame, frequent_words: bytes, buckets: int) -> Dat
 
             def add(self, lang: str, piece: bytes, m: int) -> None:
                 known, words = self.ids.setdefault(lang, {}), piece.split(b" ")
-                for w in words:
-                    if w not in known:
-                        h = word_hash(lang, w)
-                        at = h % (len(bits) * 8)
-                        often = bits[at >> 3] >> (7 - (at & 7)) & 1
-                        known[w] = len(self.names) if often else 0
-                        if often:
+                if new := [w for w in words if w not in known]:
+                    hashes = [word_hash(lang, w) for w in new]
+                    for w, h, yes in zip(new, hashes, marked(bits[0], phrase_hash([np.array(hashes, np.uint64)])).tolist(), strict=True):
+                        if not yes:
+                            known[w] = 0
+                        elif w not in known:
+                            known[w] = len(self.names)
                             self.names.append(w)
                             self.langs.append(lang)
                             self.hashes.append(h)
@@ -188,13 +200,21 @@ def partial_counts(found: DataFrame, frequent_words: bytes, buckets: int) -> Dat
                 self.m.append(m)
 
             def send(self) -> Iterator[pa.RecordBatch]:
-                word, size = np.frombuffer(self.flat, np.int32), np.array(self.size, np.int64)
+                word, count = np.frombuffer(self.flat, np.int32), np.array(self.size, np.int64)
+                hashes = np.array(self.hashes, np.uint64)
+                after = np.append(word[1:], 0)
+                after[np.cumsum(count) - 1] = 0
+                link = (word > 0) & (after > 0)  # whether the next word may follow in a phrase
+                for pairs in bits[1:]:
+                    at = np.flatnonzero(link)
+                    link[at] = marked(pairs, phrase_hash([hashes[word[at]], hashes[after[at]]]))
                 place = np.arange(len(word))
-                stop = np.where(word == 0, place, len(word))
-                stop = np.minimum(np.minimum.accumulate(stop[::-1])[::-1], np.repeat(np.cumsum(size), size))
-                m = np.repeat(np.array(self.m, np.int64), size)
-                for table, h in summed(word, stop - place, m, pa.array(self.names, pa.binary()).cast(pa.string()), pa.array(self.langs), np.array(self.hashes, np.uint64)):
-                    yield from shipped(table, h, buckets, twice)
+                stop = np.minimum.accumulate(np.where(link, len(word), place)[::-1])[::-1]
+                left = np.where(word > 0, stop - place + 1, 0)
+                m = np.repeat(np.array(self.m, np.int64), count)
+                got = summed(size, word, left, m, pa.array(self.names, pa.binary()).cast(pa.string()), pa.array(self.langs), hashes)
+                if got:
+                    yield from shipped(*got, buckets, twice)
 
         run = Words()
         for batch in batches:
@@ -275,8 +295,11 @@ def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
         volume = words.agg(F.sum("bytes")).first()[0] or 0
         buckets = max(docs.sparkSession.sparkContext.defaultParallelism, -(-volume // BUCKET_BYTES))
         single = scratch.stash(word_counts(found, least))
-        counts = scratch.stash(frequent(dealt(partial_counts(found, bitmap(single), buckets), buckets), least))
-        return scratch.finish(ranked(single.unionByName(counts), words.select("lang", "n"), cover, first))
+        often = [bitmap(single)]
+        pairs = scratch.stash(frequent(dealt(partial_counts(found, 2, often, buckets), buckets), least))
+        often.append(bitmap(pairs))
+        windows = scratch.stash(frequent(dealt(partial_counts(found, 3, often, buckets), buckets), least))
+        return scratch.finish(ranked(single.unionByName(pairs).unionByName(windows), words.select("lang", "n"), cover, first))
     finally:
         scratch.drop()
 
