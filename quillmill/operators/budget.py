@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
+
+from quillmill.session import Scratch
 
 # The default budget and each kind's share of it.
 BUDGET_CHARS = 180_000
@@ -46,30 +51,53 @@ def trim_to_quota(df: DataFrame, kind: str, size: Column, pos: str, quota: dict[
     return rows.where(~edge).unionByName(late).select(*df.columns)
 
 
-def fill(df: DataFrame, id_col: str, cost: Column, rank: list[Column], budget: int, step: int = 20_000) -> list:
-    """Ids that a walk in rank order keeps: a row is skipped if something is kept and its cost no longer fits.
+#: Rows that a walk takes to the driver at once, and ranges that a longer stretch is cut into.
+LEAF, RANGES = 20_000, 64
+
 
-    Each step fetches the best rows that still fit, ``step`` at most, so the driver
-    holds no more than the kept ids (bounded by the budget) and one step. Rows of cost
-    0 always stay and are not listed.
+def fill(df: DataFrame, id_col: str, cost: Column, rank: list[Column], budget: int, scratch: Scratch, leaf: int = LEAF, ranges: int = RANGES) -> DataFrame:
+    """(id): what a walk in rank order keeps: a row is skipped if something is kept and its cost no longer fits.
+
+    Rows are cut into ranges of rank, of which the driver sees the sum and the least
+    cost. A range that fits is kept as a whole, one whose least cost no longer fits is
+    skipped, and only others are looked into: cut into ranges again, or walked row by
+    row where they have at most ``leaf`` rows. Looking into a range keeps a row of it at least, so
+    there are few. Rows of cost 0 always stay and are not listed.
     """
     order = F.struct(*[c.alias(f"r{i}") for i, c in enumerate(rank)])
-    rows = df.select(F.col(id_col).alias("id"), cost.cast("long").alias("cost"), order.alias("r"))
-    first = rows.orderBy("r").limit(1).collect()
-    if not first:
-        return []
-    kept, used, last = [], 0, None
-    if first[0]["cost"] > 0:
-        kept, used, last = [first[0]["id"]], first[0]["cost"], first[0]["r"]
-    while True:
-        rest = rows.where((F.col("cost") > 0) & (F.col("cost") <= budget - used))
-        if last is not None:
-            rest = rest.where(F.col("r") > F.struct(*[F.lit(v).cast(t.dataType).alias(t.name) for v, t in zip(last, rows.schema["r"].dataType.fields, strict=True)]))
-        got = rest.orderBy("r").limit(step).collect()
-        for row in got:
-            last = row["r"]
-            if used + row["cost"] <= budget:
-                kept.append(row["id"])
-                used += row["cost"]
-        if len(got) < step:
-            return kept
+    rows = scratch.stash(df.select(F.col(id_col).alias("id"), cost.cast("long").alias("cost"), order.alias("r")))
+    empty = rows.select("id").limit(0)
+    head = rows.agg(F.min(F.struct("r", "cost", "id")).alias("x"), F.count("*").alias("n")).first()
+    if not head["n"]:
+        return empty
+    one = head["x"]["id"] if head["x"]["cost"] > 0 else None  # the first row of all stays, whatever it costs
+    used = max(head["x"]["cost"], 0)
+    whole: list[DataFrame] = []
+    single = [] if one is None else [one]
+
+    def walk(part: DataFrame, n: int) -> None:
+        nonlocal used
+        if n <= leaf:
+            for row in part.where(F.col("cost") <= budget - used).orderBy("r").collect():
+                if used + row["cost"] <= budget:
+                    single.append(row["id"])
+                    used += row["cost"]
+            return
+        cut = scratch.stash(part.repartitionByRange(ranges, "r").withColumn("_part", F.spark_partition_id()))
+        keep = []
+        for s in cut.groupBy("_part").agg(F.sum("cost").alias("sum"), F.min("cost").alias("least"), F.count("*").alias("n")).orderBy("_part").collect():  # ``ranges`` rows
+            if used + s["sum"] <= budget:
+                keep.append(s["_part"])
+                used += s["sum"]
+            elif used + s["least"] <= budget:
+                inner = cut.where((F.col("_part") == s["_part"]) & (F.col("cost") <= budget - used)).drop("_part")
+                walk(inner, s["n"] if s["n"] <= leaf else inner.count())
+        if keep:
+            whole.append(cut.where(F.col("_part").isin(keep)).select("id"))
+
+    rest = rows.where(F.col("cost") > 0)
+    if one is not None:
+        rest = rest.where(~F.col("id").eqNullSafe(F.lit(one)))
+    walk(rest, head["n"])
+    schema = StructType([StructField("id", rows.schema["id"].dataType)])
+    return reduce(DataFrame.union, whole, rows.sparkSession.createDataFrame([(i,) for i in single], schema))  # rows of a few ranges at most

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmill.functions.text import let
-from quillmill.session import shared_dir
+from quillmill.session import Scratch
 
 #: Slots of the table that tells how often shingles occur, a byte each.
 SLOTS = 1 << 16
@@ -90,36 +90,121 @@ def survivors(ranked: DataFrame, id_col: str, text_col: str, rank: list[Column],
     """(id, twin): twin is null for survivors, else the first accepted better-ranked document that is nearly the same.
 
     Goes through documents from the best rank down and drops one that is similar to an
-    accepted one; done in rounds, as a document is decided when all its better
-    neighbours are. ``rank`` must order documents completely.
+    accepted one, as :func:`dropped` does for distinct sets. ``rank`` must order
+    documents completely.
     """
-    shared_dir(ranked.sparkSession)  # rounds cut their lineage there
-    order = F.struct(*[c.alias(f"r{i}") for i, c in enumerate(rank)])
-    base = ranked.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), order.alias("r"))
-    classes = shingle_classes(base, "id", "text").persist(StorageLevel.MEMORY_AND_DISK)
-    placed = classes.join(base.select("id", "r"), "id")
-    best = placed.where("n > 0").groupBy("rep").agg(F.min_by("id", "r").alias("best"), F.min("r").alias("r"))
-    pairs = pairs_of(classes, pct).select("a", "b")
-    ends = lambda x: best.select(F.col("rep").alias(x), F.col("r").alias("r" + x))
-    ordered = pairs.join(ends("a"), "a").join(ends("b"), "b")
-    edges = ordered.select(F.when(F.col("ra") < F.col("rb"), F.col("a")).otherwise(F.col("b")).alias("better"), F.when(F.col("ra") < F.col("rb"), F.col("b")).otherwise(F.col("a")).alias("worse"), F.least("ra", "rb").alias("rbest"))
-    edges = edges.checkpoint()
-    state = edges.select(F.col("better").alias("id")).union(edges.select("worse")).distinct().withColumn("kept", F.lit(None).cast("boolean"))
-    undecided = None
-    while undecided != 0:  # the best-ranked undecided document is decided in each round
-        near = edges.join(state.select(F.col("id").alias("better"), "kept"), "better").groupBy("worse").agg(F.bool_or(F.coalesce("kept", F.lit(False))).alias("out"), F.bool_or(F.col("kept").isNull()).alias("open"))
-        state = state.join(near.withColumnRenamed("worse", "id"), "id", "left")
-        now = F.when(F.col("out"), False).when(~F.coalesce("open", F.lit(False)), True)
-        state = state.select("id", F.coalesce("kept", now).alias("kept"))
-        state = state.checkpoint()
-        left = state.where("kept is null").count()
-        if left and left == undecided:
-            raise ValueError("rank does not order the documents completely")
-        undecided = left
-    accepted = edges.join(state.where("kept").select(F.col("id").alias("better")), "better").groupBy("worse").agg(F.min_by("better", "rbest").alias("twin_rep"))
-    result = best.join(accepted.select(F.col("worse").alias("rep"), "twin_rep"), "rep", "left")
-    result = result.join(best.select(F.col("rep").alias("twin_rep"), F.col("best").alias("twin_best")), "twin_rep", "left")
-    out = classes.select("id", "rep").join(result.select("rep", "best", "twin_best"), "rep", "left")
+    with Scratch(ranked.sparkSession) as scratch:
+        order = F.struct(*[c.alias(f"r{i}") for i, c in enumerate(rank)])
+        base = ranked.select(F.col(id_col).alias("id"), order.alias("r"), F.col(text_col).alias("text"))
+        placed = scratch.stash(numbered_sets(base))
+        sets = scratch.stash(distinct_sets(placed))
+        gone = dropped(sets, scratch.stash(postings(sets, pct)), pct, scratch)
+        return scratch.finish(with_twins(placed, gone))
+
+
+def numbered_sets(base: DataFrame) -> DataFrame:
+    """(id, k, sig, n, hashes) of (id, r, text): k rises with r; rows with an equal sig have an equal set."""
+    in_order = base.repartitionByRange("r").sortWithinPartitions("r")
+    sets = in_order.select("id", F.monotonically_increasing_id().alias("k"), F.sort_array(shingle_hashes(F.col("text"))).alias("hashes"))
+    return sets.select("id", "k", F.sha2(F.array_join("hashes", ","), 256).alias("sig"), F.size("hashes").alias("n"), "hashes")
+
+
+def distinct_sets(placed: DataFrame) -> DataFrame:
+    """(k, sig, n, hashes): each set that is not empty once, with the k of its best-ranked document."""
+    return placed.where("n > 0").groupBy("sig").agg(F.min("k").alias("k"), F.first("n").alias("n"), F.first("hashes").alias("hashes"))
+
+
+def postings(sets: DataFrame, pct: int, order: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(k, n, pos, h): the prefix elements of each set, rare ones first unless another order is given."""
+    order = order or rare_first(sets.withColumnRenamed("k", "id"))
+    prefix = F.slice(F.sort_array(F.transform("hashes", order)), 1, F.col("n") - F.ceil(F.col("n") * pct / 100).cast("int") + 1)
+    return sets.select("k", "n", F.posexplode(F.transform(prefix, lambda x: x["h"])).alias("pos", "h"))
+
+
+def with_twins(placed: DataFrame, gone: DataFrame) -> DataFrame:
+    """(id, twin) of all documents from the sets (k, twin) that go."""
+    best = placed.where("n > 0").groupBy("sig").agg(F.min("k").alias("best"))
+    member = placed.select("id", "k", "sig").join(best, "sig", "left").join(gone.select(F.col("k").alias("best"), "twin"), "best", "left")
     # a copy of an accepted document is its twin's; a copy of a dropped one has the same twin
-    return out.select("id", F.when(F.col("twin_best").isNotNull(), F.col("twin_best")).when(F.col("id") != F.col("best"), F.col("best")).alias("twin"))
+    told = member.select("id", F.coalesce("twin", F.when(F.col("k") != F.col("best"), F.col("best"))).alias("k"))
+    return told.join(placed.select("k", F.col("id").alias("twin")), "k", "left").select("id", "twin")
+
+
+#: Best-ranked undecided sets of a list that all others in it are compared with in the first round, and how many times more in each round after it.
+LEADERS, MORE = 8, 8
 
+
+def led_pairs(lead: DataFrame, posts: DataFrame, pct: int) -> DataFrame:
+    """(a, b): pairs of a leader and a worse-ranked set of the same list, by sizes and places not too unlike."""
+    side = lambda df, x: df.select(F.col("k").alias(x), F.col("n").alias("n" + x), F.col("pos").alias("pos" + x), "h")
+    size = (100 * F.least("na", "nb") >= pct * F.greatest("na", "nb")) & (F.col("a") < F.col("b"))
+    enough = (100 + pct) * F.least(F.col("na") - F.col("posa"), F.col("nb") - F.col("posb")) >= pct * (F.col("na") + F.col("nb"))
+    return side(lead, "a").join(side(posts, "b"), "h").where(size & enough).select("a", "b").distinct()
+
+
+def alike(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
+    """The pairs (a, b) of sets with Jaccard >= pct / 100."""
+    left, right = (sets.select(F.col("k").alias(x), F.col("hashes").alias("h" + x)) for x in "ab")
+    inter = F.size(F.array_intersect("ha", "hb"))
+    return pairs.join(left, "a").join(right, "b").where(100 * inter >= pct * (F.size("ha") + F.size("hb") - inter)).select("a", "b")
+
+
+def dropped(sets: DataFrame, posts: DataFrame, pct: int, scratch: Scratch) -> DataFrame:
+    """(k, twin): the sets that a walk from the smallest k up drops, and the smallest accepted one that each is similar to.
+
+    In a round, the first undecided sets of each list (its leaders) are compared with
+    all undecided sets of the list. A set that is a leader in all its lists knows
+    all better-ranked sets that it may be similar to, so its fate follows from
+    theirs; a set similar to an accepted one goes at once. The next round has
+    only what is left. So a group of near copies costs a few comparisons a member,
+    not a member each, and where a list holds many sets that are not similar, as a
+    frequent passage makes, each is compared with the accepted ones. The first
+    undecided set of all is decided in every round.
+    """
+    lists = posts.groupBy("h").agg(F.count("*").alias("m")).where("m > 1").select("h")
+    every = scratch.stash(posts.join(lists, "h"))
+    undecided, leaders, turn = every, LEADERS, 0
+    accepted: list[DataFrame] = []
+    gone: list[DataFrame] = []
+    while not undecided.isEmpty():
+        lead = scratch.stash(undecided.withColumn("_r", F.row_number().over(Window.partitionBy("h").orderBy("k"))).where(F.col("_r") <= leaders).drop("_r"))
+        edges = scratch.stash(alike(led_pairs(lead, undecided, pct), sets, pct))
+        led = lead.groupBy("k").agg(F.count("*").alias("led"))
+        informed = scratch.stash(undecided.groupBy("k").agg(F.count("*").alias("lists")).join(led, "k").where("led = lists").select("k"))
+        took, out = decided(edges, informed, scratch)
+        twins = edges.join(took.select(F.col("k").alias("a")), "a").groupBy(F.col("b").alias("k")).agg(F.min("a").alias("twin"))
+        accepted.append(took.select("k", F.lit(turn).alias("turn")))
+        gone.append(scratch.stash(out.join(twins, "k").select("k", "twin", F.lit(turn).alias("turn"))))
+        undecided = scratch.stash(undecided.join(took, "k", "left_anti").join(out, "k", "left_anti"))
+        leaders, turn = leaders * MORE, turn + 1
+    if not gone:
+        return sets.select("k", F.col("k").alias("twin")).limit(0)
+    rejected = reduce(DataFrame.unionByName, gone)
+    if turn == 1:
+        return rejected.select("k", "twin")
+    # a set that went in an early round may be similar to a better one that was accepted later
+    late = every.join(reduce(DataFrame.unionByName, accepted[1:]).withColumnRenamed("turn", "late"), "k")
+    early = every.join(rejected, "k")
+    side = lambda df, x, *more: df.select(F.col("k").alias(x), F.col("n").alias("n" + x), F.col("pos").alias("pos" + x), "h", *more)
+    met = side(late, "a", "late").join(side(early, "b", "twin", "turn"), "h").where("late > turn and a < twin").select("a", "b").distinct()
+    better = alike(met, sets, pct).groupBy(F.col("b").alias("k")).agg(F.min("a").alias("better"))
+    return scratch.stash(rejected.join(better, "k", "left").select("k", F.least("twin", "better").alias("twin")))
+
+
+def decided(edges: DataFrame, informed: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(k of accepted sets, k of dropped ones): what follows from edges (a, b), a before b, for sets that know all edges to better ones."""
+    took, out = [], []
+    while True:
+        free = scratch.stash(informed.join(edges.select(F.col("b").alias("k")).distinct(), "k", "left_anti"))
+        if free.isEmpty():
+            break
+        took.append(free)
+        lost = scratch.stash(edges.join(free.select(F.col("k").alias("a")), "a", "left_semi").select(F.col("b").alias("k")).distinct())
+        if lost.isEmpty():
+            break
+        out.append(lost)
+        end = lambda c: lost.select(F.col("k").alias(c))  # noqa: B023, E731
+        edges = scratch.stash(edges.join(end("a"), "a", "left_anti").join(end("b"), "b", "left_anti"))
+        informed = scratch.stash(informed.join(free, "k", "left_anti").join(lost, "k", "left_anti"))
+    none = informed.limit(0)
+    return scratch.stash(reduce(DataFrame.union, took, none)), scratch.stash(reduce(DataFrame.union, out, none))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillmill.operators.budget import BUDGET_CHARS, fill
 from quillmill.operators.relevance import score_binary, score_text, strip_quoted
 from quillmill.operators.similarity import survivors
+from quillmill.session import Scratch
 
 
 def scored_samples(samples: DataFrame) -> DataFrame:
@@ -32,22 +33,23 @@ def triage(samples: DataFrame, files: DataFrame | None = None, budget_chars: int
     if files is not None:
         named = score_binary(files).withColumn("origin", F.col("filename")).withColumn("text", F.lit(None).cast("string"))
         rows = rows.unionByName(named.select(*cols).withColumn("is_binary", F.lit(True)))
-    rows = rows.persist()
-    rank = lambda: [-F.col("score"), F.coalesce(F.length("text"), F.lit(0)), F.col("origin"), F.col("pos")]
-    texts = rows.where("not is_binary and verdict <> 'drop'")
-    twins = survivors(texts, "sample_id", "text", rank()).where("twin is not null")
-    names = twins.join(rows.select(F.col("sample_id").alias("twin"), F.col("origin").alias("twin_origin")), "twin")
-    judged = rows.join(names.select(F.col("id").alias("sample_id"), "twin_origin"), "sample_id", "left")
-    twin = F.col("twin_origin").isNotNull() & ~F.col("is_binary")
-    judged = judged.withColumns({"rank_score": F.col("score"), "verdict": F.when(twin, "drop").otherwise(F.col("verdict")), "reason": F.when(twin, F.concat(F.lit("nearly identical to "), "twin_origin")).otherwise(F.col("reason")), "score": F.when(twin, F.least("score", F.lit(0.2))).otherwise(F.col("score"))}).drop("twin_origin").persist()
-    open_rows = judged.where("verdict <> 'drop' and not (is_binary and verdict = 'unsure')")
-    cost = F.coalesce(F.length("text"), F.lit(0))
-    ids = fill(open_rows, "pos", cost, [-F.col("rank_score"), cost, F.col("origin"), F.col("pos")], budget_chars)
-    chosen = samples.sparkSession.createDataFrame([(i,) for i in ids], "pos long").withColumn("chosen", F.lit(True))  # at most budget_chars rows
-    out = judged.join(F.broadcast(chosen), "pos", "left")
-    eligible = (F.col("verdict") != "drop") & ~(F.col("is_binary") & (F.col("verdict") == "unsure"))
-    kept = eligible & (F.coalesce("chosen", F.lit(False)) | (cost == 0))
-    return out.withColumns({"kept": kept, "reason": F.when(eligible & ~kept, "no room left in this run").otherwise(F.col("reason"))}).drop("chosen", "rank_score")
+    with Scratch(samples.sparkSession) as scratch:
+        rows = scratch.stash(rows.withColumn("_cost", F.coalesce(F.length("text"), F.lit(0))))
+        rank = [-F.col("score"), F.col("_cost"), F.col("origin"), F.col("pos")]
+        found = survivors(rows.where("not is_binary and verdict <> 'drop'"), "sample_id", "text", rank).where("twin is not null")
+        names = scratch.stash(found.join(rows.select(F.col("sample_id").alias("twin"), F.col("origin").alias("twin_origin")), "twin").select(F.col("id").alias("sample_id"), "twin_origin"))
+
+        def judged(some: DataFrame) -> DataFrame:
+            twin = F.col("twin_origin").isNotNull() & ~F.col("is_binary")
+            told = {"verdict": F.when(twin, "drop").otherwise(F.col("verdict")), "reason": F.when(twin, F.concat(F.lit("nearly identical to "), "twin_origin")).otherwise(F.col("reason")), "score": F.when(twin, F.least("score", F.lit(0.2))).otherwise(F.col("score"))}
+            return some.join(names, "sample_id", "left").withColumns(told).drop("twin_origin")
+
+        eligible = (F.col("verdict") != "drop") & ~(F.col("is_binary") & (F.col("verdict") == "unsure"))
+        chosen = fill(judged(rows.drop("text")).where(eligible), "pos", F.col("_cost"), rank, budget_chars, scratch)
+        out = judged(rows).join(chosen.select(F.col("id").alias("pos"), F.lit(True).alias("_chosen")), "pos", "left")
+        kept = eligible & (F.coalesce("_chosen", F.lit(False)) | (F.col("_cost") == 0))
+        out = out.withColumns({"kept": kept, "reason": F.when(eligible & ~kept, "no room left in this run").otherwise(F.col("reason"))})
+        return scratch.finish(out.select(*cols, "is_binary", "kept"))
 
 
 def picked_positions(raw: str, count: int) -> list[int] | None:

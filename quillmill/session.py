@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,6 +17,7 @@ def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g"
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.driver.memory", memory)
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -45,3 +47,37 @@ def shared_dir(spark: SparkSession) -> str:
     if not now.isDefined():
         sc.setCheckpointDir(found)
     return found
+
+
+class Scratch:
+    """Tables written in the shared folder to cut lineage; dropped at the end of a ``with`` block, after errors too."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.path = f"{shared_dir(spark)}/quillmill-{uuid.uuid4().hex}"
+        self.n = 0
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *error) -> None:
+        self.drop()
+
+    def stash(self, df: DataFrame) -> DataFrame:
+        """``df`` written as Parquet and read again."""
+        self.n += 1
+        path = f"{self.path}/t{self.n}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        jvm = self.spark.sparkContext._jvm
+        target = jvm.org.apache.hadoop.fs.Path(self.path)
+        target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+    def finish(self, df: DataFrame) -> DataFrame:
+        """``df`` checkpointed, all tables dropped. Spark removes the checkpoint with its last reference where
+        spark.cleaner.referenceTracking.cleanCheckpoints is set, as ``local_session`` does; else it stays in the shared folder."""
+        out = df.checkpoint(eager=True)
+        self.drop()
+        return out

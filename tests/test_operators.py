@@ -28,15 +28,22 @@ def test_quotas_and_trim(spark):
 
 
 def test_fill_is_skip_greedy(spark):
+    from quillmill.session import Scratch
+
     rng = random.Random(9)
-    rows = [(i, rng.randint(0, 40)) for i in range(300)]
-    got = budget.fill(spark.createDataFrame(rows, "id long, n int"), "id", F.col("n"), [F.col("id")], 200, step=7)
-    used, want = 0, []
-    for i, n in rows:
-        if n and (not want and not any(x == 0 for _, x in rows[:i]) or used + n <= 200):
-            want.append(i)
-            used += n
-    assert got == want
+    for rows, limit in (([(i, rng.randint(0, 40)) for i in range(300)], 200), ([(i, rng.randint(1, 9)) for i in range(300)], 1000), ([(0, 500), *((i, rng.randint(20, 90)) for i in range(1, 200)), (200, 3)], 100), ([(0, 0), (1, 300), (2, 7)], 100)):
+        df = spark.createDataFrame(rows, "id long, n int")
+        used, want = 0, []
+        for i, n in rows:
+            if n and (not want and not any(x == 0 for _, x in rows[:i]) or used + n <= limit):
+                want.append(i)
+                used += n
+        for leaf, ranges in ((7, 5), (1000, 4)):
+            with Scratch(spark) as scratch:
+                got = budget.fill(df, "id", F.col("n"), [F.col("id")], limit, scratch, leaf, ranges)
+                assert sorted(r["id"] for r in got.collect()) == want
+    with Scratch(spark) as scratch:
+        assert budget.fill(df.limit(0), "id", F.col("n"), [F.col("id")], 10, scratch).count() == 0
 
 
 def test_survivors_like_a_walk(spark):
@@ -66,6 +73,56 @@ def test_survivors_like_a_walk(spark):
     assert got == want
 
 
+def walk(texts):
+    """The survivors' walk, text by text: number to twin."""
+    import re
+
+    kept, want = [], {}
+    for i, t in texts:
+        w = re.findall("[a-z0-9]+", (t or "").lower())
+        s = {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else set()
+        want[i] = next((k for k, o in kept if s and 5 * len(s & o) >= 4 * len(s | o)), None)
+        if want[i] is None:
+            kept.append((i, s))
+    return want
+
+
+def test_a_large_group_of_near_copies_costs_a_few_candidates_a_member(spark, monkeypatch):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(200)]
+    texts = []
+    for i in range(2500):  # all different, all similar to each other
+        w = list(words)
+        w[rng.randrange(200)] = f"x{i}"
+        texts.append(" ".join(w))
+    texts += [" ".join(f"p{rng.randrange(10**6)}" for _ in range(30)) for _ in range(300)]
+    seen = []
+    plain = similarity.led_pairs
+    monkeypatch.setattr(similarity, "led_pairs", lambda *a: seen.append(plain(*a)) or seen[-1])
+    counts = []
+    alike = similarity.alike
+    monkeypatch.setattr(similarity, "alike", lambda pairs, *a: counts.append(pairs.count()) or alike(pairs, *a))
+    got = {r["id"]: r["twin"] for r in similarity.survivors(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), "id", "text", [F.col("id")]).collect()}
+    assert all(got[i] == 0 for i in range(1, 2500)) and got[0] is None and all(got[i] is None for i in range(2500, 2800))
+    assert sum(counts) <= len(texts) * similarity.LEADERS * 2  # of 3,123,750 pairs
+
+
+def test_survivors_over_several_rounds(spark, monkeypatch):
+    """Lists with more sets that are not similar than leaders: some go early and find a better twin later."""
+    rng = random.Random(8)
+    monkeypatch.setattr(similarity, "LEADERS", 1)
+    monkeypatch.setattr(similarity, "MORE", 2)
+    chain = [" ".join(f"w{j}" for j in range(2 * i, 2 * i + 50)) for i in range(40)]  # each similar to its next ones only
+    passage = " ".join(f"p{i}" for i in range(30))
+    texts = chain + [f"{passage} " + " ".join(f"u{rng.randrange(10**6)}" for _ in range(25)) for _ in range(40)]
+    texts += [" ".join(t.split()[k:]) for t in rng.sample(texts, 30) for k in (1, 3)] + ["", None, "same few words", "same few words"]
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    got = {r["id"]: r["twin"] for r in similarity.survivors(spark.createDataFrame(rows, "id long, text string"), "id", "text", [F.col("id")]).collect()}
+    assert got == walk(rows)
+    assert {r["id"]: r["twin"] for r in similarity.survivors(spark.createDataFrame([], "id long, text string"), "id", "text", [F.col("id")]).collect()} == {}
+
+
 def test_passages_that_many_documents_share_make_few_candidates(spark):
     rng = random.Random(6)
     passage = " ".join(f"p{i}" for i in range(30))
