@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmill.functions.text import lines
+from quillmill.operators.running import running
 
 #: Share of a block's lines that its author must own (a fixed value).
 OWNED = 0.6
@@ -69,13 +70,22 @@ def mask_lines(files: DataFrame, blame: DataFrame, author: str, path: str = "pat
 
 
 def owned_blocks(blocks: DataFrame, blame: DataFrame, author: str, path: str = "path", least: float = OWNED) -> DataFrame:
-    """Blocks (lo, hi) of which the author wrote at least that share of blamed lines; files without blame pass, empty spans do not."""
+    """Blocks (lo, hi) of which the author wrote at least that share of blamed lines; files without blame pass, empty spans do not.
+
+    The author's lines and all lines are counted up along each file; a block asks for
+    the counts before its first line and at its last one.
+    """
     own = email_matches(F.col("author"), F.lit(author)).cast("int")
-    per = blame.groupBy(path).agg(F.sort_array(F.array_agg(F.struct("line_no", own.alias("own")))).alias("_lines"))
-    within = lambda: F.filter("_lines", lambda x: x["line_no"].between(F.col("lo"), F.col("hi")))
-    share = F.aggregate(within(), F.lit(0), lambda acc, x: acc + x["own"]) / F.size(within())
-    out = blocks.join(per, path, "left")
-    return out.where(F.col("_lines").isNull() | ((F.size(within()) > 0) & (share >= least))).drop("_lines")
+    lines_at = blame.select(F.col(path).alias("_path"), (F.col("line_no") * 2).cast("long").alias("_at"), own.alias("_own"), F.lit(1).alias("_all"), F.lit(None).cast("long").alias("_id"), F.lit(None).cast("int").alias("_end"), F.lit(None).cast(blocks.schema).alias("_row"))
+    asked = blocks.select(F.monotonically_increasing_id().alias("_id"), F.struct(*blocks.columns).alias("_row"))
+    ends = F.explode(F.array(F.struct(F.lit(0).alias("_end"), (F.col("_row.lo") * 2 - 1).cast("long").alias("_at")), F.struct(F.lit(1).alias("_end"), (F.col("_row.hi") * 2 + 1).cast("long").alias("_at")))).alias("e")
+    asks = asked.select(F.col(f"_row.{path}").alias("_path"), "_id", "_row", ends).select("_path", "e._at", F.lit(0).alias("_own"), F.lit(0).alias("_all"), "_id", "e._end", "_row")
+    told = running(lines_at.unionByName(asks), ["_path"], "_at", {"owned": F.col("_own"), "lines": F.col("_all")}).where("_id is not null")
+    sign = F.when(F.col("_end") == 1, 1).otherwise(-1)
+    per = told.groupBy("_id").agg(F.first("_row").alias("_row"), F.first("_path").alias("_path"), F.sum(sign * F.col("owned")).alias("_owned"), F.sum(sign * F.col("lines")).alias("_lines"))
+    blamed = blame.select(F.col(path).alias("_known")).distinct()
+    out = per.join(blamed, F.col("_path") == F.col("_known"), "left")
+    return out.where(F.col("_known").isNull() | ((F.col("_lines") > 0) & (F.col("_owned") / F.col("_lines") >= least))).select("_row.*")
 
 
 def normal_author(c: Column) -> Column:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillmill.operators.running import running
+
 
 def parse_log(df: DataFrame, raw: str = "raw") -> DataFrame:
     """pos, sha, email, name, body from records that end with \\x1e and have four fields between \\x1f."""
@@ -13,9 +15,9 @@ def parse_log(df: DataFrame, raw: str = "raw") -> DataFrame:
 
 
 def parse_blame(rows: DataFrame, local_user: str, path: str = "path", pos: str = "pos", line: str = "line") -> DataFrame:
-    """path, line_no, author from porcelain lines in order: an author-mail holds until the next; a TAB line is one line of text."""
-    w = Window.partitionBy(path).orderBy(pos)
+    """path, line_no, author from porcelain lines in order (pos is a whole number, different for each line of a path): an author-mail holds until the next; a TAB line is one line of text."""
     mail = F.lower(F.regexp_extract(line, r"^author-mail <?([^>]*)>?", 1))
     known = F.when(mail.isin("not.committed.yet", "external.file"), F.lit(local_user)).otherwise(mail)
-    marked = rows.withColumn("a", F.when(F.col(line).startswith("author-mail "), known)).withColumn("author", F.last("a", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return marked.where(F.col(line).startswith("\t")).withColumn("line_no", F.row_number().over(w)).select(path, "line_no", "author")
+    slim = rows.select(path, pos, F.when(F.col(line).startswith("author-mail "), known).alias("_mail"), F.col(line).startswith("\t").cast("int").alias("_text"))
+    told = running(slim, [path], pos, {"line_no": F.col("_text")}, {"author": F.col("_mail")})
+    return told.where("_text = 1").select(path, F.col("line_no").cast("int").alias("line_no"), "author")
