@@ -181,16 +181,20 @@ def machine_generated(spark, sf_dir):
     return docs.unionByName(props).groupBy("origin", relevance.machine_kind(F.col("b")).alias("kind")).agg(F.count("*").alias("n"))
 
 
-@query("WITH" + SHINGLED + " SELECT a, b, inter, total FROM pairs")
+SETS = "sets AS (SELECT d.doc_id, coalesce(n.n, 0) AS n, min(d.doc_id) OVER (PARTITION BY md5(said)) AS rep FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, string_agg(s, chr(10) ORDER BY s) AS said FROM e GROUP BY doc_id) USING (doc_id))"
+
+
+@query("WITH" + SHINGLED + ", " + SETS + " SELECT a, b, inter, total FROM pairs WHERE a IN (SELECT rep FROM sets) AND b IN (SELECT rep FROM sets)")
 def shingle_pairs(spark, sf_dir):
-    """All similar pairs: pairs of distinct sets, and their copies by membership."""
-    classes = similarity.shingle_classes(texts(spark, sf_dir), "doc_id", "text").persist()
-    of = classes.select("id", "rep", "n")
-    pairs = similarity.pairs_of(classes, 80).select(F.col("a").alias("x"), F.col("b").alias("y"), "inter", "total")
-    member = lambda rep, name: of.select(F.col("rep").alias(rep), F.col("id").alias(name))
-    across = pairs.join(member("x", "i"), "x").join(member("y", "j"), "y").select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), F.col("inter").cast("long").alias("inter"), F.col("total").cast("long").alias("total"))
-    within = of.where("n > 0").alias("p").join(of.alias("q"), (F.col("p.rep") == F.col("q.rep")) & (F.col("p.id") < F.col("q.id"))).select(F.col("p.id").alias("a"), F.col("q.id").alias("b"), F.col("p.n").cast("long").alias("inter"), F.col("p.n").cast("long").alias("total"))
-    return across.unionByName(within)
+    """Similar pairs of distinct sets, by the smallest document of each; shingle_sets has the others."""
+    pairs = similarity.similar_pairs(texts(spark, sf_dir), "doc_id", "text")
+    return pairs.select("a", "b", F.col("inter").cast("long").alias("inter"), F.col("total").cast("long").alias("total"))
+
+
+@query("WITH" + SHINGLED + ", " + SETS + " SELECT doc_id, n, rep FROM sets")
+def shingle_sets(spark, sf_dir):
+    """Documents with equal sets, by the smallest of them."""
+    return similarity.shingle_classes(texts(spark, sf_dir), "doc_id", "text").select(F.col("id").alias("doc_id"), F.col("n").cast("long").alias("n"), "rep")
 
 
 @query(

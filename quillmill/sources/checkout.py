@@ -1,79 +1,37 @@
-"""Tables from a local checkout: tracked files, log, blame. Thin exporters on the driver; any failure of git gives nothing."""
+"""Tables of one checkout; see :mod:`quillmill.sources.git_source` for many."""
 
 from __future__ import annotations
 
-import os
-import re
-import subprocess
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from quillmill.sources.gitlog import parse_blame, parse_log
-
-# Seconds a command may take, bytes of a file that is read, and of its start that is searched for NUL.
-SECONDS, MAX_BYTES, SNIFF = 30, 1_000_000, 8000
-
-
-def run(repo: str, *args: str, seconds: int = SECONDS) -> str:
-    """Output of a git command, empty if it fails or takes too long."""
-    try:
-        done = subprocess.run(["git", "-C", repo, *args], capture_output=True, timeout=seconds, check=False)
-    except (OSError, subprocess.SubprocessError):
-        return ""
-    return done.stdout.decode("utf-8", "replace") if done.returncode == 0 else ""
-
-
-def is_git_repo(path: str) -> bool:
-    return os.path.isdir(path) and run(path, "rev-parse", "--is-inside-work-tree").strip() == "true"
 
+from quillmill.sources.git_calls import is_git_repo, safe_path, tracked_files
+from quillmill.sources.git_source import read
 
-def tracked_files(repo: str) -> list[str]:
-    return [p for p in run(repo, "ls-files", "-z").split("\0") if p]
 
-
-def safe_path(repo: str, name: str) -> str | None:
-    """The real path of a tracked name; None if it is absolute, a link, no file, too large, or leads out of the folder."""
-    if not name or name.startswith("/") or "\0" in name:
-        return None
-    root, at = Path(repo).resolve(), Path(repo) / name
-    try:
-        real = at.resolve(strict=True)
-        fits = not at.is_symlink() and real.is_file() and real.is_relative_to(root) and real.stat().st_size <= MAX_BYTES
-    except (OSError, RuntimeError, ValueError):
-        return None
-    return str(real) if fits else None
-
-
-def repository_files(spark: SparkSession, repo: str) -> DataFrame:
+def repository_files(spark: SparkSession, repo: str, shares: int = 1) -> DataFrame:
     """path, text of the tracked files that are text; bytes that are not UTF-8 are replaced."""
-    real = {str(p): name for name in tracked_files(repo) if (p := safe_path(repo, name))}
-    if not real:
-        return spark.createDataFrame([], "path string, text string")
-    names = spark.createDataFrame(list(real.items()), "real string, name string")
-    literal = [re.sub(r"([\\*?\[\]{}])", r"\\\1", p) for p in real]  # the reader takes paths for patterns
-    read = spark.read.format("binaryFile").load([f"file://{p}" for p in literal]).withColumn("real", F.regexp_replace("path", r"^file:/*", "/"))
-    text = read.where(~F.contains(F.substring("content", 1, SNIFF), F.lit(bytearray(b"\x00"))))
-    return text.join(F.broadcast(names), "real").select(F.col("name").alias("path"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))  # one row a tracked file
+    return read(spark, [repo], "files", shares=shares).drop("repo")
 
 
-def commits(spark: SparkSession, repo: str, author: str | None = None, most: int = 1000) -> DataFrame:
+def commits(spark: SparkSession, repo: str, author: str | None = None, most: int | None = 1000) -> DataFrame:
     """pos, sha, email, name, body of the newest commits without merges, of an author if given."""
-    who = [f"--author={author}", "--regexp-ignore-case", "--fixed-strings"] if author else []
-    raw = run(repo, "log", "--no-merges", f"--max-count={most}", "--format=%H%x1f%aE%x1f%aN%x1f%B%x1e", *who)
-    return parse_log(spark.createDataFrame([(raw,)], "raw string"))
+    return read(spark, [repo], "log", author=author, most=most).drop("repo")
 
 
-def blame(spark: SparkSession, repo: str, paths: list[str], most: int = 40, seconds: int = 10) -> DataFrame:
+def blame(spark: SparkSession, repo: str, paths: list[str], most: int = 40, seconds: int = 10, shares: int = 1) -> DataFrame:
     """path, line_no, author of the first ``most`` paths; files that cannot be blamed are left out."""
-    me = run(repo, "config", "--get", "user.email").strip().lower()
-    rows = [(p, i, s) for p in paths[:most] for i, s in enumerate(run(repo, "blame", "--line-porcelain", "--", p, seconds=seconds).split("\n"))]
-    return parse_blame(spark.createDataFrame(rows, "path string, pos int, line string"), me)
+    return read(spark, [repo], "blame", paths=paths[:most], seconds=seconds, shares=shares).drop("repo")
 
 
-def history(spark: SparkSession, repo: str, paths: list[str], most: int = 300) -> tuple[DataFrame, DataFrame]:
+def history(spark: SparkSession, repo: str, paths: list[str], most: int = 300, shares: int = 1) -> tuple[DataFrame, DataFrame]:
     """(log, uncommitted): path, pos, author of the commits that touched each path, and the paths with changes that are not committed."""
-    rows = [(p, i, s.strip()) for p in paths for i, s in enumerate(run(repo, "log", "--follow", f"--max-count={most}", "--format=%aE", "--", p).splitlines()) if s.strip()]
-    changed = [(p,) for p in paths if run(repo, "status", "--porcelain", "--", p).strip()]
-    return spark.createDataFrame(rows, "path string, pos int, author string"), spark.createDataFrame(changed, "path string")
+    told = {"paths": paths, "shares": shares}
+    return read(spark, [repo], "history", most=most, **told).drop("repo"), read(spark, [repo], "changes", **told).drop("repo")
+
+
+def reviews(spark: SparkSession, repo: str, most: int = 30, export: str | None = None) -> DataFrame:
+    """raw: the JSON list of the checkout's reviews, for ``mine_prs``; no row where there is none."""
+    return read(spark, [repo], "reviews", most=most, export=export).drop("repo")
+
+
+__all__ = ["blame", "commits", "history", "is_git_repo", "repository_files", "reviews", "safe_path", "tracked_files"]

@@ -73,3 +73,50 @@ def test_documents(tmp_path):
     assert second.endswith("AGENTS-new.md") and open(first).read() == "head\n\ntext"
     assert open(documents.write_document(first, "new", replace=True)).read() == "\n\nnew"
     assert open(documents.write_document(str(tmp_path / "me.md"), "text", header="head")).read() == "text"
+
+
+def make_repo(folder, who, files, message="Explain the reason in a sentence that is long enough to keep"):
+    os.makedirs(folder)
+    git = lambda *a: subprocess.run(["git", "-C", folder, "-c", f"user.email={who}", "-c", "user.name=N", *a], check=True, capture_output=True)
+    git("init", "-q")
+    git("config", "user.email", who)
+    for name, data in files.items():
+        os.makedirs(os.path.dirname(f"{folder}/{name}"), exist_ok=True)
+        with open(f"{folder}/{name}", "w") as f:
+            f.write(data)
+    git("add", "-A")
+    git("commit", "-qm", message)
+    return folder
+
+
+def test_many_checkouts(spark, tmp_path, monkeypatch):
+    from quillmill.operators import repository
+    from quillmill.sources import git_calls, git_source
+
+    prose = "I wrote this note because the first version did not say why we do it that way, and someone asked."
+    reviews = '[{"number": 7, "title": "t", "body": "' + prose + '", "author": {"login": "al"}, "comments": []}]'
+    repos = [make_repo(str(tmp_path / f"r{i}"), f"al{i}@x.org", {f"f{j}.md": f"{prose} {i} {j}\nsecond\n" for j in range(5)} | {"export.json": reviews}, f"{prose} number {i}") for i in range(3)]
+    os.mkdir(tmp_path / "plain")
+    listed = [*repos, str(tmp_path / "plain"), str(tmp_path / "nowhere")]
+    monkeypatch.setattr(git_calls.subprocess, "run", None)  # no git on the driver
+    table = lambda name, **o: git_source.read(spark, listed, name, **o)
+    files = table("files", shares=2)
+    assert files.rdd.getNumPartitions() == 10
+    assert sorted((r["repo"], r["path"]) for r in files.where("path like '%.md'").collect()) == sorted((repo, f"f{j}.md") for repo in repos for j in range(5))
+    assert sorted((r["repo"], r["email"], r["pos"]) for r in table("log").collect()) == [(repo, f"al{i}@x.org", 0) for i, repo in enumerate(repos)]
+    assert table("log", author="al1@x.org").count() == 1 and table("log", most=0).count() == 0
+    blame = table("blame", shares=3).where("path = 'f2.md'").collect()
+    assert sorted((r["repo"], r["line_no"], r["author"]) for r in blame) == [(repo, n, f"al{i}@x.org") for i, repo in enumerate(repos) for n in (1, 2)]
+    assert table("history", paths=["f1.md", "none"]).count() == 3
+    with open(f"{repos[0]}/f1.md", "a") as f:
+        f.write("new line\n")
+    open(f"{repos[1]}/ü new.md", "w").close()
+    assert sorted((r["repo"], r["path"]) for r in table("changes").collect()) == [(repos[0], "f1.md"), (repos[1], "ü new.md")]
+    assert [r["author"] for r in table("blame", paths=["f1.md"]).where(f"repo = '{repos[0]}'").orderBy("line_no").collect()] == ["al0@x.org"] * 3
+    exported = table("reviews", export="export.json")
+    assert exported.count() == 3 and table("reviews").count() == 0  # no tool and no remote: nothing
+    assert [r["text"] for r in repository.mine_prs(exported, [], order="repo").collect()] == [prose] * 3
+    mined = repository.mine_all([repository.mine_commits(table("log").drop("repo")), repository.mine_docs(files.select("path", "text"))])
+    assert {r["kind"]: r["count"] for r in mined.groupBy("kind").count().collect()} == {"commit": 3, "doc": 15}
+    with pytest.raises(Exception, match="table"):
+        git_source.read(spark, listed, "wrong").count()
