@@ -68,6 +68,12 @@ def phrase_hash(words: list[np.ndarray]) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def one_hash(word: int) -> int:
+    """phrase_hash of one word."""
+    h = (0x9E3779B97F4A7C15 + word) % (1 << 64)
+    return h ^ (h >> 32)
+
+
 def summed(size: int, word: np.ndarray, left: np.ndarray, m: np.ndarray, names: pa.Array, langs: pa.Array, hashes: np.ndarray) -> tuple[pa.Table, np.ndarray] | None:
     """(table of lang, g, w, m; hashes of lang and g) of the distinct phrases: g is the first ``size`` words (2 or 3), w after three the fourth (or empty).
 
@@ -109,6 +115,11 @@ def shipped(table: pa.Table, h: np.ndarray, buckets: int, twice: bool) -> Iterat
         yield pa.RecordBatch.from_arrays([pa.array([int(bucket[order[a]])]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["bucket", "rows"])
 
 
+def listed(batch: pa.RecordBatch) -> list[list]:
+    """The columns lang, piece (in UTF-8) and m."""
+    return [batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist()]
+
+
 def word_counts(found: DataFrame, least: int) -> DataFrame:
     """(lang, phrase, k, f): the words that occur ``least`` times."""
 
@@ -120,10 +131,11 @@ def word_counts(found: DataFrame, least: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(count), pa.string()), pa.array(list(count), pa.binary()).cast(pa.string()), pa.array(list(count.values()), pa.int64())], names=["lang", "phrase", "f"])
 
         for batch in batches:
-            for lang, piece, m in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+            for lang, piece, m in zip(*listed(batch), strict=True):
                 count = seen.setdefault(lang, {})
-                for w in piece.as_buffer().to_pybytes().split(b" "):
-                    count[w] = count.get(w, 0) + m
+                get = count.get
+                for w in piece.split(b" "):
+                    count[w] = get(w, 0) + m
             if sum(map(len, seen.values())) > HELD:
                 yield from send()
                 seen = {}
@@ -176,26 +188,36 @@ def partial_counts(found: DataFrame, size: int, often: list[bytes], buckets: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = [np.frombuffer(x, np.uint8) for x in sent.value]
 
+        class Numbers(dict):
+            """Numbers of a language's words, from 1; a word that is not frequent is 0."""
+
+            def __init__(self, lang: str, run: Words):
+                super().__init__()
+                self.lang, self.run = lang, run
+
+            def __missing__(self, word: bytes) -> int:
+                h = word_hash(self.lang, word)
+                at = one_hash(h) % (8 * len(sent.value[0]))
+                number = 0
+                if sent.value[0][at >> 3] >> (7 - (at & 7)) & 1:
+                    number = len(self.run.names)
+                    self.run.names.append(word)
+                    self.run.langs.append(self.lang)
+                    self.run.hashes.append(h)
+                self[word] = number
+                return number
+
         class Words:
-            """Numbers of words, from 1; a word that is not frequent is 0."""
+            """The pieces of a run."""
 
             def __init__(self) -> None:
                 self.names, self.langs, self.hashes, self.ids = [b""], [""], [0], {}
                 self.flat, self.size, self.m = array("i"), [], []
 
-            def add(self, lang: str, piece: bytes, m: int) -> None:
-                known, words = self.ids.setdefault(lang, {}), piece.split(b" ")
-                if new := [w for w in words if w not in known]:
-                    hashes = [word_hash(lang, w) for w in new]
-                    for w, h, yes in zip(new, hashes, marked(bits[0], phrase_hash([np.array(hashes, np.uint64)])).tolist(), strict=True):
-                        if not yes:
-                            known[w] = 0
-                        elif w not in known:
-                            known[w] = len(self.names)
-                            self.names.append(w)
-                            self.langs.append(lang)
-                            self.hashes.append(h)
-                self.flat.extend([known[w] for w in words])
+            def add(self, lang: str, words: list[bytes], m: int) -> None:
+                if lang not in self.ids:
+                    self.ids[lang] = Numbers(lang, self).__getitem__
+                self.flat.extend(map(self.ids[lang], words))
                 self.size.append(len(words))
                 self.m.append(m)
 
@@ -218,8 +240,8 @@ def partial_counts(found: DataFrame, size: int, often: list[bytes], buckets: int
 
         run = Words()
         for batch in batches:
-            for lang, piece, m in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                run.add(lang, piece.as_buffer().to_pybytes(), m)
+            for lang, piece, m in zip(*listed(batch), strict=True):
+                run.add(lang, piece.split(b" "), m)
                 if len(run.flat) >= RUN_WORDS:
                     yield from run.send()
                     run = Words()
