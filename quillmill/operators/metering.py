@@ -61,12 +61,13 @@ def admission(events: DataFrame, caps: Caps, ts: str = "ts", user: str = "user",
         F.max(F.when(F.col("_n") == caps.total, F.col("_at"))).alias("_full"),
         F.when(F.count(F.when(F.col("_op") == "aux", 1)) >= caps.total_aux, F.max(F.when(F.col("_op") == "aux", F.col("_at")))).alias("_aux_full"),
     )
-    own_full = let_in.groupBy("day", "_user", "_op").agg(F.when(F.count("*") >= F.max("_cap"), F.max("_at")).alias("_own_full"))
+    own_full = let_in.groupBy(F.col("day").alias("_day"), "_user", "_op").agg(F.when(F.count("*") >= F.max("_cap"), F.max("_at")).alias("_own_full"))
     out = rows.join(let_in.select("day", "_at", F.lit(True).alias("_in")), ["day", "_at"], "left").join(full, "day", "left")
     after = lambda c: F.coalesce(F.col("_at") > F.col(c), F.lit(False))
     shared = F.when(after("_full"), "global").when((F.col(op) == "aux") & after("_aux_full"), "aux_global")
     kept = out.where("not _failed").withColumn("reason", F.when(F.coalesce("_in", F.lit(False)), F.lit(None)).otherwise(F.coalesce(shared, F.lit("user"))))
-    lost = out.where("_failed").join(own_full.withColumnsRenamed({"_user": user, "_op": op}), ["day", user, op], "left").withColumn("reason", F.coalesce(shared, F.when(after("_own_full"), "user")))
+    same = F.col("day").eqNullSafe(F.col("_day")) & F.col(user).eqNullSafe(F.col("_user")) & F.col(op).eqNullSafe(F.col("_op"))
+    lost = out.where("_failed").join(own_full, same, "left").drop("_day", "_user", "_op").withColumn("reason", F.coalesce(shared, F.when(after("_own_full"), "user")))
     done = kept.unionByName(lost.drop("_own_full"))
     return done.withColumn("admitted", F.col("reason").isNull()).select(*events.columns, "day", "admitted", "reason")
 
