@@ -50,19 +50,26 @@ def shingle_classes(docs: DataFrame, id_col: str, text_col: str, size: int = 5)
 
 
 def rare_first(reps: DataFrame, share: int = 16, least: int = 6) -> Callable[[Column], Column]:
-    """An order of hashes that puts those which one set in ``share`` shows often last.
+    """An order of hashes that puts those which one set in ``share`` shows often last; it is the same for every set, so it steers how many candidates meet, never a result."""
+    return by_slots(slot_counts(reps, share, least))
 
-    Counts are kept by slot (at most SLOTS rows of the sample's reach the driver); the
-    order is the same for every set, so it steers how many candidates meet, never a result.
-    """
+
+def slot(h: Column) -> Column:
+    return F.pmod(h, F.lit(SLOTS))
+
+
+def slot_counts(reps: DataFrame, share: int = 16, least: int = 6) -> bytes:
+    """How often the most frequent hash of each slot occurs in one set in ``share``, on a scale of its own (at most SLOTS rows of the sample's reach the driver)."""
     part = reps.where(F.pmod(F.xxhash64("id"), F.lit(share)) == 0)
     seen = part.select(F.explode("hashes").alias("h")).groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") >= least)
-    slot = lambda h: F.pmod(h, F.lit(SLOTS))
     counts = bytearray(SLOTS)
     for r in seen.groupBy(slot(F.col("h")).alias("slot")).agg(F.max("c").alias("c")).collect():
         counts[r["slot"]] = min(255, 4 * r["c"].bit_length())
-    table = F.lit(bytes(counts))
-    return lambda h: F.struct(F.substring(table, (slot(h) + 1).cast("int"), F.lit(1)).alias("often"), h.alias("h"))
+    return bytes(counts)
+
+
+def by_slots(counts: bytes) -> Callable[[Column], Column]:
+    return lambda h: F.struct(F.substring(F.lit(counts), (slot(h) + 1).cast("int"), F.lit(1)).alias("often"), h.alias("h"))
 
 
 def candidates(reps: DataFrame, pct: int) -> DataFrame:
@@ -142,9 +149,9 @@ def led_pairs(lead: DataFrame, posts: DataFrame, pct: int) -> DataFrame:
     return side(lead, "a").join(side(posts, "b"), "h").where(size & enough).select("a", "b").distinct()
 
 
-def alike(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
-    """The pairs (a, b) of sets with Jaccard >= pct / 100."""
-    left, right = (sets.select(F.col("k").alias(x), F.col("hashes").alias("h" + x)) for x in "ab")
+def alike(pairs: DataFrame, sets: DataFrame, pct: int, others: DataFrame | None = None) -> DataFrame:
+    """The pairs (a, b) of sets, b of ``others`` if given, with Jaccard >= pct / 100."""
+    left, right = (df.select(F.col("k").alias(x), F.col("hashes").alias("h" + x)) for x, df in (("a", sets), ("b", sets if others is None else others)))
     inter = F.size(F.array_intersect("ha", "hb"))
     return pairs.join(left, "a").join(right, "b").where(100 * inter >= pct * (F.size("ha") + F.size("hb") - inter)).select("a", "b")
 

@@ -82,3 +82,39 @@ def test_refunds_as_later_events(spark, tmp_path):
     assert want != plain([r for r in rows if r[5] is None])
     parts = [[r for r in rows if r[1] % 3 == i] for i in range(3)]
     assert stream_of(spark, rows, parts, str(tmp_path / "in"), "5 days") == want
+
+
+def test_near_duplicates_in_batches(spark, tmp_path):
+    from quillmill.operators import similarity
+    from quillmill.streaming import near_dup
+
+    rng = random.Random(12)
+    base = [[f"{c}{rng.randint(0, 999)}" for c in rng.choices("abcdefgh", k=40)] for _ in range(12)]
+    texts = []
+    for i in range(150):
+        w = list(base[i % 12])
+        for _ in range(rng.randint(0, 3)):
+            w[rng.randrange(40)] = f"x{rng.randint(0, 50)}"
+        texts.append(" ".join(w))
+    texts += ["", None, "same few words", "same few words", texts[3], texts[3]]
+    rng.shuffle(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    want = {r["id"]: r["twin"] for r in similarity.survivors(docs, "id", "text", [F.col("id")]).collect()}
+    for i, (lo, hi) in enumerate([(0, 39), (40, 79), (1, 0), (80, 119), (120, 199)]):  # in rank order, a file a batch; the third is empty
+        docs.where(F.col("id").between(lo, hi)).coalesce(1).write.parquet(str(tmp_path / f"in/b{i}"))
+    got, index = {}, near_dup.AcceptedIndex(spark, f"file://{tmp_path}/index")
+
+    def sink(rows, batch):
+        got.update({batch: {r["id"]: r["twin"] for r in rows.collect()}})
+
+    stream = spark.readStream.schema("id long, text string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/b*"))
+    each = near_dup.near_dup_batches(index, "id", "text", lambda: [F.col("id")], sink)
+    q = stream.writeStream.foreachBatch(each).trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.awaitTermination(600)
+    assert q.exception() is None and len(got) >= 4
+    assert {i: t for rows in got.values() for i, t in rows.items()} == want
+    again = max(got)
+    was = got[again]
+    ids = list(was)
+    each(docs.where(F.col("id").isin(ids)), again)  # a replay
+    assert got[again] == was
