@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmill.functions.text import lines
+from quillmill.operators.containment import linked
 from quillmill.operators.running import running
 
 #: Share of a block's lines that its author must own (a fixed value).
@@ -40,6 +41,14 @@ def touched(files: DataFrame, log: DataFrame, author: str, path: str = "path", p
     return files.join(mine.distinct(), path, "left_semi")
 
 
+def touched_by_all(log: DataFrame, authors: DataFrame, path: str = "path") -> DataFrame:
+    """(path, email): the files that log rows (path, author) name, with every one of ``authors`` (email) whom :func:`email_matches` takes for the author."""
+    said = log.select(path, F.lower(F.trim("author")).alias("_b")).distinct()
+    who = authors.select("email", F.lower(F.trim("email")).alias("_a")).distinct()
+    pairs = linked(who.select(F.col("_a").alias("a")), said.select(F.col("_b").alias("b")))
+    return said.join(pairs, said["_b"] == pairs["b"]).join(who, F.col("a") == F.col("_a")).select(path, "email").distinct()
+
+
 def author_needles(authors: DataFrame, author: str) -> DataFrame:
     """needle: fragments of three characters or more that tell the author in a login or name.
 

@@ -315,6 +315,18 @@ def author_rollup(spark, sf_dir):
     return attribution.author_rollup(e)
 
 
+@query(
+    "WITH a AS (SELECT DISTINCT source || '@example' AS email FROM documents UNION SELECT DISTINCT 'src' || user_id FROM events), d AS (SELECT doc_id AS path, ' ' || upper(source) || '@example.org' AS author FROM documents)"
+    " SELECT DISTINCT path, email FROM d JOIN a ON contains(lower(trim(author)), email) OR contains(email, lower(trim(author)))"
+)
+def files_of_all_authors(spark, sf_dir):
+    """Documents as files of their source's address, attributed to every address that it may be."""
+    d = table(spark, sf_dir, "documents")
+    log = d.select(F.col("doc_id").alias("path"), F.concat(F.lit(" "), F.upper("source"), F.lit("@example.org")).alias("author"))
+    authors = d.select(F.concat("source", F.lit("@example")).alias("email")).union(table(spark, sf_dir, "events").select(F.concat(F.lit("src"), F.col("user_id").cast("string"))))
+    return attribution.touched_by_all(log, authors)
+
+
 @query(f"SELECT ts::DATE AS day, user_id AS user, {OP_SQL} AS op, count(*) AS n FROM events GROUP BY ALL")
 def usage_daily(spark, sf_dir):
     return metering.usage_daily(calls(spark, sf_dir))

@@ -47,3 +47,26 @@ def test_owned_blocks_by_prefix_sums(spark):
             want.append((path, lo, hi, j))
     assert got == sorted(want, key=str) and 0 < len(want) < 200
     assert "array_agg" not in attribution.owned_blocks(spans, b, "me@x")._jdf.queryExecution().toString()
+
+
+def test_strings_within_others(spark):
+    from quillmill.operators import containment
+
+    rng = random.Random(8)
+    make = lambda n: "".join(rng.choices("ab@.é", k=rng.randint(0, n)))
+    left, right = [make(5) for _ in range(120)] + [None, "zzz", "a"], [make(12) for _ in range(150)] + [None, "", "aaaaaaaaaaaa"]
+    a, b = spark.createDataFrame([(x,) for x in left], "a string"), spark.createDataFrame([(x,) for x in right], "b string")
+    got = {(r["needle"], r["hay"]) for r in containment.held_in(a.withColumnRenamed("a", "needle"), b.withColumnRenamed("b", "hay")).collect()}
+    assert got == {(x, y) for x in left for y in right if x and y and x in y}
+    got = {(r["a"], r["b"]) for r in containment.linked(a, b).collect()}
+    assert got == {(x, y) for x in left for y in right if x and y and (x in y or y in x)}
+    assert containment.linked(a.limit(0), b).count() == 0 == containment.linked(a, b.limit(0)).count()
+
+
+def test_files_of_many_authors(spark):
+    log = [("f1", " AL@x.org "), ("f1", "al@x.org"), ("f2", "bo@x.org"), ("f3", None), ("f4", ""), (None, "bo@x.org")]
+    authors = [("al@x.org",), ("AL",), ("bo@x.org.uk",), ("",), (None,), ("zed",)]
+    got = attribution.touched_by_all(spark.createDataFrame(log, "path string, author string"), spark.createDataFrame(authors, "email string")).collect()
+    assert {(r["path"], r["email"]) for r in got} == {("f1", "al@x.org"), ("f1", "AL"), ("f2", "bo@x.org.uk"), (None, "bo@x.org.uk")} and len(got) == 4
+    one = attribution.touched(spark.createDataFrame([("f1",), ("f2",)], "path string"), spark.createDataFrame(log, "path string, author string"), "AL").collect()
+    assert [r["path"] for r in one] == ["f1"]
