@@ -118,7 +118,8 @@ def numbered_sets(base: DataFrame) -> DataFrame:
 
 def distinct_sets(placed: DataFrame) -> DataFrame:
     """(k, sig, n, hashes): each set that is not empty once, with the k of its best-ranked document."""
-    return placed.where("n > 0").groupBy("sig").agg(F.min("k").alias("k"), F.first("n").alias("n"), F.first("hashes").alias("hashes"))
+    best = placed.where("n > 0").groupBy("sig").agg(F.min("k").alias("k")).select("k")
+    return placed.join(best, "k").select("k", "sig", "n", "hashes")
 
 
 def postings(sets: DataFrame, pct: int, order: Callable[[Column], Column] | None = None) -> DataFrame:
@@ -138,7 +139,7 @@ def with_twins(placed: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 #: Best-ranked undecided sets of a list that all others in it are compared with in the first round, and how many times more in each round after it.
-LEADERS, MORE = 8, 8
+LEADERS, MORE = 32, 16
 
 
 def led_pairs(lead: DataFrame, posts: DataFrame, pct: int) -> DataFrame:
@@ -171,26 +172,26 @@ def dropped(sets: DataFrame, posts: DataFrame, pct: int, scratch: Scratch) -> Da
     lists = posts.groupBy("h").agg(F.count("*").alias("m")).where("m > 1").select("h")
     every = scratch.stash(posts.join(lists, "h"))
     undecided, leaders, turn = every, LEADERS, 0
-    accepted: list[DataFrame] = []
-    gone: list[DataFrame] = []
+    fates: list[DataFrame] = []
+    twins: list[DataFrame] = []
     while not undecided.isEmpty():
         lead = scratch.stash(undecided.withColumn("_r", F.row_number().over(Window.partitionBy("h").orderBy("k"))).where(F.col("_r") <= leaders).drop("_r"))
         edges = scratch.stash(alike(led_pairs(lead, undecided, pct), sets, pct))
         led = lead.groupBy("k").agg(F.count("*").alias("led"))
         informed = scratch.stash(undecided.groupBy("k").agg(F.count("*").alias("lists")).join(led, "k").where("led = lists").select("k"))
-        took, out = decided(edges, informed, scratch)
-        twins = edges.join(took.select(F.col("k").alias("a")), "a").groupBy(F.col("b").alias("k")).agg(F.min("a").alias("twin"))
-        accepted.append(took.select("k", F.lit(turn).alias("turn")))
-        gone.append(scratch.stash(out.join(twins, "k").select("k", "twin", F.lit(turn).alias("turn"))))
-        undecided = scratch.stash(undecided.join(took, "k", "left_anti").join(out, "k", "left_anti"))
+        fate = decided(edges, informed, scratch)
+        twins.append(edges.join(fate.where("kept").select(F.col("k").alias("a")), "a").groupBy(F.col("b").alias("k")).agg(F.min("a").alias("twin")))
+        fates.append(fate.withColumn("turn", F.lit(turn)))
+        undecided = scratch.stash(undecided.join(fate.select("k"), "k", "left_anti"))
         leaders, turn = leaders * MORE, turn + 1
-    if not gone:
+    if not fates:
         return sets.select("k", F.col("k").alias("twin")).limit(0)
-    rejected = reduce(DataFrame.unionByName, gone)
+    fate = reduce(DataFrame.unionByName, fates)
+    rejected = scratch.stash(fate.where("not kept").join(reduce(DataFrame.unionByName, twins), "k").select("k", "twin", "turn"))
     if turn == 1:
         return rejected.select("k", "twin")
     # a set that went in an early round may be similar to a better one that was accepted later
-    late = every.join(reduce(DataFrame.unionByName, accepted[1:]).withColumnRenamed("turn", "late"), "k")
+    late = every.join(fate.where("kept and turn > 0").select("k", F.col("turn").alias("late")), "k")
     early = every.join(rejected, "k")
     side = lambda df, x, *more: df.select(F.col("k").alias(x), F.col("n").alias("n" + x), F.col("pos").alias("pos" + x), "h", *more)
     met = side(late, "a", "late").join(side(early, "b", "twin", "turn"), "h").where("late > turn and a < twin").select("a", "b").distinct()
@@ -198,20 +199,17 @@ def dropped(sets: DataFrame, posts: DataFrame, pct: int, scratch: Scratch) -> Da
     return scratch.stash(rejected.join(better, "k", "left").select("k", F.least("twin", "better").alias("twin")))
 
 
-def decided(edges: DataFrame, informed: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(k of accepted sets, k of dropped ones): what follows from edges (a, b), a before b, for sets that know all edges to better ones."""
-    took, out = [], []
+def decided(edges: DataFrame, informed: DataFrame, scratch: Scratch) -> DataFrame:
+    """(k, kept): what follows from edges (a, b), a before b, for sets that know all edges to better ones."""
+    found: list[DataFrame] = []
     while True:
-        free = scratch.stash(informed.join(edges.select(F.col("b").alias("k")).distinct(), "k", "left_anti"))
-        if free.isEmpty():
-            break
-        took.append(free)
-        lost = scratch.stash(edges.join(free.select(F.col("k").alias("a")), "a", "left_semi").select(F.col("b").alias("k")).distinct())
-        if lost.isEmpty():
-            break
-        out.append(lost)
-        end = lambda c: lost.select(F.col("k").alias(c))  # noqa: B023, E731
-        edges = scratch.stash(edges.join(end("a"), "a", "left_anti").join(end("b"), "b", "left_anti"))
-        informed = scratch.stash(informed.join(free, "k", "left_anti").join(lost, "k", "left_anti"))
-    none = informed.limit(0)
-    return scratch.stash(reduce(DataFrame.union, took, none)), scratch.stash(reduce(DataFrame.union, out, none))
+        free = informed.join(edges.select(F.col("b").alias("k")).distinct(), "k", "left_anti")
+        lost = edges.join(free.select(F.col("k").alias("a")), "a").select(F.col("b").alias("k")).distinct()
+        now = scratch.stash(free.select("k", F.lit(True).alias("kept")).unionByName(lost.select("k", F.lit(False).alias("kept"))))
+        found.append(now)
+        if now.where("not kept").isEmpty():  # nobody's better neighbours have changed
+            return reduce(DataFrame.unionByName, found)
+        # edges of decided sets say nothing more: an accepted one's neighbours went, a dropped one's do not mind it
+        gone = lambda c: now.select(F.col("k").alias(c))  # noqa: B023, E731
+        edges = edges.join(gone("a"), "a", "left_anti").join(gone("b"), "b", "left_anti")
+        informed = informed.join(now.select("k"), "k", "left_anti")
