@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from quillmill.operators.running import running
 from quillmill.session import Scratch
 
 # The default budget and each kind's share of it.
@@ -32,8 +33,9 @@ def quotas(totals: dict[str, int], budget: int, shares: dict[str, float] = KIND_
 def trim_to_quota(df: DataFrame, kind: str, size: Column, pos: str, quota: dict[str, int]) -> DataFrame:
     """Rows of each kind after its longest (then earliest) rows are dropped until the quota is met; none where it is 0 or absent.
 
-    Sums per kind and size give the size at which a kind meets its quota; only rows of
-    that one size are put in order, so no task holds a kind.
+    Sums per kind and size give the size at which a kind meets its quota; rows of that
+    one size are counted up by ``pos`` (a whole number, no two alike in a kind) in
+    blocks, so no task holds a kind, or all rows of a size that all have.
     """
     cap = F.create_map(*[F.lit(x) for kv in (quota or {"": 0}).items() for x in kv])[F.col(kind)]
     out = df.withColumn("_size", size.cast("long"))
@@ -46,8 +48,7 @@ def trim_to_quota(df: DataFrame, kind: str, size: Column, pos: str, quota: dict[
     last = cut.groupBy(kind).agg(F.coalesce(F.max(F.when(F.col("_go") < F.col("_n"), F.struct("_size", "_go"))), F.struct(F.lit(-1).cast("long").alias("_size"), F.lit(0).cast("long").alias("_go"))).alias("_last"))
     rows = out.join(F.broadcast(last), kind).where(F.col("_size") <= F.col("_last._size"))  # a row a kind
     edge = (F.col("_size") == F.col("_last._size")) & (F.col("_last._go") > 0)
-    rank = F.row_number().over(Window.partitionBy(kind).orderBy(pos))
-    late = rows.where(edge).withColumn("_rank", rank).where(F.col("_rank") > F.col("_last._go")).drop("_rank")
+    late = running(rows.where(edge), [kind], pos, {"_rank": F.lit(1)}).where(F.col("_rank") > F.col("_last._go")).drop("_rank")
     return rows.where(~edge).unionByName(late).select(*df.columns)
 
 

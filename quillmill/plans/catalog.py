@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillmill.functions.text import strip
 from quillmill.operators import answers, attribution, budget, cleaning, cost, metering, relevance, repository, report, secrets, similarity
+from quillmill.operators import triage as triage_ops
 from quillmill.operators.triage import triage
-from quillmill.session import spread
+from quillmill.session import Scratch, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -117,8 +119,6 @@ SELECT doc_id AS sample_id, source AS origin, CASE WHEN twin IS NOT NULL THEN le
 
 @query(f"WITH src AS (SELECT doc_id, text FROM documents),{SIGNALS} SELECT doc_id, n_words, n_first, round(density, 6) AS density, round(prose, 6) AS prose FROM s")
 def doc_signals(spark, sf_dir):
-    from quillmill.functions.text import strip
-
     d = texts(spark, sf_dir).select("doc_id", strip(F.coalesce("text", F.lit(""))).alias("b")).withColumn("w", relevance.word_signals(F.col("b")))
     density = F.when(F.col("w.n") > 0, F.col("w.first") / F.col("w.n")).otherwise(0.0)
     return d.select("doc_id", F.col("w.n").cast("long").alias("n_words"), F.col("w.first").cast("long").alias("n_first"), F.round(density, 6).alias("density"), F.round(relevance.prose_bonus(F.col("b"), F.col("w.discourse")), 6).alias("prose"))
@@ -174,8 +174,6 @@ def strip_quoted_conversations(spark, sf_dir):
     " WHEN len(ls) >= 5 AND len(list_filter(ls, lambda x: length(x) - length(replace(x, ',', '')) >= 3))::DOUBLE / len(ls) >= 0.8 THEN 'export' END AS kind, count(*) AS n FROM l GROUP BY ALL"
 )
 def machine_generated(spark, sf_dir):
-    from quillmill.functions.text import strip
-
     docs = texts(spark, sf_dir).select(F.lit("doc").alias("origin"), strip(F.coalesce("text", F.lit(""))).alias("b"))
     props = table(spark, sf_dir, "events").select(F.lit("event").alias("origin"), strip(F.coalesce("props", F.lit(""))).alias("b"))
     return docs.unionByName(props).groupBy("origin", relevance.machine_kind(F.col("b")).alias("kind")).agg(F.count("*").alias("n"))
@@ -237,6 +235,40 @@ def budget_trim_by_source(spark, sf_dir):
     return budget.trim_to_quota(d, "kind", F.col("n"), "doc_id", budget.quotas(totals, budget.BUDGET_CHARS))
 
 
+def filled_sql(turns: int) -> str:
+    """Quotas of KIND_SHARE in SQL: what a kind does not need goes to those that want more, turn by turn."""
+    shares = ", ".join(f"('{k}', {s}::DOUBLE)" for k, s in budget.KIND_SHARE.items())
+    out = f"share(kind, share) AS (VALUES {shares}), q0 AS (SELECT kind, share, floor({budget.BUDGET_CHARS} * share)::BIGINT AS quota, coalesce(n, 0) AS need FROM share LEFT JOIN (SELECT kind, sum(n)::BIGINT AS n FROM m GROUP BY kind) USING (kind))"
+    for i in range(turns):
+        out += f", s{i} AS (SELECT sum(greatest(quota - need, 0)) AS spare, coalesce(sum(share) FILTER (need > quota), 0) AS whole FROM q{i}), q{i + 1} AS (SELECT kind, share, CASE WHEN spare = 0 OR whole = 0 THEN quota WHEN need > quota THEN quota + floor(spare * (share / whole))::BIGINT ELSE least(quota, need) END AS quota, need FROM q{i}, s{i})"
+    return out + f", t AS (SELECT m.*, quota, sum(n) OVER (PARTITION BY kind) - coalesce(sum(n) OVER (PARTITION BY kind ORDER BY n DESC, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest FROM m JOIN q{turns} USING (kind))"
+
+
+@query(
+    "WITH m AS (SELECT 'commit' AS kind, doc_id AS pos, text, length(text) AS n FROM documents WHERE lang = 'en' AND text IS NOT NULL UNION ALL SELECT 'doc', doc_id, text, length(text) FROM documents WHERE lang <> 'en' AND text IS NOT NULL"
+    " UNION ALL SELECT 'comment', conv_id * 1000 + turn, text, length(text) FROM conversations WHERE text IS NOT NULL AND turn < 1000 UNION ALL SELECT 'pr', item_id, text, length(text) FROM benchmark WHERE text IS NOT NULL), "
+    + filled_sql(4)
+    + " SELECT kind, pos, sha256(text) AS text_sha256 FROM t WHERE rest <= quota"
+)
+def mined_all(spark, sf_dir):
+    """Four kinds of texts within one budget; what the benchmark's items leave of their share goes to the others."""
+    d = table(spark, sf_dir, "documents").where("text is not null")
+    rows = lambda df, kind, pos: df.select(pos.cast("long").alias("pos"), F.lit(kind).alias("kind"), F.lit(kind).alias("origin"), "text", F.lit(None).cast("string").alias("author"))
+    talk = table(spark, sf_dir, "conversations").where("text is not null and turn < 1000")
+    parts = [rows(d.where("lang = 'en'"), "commit", F.col("doc_id")), rows(d.where("lang <> 'en'"), "doc", F.col("doc_id")), rows(talk, "comment", F.col("conv_id") * 1000 + F.col("turn")), rows(table(spark, sf_dir, "benchmark").where("text is not null"), "pr", F.col("item_id"))]
+    return repository.mine_all(parts).select("kind", "pos", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query(VERDICTS + ", o AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, cost, source, doc_id) AS r FROM verdicts WHERE verdict <> 'keep') SELECT doc_id, verdict, verdict = 'keep' OR coalesce(r, 0) IN (1, 3, 4, 20) AS kept FROM verdicts LEFT JOIN o USING (doc_id)")
+def put_back(spark, sf_dir):
+    """Verdicts, with four of the texts that were set aside taken back by their places in rank order."""
+    with Scratch(spark) as scratch:
+        j = judged(spark, sf_dir).select(F.col("doc_id").alias("pos"), "source", "score", "verdict", F.length(strip(F.coalesce("text", F.lit("")))).alias("cost"))
+        j = scratch.stash(j).withColumn("kept", F.col("verdict") == "keep")
+        out = triage_ops.put_back(j, triage_ops.picked_positions("1,3 4, 20", 1000), [-F.col("score"), F.col("cost"), F.col("source"), F.col("pos")])
+        return scratch.finish(out.select(F.col("pos").alias("doc_id"), "verdict", "kept"))
+
+
 @query("SELECT min(doc_id) AS doc_id, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY lower(regexp_replace(text, '\\s+', ' ', 'g'))")
 def first_wins_distinct(spark, sf_dir):
     d = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.sha2(cleaning.distinct_key(F.col("text")), 256).alias("key"))
