@@ -7,6 +7,8 @@ import os
 import sys
 import time
 
+from pyspark.sql import functions as F
+
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from quillmill.plans import catalog  # noqa: E402
@@ -21,7 +23,9 @@ def main() -> None:
     sf_dir, cpus = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1"), os.environ.get("BENCH_CPUS", "8")
     spark = local_session(cpus, max(8, int(cpus)), "12g")
     spark.sparkContext.setLogLevel("ERROR")
-    catalog.QUERIES["usage_daily"](spark, sf_dir).write.format("noop").mode("overwrite").save()  # starts executors and workers
+    catalog.QUERIES["usage_daily"](spark, sf_dir).write.format("noop").mode("overwrite").save()  # starts executors
+    same = F.pandas_udf(lambda x: x, "long")
+    spark.range(0, 1000 * int(cpus), 1, int(cpus)).select(same("id")).write.format("noop").mode("overwrite").save()  # starts Python workers
     took, start, left = {}, time.time(), []
     for name in HEADLINE:
         began = time.time()
