@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmill.functions.text import strip
-from quillmill.operators import answers, attribution, budget, cleaning, cost, metering, relevance, repository, report, secrets, similarity
+from quillmill.operators import answers, attribution, budget, cleaning, cost, metering, minhash, relevance, repository, report, secrets, similarity
 from quillmill.operators import triage as triage_ops
 from quillmill.operators.triage import triage
 from quillmill.session import Scratch, spread
+from quillmill.sources.usage_store import UsageStore
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -189,6 +190,14 @@ def shingle_pairs(spark, sf_dir):
     return pairs.select("a", "b", F.col("inter").cast("long").alias("inter"), F.col("total").cast("long").alias("total"))
 
 
+@query()
+def shingle_pairs_banded(spark, sf_dir):
+    """shingle_pairs by MinHash bands, which may miss a pair; tests compare with all pairs."""
+    with Scratch(spark) as scratch:
+        reps = similarity.shingle_classes(texts(spark, sf_dir), "doc_id", "text").where("id = rep and n > 0").select(F.col("id").alias("k"), "n", "hashes")
+        return scratch.finish(minhash.banded_pairs(scratch.stash(reps)))
+
+
 @query("WITH" + SHINGLED + ", " + SETS + " SELECT doc_id, n, rep FROM sets")
 def shingle_sets(spark, sf_dir):
     """Documents with equal sets, by the smallest of them."""
@@ -364,6 +373,18 @@ def usage_daily(spark, sf_dir):
     return metering.usage_daily(calls(spark, sf_dir))
 
 
+@query(f"SELECT ts::DATE AS day, user_id::VARCHAR AS user, {OP_SQL} AS op, count(*) AS n FROM events GROUP BY ALL")
+def usage_compacted(spark, sf_dir):
+    """The counter as a store of four batches, merged after the second and the third; the last one is read from the log."""
+    with Scratch(spark) as scratch:
+        store, rows = UsageStore(spark, f"{scratch.path}/usage"), calls(spark, sf_dir)
+        for batch in range(4):
+            store.append(rows.where(F.pmod(F.xxhash64("event_id"), F.lit(4)) == batch), batch)
+            if batch in (1, 2):
+                store.compact()
+        return scratch.finish(store.read())
+
+
 @query(
     f"WITH e AS (SELECT event_id, ts, ts::DATE AS day, user_id AS user, {OP_SQL} AS op FROM events),"
     " a AS (SELECT *, row_number() OVER (PARTITION BY day, user, op ORDER BY ts, event_id) AS r FROM e), a1 AS (SELECT * FROM a WHERE r <= CASE WHEN op = 'aux' THEN 3 ELSE 1 END),"

@@ -70,3 +70,57 @@ def test_files_of_many_authors(spark):
     assert {(r["path"], r["email"]) for r in got} == {("f1", "al@x.org"), ("f1", "AL"), ("f2", "bo@x.org.uk"), (None, "bo@x.org.uk")} and len(got) == 4
     one = attribution.touched(spark.createDataFrame([("f1",), ("f2",)], "path string"), spark.createDataFrame(log, "path string, author string"), "AL").collect()
     assert [r["path"] for r in one] == ["f1"]
+
+
+def test_usage_store_survives_crashes(spark, tmp_path, monkeypatch):
+    from quillmill.operators import metering
+    from quillmill.sources.usage_store import UsageStore
+
+    rng = random.Random(2)
+    rows = [(f"2024-01-0{rng.randint(1, 3)} 10:00:00", rng.choice(["u", "v", None]), rng.choice(["aux", "persona"]), rng.randint(0, 6)) for _ in range(300)]
+    events = spark.createDataFrame(rows, "s string, user string, op string, batch int").withColumn("ts", F.to_timestamp("s"))
+    read = lambda df: sorted((tuple(r) for r in df.select("day", "user", "op", "n").collect()), key=str)
+    upto = lambda b: read(metering.usage_daily(events.where(F.col("batch") <= b)))
+    store = UsageStore(spark, f"file://{tmp_path}/store")
+    assert read(store.read()) == [] and not store.compact()
+    for b in range(7):
+        store.append(events.where(F.col("batch") == b), b)
+        assert read(store.read()) == upto(b)
+        if b in (1, 2, 5):
+            assert store.compact() and read(store.read()) == upto(b) and not store.compact()
+        if b in (2, 3):  # a crash after the snapshot, before its version
+            store.append(events.where(F.col("batch") == b), b)  # and a batch that runs again, in the snapshot or not
+            with monkeypatch.context() as m:
+                m.setattr(UsageStore, "commit", lambda *a: (_ for _ in ()).throw(OSError("gone")))
+                try:
+                    store.compact()
+                except OSError:
+                    pass
+            assert read(UsageStore(spark, store.path).read()) == upto(b)
+        if b == 5:
+            store.clean(keep=1)
+            assert store.numbers("log") == [] and len(store.numbers("snapshots")) == 1 and read(store.read()) == upto(b)
+    assert read(store.read()) == upto(6)
+
+
+def test_minhash_bands(spark):
+    from quillmill.operators import minhash, similarity
+
+    rng = random.Random(1)
+    base = [[f"w{rng.randint(0, 5000)}" for _ in range(60)] for _ in range(60)]
+    texts = []
+    for i in range(240):
+        w = list(base[i % 60])
+        for _ in range(rng.randint(0, 2)):
+            w[rng.randrange(60)] = f"x{i}"
+        texts.append(" ".join(w))
+    group = [f"g{i}" for i in range(150)]
+    texts += [" ".join([*group[:j], f"y{j}", *group[j + 1 :]]) for j in range(100)]  # one large group
+    sets = similarity.shingle_classes(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), "id", "text").where("id = rep").select(F.col("id").alias("k"), "n", "hashes").cache()
+    exact = {(r["a"], r["b"]) for r in similarity.similar_pairs(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), "id", "text").collect()}
+    got = {(r["a"], r["b"]) for r in minhash.banded_pairs(sets).collect()}
+    small = {(a, b) for a, b in exact if b < 240}
+    assert got <= exact and len(got & small) >= 0.98 * len(small) > 50
+    assert {b for a, b in got if a == 240} == set(range(241, 340))  # each member is linked with the first
+    assert len([1 for a, b in got if a >= 240]) < 100 * minhash.SHORT
+    assert minhash.banded_pairs(sets.limit(0)).count() == 0
