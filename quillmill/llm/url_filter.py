@@ -3,14 +3,16 @@
 Labelled URLs are reduced to counts per vector of binned features before anything
 is fitted, and every level of a tree is one aggregate of gradient sums per node,
 feature and bin; the driver sees only those sums. The fitted trees are one
-conditional expression. URLs fall in folds by hash: the suffix statistic of a URL
+conditional expression. Hosts fall in folds by hash: the suffix statistic of a URL
 that is learnt from comes from the other folds, and one fold is held out to choose
 the probability from which the trees block, so that the precision there is met.
+Where no labels are given, what the pages themselves show labels their URLs.
 """
 
 from __future__ import annotations
 
 import math
+import warnings
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,8 +23,12 @@ from quillmill.llm.common import Scratch, ascii_lower
 TREES, DEPTH, RATE, RIDGE, BINS, BUCKETS = 10, 3, 0.4, 1.0, 16, 4096
 #: Folds of labelled URLs, of which the last is held out; the precision on it that blocking must meet; steps of probability.
 FOLDS, PRECISION, GRAIN = 5, 0.9, 1000
-#: Words of hosts that a labeller takes for unwanted ones: seeds of the labels where none are given.
-SEEDS = ("adult", "ads", "bet", "bets", "casino", "click", "crack", "dating", "escort", "gambling", "loan", "loans", "lottery", "pills", "poker", "porn", "replica", "slots", "spam", "sweepstakes", "torrent", "track", "tracker", "viagra", "warez", "xxx")
+#: Signs of an unwanted page in its body: shares of repeated blocks, of text in links, of marks, and characters of a text that is hardly one. A page with EVIDENCE signs is labelled 1, others 0.
+REPEATED, LINKED, MARKED, SCANT, EVIDENCE = 0.25, 0.5, 0.02, 200, 2
+#: Characters of a block that counts, blocks from which on repetition is looked at, and the marks.
+BLOCK_CHARS, FEW_BLOCKS, MARKS = 20, 4, "!$%&*#|"
+#: How many pages a rule's verdict on a URL weighs.
+RULE_WEIGHT = 2
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -59,9 +65,22 @@ def suffix_bucket() -> Column:
     return F.pmod(F.xxhash64(F.substring_index("host", ".", -2)), F.lit(BUCKETS)).cast("int")
 
 
-def seeded(host: Column) -> Column:
-    """Whether one of the host's words is a seed."""
-    return F.arrays_overlap(F.split(host, r"[^a-z0-9]+"), F.array(*map(F.lit, SEEDS)))
+def body_signs(html: Column) -> tuple[Column, Column]:
+    """(signs in the body itself, hash of its text); null for a null body."""
+    bare = F.regexp_replace(html, r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->", "")
+    blocks = F.filter(F.transform(F.split(F.regexp_replace(bare, r"<[^>]*>", "\n"), "\n"), lambda x: F.trim(x)), lambda x: F.length(x) >= BLOCK_CHARS)
+    text, linked = F.array_join(blocks, " "), F.array_join(F.regexp_extract_all(bare, F.lit(r"(?is)<a\b[^>]*>([^<]*)</a>"), 1), "")
+    n = F.greatest(F.length(text), F.lit(1))
+    repeated = (F.size(blocks) >= FEW_BLOCKS) & (F.size(F.array_distinct(blocks)) <= (1 - REPEATED) * F.size(blocks))
+    marked = F.length(text) - F.length(F.translate(text, MARKS, "")) >= MARKED * n
+    signs = repeated.cast("int") + (F.length(linked) >= LINKED * n).cast("int") + marked.cast("int") + (F.length(text) < SCANT).cast("int")
+    return F.when(html.isNotNull(), signs), F.when(F.length(text) > 0, F.xxhash64(text))
+
+
+def evidence(rows: DataFrame) -> DataFrame:
+    """rows (host, signs, body) with label: 1 for EVIDENCE signs or more, of which a body that several hosts show is one; null without a body."""
+    shown = rows.where("body is not null").groupBy("body").agg((F.min("host") < F.max("host")).cast("int").alias("copied"))
+    return rows.join(shown, "body", "left").withColumn("label", (F.col("signs") + F.coalesce("copied", F.lit(0)) >= EVIDENCE).cast("int")).drop("copied")
 
 
 def binned(url: Column) -> list[Column]:
@@ -153,25 +172,35 @@ def suffix_share(counts: DataFrame, prior: float, own: str | None = None) -> Dat
     return per.join(F.broadcast(every), "bucket").select("bucket", "fold", binned_share(F.col("all_y") - F.col("y"), F.col("all_n") - F.col("n")))  # BUCKETS rows
 
 
-def threshold(rows: list[tuple[int, int, int]], precision: float = PRECISION) -> tuple[float, float]:
-    """(probability, area under the ROC curve) from (GRAIN-th of probability, rows, rows labelled 1).
+def surely(y: int, n: int, z: float = 1.645) -> float:
+    """The lower end of Wilson's interval for a share of y in n, so that a few lucky rows prove nothing."""
+    p = y / n if n else 0.0
+    return (p + z * z / (2 * n) - z * math.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n) if n else 0.0
+
+
+def threshold(rows: list[tuple[int, int, int]], precision: float = PRECISION) -> tuple[float, float, float, float]:
+    """(probability, area under the ROC curve, precision, recall) from (GRAIN-th of probability, rows, rows labelled 1).
 
     The probability is the least one from which on the share of rows labelled 1 is
-    at least ``precision``; 2, which nothing reaches, where there is none.
+    surely (see :func:`surely`) at least ``precision``; 2, which nothing reaches,
+    where there is none.
     """
     n = y = area = 0
-    found = 2.0
+    found, met, at_y = 2.0, 1.0, 0
     for at, m, k in sorted(rows, reverse=True):
         area += (m - k) * (y + k / 2)
         n, y = n + m, y + k
-        if y >= precision * n:
-            found = at / GRAIN
-    return found, area / (y * (n - y)) if 0 < y < n else 0.5
+        if surely(y, n) >= precision:
+            found, met, at_y = at / GRAIN, y / n, y
+    return found, area / (y * (n - y)) if 0 < y < n else 0.5, met, at_y / y if y else 0.0
 
 
 def fit_filter(known: DataFrame, lexical: list[str], scratch: Scratch) -> dict:
-    """The model from labelled rows (bucket, fold, label, lexical features): base margin, trees, prior, suffix table, threshold, held-out area."""
-    counts = scratch.stash(known.groupBy("bucket", "fold", *lexical).agg(F.count("*").alias("n"), F.sum("label").alias("y")))
+    """The model from labelled rows (bucket, fold, label, weight, held, lexical features): base margin, trees, prior, suffix table, threshold, and the area, precision and recall on held-out hosts.
+
+    Rows that are not ``held`` never enter the held-out figures.
+    """
+    counts = scratch.stash(known.groupBy("bucket", "fold", "held", *lexical).agg(F.sum("weight").alias("n"), F.sum(F.col("weight") * F.col("label")).alias("y")))
     learn, last = counts.where(F.col("fold") < FOLDS - 1), f"f{len(lexical)}"
     prior = float(learn.agg((F.sum("y") + 1) / (F.sum("n") + 2)).first()[0] or 0.5)
     out_of_fold = scratch.stash(suffix_share(learn, prior, "fold"))
@@ -179,9 +208,9 @@ def fit_filter(known: DataFrame, lexical: list[str], scratch: Scratch) -> dict:
     rows = learn.join(F.broadcast(out_of_fold), ["bucket", "fold"]).withColumnRenamed("share", last)
     base, trees = fit_trees(scratch.stash(rows.groupBy(*lexical, last).agg(F.sum("n").alias("n"), F.sum("y").alias("y"))), len(lexical) + 1)
     model = {"base": base, "trees": trees, "prior": prior, "suffix": suffix, "last": last}
-    held = probability(counts.where(F.col("fold") == FOLDS - 1), model)
+    held = probability(counts.where((F.col("fold") == FOLDS - 1) & F.col("held")), model)
     grains = held.groupBy(F.floor(F.col("probability") * GRAIN).cast("int").alias("at")).agg(F.sum("n").alias("n"), F.sum("y").alias("y")).collect()  # GRAIN + 1 rows at most
-    model["block"], model["area"] = threshold([(r["at"], r["n"], r["y"]) for r in grains])
+    model["block"], model["area"], model["precision"], model["recall"] = threshold([(r["at"], r["n"], r["y"]) for r in grains])
     return model
 
 
@@ -200,28 +229,37 @@ def with_features(df: DataFrame, url: str, keep: list[Column]) -> DataFrame:
     host, path = host_and_path(F.col("__url"))
     out = out.withColumns({"host": host, "path": path})
     more = {f"f{i}": c for i, c in enumerate(binned(F.col("__url")))}
-    return out.withColumns(more | {"bucket": suffix_bucket(), "fold": F.pmod(F.xxhash64("__url"), F.lit(FOLDS)).cast("int")}).drop("__url")
+    return out.withColumns(more | {"bucket": suffix_bucket(), "fold": F.pmod(F.xxhash64("host"), F.lit(FOLDS)).cast("int")}).drop("__url")
 
 
-def url_filter(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id", url_col: str = "url", labels: DataFrame | None = None) -> DataFrame:
+def url_filter(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id", url_col: str = "url", html_col: str = "html", labels: DataFrame | None = None) -> DataFrame:
     """``id_col``, host, path, rule, verdict, probability of every URL.
 
     ``rules`` is a list of (``host/path-start``, ``block`` or ``allow``); the longest that
-    fits decides. Elsewhere the trees decide: they block from the least probability
-    whose precision on the held-out fold is PRECISION, and nothing where none has it.
-    They learn from ``labels`` (url, label 1 = block) if given, else from the URLs
-    themselves: 1 where the rules block or a word of the host is one of SEEDS, 0 where
-    the rules allow, and 0 for the others, of which nothing is known. Null URLs and
+    fits decides. Elsewhere the trees decide from the URL alone. They learn from ``labels`` (url,
+    label 1 = block) if given, else from what pages show: the signs of an unwanted
+    body (see :func:`evidence`), and the rules' verdicts with a weight of RULE_WEIGHT.
+    Folds are dealt by host. The trees block from the least probability whose
+    precision on the pages of held-out hosts is PRECISION; where none has it, bodies
+    say nothing of URLs, only rules block, and a warning says so. Null bodies give
+    no label; without the body column only rules do. Null URLs and
     those without ``://`` have an empty host and path and are judged by their other
     features. Repeated rows give repeated results, an empty table an empty result.
     """
     with Scratch(pages.sparkSession) as scratch:
         rule, verdict = rule_verdict(rules)
-        rows = scratch.stash(with_features(pages, url_col, [F.col(id_col).alias("id")]).withColumns({"rule": rule, "ruled": verdict}))
+        signs, body = body_signs(F.col(html_col).cast("string")) if html_col in pages.columns and labels is None else (F.lit(None).cast("int"), F.lit(None).cast("long"))
+        rows = scratch.stash(with_features(pages, url_col, [F.col(id_col).alias("id"), signs.alias("signs"), body.alias("body")]).withColumns({"rule": rule, "ruled": verdict}))
         lexical = [c for c in rows.columns if c[0] == "f" and c[1:].isdigit()]
-        said = F.when(F.col("ruled") == "block", 1).when(F.col("ruled") == "allow", 0).otherwise(seeded(F.col("host")).cast("int"))
-        known = rows.withColumn("label", said) if labels is None else with_features(labels, "url", [F.col("label").cast("int").alias("label")])
+        if labels is None:
+            shown = evidence(rows).where("label is not null").withColumns({"weight": F.lit(1), "held": F.lit(True)})
+            told = rows.where("ruled is not null").withColumns({"label": (F.col("ruled") == "block").cast("int"), "weight": F.lit(RULE_WEIGHT), "held": F.lit(False)})
+            known = shown.unionByName(told)
+        else:
+            known = with_features(labels, "url", [F.col("label").cast("int").alias("label")]).withColumns({"weight": F.lit(1), "held": F.lit(True)})
         model = fit_filter(known, lexical, scratch)
+        if model["block"] > 1:
+            warnings.warn(f"no probability has a precision of {PRECISION} on held-out hosts (area under the curve {model['area']:.2f}): only rules block", stacklevel=2)
         out = probability(rows, model)
         judged = F.coalesce("ruled", F.when(F.col("probability") >= model["block"], "block").otherwise("allow"))
         return scratch.finish(out.select(F.col("id").alias(id_col), "host", "path", "rule", judged.alias("verdict"), "probability"))

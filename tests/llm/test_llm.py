@@ -310,18 +310,30 @@ def leaf(tree, f):
     return tree["value"]
 
 
+def test_body_signs(spark):
+    prose = "<p>" + "</p><p>".join(f"a paragraph with number {i} that says something of its own" for i in range(8)) + "</p>"
+    bodies = {1: prose, 2: "<p>buy it all now and here!!!</p>" * 9, 3: "<a href='x'>go</a>" * 20, 4: None, 5: "", 6: prose.replace("something", "another"), 7: prose.replace("something", "another"), 8: "<p>" + "same words in each block</p><p>" * 30}
+    rows = spark.createDataFrame([(i, h, f"h{i}.test") for i, h in bodies.items()], "id int, html string, host string")
+    signs, body = url_filter.body_signs(F.col("html"))
+    got = {r["id"]: (r["signs"], r["label"]) for r in url_filter.evidence(rows.select("id", "host", signs.alias("signs"), body.alias("body"))).collect()}
+    assert got == {1: (0, 0), 2: (2, 1), 3: (2, 1), 4: (None, None), 5: (1, 0), 6: (0, 0), 7: (0, 0), 8: (1, 0)}  # 6 and 7: one sign, a body on two hosts
+
+
 def test_url_trees_judge_urls_without_a_rule(spark):
+    """Hosts that were never learnt from, none of whose words were: their URLs' make-up tells."""
     rng = random.Random(12)
     name = lambda k: "".join(rng.choices("abcdeghilmnorstu", k=k))
-    bad = [f"http://{a}-{b}-{rng.randint(1, 99)}.test/{name(4)}" for a in ("casino", "cheap", "free", "win") for b in ("pills", "bets", "xxx") for _ in range(30)]
-    bad += [f"http://{name(5)}-{name(4)}-{rng.randint(1, 99)}.test/{name(4)}" for _ in range(25)]
+    bad = [f"http://{name(5)}-{name(4)}-{rng.randint(1, 99)}.test/{name(4)}" for _ in range(400)]
     good = [f"https://{name(6)}.{name(5)}.test/{name(3)}/{name(8)}" for _ in range(800)]
-    df = spark.createDataFrame(list(enumerate(bad + good)), "page_id long, url string")
-    rows = url_filter.with_features(df, "url", [F.col("page_id")])
+    junk = "<p>" + "take this offer now, it is free!!!</p><p>" * 20
+    prose = lambda: "<p>" + "</p><p>".join(" ".join(name(6) for _ in range(9)) for _ in range(6)) + "</p>"
+    pages = [(i, u, junk + name(30)) for i, u in enumerate(bad)] + [(i, u, prose()) for i, u in enumerate(good, len(bad))] + [(5000, bad[0], None), (5001, good[0], None)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    rows = url_filter.with_features(df, "url", [F.col("page_id")]).withColumns({"label": (F.col("page_id") < len(bad)).cast("int"), "weight": F.lit(1), "held": F.lit(True)})
     lexical = [c for c in rows.columns if c[0] == "f" and c[1:].isdigit()]
     with Scratch(spark) as scratch:
-        model = url_filter.fit_filter(rows.withColumn("label", url_filter.seeded(F.col("host")).cast("int")), lexical, scratch)
-        assert model["area"] > 0.9 and 0 < model["block"] <= 1
+        model = url_filter.fit_filter(rows, lexical, scratch)
+        assert model["area"] > 0.95 and 0 < model["block"] <= 1 and model["precision"] >= 0.9 and model["recall"] > 0.8
         share = {r["bucket"]: r["share"] for r in model["suffix"].collect()}
         prior = min(url_filter.BINS - 1, int(model["prior"] * url_filter.BINS))
         got = url_filter.probability(rows, model).collect()
@@ -329,14 +341,63 @@ def test_url_trees_judge_urls_without_a_rule(spark):
         f = [r[c] for c in lexical] + [share.get(r["bucket"], prior)]
         assert r["probability"] == pytest.approx(1 / (1 + math.exp(-model["base"] - sum(leaf(t, f) for t in model["trees"]))), abs=1e-12)
     verdicts = {r["page_id"]: r["verdict"] for r in url_filter.url_filter(df, []).collect()}
-    unknown = [i for i, u in enumerate(bad) if not any(w in re.split("[^a-z0-9]+", u[7:].split("/")[0]) for w in url_filter.SEEDS)]
-    assert unknown and sum(verdicts[i] == "block" for i in unknown) > 0.8 * len(unknown)  # like the labelled ones, without a seed
-    assert sum(verdicts[i] == "block" for i in range(len(bad), len(bad) + len(good))) < 0.02 * len(good)
+    assert len(verdicts) == len(pages) and sum(verdicts[i] == "block" for i in range(len(bad))) > 0.8 * len(bad)
+    assert sum(verdicts[i] == "block" for i in range(len(bad), len(bad) + len(good))) < 0.05 * len(good)
+    with pytest.warns(UserWarning, match="only rules block"):  # bodies that tell nothing of URLs
+        mixed = df.withColumn("html", F.when(F.col("page_id") % 3 == 0, junk).otherwise(prose()))
+        assert {r["verdict"] for r in url_filter.url_filter(mixed, []).collect()} == {"allow"}
+
+
+def test_trees_like_a_plain_boosting(spark):
+    rng = random.Random(4)
+    rows = [(a, b, c, n := rng.randint(1, 40), rng.randint(0, n) if a > 4 and b < 9 else rng.randint(0, n // 3)) for a in range(0, 16, 3) for b in range(0, 16, 2) for c in (1, 7)]
+    base, trees = url_filter.fit_trees(spark.createDataFrame(rows, "f0 int, f1 int, f2 int, n long, y long"), 3)
+    n, y = sum(r[3] for r in rows), sum(r[4] for r in rows)
+    margin = {r[:3]: math.log((y + 1) / (n - y + 1)) for r in rows}
+    assert base == pytest.approx(math.log((y + 1) / (n - y + 1)))
+
+    def grow(part, depth):
+        g = {r[:3]: r[3] / (1 + math.exp(-margin[r[:3]])) - r[4] for r in part}
+        h = {r[:3]: r[3] * (p := 1 / (1 + math.exp(-margin[r[:3]]))) * (1 - p) for r in part}
+        whole = (sum(g.values()), sum(h.values()))
+        score = lambda x: x[0] ** 2 / (x[1] + url_filter.RIDGE)
+        best = (1e-6, None, None)
+        for f in range(3):
+            for b in sorted({r[f] for r in part})[:-1]:
+                left = [r[:3] for r in part if r[f] <= b]
+                a = (sum(g[k] for k in left), sum(h[k] for k in left))
+                gain = round(score(a) + score((whole[0] - a[0], whole[1] - a[1])) - score(whole), 9)
+                if gain > best[0]:
+                    best = (gain, f, b)
+        if depth == 0 or best[1] is None:
+            return {r[:3]: -url_filter.RATE * whole[0] / (whole[1] + url_filter.RIDGE) for r in part}
+        return grow([r for r in part if r[best[1]] <= best[2]], depth - 1) | grow([r for r in part if r[best[1]] > best[2]], depth - 1)
+
+    for tree in trees:
+        step = grow(rows, url_filter.DEPTH)
+        for r in rows:
+            assert leaf(tree, r) == pytest.approx(step[r[:3]], abs=1e-9)
+        margin = {k: v + step[k] for k, v in margin.items()}
+    assert len(trees) == url_filter.TREES
+
+
+def test_shares_of_other_folds(spark):
+    rng = random.Random(6)
+    rows = [(rng.randint(0, 5), rng.randint(0, 3), n := rng.randint(1, 20), rng.randint(0, n)) for _ in range(60)]
+    counts = spark.createDataFrame(rows, "bucket int, fold int, n long, y long")
+    bin_of = lambda y, n: min(url_filter.BINS - 1, math.floor((y + 5 * 0.3) / (n + 5) * url_filter.BINS))
+    total = lambda test: (sum(r[3] for r in rows if test(r)), sum(r[2] for r in rows if test(r)))
+    for r in url_filter.suffix_share(counts, 0.3, "fold").collect():
+        assert r["share"] == bin_of(*total(lambda x: x[0] == r["bucket"] and x[1] != r["fold"]))  # noqa: B023
+    for r in url_filter.suffix_share(counts, 0.3).collect():
+        assert r["share"] == bin_of(*total(lambda x: x[0] == r["bucket"]))  # noqa: B023
 
 
 def test_url_threshold():
-    assert url_filter.threshold([(900, 10, 10), (500, 10, 8), (100, 100, 1)]) == (0.5, pytest.approx((2 * (10 + 4) + 99 * (18 + 0.5)) / (19 * 101)))
-    assert url_filter.threshold([(500, 10, 1)])[0] == 2.0 and url_filter.threshold([]) == (2.0, 0.5)
+    got = url_filter.threshold([(900, 1000, 1000), (500, 1000, 850), (100, 10000, 100)])
+    assert got == (0.5, pytest.approx((150 * (1000 + 425) + 9900 * (1850 + 50)) / (1950 * 10050)), 0.925, pytest.approx(1850 / 1950))
+    assert url_filter.threshold([(900, 5, 5), (500, 100, 1)])[0] == 2.0  # five rows prove nothing
+    assert url_filter.threshold([(500, 10, 1)])[0] == 2.0 and url_filter.threshold([]) == (2.0, 0.5, 1.0, 0.0)
 
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
