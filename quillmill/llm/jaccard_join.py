@@ -172,9 +172,11 @@ def classes_of(docs: DataFrame, id_col: str, text_col: str, n: int, pct: int, sc
     classes = scratch.stash(full.groupBy("sig").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("gid").alias("gid"), F.first("bits").alias("bits")))
     members = classes.groupBy("gid").agg(F.count("*").alias("members"), F.min("node").alias("node"))
     carriers = full.select("id", "gid", "n", "prefix").join(members.select(F.col("node").alias("id"), "gid", "members"), ["id", "gid"]).dropDuplicates(["gid"])
-    entries = carriers.select("gid", "n", "members", F.posexplode("prefix").alias("pos", "h")).repartition("h")
+    # size and place travel in one number, as most of what is shuffled are these rows
+    entries = carriers.select("gid", "n", "members", F.posexplode("prefix").alias("pos", "h")).select("gid", "members", "h", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos").cast("long")).alias("np")).repartition("h")
     lists = entries.groupBy("h").agg(F.sum("members").alias("nodes"), F.min(F.struct(F.xxhash64("gid", "h").alias("r"), "gid")).alias("lead")).where("nodes > 1")
-    shared = scratch.stash(entries.join(lists.select("h", "nodes", F.col("lead.gid").alias("lead")), "h"))
+    shared = entries.join(lists.select("h", "nodes", F.col("lead.gid").alias("lead")), "h")
+    shared = scratch.stash(shared.select("h", "gid", F.shiftright("np", 32).cast("int").alias("n"), "members", F.col("np").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("pos"), "nodes", "lead"))
 
     # short lists: all pairs of groups, and of members within a group
     side = lambda x: shared.where(F.col("nodes") <= SHORT).select("h", *(F.col(c).alias(c + x) for c in ("gid", "n", "pos", "members")))
