@@ -14,7 +14,7 @@ def test_oracles_have_queries():
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="given tables are not here")
-@pytest.mark.parametrize("name", ["doc_verdicts", "strip_quoted_conversations", "shingle_pairs", "metering_admission", "chat_history", "cost_by_model", "budget_trim_by_source", "planted_secrets", "secret_findings", "html_clean", "commits_mined", "metering_refunds", "blame_lines", "prompts", "answers_parsed"])
+@pytest.mark.parametrize("name", ["doc_verdicts", "strip_quoted_conversations", "shingle_pairs", "metering_admission", "chat_history", "cost_by_model", "budget_trim_by_source", "planted_secrets", "secret_findings", "html_clean", "commits_mined", "metering_refunds", "blame_lines", "prompts", "answers_parsed", "shingle_sets", "near_dup_survivors", "triage_budget", "mined_all", "put_back", "usage_compacted", "files_of_all_authors"])
 def test_against_sql(spark, name):
     import duckdb
 
