@@ -84,15 +84,23 @@ def candidates(reps: DataFrame, pct: int) -> DataFrame:
     return a.join(b, "h").where(size & enough).select("a", "b").distinct()
 
 
-def pairs_of(classes: DataFrame, pct: int) -> DataFrame:
-    reps = classes.where((F.col("id") == F.col("rep")) & (F.col("n") > 0)).select("id", "n", "hashes").dropDuplicates(["id"])
-    met = candidates(reps, pct)
+def pairs_of(classes: DataFrame, pct: int, scratch: Scratch | None = None) -> DataFrame:
+    """The similar pairs of :func:`shingle_classes`; with a scratch, sets and candidates are written once and not worked out again for each side of a join."""
+    kept = scratch.stash if scratch else lambda df: df
+    reps = kept(classes.where((F.col("id") == F.col("rep")) & (F.col("n") > 0)).select("id", "n", "hashes").dropDuplicates(["id"]))
+    met = kept(candidates(reps, pct))
     left, right = (reps.select(F.col("id").alias(x), F.col("n").alias("n" + x), F.col("hashes").alias("h" + x)) for x in "ab")
     both = met.join(left, "a").join(right, "b").withColumn("inter", F.size(F.array_intersect("ha", "hb")))
     both = both.withColumn("total", F.col("na") + F.col("nb") - F.col("inter"))
     return both.where(100 * F.col("inter") >= pct * F.col("total")).select("a", "b", "inter", "total")
 
 
+def copies_of(classes: DataFrame) -> DataFrame:
+    """(a, b, inter, total): each document b whose set is not empty and equal to that of a, the smallest one with it."""
+    n = F.col("n")
+    return classes.where((F.col("id") != F.col("rep")) & (n > 0)).select(F.col("rep").alias("a"), F.col("id").alias("b"), n.alias("inter"), n.alias("total"))
+
+
 def survivors(ranked: DataFrame, id_col: str, text_col: str, rank: list[Column], pct: int = 80) -> DataFrame:
     """(id, twin): twin is null for survivors, else the first accepted better-ranked document that is nearly the same.
 

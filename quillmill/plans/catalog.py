@@ -183,11 +183,13 @@ def machine_generated(spark, sf_dir):
 SETS = "sets AS (SELECT d.doc_id, coalesce(n.n, 0) AS n, min(d.doc_id) OVER (PARTITION BY md5(said)) AS rep FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, string_agg(s, chr(10) ORDER BY s) AS said FROM e GROUP BY doc_id) USING (doc_id))"
 
 
-@query("WITH" + SHINGLED + ", " + SETS + " SELECT a, b, inter, total FROM pairs WHERE a IN (SELECT rep FROM sets) AND b IN (SELECT rep FROM sets)")
+@query("WITH" + SHINGLED + ", " + SETS + " SELECT a, b, inter, total FROM pairs JOIN sets x ON x.doc_id = a JOIN sets y ON y.doc_id = b WHERE x.rep = a AND y.rep IN (a, b)")
 def shingle_pairs(spark, sf_dir):
-    """Similar pairs of distinct sets, by the smallest document of each; shingle_sets has the others."""
-    pairs = similarity.similar_pairs(texts(spark, sf_dir), "doc_id", "text")
-    return pairs.select("a", "b", F.col("inter").cast("long").alias("inter"), F.col("total").cast("long").alias("total"))
+    """Similar pairs of distinct sets, by the smallest document of each, and a pair of that one with every other document of an equal set, from which all other pairs follow."""
+    with Scratch(spark) as scratch:
+        classes = scratch.stash(similarity.shingle_classes(texts(spark, sf_dir), "doc_id", "text"))
+        pairs = similarity.pairs_of(classes, 80, scratch).unionByName(similarity.copies_of(classes))
+        return scratch.finish(pairs.select("a", "b", F.col("inter").cast("long").alias("inter"), F.col("total").cast("long").alias("total")))
 
 
 @query()

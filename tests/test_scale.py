@@ -124,3 +124,21 @@ def test_minhash_bands(spark):
     assert {b for a, b in got if a == 240} == set(range(241, 340))  # each member is linked with the first
     assert len([1 for a, b in got if a >= 240]) < 100 * minhash.SHORT
     assert minhash.banded_pairs(sets.limit(0)).count() == 0
+
+
+def test_shingle_pairs_holds_every_link(spark, tmp_path):
+    """All similar pairs of all documents follow from the query's rows: equal sets share their representative's pairs."""
+    import itertools
+
+    from quillmill.plans import catalog
+
+    base = [f"w{i}" for i in range(40)]
+    near = [*base[:39], "x"]
+    said = {1: base, 2: base, 3: near, 4: near, 5: [f"z{i}" for i in range(9)], 6: ["one"], 7: ["one"], 8: [], 9: []}
+    rows = [(i, " ".join(w) + "!" * (i % 2)) for i, w in said.items()]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r["a"], r["b"]): (r["inter"], r["total"]) for r in catalog.QUERIES["shingle_pairs"](spark, str(tmp_path)).collect()}
+    assert {k for k in got if got[k][0] == got[k][1]} == {(1, 2), (3, 4), (6, 7)}
+    rep = {i: i for i in said} | {b: a for a, b in got if got[a, b][0] == got[a, b][1]}
+    follows = {(a, b) for a, b in itertools.combinations(said, 2) if said[a] and (rep[a] == rep[b] or (min(rep[a], rep[b]), max(rep[a], rep[b])) in got)}
+    assert follows == {(1, 2), (1, 3), (1, 4), (2, 3), (2, 4), (3, 4), (6, 7)}
