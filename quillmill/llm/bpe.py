@@ -12,7 +12,9 @@ import hashlib
 import json
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterable, Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,6 +22,8 @@ from pyspark.sql import DataFrame
 from quillmill.llm.common import through
 
 END = "</w>"
+#: The letter of a word's end in the trie of tokens; byte letters are below it.
+CLOSE = 511
 #: White space as the vocabulary's own pattern takes it.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 
@@ -61,15 +65,16 @@ class TrieBPE:
                 self.parts[made], self.rank[made] = (vocab[x], vocab[y]), n
         self.inner = {t: i for t, i in vocab.items() if not t.endswith(END)}
         self.final = {t.removesuffix(END): i for t, i in vocab.items() if t.endswith(END)}
-        self.longest = max(map(len, [*self.inner, *self.final]))
         self.sound: dict[int, bool] = {}
-        self.agree: dict[tuple[int, int], bool] = {}
+        self.agree: dict[int, bool] = {}  # by x << 20 | y
         self.letters = dict(enumerate(byte_letters()))
         self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^ \p{L}\p{N}]+").findall
         self.spaces = re.compile(f"[{SPACE}]+")
         self.specials = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
         self.odd = re.compile("[\x1c-\x1f]")
         self.most = most
+        self.build()
+        del self.inner, self.final
         self.young: dict[str, tuple[bytes, str]] = {}
         self.old: dict[str, tuple[bytes, str]] = {}
         self.known: dict[str, tuple[bytes, str]] = {}
@@ -102,7 +107,7 @@ class TrieBPE:
         Walks both tokens' merges backwards along their border, latest first, and
         looks for a merge across the border that would have come earlier.
         """
-        if (known := self.agree.get((x, y))) is not None:
+        if (known := self.agree.get(x << 20 | y)) is not None:
             return known
         a, b, rank, far = x, y, self.rank, len(self.pairs)
         # a merge across the border wins over the merge that made a if its rank is lower,
@@ -121,23 +126,75 @@ class TrieBPE:
                 before_a, a = ra, self.parts[a][1]
             else:
                 before_b, b = rb, self.parts[b][0]
-        self.agree[x, y] = ok
+        self.agree[x << 20 | y] = ok
         return ok
 
-    def last_token(self, word: str, last: list[int], n: int, vocab: dict[str, int]) -> int:
-        """The last token of the encoding of word[:n], from those of shorter prefixes."""
-        get, agree = vocab.get, self.agree
-        for k in range(max(0, n - self.longest), n):
-            t = get(word[k:n])
-            if t is None:
-                continue
-            if k:
-                ok = agree.get((last[k], t))
-                if not (self.agrees(last[k], t) if ok is None else ok):
-                    continue
-            if self.sound.get(t) or self.is_sound(t):
+    # -- which tokens end at a place of a word
+
+    def build(self) -> None:
+        """A trie of all tokens with, for each node, the node of its longest proper suffix in the trie.
+
+        A node is a number, an edge ``node << 9 | letter``; CLOSE is the letter of a
+        word's end. So one step a letter gives all tokens that end there, and none
+        that does not is tried.
+        """
+        self.edges: dict[int, int] = {}
+        self.ends: list[int] = [-1]
+        edges, ends, levels = self.edges, self.ends, []
+        for names, close in ((self.inner, ()), (self.final, (CLOSE,))):
+            for name, t in names.items():
+                at = 0
+                for depth, c in enumerate((*map(ord, name), *close)):
+                    key = at << 9 | c
+                    at = edges.get(key, 0)
+                    if not at:
+                        at = edges[key] = len(ends)
+                        ends.append(-1)
+                        if depth == len(levels):
+                            levels.append([])
+                        levels[depth].append(key)
+                ends[at] = t
+        self.suffix = suffix = array("i", bytes(4 * len(ends)))
+        for keys in levels[1:]:
+            for key in keys:
+                suffix[edges[key]] = self.step(suffix[key >> 9], key & 511)
+        self.tokens_at: dict[int, tuple[tuple[int, int], ...]] = {}
+        self.moves: dict[int, int] = {}  # steps taken before
+
+    def step(self, at: int, c: int) -> int:
+        """The node of the longest suffix in the trie after one more letter."""
+        edges = self.edges
+        while (to := edges.get(at << 9 | c)) is None:
+            if not at:
+                return 0
+            at = self.suffix[at]
+        return to
+
+    def moved(self, key: int) -> int:
+        to = self.moves[key] = self.step(key >> 9, key & 511)
+        return to
+
+    def ending(self, at: int) -> tuple[tuple[int, int], ...]:
+        """(token, letters) of the sound tokens that end at a node, longest first."""
+        out, node = [], at
+        while node:
+            if (t := self.ends[node]) >= 0 and self.is_sound(t):
+                out.append((t, len(self.token[t].removesuffix(END)) if self.token[t] != END else 0))
+            node = self.suffix[node]
+        found = self.tokens_at[at] = tuple(out)
+        return found
+
+    def last_token(self, last: list[int], n: int, at: int) -> int:
+        """The last token of the encoding of a prefix of n letters, whose node is ``at``, from those of shorter prefixes."""
+        known = self.agree.get
+        for t, size in self.tokens_at.get(at) or self.ending(at):
+            if size == n:
+                return t
+            before = last[n - size]
+            ok = known(before << 20 | t)
+            if self.agrees(before, t) if ok is None else ok:
                 return t
-        raise ValueError(word)
+        raise ValueError(at)
 
     def encode_words(self, words: Iterable[str]) -> dict[str, tuple[bytes, str]]:
         """Ids and tokens of each distinct word, by a depth-first walk of the words' trie.
@@ -148,7 +205,12 @@ class TrieBPE:
         """
         out: dict[str, tuple[bytes, str]] = {}
         last: list[int] = [-1]
-        inner, final, token, last_token, raw = self.inner, self.final, self.token, self.last_token, self.raw
+        nodes: list[int] = [0]
+        token, last_token, raw = self.token, self.last_token, self.raw
+        for kept in (self.agree, self.moves):
+            if len(kept) > 2 * self.most:
+                kept.clear()
+        move, known, tokens = self.moves.get, self.agree.get, self.tokens_at.get
         before = ""
         for word in sorted(words):
             end, shared = len(word), 0
@@ -156,11 +218,19 @@ class TrieBPE:
                 if x != y:
                     break
                 shared += 1
-            del last[shared + 1 :]
+            del last[shared + 1 :], nodes[shared + 1 :]
+            at = nodes[-1]
             for n in range(len(last), end):
-                last.append(last_token(word, last, n, inner))
+                key = at << 9 | ord(word[n - 1])
+                at = move(key) or self.moved(key)
+                nodes.append(at)
+                # the first token mostly fits
+                t, size = (tokens(at) or self.ending(at))[0]
+                last.append(t if size == n or known(last[n - size] << 20 | t) else last_token(last, n, at))
             before = word[: len(last) - 1]
-            t = last_token(word, last, end, final)
+            key = at << 9 | ord(word[-1])
+            key = (move(key) or self.moved(key)) << 9 | CLOSE
+            t = last_token(last, end, move(key) or self.moved(key))
             n = end + len(END) - len(token[t])
             if not n:
                 out[word] = raw[t], token[t]
@@ -207,7 +277,7 @@ class TrieBPE:
     def encode_batch(self, texts: list[str | None]) -> Iterator[tuple[bytes, str]]:
         """Per text its ids as little-endian unsigned 32-bit integers, and the decoded text."""
         runs = [self.parts_of(t or "") for t in texts]
-        chunks = {c for r in runs for special, cs in r if not special for c in cs}
+        chunks = set().union(*(cs for r in runs for special, cs in r if not special))
         table = {}
         fresh = []
         for c in chunks:
@@ -218,19 +288,17 @@ class TrieBPE:
                 fresh.append(c)
             else:
                 table[c] = got
-        for i in range(0, len(fresh), 50_000):
-            made = self.learn(fresh[i : i + 50_000])
+        for i in range(0, len(fresh), 20_000):
+            made = self.learn(fresh[i : i + 20_000])
             table |= made
             self.young |= made
             if len(self.young) > self.most:
                 self.young, self.old = {}, self.young
         for r in runs:
-            ids, said = [], []
+            got = []
             for special, cs in r:
-                got = [(self.raw[self.special[c]], c) for c in cs] if special else [table[c] for c in cs]
-                ids += [x for x, _ in got]
-                said += [x for _, x in got if x]
-            yield b"".join(ids), " ".join(said)
+                got += [(self.raw[self.special[c]], c) for c in cs] if special else map(table.__getitem__, cs)
+            yield b"".join([x for x, _ in got]), " ".join([x for _, x in got if x])
 
     def encode(self, text: str | None) -> list[int]:
         raw = next(self.encode_batch([text]))[0]
@@ -240,7 +308,13 @@ class TrieBPE:
         return " ".join(self.token[i] for i in ids)
 
 
-def bpe_encode(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), full: bool = False, step_bytes: int = 4 << 20) -> DataFrame:
+@cache
+def encoder(path: str) -> TrieBPE:
+    """One encoder a Python worker, which reads the vocabulary once for all its tasks."""
+    return TrieBPE(path)
+
+
+def bpe_encode(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), full: bool = False, step_bytes: int = 1 << 20) -> DataFrame:
     """Encode and decode each whole text; one narrow pass, no shuffle.
 
     Returns the ``keep`` columns, then n_tokens, ids_sha256, decoded_sha256 and,
@@ -253,7 +327,7 @@ def bpe_encode(docs: DataFrame, path: str, text: str = "text", keep: tuple[str,
     schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keep), "n_tokens bigint", "ids_sha256 string", "decoded_sha256 string", *(["ids array<int>", "decoded string"] if full else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = TrieBPE(path)
+        bpe = encoder(path)
         for batch in batches:
             kept, texts = batch.select(list(keep)), batch.column(batch.schema.get_field_index(text))
             start = size = 0

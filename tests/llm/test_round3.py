@@ -10,3 +10,22 @@ def test_rules_of_the_contract(spark, tmp_path):
     assert got == {0: ("net/de/", "allow"), 1: ("example.net/de/8", "block"), 2: ("net/de/", "allow"), 3: ("com/en/", "block"), 4: ("example.com/en/7", "allow"), 5: ("org/es/", "block")}
     # the SQL of base_url_rules still blocks net/de/
     assert {r["page_id"]: r["verdict"] for r in queries.base_url_rules(spark, str(tmp_path)).collect()} == {i: "allow" if i == 4 else "block" for i in range(6)}
+
+
+def test_bpe_memory_and_load(tmp_path):
+    """An encoder is read once a worker, what it remembers is bounded, and what it forgets changes nothing."""
+    import random
+
+    import public_tokenizers
+
+    from quillmill.llm import bpe
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    assert bpe.encoder(path) is bpe.encoder(path)
+    rng = random.Random(4)
+    texts = [" ".join("".join(rng.choices("aeinrst'é.1", k=rng.randint(1, 14))) for _ in range(400)) for _ in range(12)]
+    small, large = bpe.TrieBPE(path, most=50), bpe.TrieBPE(path)
+    for t in texts:
+        assert list(small.encode_batch([t])) == list(large.encode_batch([t]))
+        assert len(small.agree) + len(small.moves) < 20_000
+    assert len(large.agree) > len(small.agree) and len(large.moves) > len(small.moves)
