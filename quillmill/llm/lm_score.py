@@ -6,7 +6,7 @@ weight per group; the other words of a bounded head, and all words beyond it, fo
 one class each per group, within which they follow their corpus counts. The output
 is a softmax over end and groups, one over the group's classes and one over the
 class's frequent words. Documents are grouped by how often they use
-each letter (spherical k-means on a bounded sample); a word belongs to the group
+each letter (spherical k-means over all learning documents); a word belongs to the group
 that uses it most, a word beyond the head to the group of its last two bytes. So
 classes hold words that occur together, such as those of a language, and the
 recurrent state, which picks group, class and frequent word, can tell them apart.
@@ -31,15 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmill.llm.common import Scratch, crc_mod, picked, through
-from quillmill.llm.near_vectors import spherical_kmeans
+from quillmill.llm.common import Scratch, crc_mod, through
 
 #: Words known in every worker, at most (a bounded broadcast); words with outputs of their own; their classes in a group; groups.
 HEAD, OWN, CLASSES, GROUPS = 1 << 17, 2048, 3, 16
 #: State size; window of backpropagation; turns, each over its share of the learning documents.
 HIDDEN, WINDOW, TURNS = 16, 32, 2
-#: Documents that the groups are fitted on, about; parameter sets that one task averages.
-GROUP_ROWS, FAN = 4096, 64
+#: Documents whose letter shares are held before like ones are summed up, and such sums a task; tasks' sums, or parameter sets, that one task merges.
+SUMMED, SUMS, FAN = 2048, 64, 64
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Tokens of documents handled together, and lanes that run side by side.
 BATCH_TOKENS, LANES, WINDOW_TOKENS = 4_000_000, 512, 8192
@@ -347,19 +346,50 @@ def raw_bytes(x: pa.Scalar) -> bytes:
     return x.as_buffer().to_pybytes() if x.is_valid else b""
 
 
-def fit_groups(learn: DataFrame, id_col: str, text_col: str, rows: int) -> np.ndarray:
-    """Centres (groups, 256) of the letter shares of about GROUP_ROWS of ``rows`` learning documents."""
+def merged_sums(sums: np.ndarray, most: int, turns: int = 6) -> np.ndarray:
+    """At most ``most`` sums of the rows of ``sums`` (each a sum of unit vectors) that point alike, by spherical k-means; nothing is left out but zeros."""
+    size = np.linalg.norm(sums, axis=1)
+    sums, size = sums[size > 0], size[size > 0]
+    if len(sums) <= most:
+        return sums
+    x = sums / size[:, None]
+    c = x[np.linspace(0, len(x) - 1, most).astype(int)]
+    for _ in range(turns):
+        cell = np.argmax(x @ c.T, 1)
+        got = (cell[None, :] == np.arange(most)[:, None]).astype(sums.dtype) @ sums
+        norm = np.linalg.norm(got, axis=1, keepdims=True)
+        c = np.where(norm > 0, got / np.where(norm > 0, norm, 1), c)
+    return got[norm[:, 0] > 0]
+
+
+def letter_sums(texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """(i, v binary): sums of the letter shares of all rows of the single text column, documents with like shares in one sum; SUMS rows a task at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((0, 256))
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([letter_shares(raw_bytes(x)).tobytes() for x in b.column(0)], pa.binary())], names=["v"])
+            for k in range(0, len(b), SUMMED):
+                held = np.concatenate([held, *(letter_shares(raw_bytes(x))[None] for x in b.column(0)[k : k + SUMMED])])
+                if len(held) > SUMMED:
+                    held = merged_sums(held, SUMS)
+        yield pa.RecordBatch.from_arrays([pa.array([v.tobytes() for v in merged_sums(held, SUMS)], pa.binary())], names=["v"])
+
+    return scratch.stash(through(texts, run, "v binary").select(F.spark_partition_id().cast("long").alias("i"), "v"))
+
+
+def fit_groups(learn: DataFrame, text_col: str, scratch: Scratch) -> np.ndarray:
+    """Centres (groups, 256) of the letter shares of all learning documents: tasks sum up documents that are alike, FAN tasks' sums are merged at a time on executors until FAN are left, and k-means of those gives the centres."""
+    vectors = lambda raw: np.array([np.frombuffer(v, np.float64) for v in sorted(raw)]).reshape(-1, 256)
+
+    def merge(table: pa.Table) -> pa.Table:
+        out = merged_sums(vectors(table.column("v").to_pylist()), SUMS)
+        return pa.table({"i": pa.array([table.column("i")[0].as_py()] * len(out), pa.int64()), "v": pa.array([v.tobytes() for v in out], pa.binary())})
 
-    part = learn.where(picked(GROUP_ROWS / max(rows, 1), F.col(id_col).cast("string"), F.col(text_col), F.lit("group")))
-    got = sorted({bytes(r["v"]) for r in through(part.select(text_col), run, "v binary").distinct().collect()})  # about GROUP_ROWS rows of 1 KB
-    x = np.array([np.frombuffer(v, np.float32) for v in got if any(v)], np.float32).reshape(-1, 256)
-    if not len(x):
-        return np.zeros((1, 256), np.float32)
-    return spherical_kmeans(x, min(GROUPS, len(x)), 12).astype(np.float32)
+    sums = letter_sums(learn.select(F.col(text_col).alias("text")), scratch)
+    while sums.count() > FAN * SUMS:
+        sums = scratch.stash(sums.withColumn("i", F.floor(F.col("i") / FAN)).groupBy("i").applyInArrow(merge, "i long, v binary"))
+    got = merged_sums(vectors([bytes(r["v"]) for r in sums.collect()]), GROUPS, 12)  # FAN x SUMS rows of 2 KB at most
+    return (got / np.linalg.norm(got, axis=1, keepdims=True)).astype(np.float32) if len(got) else np.zeros((1, 256), np.float32)
 
 
 def count_words(texts: DataFrame, centres: np.ndarray) -> DataFrame:
@@ -485,7 +515,7 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fo
         held = crc_mod(F.col(id_col), folds) == fold
         learn = docs.where(~held)
         n_docs = learn.count()
-        centres = fit_groups(learn, id_col, text_col, n_docs)
+        centres = fit_groups(learn, text_col, scratch)
         counts = scratch.stash(count_words(learn.select(F.col(text_col).alias("text")), centres))
         sums = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
         total, distinct = (sums["n"] or 0) + n_docs, sums["v"] + (n_docs > 0)

@@ -29,3 +29,22 @@ def test_bpe_memory_and_load(tmp_path):
         assert list(small.encode_batch([t])) == list(large.encode_batch([t]))
         assert len(small.agree) + len(small.moves) < 20_000
     assert len(large.agree) > len(small.agree) and len(large.moves) > len(small.moves)
+
+
+def test_groups_come_from_all_documents(spark):
+    import numpy as np
+
+    from quillmill.llm import lm_score
+    from quillmill.llm.common import Scratch
+
+    rows = [(i, "abc abd " * (1 + i % 3) if i % 2 else "xyz xyw " * (1 + i % 3)) for i in range(9000)] + [(9000, None), (9001, "")]
+    learn = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    with Scratch(spark) as scratch:
+        held = [np.frombuffer(bytes(r["v"])) for r in lm_score.letter_sums(learn.select("text"), scratch).collect()]
+        assert len(held) <= 3 * lm_score.SUMS
+        want = sum(lm_score.letter_shares((t or "").encode()).astype(float) for _, t in rows)
+        assert np.abs(sum(held) - want).max() < 1e-3  # every document is in one sum
+        centres = lm_score.fit_groups(learn, "text", scratch)
+        a, x = (lm_score.letter_shares(t) for t in (b"abc abd ", b"xyz xyw "))
+        assert np.argmax(centres @ a) != np.argmax(centres @ x) and max(centres @ a) > 0.999 and max(centres @ x) > 0.999
+        assert lm_score.fit_groups(learn.limit(0), "text", scratch).shape == (1, 256)
