@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.session import shared_dir
+from quillmill.session import bound_batches, shared_dir
 
 #: Characters that separate words in every contract of this package.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -49,18 +49,6 @@ class Scratch:
         return out
 
 
-#: Rows and bytes of an Arrow batch on its way to Python, at most (one row may be longer).
-BATCH_ROWS, BATCH_BYTES = 4096, 2 << 20
-
-
-def bound_batches(spark: SparkSession) -> None:
-    """Lower the session's Arrow batch sizes to BATCH_ROWS and BATCH_BYTES, so that memory does not follow 10,000 long texts."""
-    size = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
-    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
-        if not 0 < size(spark.conf.get(key)) <= most:
-            spark.conf.set(key, str(most))
-
-
 def give_back() -> None:
     """Return memory that Arrow and the C library hold for reuse, as Python workers outlive their tasks."""
     import ctypes

@@ -11,7 +11,7 @@ from quillmill.functions.text import strip
 from quillmill.operators import answers, attribution, budget, cleaning, cost, metering, minhash, relevance, repository, report, secrets, similarity
 from quillmill.operators import triage as triage_ops
 from quillmill.operators.triage import triage
-from quillmill.session import Scratch, spread
+from quillmill.session import Scratch, bound_batches, spread
 from quillmill.sources.usage_store import UsageStore
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,7 +24,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
-    """A table with long texts, for expressions that cost more than dealing rows out to all cores."""
+    """A table with long texts, for expressions that cost more than dealing rows out to all cores; to Python they go in small batches."""
+    bound_batches(spark)
     return spread(table(spark, sf_dir, name))
 
 

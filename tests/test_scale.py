@@ -142,3 +142,23 @@ def test_shingle_pairs_holds_every_link(spark, tmp_path):
     rep = {i: i for i in said} | {b: a for a, b in got if got[a, b][0] == got[a, b][1]}
     follows = {(a, b) for a, b in itertools.combinations(said, 2) if said[a] and (rep[a] == rep[b] or (min(rep[a], rep[b]), max(rep[a], rep[b])) in got)}
     assert follows == {(1, 2), (1, 3), (1, 4), (2, 3), (2, 4), (3, 4), (6, 7)}
+
+
+def test_texts_go_to_python_in_small_batches(spark, tmp_path):
+    import pandas as pd
+
+    from quillmill.plans import catalog
+
+    rows, size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"), spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    try:
+        spark.range(48_000).selectExpr("id as page_id", "repeat('<!-- x -->', 100) as html").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+
+        @F.pandas_udf("long")
+        def together(x: pd.Series) -> pd.Series:
+            return pd.Series([len(x)] * len(x))
+
+        assert catalog.texts(spark, str(tmp_path), "pages").agg(F.max(together("html"))).first()[0] <= 4096
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
