@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmill.functions.text import let
-from quillmill.session import Scratch
+from quillmill.session import Scratch, bound_batches
 
 #: Slots of the table that tells how often shingles occur, a byte each.
 SLOTS = 1 << 16
@@ -112,7 +115,7 @@ def survivors(ranked: DataFrame, id_col: str, text_col: str, rank: list[Column],
         order = F.struct(*[c.alias(f"r{i}") for i, c in enumerate(rank)])
         base = ranked.select(F.col(id_col).alias("id"), order.alias("r"), F.col(text_col).alias("text"))
         placed = scratch.stash(numbered_sets(base))
-        sets = scratch.stash(distinct_sets(placed))
+        sets = among(placed, scratch.stash(marks(best_of(placed)))).select("k", "n", "hashes")
         gone = dropped(sets, scratch.stash(postings(sets, pct)), pct, scratch)
         return scratch.finish(with_twins(placed, gone))
 
@@ -126,8 +129,29 @@ def numbered_sets(base: DataFrame) -> DataFrame:
 
 def distinct_sets(placed: DataFrame) -> DataFrame:
     """(k, sig, n, hashes): each set that is not empty once, with the k of its best-ranked document."""
-    best = placed.where("n > 0").groupBy("sig").agg(F.min("k").alias("k")).select("k")
-    return placed.join(best, "k").select("k", "sig", "n", "hashes")
+    return among(placed, marks(best_of(placed))).select("k", "sig", "n", "hashes")
+
+
+def best_of(placed: DataFrame) -> DataFrame:
+    """(k): the best-ranked document of each set that is not empty."""
+    return placed.where("n > 0").groupBy("sig").agg(F.min("k").alias("k")).select("k")
+
+
+#: Keys that a row of marks covers, as many as Spark's bitmaps hold.
+MARKED = 1 << 15
+
+
+def marks(keys: DataFrame) -> DataFrame:
+    """(bucket, bits): a bit a key k, for keys without large gaps, as numbered rows have."""
+    return keys.groupBy(F.floor(F.col("k") / MARKED).alias("bucket")).agg(F.bitmap_construct_agg(F.pmod("k", F.lit(MARKED))).alias("bits"))
+
+
+def among(df: DataFrame, marked: DataFrame) -> DataFrame:
+    """The rows of df whose k is marked; wide rows are not moved, the marks (a bit a numbered row) are."""
+    at = F.pmod("k", F.lit(MARKED)).cast("int")
+    byte = F.conv(F.hex(F.substring("bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bit = F.pmod(F.floor(byte / F.pow(F.lit(2), at % 8)), F.lit(2))
+    return df.withColumn("bucket", F.floor(F.col("k") / MARKED)).join(F.broadcast(marked), "bucket").where(bit == 1).select(df.columns)
 
 
 def postings(sets: DataFrame, pct: int, order: Callable[[Column], Column] | None = None) -> DataFrame:
@@ -165,6 +189,58 @@ def alike(pairs: DataFrame, sets: DataFrame, pct: int, others: DataFrame | None
     return pairs.join(left, "a").join(right, "b").where(100 * inter >= pct * (F.size("ha") + F.size("hb") - inter)).select("a", "b")
 
 
+def sketches(sets: DataFrame) -> DataFrame:
+    """(k, n, sketch): parities of the counts of hashes by their low bits, a power of two of 2n bits or more.
+
+    Where two sets' sketches differ, so do the sets: they differ in at least as many hashes as bits.
+    """
+    bound_batches(sets.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for x in batch.column(2):
+                h = x.values.to_numpy()
+                bits = 1 << max(6, (2 * len(h) - 1).bit_length())
+                made.append(np.packbits((np.bincount(h & (bits - 1), minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.binary())], names=["k", "n", "sketch"])
+
+    return sets.select("k", "n", "hashes").mapInArrow(run, f"k {sets.schema['k'].dataType.simpleString()}, n int, sketch binary")
+
+
+def bits_apart(x: bytes, y: bytes) -> int:
+    """Bits in which two sketches differ; the longer one is folded to the other's length."""
+    size = 8 * min(len(x), len(y))
+    both = int.from_bytes(x, "little") ^ int.from_bytes(y, "little") if len(x) == len(y) else 0
+    if len(x) != len(y):
+        for one in (x, y):
+            rest = int.from_bytes(one, "little")
+            while rest:
+                both ^= rest & ((1 << size) - 1)
+                rest >>= size
+    return both.bit_count()
+
+
+def likely(pairs: DataFrame, sketched: DataFrame, pct: int) -> DataFrame:
+    """The pairs (a, b) whose sketches do not rule out a Jaccard of pct / 100; none that has it is lost."""
+
+    @F.pandas_udf("int")
+    def apart(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([bits_apart(a, b) for a, b in zip(x, y, strict=True)], dtype="int32")
+
+    left, right = (sketched.select(F.col("k").alias(x), F.col("n").alias("n" + x), F.col("sketch").alias("s" + x)) for x in "ab")
+    # sets with Jaccard >= pct / 100 differ in at most this share of all their hashes
+    met = pairs.join(left, "a").join(right, "b").withColumn("apart", apart("sa", "sb"))
+    return met.where((100 + pct) * F.col("apart") <= (100 - pct) * (F.col("na") + F.col("nb"))).select("a", "b")
+
+
+def alike_of(pairs: DataFrame, sets: DataFrame, sketched: DataFrame, pct: int, scratch: Scratch) -> DataFrame:
+    """As :func:`alike`, for numbered sets: only the sets of likely pairs are moved."""
+    few = scratch.stash(likely(pairs, sketched, pct))
+    left, right = (among(sets, marks(few.select(F.col(x).alias("k")))) for x in "ab")
+    return alike(few, left, pct, right)
+
+
 def dropped(sets: DataFrame, posts: DataFrame, pct: int, scratch: Scratch) -> DataFrame:
     """(k, twin): the sets that a walk from the smallest k up drops, and the smallest accepted one that each is similar to.
 
@@ -179,12 +255,13 @@ def dropped(sets: DataFrame, posts: DataFrame, pct: int, scratch: Scratch) -> Da
     """
     lists = posts.groupBy("h").agg(F.count("*").alias("m")).where("m > 1").select("h")
     every = scratch.stash(posts.join(lists, "h"))
+    sketched = scratch.stash(sketches(sets))
     undecided, leaders, turn = every, LEADERS, 0
     fates: list[DataFrame] = []
     twins: list[DataFrame] = []
     while not undecided.isEmpty():
         lead = scratch.stash(undecided.withColumn("_r", F.row_number().over(Window.partitionBy("h").orderBy("k"))).where(F.col("_r") <= leaders).drop("_r"))
-        edges = scratch.stash(alike(led_pairs(lead, undecided, pct), sets, pct))
+        edges = scratch.stash(alike_of(led_pairs(lead, undecided, pct), sets, sketched, pct, scratch))
         led = lead.groupBy("k").agg(F.count("*").alias("led"))
         informed = scratch.stash(undecided.groupBy("k").agg(F.count("*").alias("lists")).join(led, "k").where("led = lists").select("k"))
         fate = decided(edges, informed, scratch)
@@ -203,7 +280,7 @@ def dropped(sets: DataFrame, posts: DataFrame, pct: int, scratch: Scratch) -> Da
     early = every.join(rejected, "k")
     side = lambda df, x, *more: df.select(F.col("k").alias(x), F.col("n").alias("n" + x), F.col("pos").alias("pos" + x), "h", *more)
     met = side(late, "a", "late").join(side(early, "b", "twin", "turn"), "h").where("late > turn and a < twin").select("a", "b").distinct()
-    better = alike(met, sets, pct).groupBy(F.col("b").alias("k")).agg(F.min("a").alias("better"))
+    better = alike_of(met, sets, sketched, pct, scratch).groupBy(F.col("b").alias("k")).agg(F.min("a").alias("better"))
     return scratch.stash(rejected.join(better, "k", "left").select("k", F.least("twin", "better").alias("twin")))
 
 
