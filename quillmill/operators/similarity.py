@@ -87,21 +87,35 @@ def candidates(reps: DataFrame, pct: int) -> DataFrame:
     return a.join(b, "h").where(size & enough).select("a", "b").distinct()
 
 
-def pairs_of(classes: DataFrame, pct: int, scratch: Scratch | None = None) -> DataFrame:
-    """The similar pairs of :func:`shingle_classes`; with a scratch, sets and candidates are written once and not worked out again for each side of a join."""
-    kept = scratch.stash if scratch else lambda df: df
-    reps = kept(classes.where((F.col("id") == F.col("rep")) & (F.col("n") > 0)).select("id", "n", "hashes").dropDuplicates(["id"]))
-    met = kept(candidates(reps, pct))
+def pairs_of(classes: DataFrame, pct: int) -> DataFrame:
+    """The similar pairs of :func:`shingle_classes`."""
+    reps = classes.where((F.col("id") == F.col("rep")) & (F.col("n") > 0)).select("id", "n", "hashes").dropDuplicates(["id"])
+    return compared(candidates(reps, pct), reps, pct)
+
+
+def compared(met: DataFrame, reps: DataFrame, pct: int) -> DataFrame:
+    """(a, b, inter, total): the pairs (a, b) of sets (id, n, hashes) with Jaccard >= pct / 100."""
     left, right = (reps.select(F.col("id").alias(x), F.col("n").alias("n" + x), F.col("hashes").alias("h" + x)) for x in "ab")
     both = met.join(left, "a").join(right, "b").withColumn("inter", F.size(F.array_intersect("ha", "hb")))
     both = both.withColumn("total", F.col("na") + F.col("nb") - F.col("inter"))
     return both.where(100 * F.col("inter") >= pct * F.col("total")).select("a", "b", "inter", "total")
 
 
-def copies_of(classes: DataFrame) -> DataFrame:
-    """(a, b, inter, total): each document b whose set is not empty and equal to that of a, the smallest one with it."""
+def pairs_and_copies(docs: DataFrame, id_col: str, text_col: str, pct: int, scratch: Scratch) -> DataFrame:
+    """(a, b, inter, total): the rows of :func:`similar_pairs`, and each other document b whose set is not empty and equal to that of a, the smallest one with it.
+
+    Hashes are written once, and only those of likely pairs are moved.
+    """
+    placed = scratch.stash(hashed_sets(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))))
+    best = scratch.stash(placed.where("n > 0").groupBy("sig").agg(F.min(F.struct("id", "k")).alias("x")).select("sig", F.col("x.id").alias("rep"), "x.k"))
+    reps = among(placed, scratch.stash(marks(best))).select("id", "k", "n", "hashes")
+    sketched = scratch.stash(sketches(reps.select(F.col("id").alias("k"), "n", "hashes")))
+    few = scratch.stash(likely(candidates(reps.select("id", "n", "hashes"), pct), sketched, pct))
+    met = few.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    pairs = compared(few, among(reps, marks(best.join(met, "rep"))), pct)
     n = F.col("n")
-    return classes.where((F.col("id") != F.col("rep")) & (n > 0)).select(F.col("rep").alias("a"), F.col("id").alias("b"), n.alias("inter"), n.alias("total"))
+    copies = placed.select("id", "sig", "n").join(best.select("sig", "rep"), "sig").where((n > 0) & (F.col("id") != F.col("rep")))
+    return pairs.unionByName(copies.select(F.col("rep").alias("a"), F.col("id").alias("b"), n.alias("inter"), n.alias("total")))
 
 
 def survivors(ranked: DataFrame, id_col: str, text_col: str, rank: list[Column], pct: int = 80) -> DataFrame:
@@ -122,8 +136,12 @@ def survivors(ranked: DataFrame, id_col: str, text_col: str, rank: list[Column],
 
 def numbered_sets(base: DataFrame) -> DataFrame:
     """(id, k, sig, n, hashes) of (id, r, text): k rises with r; rows with an equal sig have an equal set."""
-    in_order = base.repartitionByRange("r").sortWithinPartitions("r")
-    sets = in_order.select("id", F.monotonically_increasing_id().alias("k"), F.sort_array(shingle_hashes(F.col("text"))).alias("hashes"))
+    return hashed_sets(base.repartitionByRange("r").sortWithinPartitions("r"))
+
+
+def hashed_sets(rows: DataFrame) -> DataFrame:
+    """(id, k, sig, n, hashes) of (id, text), numbered as the rows come."""
+    sets = rows.select("id", F.monotonically_increasing_id().alias("k"), F.sort_array(shingle_hashes(F.col("text"))).alias("hashes"))
     return sets.select("id", "k", F.sha2(F.array_join("hashes", ","), 256).alias("sig"), F.size("hashes").alias("n"), "hashes")
 
 

@@ -188,8 +188,7 @@ SETS = "sets AS (SELECT d.doc_id, coalesce(n.n, 0) AS n, min(d.doc_id) OVER (PAR
 def shingle_pairs(spark, sf_dir):
     """Similar pairs of distinct sets, by the smallest document of each, and a pair of that one with every other document of an equal set, from which all other pairs follow."""
     with Scratch(spark) as scratch:
-        classes = scratch.stash(similarity.shingle_classes(texts(spark, sf_dir), "doc_id", "text"))
-        pairs = similarity.pairs_of(classes, 80, scratch).unionByName(similarity.copies_of(classes))
+        pairs = similarity.pairs_and_copies(texts(spark, sf_dir), "doc_id", "text", 80, scratch)
         return scratch.finish(pairs.select("a", "b", F.col("inter").cast("long").alias("inter"), F.col("total").cast("long").alias("total")))
 
 
