@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 import warnings
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -56,8 +57,8 @@ def entropy(s: Column) -> Column:
     """Bits per character."""
     n = F.length(s)
     letters = F.array_distinct(F.split(s, ""))
-    share = lambda c: (n - F.length(F.replace(s, c, F.lit("")))) / n
-    bits = F.aggregate(F.filter(letters, lambda c: c != ""), F.lit(0.0), lambda acc, c: acc - share(c) * F.log2(share(c)))
+    shares = F.transform(F.filter(letters, lambda c: c != ""), lambda c: (n - F.length(F.replace(s, c, F.lit("")))) / n)
+    bits = F.aggregate(shares, F.lit(0.0), lambda acc, share: acc - share * F.log2(share))
     return F.when(n > 0, bits).otherwise(0.0)
 
 
@@ -65,16 +66,31 @@ def suffix_bucket() -> Column:
     return F.pmod(F.xxhash64(F.substring_index("host", ".", -2)), F.lit(BUCKETS)).cast("int")
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value worked out once a row."""
+    return F.transform(F.array(value), use)[0]
+
+
+def body_shown(html: Column) -> Column:
+    """Struct of signs, those in the body itself, and body, a hash of its text; null for a null body."""
+
+    def told(bare: Column, blocks: Column, text: Column) -> Column:
+        linked = F.length(F.array_join(F.regexp_extract_all(bare, F.lit(r"(?is)<a\b[^>]*>([^<]*)</a>"), 1), ""))
+        n = F.greatest(F.length(text), F.lit(1))
+        repeated = (F.size(blocks) >= FEW_BLOCKS) & (F.size(F.array_distinct(blocks)) <= (1 - REPEATED) * F.size(blocks))
+        marked = F.length(text) - F.length(F.translate(text, MARKS, "")) >= MARKED * n
+        signs = repeated.cast("int") + (linked >= LINKED * n).cast("int") + marked.cast("int") + (F.length(text) < SCANT).cast("int")
+        return F.struct(F.when(html.isNotNull(), signs).alias("signs"), F.when(F.length(text) > 0, F.xxhash64(text)).alias("body"))
+
+    bare = F.regexp_replace(html, r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->", "")
+    blocks = lambda bare: F.filter(F.transform(F.split(F.regexp_replace(bare, r"<[^>]*>", "\n"), "\n"), lambda x: F.trim(x)), lambda x: F.length(x) >= BLOCK_CHARS)
+    return once(bare, lambda bare: once(blocks(bare), lambda found: once(F.array_join(found, " "), lambda text: told(bare, found, text))))
+
+
 def body_signs(html: Column) -> tuple[Column, Column]:
     """(signs in the body itself, hash of its text); null for a null body."""
-    bare = F.regexp_replace(html, r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->", "")
-    blocks = F.filter(F.transform(F.split(F.regexp_replace(bare, r"<[^>]*>", "\n"), "\n"), lambda x: F.trim(x)), lambda x: F.length(x) >= BLOCK_CHARS)
-    text, linked = F.array_join(blocks, " "), F.array_join(F.regexp_extract_all(bare, F.lit(r"(?is)<a\b[^>]*>([^<]*)</a>"), 1), "")
-    n = F.greatest(F.length(text), F.lit(1))
-    repeated = (F.size(blocks) >= FEW_BLOCKS) & (F.size(F.array_distinct(blocks)) <= (1 - REPEATED) * F.size(blocks))
-    marked = F.length(text) - F.length(F.translate(text, MARKS, "")) >= MARKED * n
-    signs = repeated.cast("int") + (F.length(linked) >= LINKED * n).cast("int") + marked.cast("int") + (F.length(text) < SCANT).cast("int")
-    return F.when(html.isNotNull(), signs), F.when(F.length(text) > 0, F.xxhash64(text))
+    shown = body_shown(html)
+    return shown["signs"], shown["body"]
 
 
 def evidence(rows: DataFrame) -> DataFrame:
@@ -248,8 +264,10 @@ def url_filter(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "pa
     """
     with Scratch(pages.sparkSession) as scratch:
         rule, verdict = rule_verdict(rules)
-        signs, body = body_signs(F.col(html_col).cast("string")) if html_col in pages.columns and labels is None else (F.lit(None).cast("int"), F.lit(None).cast("long"))
-        rows = scratch.stash(with_features(pages, url_col, [F.col(id_col).alias("id"), signs.alias("signs"), body.alias("body")]).withColumns({"rule": rule, "ruled": verdict}))
+        shown = body_shown(F.col(html_col).cast("string")) if html_col in pages.columns and labels is None else F.lit(None).cast("struct<signs: int, body: bigint>")
+        # written as one struct, so that a body is looked at once
+        rows = scratch.stash(with_features(pages, url_col, [F.col(id_col).alias("id"), shown.alias("shown")]).withColumns({"rule": rule, "ruled": verdict}))
+        rows = rows.withColumns({"signs": F.col("shown.signs"), "body": F.col("shown.body")}).drop("shown")
         lexical = [c for c in rows.columns if c[0] == "f" and c[1:].isdigit()]
         if labels is None:
             shown = evidence(rows).where("label is not null").withColumns({"weight": F.lit(1), "held": F.lit(True)})
