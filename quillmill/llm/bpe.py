@@ -159,7 +159,8 @@ class TrieBPE:
             for key in keys:
                 suffix[edges[key]] = self.step(suffix[key >> 9], key & 511)
         self.tokens_at: dict[int, tuple[tuple[int, int], ...]] = {}
-        self.moves: dict[int, int] = {}  # steps taken before
+        self.first: dict[int, tuple[int, int, int]] = {}  # a node with its longest token and that one's letters
+        self.moves: dict[int, tuple[int, int, int]] = {}  # steps taken before
 
     def step(self, at: int, c: int) -> int:
         """The node of the longest suffix in the trie after one more letter."""
@@ -170,8 +171,11 @@ class TrieBPE:
             at = self.suffix[at]
         return to
 
-    def moved(self, key: int) -> int:
-        to = self.moves[key] = self.step(key >> 9, key & 511)
+    def moved(self, key: int) -> tuple[int, int, int]:
+        at = self.step(key >> 9, key & 511)
+        if (to := self.first.get(at)) is None:
+            to = self.first[at] = (at, *(self.ending(at) or ((-1, 0),))[0])
+        self.moves[key] = to
         return to
 
     def ending(self, at: int) -> tuple[tuple[int, int], ...]:
@@ -210,7 +214,7 @@ class TrieBPE:
         for kept in (self.agree, self.moves):
             if len(kept) > 2 * self.most:
                 kept.clear()
-        move, known, tokens = self.moves.get, self.agree.get, self.tokens_at.get
+        move, known = self.moves.get, self.agree.get
         before = ""
         for word in sorted(words):
             end, shared = len(word), 0
@@ -222,15 +226,14 @@ class TrieBPE:
             at = nodes[-1]
             for n in range(len(last), end):
                 key = at << 9 | ord(word[n - 1])
-                at = move(key) or self.moved(key)
+                at, t, size = move(key) or self.moved(key)
                 nodes.append(at)
                 # the first token mostly fits
-                t, size = (tokens(at) or self.ending(at))[0]
                 last.append(t if size == n or known(last[n - size] << 20 | t) else last_token(last, n, at))
             before = word[: len(last) - 1]
             key = at << 9 | ord(word[-1])
-            key = (move(key) or self.moved(key)) << 9 | CLOSE
-            t = last_token(last, end, move(key) or self.moved(key))
+            key = (move(key) or self.moved(key))[0] << 9 | CLOSE
+            t = last_token(last, end, (move(key) or self.moved(key))[0])
             n = end + len(END) - len(token[t])
             if not n:
                 out[word] = raw[t], token[t]
