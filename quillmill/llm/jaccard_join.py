@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmill.llm.common import Scratch, WordHashes, components, sized, through
@@ -58,6 +58,22 @@ def bitmap(s: np.ndarray) -> bytes:
     return np.packbits(np.bincount((s >> np.uint64(50)).astype(np.int64) % BITS, minlength=BITS).astype(np.uint8) & 1).tobytes()
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """As bitmap, on two places or more an element; empty for sets of which bitmap has as many."""
+    if 2 * len(s) <= BITS:
+        return b""
+    m = 1 << (2 * len(s) - 1).bit_length()
+    return np.packbits(np.bincount((s & np.uint64(m - 1)).astype(np.int64), minlength=m).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def unlike(x: np.ndarray, y: np.ndarray) -> int:
+    """Places where two sketches differ; the longer one is folded."""
+    while len(x) != len(y):
+        x, y = (x, y) if len(x) > len(y) else (y, x)
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def set_pass(docs: DataFrame, id_col: str, text_col: str, n: int, make, schema: str) -> DataFrame:
     """One narrow pass over whole texts; make(ids, sets) gives a batch's columns."""
 
@@ -106,8 +122,35 @@ def near_bits(a: str, b: str, na: str, nb: str, pct: int) -> Column:
     return (100 + pct) * sum(words[1:], words[0]) <= (100 - pct) * (F.col(na) + F.col(nb))
 
 
+def sketched(pairs: DataFrame, classes: DataFrame, pct: int) -> DataFrame:
+    """Pairs (a, b) of nodes of ``classes`` whose sketches leave a link open; none that links is lost."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for size, x, y in zip(batch.column(2).to_numpy(), batch.column(3), batch.column(4), strict=True):
+                s, t = np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)
+                keep.append(not len(s) or not len(t) or (100 + pct) * unlike(s, t) <= (100 - pct) * int(size))
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    side = lambda c: classes.select(F.col("node").alias(c), F.col("n").cast("long").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", (F.col("na") + F.col("nb")).alias("size"), "sa", "sb")
+    return through(both, run, "a long, b long")
+
+
+def whole_sets(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: int, scratch: Scratch) -> DataFrame:
+    """(node, set) of the documents that pairs name, made anew as they are read: no table of sets is kept."""
+
+    def whole(ids, sets):
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "set"])
+
+    named = scratch.stash(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), text_col).join(sized(named), "id", "left_semi")
+    return set_pass(texts, "id", text_col, n, whole, "node long, set binary")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
-    """Pairs (a, b) whose whole sets link; sets has node and set (sorted 64-bit hashes as bytes)."""
+    """Pairs (a, b) whose whole sets link; sets has node and set (sorted 64-bit hashes as bytes), which is shuffled once for both sides."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,7 +164,13 @@ def verified(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
 
     x = sets.select(F.col("node").alias("a"), F.col("set").alias("sa"))
     y = sets.select(F.col("node").alias("b"), F.col("set").alias("sb"))
-    return through(pairs.join(x, "a").join(y, "b").select("a", "b", "sa", "sb"), run, "a long, b long")
+    return through(pairs.join(x.hint("merge"), "a").join(y.hint("merge"), "b").select("a", "b", "sa", "sb"), run, "a long, b long")
+
+
+def apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """Pairs whose ends lie in different components of ``found`` (node, component)."""
+    ends = pairs.join(found.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(found.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
+    return ends.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
 
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, pct: int = 85) -> DataFrame:
@@ -146,7 +195,7 @@ def classes_of(docs: DataFrame, id_col: str, text_col: str, n: int, pct: int, sc
     def make(ids, sets):
         import xxhash
 
-        prefixes, sigs, gids, maps = [], [], [], []
+        prefixes, sigs, gids, maps, sketches = [], [], [], [], []
         for s in sets:
             size = len(s)
             if len(hot) and size:
@@ -159,24 +208,25 @@ def classes_of(docs: DataFrame, id_col: str, text_col: str, n: int, pct: int, sc
             sigs.append(xxhash.xxh3_128_digest(s.tobytes()))
             gids.append(xxhash.xxh3_64_intdigest(first.tobytes(), seed=size))
             maps.append(np.frombuffer(bitmap(s), np.int64))
+            sketches.append(sketch(s))
         offsets = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
         bits = np.stack(maps, 1)
         return pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array(sigs, pa.binary()), pa.array(np.array(gids, np.uint64).view(np.int64)), pa.StructArray.from_arrays([pa.array(x) for x in bits], names=[f"w{i}" for i in range(words64)]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(prefixes)))],
-            names=["id", "n", "sig", "gid", "bits", "prefix"],
+            [pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array(sigs, pa.binary()), pa.array(np.array(gids, np.uint64).view(np.int64)), pa.StructArray.from_arrays([pa.array(x) for x in bits], names=[f"w{i}" for i in range(words64)]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(prefixes))), pa.array(sketches, pa.binary())],
+            names=["id", "n", "sig", "gid", "bits", "prefix", "sketch"],
         )
 
-    schema = f"id long, n int, sig binary, gid long, bits struct<{','.join(f'w{i}:long' for i in range(words64))}>, prefix array<long>"
+    schema = f"id long, n int, sig binary, gid long, bits struct<{','.join(f'w{i}:long' for i in range(words64))}>, prefix array<long>, sketch binary"
     every = scratch.stash(set_pass(docs, id_col, text_col, n, make, schema))
     full = every.where("n > 0")
-    classes = scratch.stash(full.groupBy("sig").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("gid").alias("gid"), F.first("bits").alias("bits")))
+    classes = scratch.stash(full.groupBy("sig").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("gid").alias("gid"), F.first("bits").alias("bits"), F.first("sketch").alias("sketch")))
     members = classes.groupBy("gid").agg(F.count("*").alias("members"), F.min("node").alias("node"))
     carriers = full.select("id", "gid", "n", "prefix").join(members.select(F.col("node").alias("id"), "gid", "members"), ["id", "gid"]).dropDuplicates(["gid"])
     # size and place travel in one number, as most of what is shuffled are these rows
     entries = carriers.select("gid", "n", "members", F.posexplode("prefix").alias("pos", "h")).select("gid", "members", "h", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos").cast("long")).alias("np")).repartition("h")
-    lists = entries.groupBy("h").agg(F.sum("members").alias("nodes"), F.min(F.struct(F.xxhash64("gid", "h").alias("r"), "gid")).alias("lead")).where("nodes > 1")
-    shared = entries.join(lists.select("h", "nodes", F.col("lead.gid").alias("lead")), "h")
-    shared = scratch.stash(shared.select("h", "gid", F.shiftright("np", 32).cast("int").alias("n"), "members", F.col("np").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("pos"), "nodes", "lead"))
+    of = Window.partitionBy("h")  # a list's size and leader by windows, so that its rows are shuffled once
+    shared = entries.withColumns({"nodes": F.sum("members").over(of), "lead": F.min(F.struct(F.xxhash64("gid", "h").alias("r"), "gid")).over(of)}).where("nodes > 1")
+    shared = scratch.stash(shared.select("h", "gid", F.shiftright("np", 32).cast("int").alias("n"), "members", F.col("np").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("pos"), "nodes", F.col("lead.gid").alias("lead")))
 
     # short lists: all pairs of groups, and of members within a group
     side = lambda x: shared.where(F.col("nodes") <= SHORT).select("h", *(F.col(c).alias(c + x) for c in ("gid", "n", "pos", "members")))
@@ -190,25 +240,23 @@ def classes_of(docs: DataFrame, id_col: str, text_col: str, n: int, pct: int, sc
     # long lists: each member, of the leading group too, and the leader, which is that group's first member
     long = shared.where(F.col("nodes") > SHORT)
     led = long.where("gid <> lead or members > 1").select(F.col("gid").alias("gida"), F.col("lead").alias("gidb")).distinct()
-    first = members.select(F.col("node").alias("nodeb"), F.col("gid").alias("gidb")).join(node("b").drop("gidb"), "nodeb")
-    leads = led.join(node("a"), "gida").join(first, "gidb").where((F.col("nodea") != F.col("nodeb")) & similar(F.col("na"), F.col("nb"), pct) & close)
-    pairs = scratch.stash(ordered(expand(met)).union(ordered(leads)).distinct())
-
-    # the whole sets of documents that are compared
-    needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(long.select("gid").distinct().join(classes, "gid").select("node")).distinct()
-    needed = scratch.stash(needed)
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), text_col).join(sized(needed).withColumnRenamed("node", "id"), "id", "left_semi")
-
-    def whole(ids, sets):
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "set"])
+    head = members.select(F.col("node").alias("nodeb"), F.col("gid").alias("gidb")).join(node("b").drop("gidb"), "nodeb")
+    leads = led.join(node("a"), "gida").join(head, "gidb").where((F.col("nodea") != F.col("nodeb")) & similar(F.col("na"), F.col("nb"), pct) & close)
+    pairs = scratch.stash(sketched(ordered(expand(met)).union(ordered(leads)).distinct(), classes, pct))
 
-    sets = scratch.stash(set_pass(texts, "id", text_col, n, whole, "node long, set binary"))
     # an id whose rows hold several texts joins their components
     several = full.groupBy("id").agg(F.min("sig").alias("sig"), F.max("sig").alias("other")).where("sig <> other").select("id")
     held = full.select("id", "sig").distinct().join(several, "id").join(classes.select("sig", "node"), "sig").select("id", "node")
     same = held.groupBy("id").agg(F.min("node").alias("a")).join(held, "id").select("a", F.col("node").alias("b")).where("a <> b")
-    links = scratch.stash(verified(pairs, sets, pct).union(same))
+    # each document meets the smallest other one first; of the remaining pairs only those across components are compared
+    check = lambda some: verified(some, whole_sets(some, docs, id_col, text_col, n, scratch), pct)
+    first = scratch.stash(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    links = scratch.stash(check(first).union(same))
     found = scratch.stash(components(links, scratch))
+    remain = scratch.stash(apart(pairs.join(first, ["a", "b"], "left_anti"), found))
+    if not remain.isEmpty():
+        links = links.union(scratch.stash(check(remain)))
+        found = scratch.stash(components(links, scratch))
 
     # long lists once more: pairs across components
     own = F.coalesce("component", "node")
@@ -220,7 +268,7 @@ def classes_of(docs: DataFrame, id_col: str, text_col: str, n: int, pct: int, sc
     few = split.where("comp <> main").select("h", *(F.col(c).alias(c + "a") for c in ("node", "n", "pos", "bits", "comp")))
     rest = split.select("h", F.col("main").alias("mainb"), *(F.col(c).alias(c + "b") for c in ("node", "n", "pos", "bits", "comp")))
     across = few.join(rest, "h").where((F.col("compa") != F.col("compb")) & ((F.col("compb") == F.col("mainb")) | (F.col("nodea") < F.col("nodeb"))) & similar(F.col("na"), F.col("nb"), pct) & reachable(F.col("na"), F.col("posa"), F.col("nb"), F.col("posb"), pct) & close)
-    more = scratch.stash(verified(ordered(across).distinct(), sets, pct))
+    more = scratch.stash(check(scratch.stash(sketched(ordered(across).distinct(), classes, pct))))
     if not more.isEmpty():
         found = scratch.stash(components(links.union(more), scratch))
 

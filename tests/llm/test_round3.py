@@ -60,3 +60,40 @@ def test_a_body_is_looked_at_once(spark):
     plan = df.select(url_filter.body_shown(F.col("html")).alias("shown"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("<script") == 1 and plan.count("<[^>]*>") == 1
     assert df.select("id", "html", url_filter.body_shown(F.col("html")).alias("x")).where("id = 2").first()["x"] == (None, None)
+
+
+def test_jaccard_sketches_never_rule_out_a_link():
+    import random
+
+    import numpy as np
+
+    from quillmill.llm import jaccard_join as J
+
+    rng = random.Random(9)
+    draw = lambda k: [rng.getrandbits(64) for _ in range(k)]
+    for n in (100, 512, 513, 900, 1023, 1024, 1025, 4000):
+        for drop in (0, n // 9, n // 5, n // 2, n):
+            a = np.unique(np.array(draw(n), np.uint64))
+            for b in (np.unique(np.concatenate([a[drop:], np.array(draw(drop), np.uint64)])), a[: max(1, n - drop)]):
+                s, t = np.frombuffer(J.sketch(a), np.uint8), np.frombuffer(J.sketch(b), np.uint8)
+                assert not len(s) or not len(t) or J.unlike(s, t) == J.unlike(t, s) <= len(np.setxor1d(a, b))
+                if drop == n > 512 and len(b) > 512:
+                    assert J.unlike(s, t) > 0.5 * n  # long unlike sets are told apart
+
+
+def test_jaccard_join_moves_few_whole_sets(spark, monkeypatch):
+    """Long documents that only share passages are no longer compared whole, and near copies are compared along a tree, not all with all."""
+    import numpy as np
+
+    from quillmill.llm import jaccard_join as J
+
+    passage = " ".join(f"p{i}" for i in range(500))
+    texts = [passage + " " + " ".join(f"t{d}x{i}" for i in range(1400)) for d in range(20)]
+    texts += [" ".join(f"c{i}" for i in range(900)) + f" end{d}" for d in range(12)]
+    compared = []
+    plain = J.verified
+    monkeypatch.setattr(J, "verified", lambda pairs, *a: compared.append(pairs.count()) or plain(pairs, *a))
+    monkeypatch.setattr(J, "frequent", lambda *a, **k: (np.empty(0, np.uint64), np.empty(0, np.int64)))
+    got = {r["doc_id"]: r["component_id"] for r in J.jaccard_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), n=5, pct=80).collect()}
+    assert got == {i: min(i, 20) for i in range(32)}
+    assert sum(compared) == 11
