@@ -9,6 +9,7 @@ from quillmill.operators.cost import normal_model
 from quillmill.operators.relevance import normal_name, score_binary
 from quillmill.operators.triage import picked_positions
 from quillmill.plans.catalog import calls, query, table, texts
+from quillmill.session import Scratch
 from quillmill.sources import files, gitlog
 
 
@@ -237,8 +238,9 @@ def porcelain(d):
     """Porcelain lines of documents: an author every third line, the local user's where lines are not committed."""
     who = F.when((F.col("i") + F.col("doc_id")) % 2 == 0, "A@x.org").when((F.col("i") + F.col("doc_id")) % 5 == 0, "not.committed.yet").otherwise("b@x.org")
     at = d.select("doc_id", F.posexplode("a").alias("i", "s"))
-    mail = at.where("i % 3 = 0").select(F.col("doc_id").alias("path"), (F.col("i") * 2).alias("pos"), F.concat(F.lit("author-mail <"), who, F.lit(">")).alias("line"))
-    return mail.unionByName(at.select(F.col("doc_id").alias("path"), (F.col("i") * 2 + 1).alias("pos"), F.concat(F.lit("\t"), "s").alias("line")))
+    line = F.struct((F.col("i") * 2 + 1).alias("pos"), F.concat(F.lit("\t"), "s").alias("line"))
+    mail = F.struct((F.col("i") * 2).alias("pos"), F.concat(F.lit("author-mail <"), who, F.lit(">")).alias("line"))
+    return at.select(F.col("doc_id").alias("path"), F.explode(F.when(F.col("i") % 3 == 0, F.array(mail, line)).otherwise(F.array(line))).alias("r")).select("path", "r.pos", "r.line")
 
 
 @query(
@@ -251,13 +253,16 @@ def blame_lines(spark, sf_dir):
     """Documents as files with blame: parsed, lines of others masked, and whether lines 2 to 4 are the author's."""
     from quillmill.functions.text import lines
 
-    d = texts(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(~F.col("text").rlike(r"[\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]")).withColumn("a", lines(F.col("text"))).where(F.size("a") > 0)
-    blame = gitlog.parse_blame(porcelain(d), "a@x.org")
-    masked = attribution.mask_lines(d.select(F.col("doc_id").alias("path"), "text", F.size("a").cast("long").alias("n_lines")), blame, "a@x.org")
-    owned = blame.groupBy("path").agg(F.count_if(attribution.email_matches(F.col("author"), F.lit("a@x.org"))).alias("n_owned"))
-    spans = attribution.owned_blocks(d.select(F.col("doc_id").alias("path"), F.lit(2).alias("lo"), F.lit(4).alias("hi")), blame, "a@x.org").select("path", F.lit(True).alias("owns_block"))
-    out = masked.join(owned, "path").join(spans, "path", "left")
-    return out.select(F.col("path").alias("doc_id"), "n_lines", "n_owned", F.sha2("masked", 256).alias("masked_sha256"), F.coalesce("owns_block", F.lit(False)).alias("owns_block"))
+    with Scratch(spark) as scratch:  # texts are searched for line ends once, and the blame that three joins read is parsed once
+        d = texts(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(~F.col("text").rlike(r"[\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"))
+        d = scratch.stash(d.withColumn("n_lines", F.size(lines(F.col("text"))).cast("long"))).where("n_lines > 0")
+        blame = scratch.stash(gitlog.parse_blame(porcelain(d.withColumn("a", lines(F.col("text")))), "a@x.org", keep=scratch.stash))
+        masked = attribution.mask_lines(d.select(F.col("doc_id").alias("path"), "text", "n_lines"), blame, "a@x.org")
+        masked = masked.select("path", "n_lines", F.sha2("masked", 256).alias("masked_sha256"))
+        owned = blame.groupBy("path").agg(F.count_if(attribution.email_matches(F.col("author"), F.lit("a@x.org"))).alias("n_owned"))
+        spans = attribution.owned_blocks(d.select(F.col("doc_id").alias("path"), F.lit(2).alias("lo"), F.lit(4).alias("hi")), blame, "a@x.org").select("path", F.lit(True).alias("owns_block"))
+        out = masked.join(owned, "path").join(spans, "path", "left")
+        return scratch.finish(out.select(F.col("path").alias("doc_id"), "n_lines", "n_owned", "masked_sha256", F.coalesce("owns_block", F.lit(False)).alias("owns_block")))
 
 
 @query("SELECT doc_id AS path FROM documents WHERE source IN ('src1', 'src2') OR (source = 'src3' AND doc_id % 2 = 0)")

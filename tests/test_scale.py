@@ -162,3 +162,20 @@ def test_texts_go_to_python_in_small_batches(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
+def test_blame_query_looks_into_texts_once(spark, tmp_path):
+    """Lines are parsed before the joins, not once more in each of their sides."""
+    from quillmill.plans import exercises
+
+    rows = [(1, "a\nb\nc\nd\n"), (2, None), (3, "one"), (4, "x\r\ny")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    kept = []
+    plain = gitlog.running
+    gitlog.running = lambda df, *a: kept.append(df._jdf.queryExecution().toString()) or plain(df, *a)
+    try:
+        got = {r["doc_id"]: (r["n_lines"], r["n_owned"], r["owns_block"]) for r in exercises.blame_lines(spark, str(tmp_path)).collect()}
+    finally:
+        gitlog.running = plain
+    assert got == {1: (4, 1, False), 3: (1, 0, False)}
+    assert "split(" not in kept[0] and "documents.parquet" not in kept[0]
