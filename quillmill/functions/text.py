@@ -17,7 +17,8 @@ def let(value: Column, body) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"\A[{WS}]++|(?<![{WS}])[{WS}]++\z", "")
+    # one match from both ends; a replacement would try every run of white space in a long text
+    return F.regexp_extract(c, rf"(?s)\A[{WS}]*+(.*[^{WS}])", 1)
 
 
 def rstrip(c: Column) -> Column:

@@ -8,7 +8,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmill.functions.text import WS, collapse, is_blank, let, letter_words, lines, strip
+from quillmill.functions.text import WS, is_blank, let, letter_words, lines, strip
 
 # Thresholds, word lists, patterns and reasons that results must agree with.
 KEEP_AT, DROP_BELOW, SHORT_CHARS, LONG_CHARS = 0.55, 0.32, 160, 200_000
@@ -97,16 +97,20 @@ def prose_bonus(text: Column, discourse: Column) -> Column:
     return one(text.rlike(U + CONTRACTION)) + one(F.contains(text, F.lit("?"))) + one(discourse) + one(varied_sentences(text))
 
 
-def machine_kind(body: Column) -> Column:
-    """``export``, ``log`` or null. JSON is recognised by its parsing as one value, with repeated keys and NaN too."""
+def full_lines(body: Column) -> Column:
+    return F.filter(lines(body), lambda s: ~is_blank(s))
+
+
+def machine_kind(body: Column, full: Column | None = None) -> Column:
+    """``export``, ``log`` or null; ``full`` are the body's full_lines where they are known. JSON is recognised by its parsing as one value, with repeated keys and NaN too."""
     values = F.from_json(F.concat(F.lit("["), body, F.lit("]")), "array<string>", {"allowSingleQuotes": "false"})
     json = body.rlike(r"(?s)\A[\[{].*[\]}]\z") & F.coalesce(F.size(values) == 1, F.lit(False))
-    full = F.filter(lines(body), lambda s: ~is_blank(s))
+    full = full_lines(body) if full is None else full
     by_lines = let(full, lambda a: F.when(F.size(a) >= 5, F.when(F.size(F.filter(a, lambda s: s.rlike(U + LOG_LINE))) / F.size(a) >= 0.6, "log").when(F.size(F.filter(a, lambda s: F.length(s) - F.length(F.replace(s, F.lit(","), F.lit(""))) >= 3)) / F.size(a) >= 0.8, "export")))
     return F.when(json | body.startswith("BEGIN:VCALENDAR") | F.contains(body, F.lit("\nBEGIN:VEVENT")), "export").otherwise(by_lines)
 
 
-def line_shares(body: Column) -> Column:
+def line_shares(body: Column, full: Column | None = None) -> Column:
     """struct(money, caps): shares of non-blank lines with an amount, and of short shouted ones; 0 under four lines."""
 
     def shares(a: Column) -> Column:
@@ -115,7 +119,7 @@ def line_shares(body: Column) -> Column:
         share = lambda test: F.when(enough, F.size(F.filter(a, test)) / F.size(a)).otherwise(0.0)
         return F.struct(share(lambda s: s.rlike(U + MONEY)).alias("money"), share(lambda s: shouted(strip(s))).alias("caps"))
 
-    return let(F.filter(lines(body), lambda s: ~is_blank(s)), shares)
+    return let(full_lines(body) if full is None else full, shares)
 
 
 def folded(text: Column) -> Column:
@@ -147,9 +151,10 @@ def score_text(df: DataFrame, text: str = "text", origin: str | None = None) ->
     body = strip(F.coalesce(F.col(text), F.lit("")))
     out = df.withColumn("_b", body).withColumn("_w", word_signals(F.col("_b")))
     out = out.withColumns({"_n": F.length("_b"), "_prose": prose_bonus(F.col("_b"), F.col("_w.discourse")), "_d": F.when(F.col("_w.n") > 0, F.col("_w.first") / F.col("_w.n")).otherwise(0.0)})
-    flat = collapse(F.col("_b"))
+    flat = F.regexp_replace("_b", rf"[{WS}]+", " ")  # collapse of what is stripped
     named = F.coalesce(F.col(origin), F.lit("")) if origin else F.lit("")
-    out = out.withColumns({"_f": flat, "_m": machine_kind(F.col("_b")), "_s": line_shares(F.col("_b"))})
+    out = out.withColumns({"_f": flat, "_x": full_lines(F.col("_b"))})
+    out = out.withColumns({"_m": machine_kind(F.col("_b"), F.col("_x")), "_s": line_shares(F.col("_b"), F.col("_x"))})
     out = out.withColumn("_l", folded(F.col("_f")))
     hits = lambda patterns, words: marker_hits(F.col("_f"), F.col("_l"), patterns, words)
     out = out.withColumns({"_legal": hits(LEGAL, LEGAL_WORDS), "_fin": hits(FINANCIAL, FINANCIAL_WORDS), "_auto": hits(AUTOMATED, AUTOMATED_WORDS)})
@@ -182,7 +187,7 @@ def score_text(df: DataFrame, text: str = "text", origin: str | None = None) ->
         "reason": pick(F.lit("empty"), F.lit("too short to show a voice"), F.when(F.col("_m") == "log", REASONS["log"]).otherwise(REASONS["export"]), reason),
         "verdict": pick(F.lit("drop"), F.lit("drop"), F.lit("drop"), F.col("_v")),
     })
-    return out.drop("_b", "_w", "_n", "_prose", "_d", "_f", "_l", "_m", "_s", "_legal", "_fin", "_auto", "_p", "_score", "_v")
+    return out.drop("_b", "_w", "_n", "_prose", "_d", "_f", "_l", "_m", "_s", "_x", "_legal", "_fin", "_auto", "_p", "_score", "_v")
 
 
 def score_binary(df: DataFrame, filename: str = "filename", mimetype: str = "mimetype") -> DataFrame:
