@@ -11,8 +11,9 @@ Lists of few members give all their pairs. In long lists (large groups of near
 copies, in one group of equal prefixes or several) every member meets the list's
 leader first; what then lies in one component needs no further comparison, and
 pairs across components are compared. So no link between components is lost, and
-a large group of near copies costs rows in proportion to its size. Candidates pass a size test, a position test and a bitmap test
-(none loses a link) before their whole sets are intersected.
+a large group of near copies costs rows in proportion to its size. Candidates pass a size test, a position test, a bitmap test and,
+where sets are long, a test of longer sketches (none loses a link) before their
+whole sets are intersected, and pairs that are connected already are not.
 """
 
 from __future__ import annotations
