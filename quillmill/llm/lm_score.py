@@ -21,13 +21,13 @@ are averaged on executors, so the work grows with the input and is spread as it
 
 from __future__ import annotations
 
-import itertools
 import pickle
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,8 +50,12 @@ ROWS = 1024
 RATE, START = 0.1, 0.1
 
 
-def split(text: bytes | None) -> list[bytes]:
-    return (text or b"").translate(LOWER).split()
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The lower-cased words (binary) of all texts, in order, and the row of each; null has none."""
+    found = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words, row = found.flatten(), np.repeat(np.arange(len(found), dtype=np.int32), pc.list_value_length(found).to_numpy(zero_copy_only=False))
+    some = pc.greater(pc.binary_length(words), 0)  # white space at a text's ends leaves empty ones
+    return words.filter(some).cast(pa.binary()), row[some.to_numpy(zero_copy_only=False)]
 
 
 def letter_shares(text: bytes | None) -> np.ndarray:
@@ -61,6 +65,17 @@ def letter_shares(text: bytes | None) -> np.ndarray:
     return np.sqrt(c / max(c.sum(), 1))
 
 
+def shares_of(texts: pa.Array) -> np.ndarray:
+    """``letter_shares`` of each text."""
+    c = np.zeros((len(texts), 256), np.float32)
+    for row, x in zip(c, texts, strict=True):
+        row[:] = np.bincount(np.frombuffer(raw_bytes(x), np.uint8), minlength=256)
+    c[:, 97:123] += c[:, 65:91]
+    c[:, 65:91] = 0
+    c[:, :33] = 0
+    return np.sqrt(c / np.maximum(c.sum(1, keepdims=True), 1))
+
+
 class Vocabulary:
     """Classes and fixed log-probabilities of words.
 
@@ -71,52 +86,58 @@ class Vocabulary:
     """
 
     def __init__(self, head: list[tuple[bytes, int, int]], docs: int, endings: dict[bytes, tuple[int, int]]):
-        self.place = {w: i for i, (w, *_) in enumerate(head)}
+        self.words = pa.array([w for w, *_ in head], pa.binary())
         self.count = np.array([c for _, c, _ in head] or [0], np.int64)
         group = np.array([g for *_, g in head] or [0], np.int64)
         self.own = own = min(OWN, len(head))
         self.symbols = 1 + own + 2 * GROUPS
-        self.symbol = np.arange(1, len(self.count) + 1) if len(head) else np.zeros(1, int)
+        self.symbol = np.zeros(max(1, len(head)), int)
         self.symbol[own:] = (1 + own + group[own:]) if len(head) else 0
+        # a group's classes: its frequent words in runs of about equal square-root mass, its other words of the head, those beyond
+        k = CLASSES + 2
+        slot = np.zeros(own, int)
+        for g in range(GROUPS):
+            m = np.nonzero(group[:own] == g)[0] if own else np.zeros(0, int)
+            root = np.sqrt(self.count[m] + 1.0)
+            slot[m] = np.minimum((np.cumsum(root) - root / 2) / max(root.sum(), 1e-9) * CLASSES, CLASSES - 1).astype(int)
+        order = np.argsort(group[:own] * k + slot, kind="stable")  # frequent words are numbered class by class
+        if own:
+            self.symbol[order] = np.arange(1, own + 1)
         # log10 of a word's share of its symbol
         mass = np.bincount(self.symbol, self.count + 1.0, self.symbols) if len(head) else np.zeros(self.symbols)
-        self.ending = {e: g for e, (_, g) in endings.items()}
+        self.endings, self.ending_group = pa.array(list(endings), pa.binary()), np.array([g for _, g in endings.values()] + [0], np.int64)
         self.beyond = np.ones(GROUPS)  # counts + 1 of words beyond the head, and one for all unseen
         for m, g in endings.values():
             self.beyond[g] += m
         self.within = np.zeros(len(self.count))
         if len(head) > own:
             self.within[own:] = np.log10((self.count[own:] + 1) / mass[self.symbol[own:]])
-        # a group's classes: its frequent words in runs of about equal square-root mass, its other words of the head, those beyond
-        k = CLASSES + 2
-        group_of = np.concatenate([[-1], group[:own], np.arange(GROUPS), np.arange(GROUPS)])
-        slot = np.concatenate([[0], np.zeros(own, int), np.full(GROUPS, CLASSES), np.full(GROUPS, CLASSES + 1)])
-        for g in range(GROUPS):
-            m = np.nonzero(group[:own] == g)[0] if own else np.zeros(0, int)
-            root = np.sqrt(self.count[m] + 1.0)
-            slot[1 + m] = np.minimum((np.cumsum(root) - root / 2) / max(root.sum(), 1e-9) * CLASSES, CLASSES - 1).astype(int)
+        group_of = np.concatenate([[-1], group[order], np.arange(GROUPS), np.arange(GROUPS)])
+        slot = np.concatenate([[0], slot[order], np.full(GROUPS, CLASSES), np.full(GROUPS, CLASSES + 1)])
         self.group = 1 + group_of  # 0 is end
         self.slot = slot
-        self.cls = np.where(group_of < 0, -1, group_of * k + slot)
+        self.cls = np.where(group_of < 0, -1, group_of * k + slot).astype(np.int16)
         inner = (np.arange(self.symbols) >= 1) & (np.arange(self.symbols) <= own)
         self.inner = np.where(inner, 1 + group_of * CLASSES + slot, 0)  # number of a class of frequent words, else 0
         self.classes = [np.arange(g * k, g * k + k) for g in range(GROUPS)]
         self.members = [np.nonzero(self.inner == c)[0] for c in range(1, 1 + GROUPS * CLASSES)]
+        self.filled = [(g * k + c, int(m[0]), int(m[-1]) + 1) for g in range(GROUPS) for c in range(CLASSES) if len(m := self.members[g * CLASSES + c])]  # class, first symbol, end of symbols
         self.rank = np.zeros(self.symbols, int)
         for m in self.members:
             self.rank[m] = np.arange(len(m))
-        self.weight = np.concatenate([[docs + 1.0], self.count[:own] + 1.0, mass[1 + own : 1 + own + GROUPS] + 1e-3, self.beyond])
-
-    def group_beyond(self, word: bytes) -> int:
-        e = word[-2:]
-        g = self.ending.get(e)
-        return zlib.crc32(e) % GROUPS if g is None else g
+        self.width = np.zeros(self.symbols, int)  # words of a frequent word's class
+        for _, i, j in self.filled:
+            self.width[i:j] = j - i
+        self.weight = np.concatenate([[docs + 1.0], self.count[:own][order] + 1.0, mass[1 + own : 1 + own + GROUPS] + 1e-3, self.beyond])
 
-    def encode(self, words: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
-        """Places of the words (-1 beyond the head), and the words beyond."""
-        get = self.place.get
-        at = np.fromiter(map(get, words, itertools.repeat(-1)), np.int64, len(words))
-        return at, [words[i] for i in np.nonzero(at < 0)[0]]
+    def groups_beyond(self, words: pa.Array) -> np.ndarray:
+        """Groups of words beyond the head."""
+        ends = pc.binary_slice(words, -2)
+        at = pc.fill_null(pc.index_in(ends, value_set=self.endings), -1).to_numpy(zero_copy_only=False)
+        out = self.ending_group[at]
+        for i in np.nonzero(at < 0)[0]:
+            out[i] = zlib.crc32(ends[i].as_py()) % GROUPS
+        return out
 
 
 class Network:
@@ -141,138 +162,216 @@ class Network:
         }
 
     def steps(self, x: np.ndarray, h: np.ndarray, keep: np.ndarray, tape: list | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """States (time, lanes, HIDDEN) after reading each input, and the last one (HIDDEN, lanes).
+        """States (time, lanes, HIDDEN + 1) after reading each input, a 1 behind each for biases, and the last state (HIDDEN, lanes).
 
         x, keep: (time, lanes); keep is 0 where a document starts. A state has a lane a
-        column, so that each gate of all lanes lies in one piece of memory.
+        column, so that each gate of all lanes lies in one piece of memory. What the two
+        gates get is held with its sign turned, as their sigmoid needs it.
         """
-        n, u = HIDDEN, np.ascontiguousarray(self.p["u"].T)
-        states = np.empty((len(x), n, x.shape[1]), u.dtype)
-        emb = np.ascontiguousarray((self.p["emb"] + self.p["b"]).T)
-        for t in range(len(x)):
-            e = emb.take(x[t], 1)
-            h0 = h * keep[t]
-            a = u @ h0
-            g = e[: 2 * n]
-            g += a[: 2 * n]
-            np.negative(g, g)
+        n, p, (long, many) = HIDDEN, self.p, x.shape
+        sign = np.repeat(np.array([-1, 1], p["u"].dtype), (2 * n, n))
+        u = np.ascontiguousarray((p["u"] * sign).T)
+        e = np.empty((long, 3 * n, many), u.dtype)
+        np.add(p["emb"].take(x, 0).transpose(0, 2, 1), p["b"][:, None], e)
+        np.negative(e[:, : 2 * n], e[:, : 2 * n])
+        a = np.empty((long if tape is not None else 1, 3 * n, many), u.dtype)
+        states, part = np.empty((long + 1, n, many), u.dtype), np.empty((n, many), u.dtype)
+        states[0] = h
+        starts = (keep.min(1) < 1).tolist()
+        for t in range(long):
+            h0, g, c, to, at = states[t], e[t, : 2 * n], e[t, 2 * n :], states[t + 1], a[t if tape is not None else 0]
+            if starts[t]:
+                h0 = h0 * keep[t]
+            np.dot(u, h0, at)
+            np.add(g, at[: 2 * n], g)
             np.exp(g, g)
-            g += 1
+            np.add(g, 1, g)
             np.reciprocal(g, g)
-            z, r = g[:n], g[n:]
-            c = r * a[2 * n :]
-            c += e[2 * n :]
+            np.multiply(g[n:], at[2 * n :], part)
+            np.add(c, part, c)
             np.tanh(c, c)
-            h = states[t]
-            np.subtract(h0, c, h)
-            h *= z
-            h += c
-            if tape is not None:
-                tape.append((h0, a[2 * n :], z, r, c))
-        return np.ascontiguousarray(states.transpose(0, 2, 1)), h.copy()
-
-    def heads(self) -> list[list[tuple[np.ndarray, np.ndarray, bool]]]:
-        """For end and groups, for each group's classes and for each class's words: weights, biases, and whether scores need no maximum taken off.
-
-        States are within -1 and 1, so the weights bound how far scores go beyond the biases; biases have the bound taken off.
+            np.subtract(h0, c, to)
+            np.multiply(to, g[:n], to)
+            np.add(to, c, to)
+        if tape is not None:
+            tape += [states[:-1] * keep[:, None], a[:, 2 * n :], e[:, :n], e[:, n : 2 * n], e[:, 2 * n :], starts]
+        out = np.ones((long, many, n + 1), u.dtype)
+        out[:, :, :n] = states[1:].transpose(0, 2, 1)
+        return out, states[-1].copy()
+
+    def heads(self) -> list[tuple[np.ndarray, bool]]:
+        """For end and groups, for groups' classes and for classes' words: weights with biases behind them, and whether scores need no maximum taken off.
+
+        States are within -1 and 1, so the weights bound how far scores go beyond the biases, of which each softmax has the largest taken off.
         """
+        p, voc = self.p, self.voc
 
-        def head(w: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
-            most = float(np.abs(w).sum(1).max(initial=0))
-            return np.ascontiguousarray(w.T), b - (b.max(initial=-np.inf) + most) if len(b) else b, most < 35
+        def head(w: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, bool]:
+            return np.concatenate([w, b[:, None]], 1), bool((np.abs(w) @ np.ones(w.shape[1], w.dtype)).max(initial=0) < 60)
 
-        p, voc = self.p, self.voc
-        return [[head(p["wg"], p["bg"])], [head(p["wc"][m], p["bc"][m]) for m in voc.classes], [head(p["wo"][m], p["bo"][m]) for m in voc.members]]
-
-    @staticmethod
-    def picked(h: np.ndarray, at: np.ndarray, head: tuple[np.ndarray, np.ndarray, bool], grad: bool):
-        """Log-probabilities of the outputs ``at`` of a head after states h; with ``grad`` also the gradients of its scores, in the scores' own memory."""
-        w, b, safe = head
-        s = h @ w
-        s += b
-        if not safe:
-            s -= s.max(1, keepdims=True)
-        rows = np.arange(len(at))
-        out = s[rows, at]
-        np.exp(s, s)
-        tot = s @ np.ones(s.shape[1], s.dtype)
-        out -= np.log(tot)
-        if grad:
-            s *= (-1 / tot)[:, None]
-            s[rows, at] += 1
-        return out, s
+        bc, bo = p["bc"].reshape(GROUPS, -1), p["bo"].copy()
+        if voc.filled:
+            first = [i for _, i, _ in voc.filled]
+            bo[1 : 1 + voc.own] -= np.repeat(np.maximum.reduceat(bo[: 1 + voc.own], first), [j - i for _, i, j in voc.filled])
+        return [head(p["wg"], p["bg"] - p["bg"].max()), head(p["wc"], (bc - bc.max(1, keepdims=True)).ravel()), head(p["wo"], bo)]
 
     def output(self, h: np.ndarray, y: np.ndarray, heads: list | None = None, grad: bool = False):
-        """Natural log-probabilities of symbols y after states h; with ``grad`` the state's gradient too, and the parameters'."""
-        voc, p, heads = self.voc, self.p, heads or self.heads()
-        out = np.empty(len(y), h.dtype)
-        dh = np.empty_like(h) if grad else None
-        g = {k: np.zeros_like(p[k]) for k in ("wg", "bg", "wc", "bc", "wo", "bo")} if grad else {}
-        first = voc.group[y]
-        for i in range(0, len(y), ROWS):
-            k = slice(i, i + ROWS)
-            out[k], d = self.picked(h[k], first[k], heads[0][0], grad)
-            if grad:
-                dh[k] = d @ p["wg"]
-                g["wg"] += d.T @ h[k]
-                g["bg"] += d.sum(0)
-        # then within each row's group (0: end, which has none) and within its class of frequent words (0: none)
-        for key, at, inner, members, w, b in ((first, voc.slot[y], heads[1], voc.classes, "wc", "bc"), (voc.inner[y], voc.rank[y], heads[2], voc.members, "wo", "bo")):
-            order = np.argsort(key.astype(np.int16), kind="stable")
-            ends = np.searchsorted(key[order], np.arange(1, 2 + len(members)))
-            order, ends = order[ends[0] : ends[-1]], (ends - ends[0]).tolist()
-            hs, at = h[order], at[order]
-            logs, dhs = np.zeros(len(order), h.dtype), np.zeros_like(hs) if grad else None
-            for k, m in enumerate(members):
-                i, j = ends[k], ends[k + 1]
-                if len(m) < 2 or i == j:
-                    continue
-                logs[i:j], d = self.picked(hs[i:j], at[i:j], inner[k], grad)
-                if grad:
-                    dhs[i:j] = d @ inner[k][0].T
-                    g[w][m], g[b][m] = d.T @ hs[i:j], d.sum(0)
-            out[order] += logs
+        """Natural log-probabilities of symbols y after states h (with or without a 1 behind each); with ``grad`` the states' gradients too, and the parameters'.
+
+        Rows are sorted by class once, so that those of a group and of a class lie together.
+        A softmax's scores become exponentials in place; with ``grad`` the total is taken off
+        at the symbol's place, which leaves the gradient times minus the total.
+        """
+        voc, k = self.voc, CLASSES + 2
+        (wg, safe_g), (wc, safe_c), (wo, safe_o) = heads or self.heads()
+        if h.shape[1] == HIDDEN:
+            h = np.concatenate([h, np.ones((len(h), 1), h.dtype)], 1)
+        key = voc.cls[y]
+        order = np.argsort(key, kind="stable")
+        hs, ys = h[order], y[order]
+        ends = np.cumsum(np.bincount(key + 1, minlength=1 + GROUPS * k)).tolist()  # of end's rows, then of each class's
+        row = np.arange(len(ys))
+
+        def softmax(s: np.ndarray, at: np.ndarray, safe: bool) -> tuple[np.ndarray, np.ndarray]:
+            if not safe:
+                s -= s.max(1, keepdims=True)
+            r = row[: len(at)]
+            logs = s[r, at]
+            np.exp(s, s)
+            tot = s @ np.ones(s.shape[1], s.dtype)
+            logs -= np.log(tot)
             if grad:
-                dh[order] += dhs
-        return (out, dh, g) if grad else out
+                s *= (-1 / tot)[:, None]
+                s[r, at] += 1
+            return logs
 
-    def gradients(self, x, y, mask, h, keep) -> tuple[np.ndarray, dict, float]:
-        """State after a window, gradients of its log-likelihood (the state before it is taken as given), and that."""
-        n, p = HIDDEN, self.p
+        s = hs @ wg.T
+        logs = softmax(s, voc.group[ys], safe_g)
+        if grad:
+            dh, gg = s @ wg, s.T @ hs
+        # within the group: all rows but end's
+        skip = ends[0]
+        parts = [(g, i, j) for g in range(GROUPS) if (i := ends[g * k]) < (j := ends[g * k + k])]
+        s = np.empty((len(ys) - skip, k), h.dtype)
+        for g, i, j in parts:
+            np.dot(hs[i:j], wc[g * k : g * k + k].T, s[i - skip : j - skip])
+        logs[skip:] += softmax(s, voc.slot[ys[skip:]], safe_c)
+        if grad:
+            gc, d = np.zeros_like(wc), np.empty((len(s), h.shape[1]), h.dtype)
+            for g, i, j in parts:
+                m, r = slice(g * k, g * k + k), slice(i - skip, j - skip)
+                np.dot(s[r], wc[m], d[r])
+                np.dot(s[r].T, hs[i:j], gc[m])
+            dh[skip:] += d
+            go = np.zeros_like(wo)
+        # within the class: frequent words only; their scores lie end to end, as classes differ in size
+        own = [(a, b, i, j) for c, a, b in voc.filled if b - a > 1 and (i := ends[c]) < (j := ends[c + 1])]
+        if own:
+            at = np.concatenate([row[i:j] for _, _, i, j in own])
+            width = voc.width[ys[at]]
+            start = np.cumsum(width) - width
+            flat, blocks, done, n = np.empty(int(width.sum()), h.dtype), [], 0, 0
+            for a, b, i, j in own:
+                size = (j - i) * (b - a)
+                block = flat[done : done + size].reshape(j - i, b - a)
+                np.dot(hs[i:j], wo[a:b].T, block)
+                if not safe_o:
+                    block -= block.max(1, keepdims=True)
+                blocks.append((a, b, i, j, n, block))
+                done, n = done + size, n + j - i
+            place = start + voc.rank[ys[at]]
+            log = flat[place]
+            np.exp(flat, flat)
+            tot = np.add.reduceat(flat, start)
+            logs[at] += log - np.log(tot)
+            if grad:
+                flat[place] -= tot
+                less = (-1 / tot)[:, None]
+                hl, d = hs[at] * less, np.empty((len(at), h.shape[1]), h.dtype)
+                for a, b, i, j, n, block in blocks:
+                    np.dot(block, wo[a:b], d[n : n + j - i])
+                    np.dot(block.T, hl[n : n + j - i], go[a:b])
+                d *= less
+                dh[at] += d
+        out = np.empty(len(y), h.dtype)
+        out[order] = logs
+        if not grad:
+            return out
+        back = np.empty_like(dh)
+        back[order] = dh
+        g = {}
+        for w, b, v in (("wg", "bg", gg), ("wc", "bc", gc), ("wo", "bo", go)):
+            g |= {w: np.ascontiguousarray(v[:, :-1]), b: v[:, -1].copy()}
+        return out, back[:, :-1], g
+
+    def backward(self, x, y, mask, h, keep) -> tuple[np.ndarray, dict, np.ndarray, float]:
+        """As ``gradients``, but for the inputs' weights only rows of the symbols that occur, which come third."""
+        n, (long, many) = HIDDEN, x.shape
         tape: list = []
         states, last = self.steps(x, h, keep, tape)
         live = np.nonzero(mask.ravel())[0]
         if not len(live):
-            return last, {}, 0.0
-        logs, dh, g = self.output(states.reshape(-1, n)[live], y.ravel()[live], self.heads(), grad=True)
-        dall = np.zeros((mask.size, n), last.dtype)
-        dall[live] = dh
-        dall = np.ascontiguousarray(dall.reshape(*mask.shape, n).transpose(0, 2, 1))
-        gu, ge = np.zeros_like(p["u"]), np.zeros((3 * n, *x.shape), last.dtype)
-        back = np.zeros_like(last)
-        for t in range(len(x) - 1, -1, -1):
-            h0, a, z, r, c = tape[t]
-            dt = dall[t] + back
-            de = ge[:, t]
-            np.multiply(dt * (h0 - c), z * (1 - z), de[:n])
-            np.multiply(dt * (1 - z), 1 - c * c, de[2 * n :])
-            np.multiply(de[2 * n :] * a, r * (1 - r), de[n : 2 * n])
-            da = de.copy()
-            da[2 * n :] *= r
-            gu += h0 @ da.T
-            back = (dt * z + p["u"] @ da) * keep[t]
-        flat, ge = x.ravel(), ge.reshape(3 * n, -1)
-        gemb = np.stack([np.bincount(flat, row, len(p["emb"])) for row in ge], 1).astype(last.dtype)
-        return last, g | {"u": gu, "b": ge.sum(1), "emb": gemb}, float(logs.sum())
+            return last, {}, live, 0.0
+        states, flat = states.reshape(-1, n + 1), y.ravel()
+        full = len(live) == len(flat)
+        logs, dh, g = self.output(states if full else states[live], flat if full else flat[live], self.heads(), grad=True)
+        if not full:
+            some = dh
+            dh = np.zeros((mask.size, n), last.dtype)
+            dh[live] = some
+        dall = np.ascontiguousarray(dh.reshape(long, many, n).transpose(0, 2, 1))
+        h0, a, z, r, c, starts = tape
+        # what a state's gradient is multiplied by, for all steps at once: the candidate's input and the update gate's; then, of the candidate's, the reset gate's and the state's share
+        k1, k2, d = (np.empty((long, i, n, many), last.dtype) for i in (2, 2, 4))
+        np.subtract(1, z, k1[:, 1])
+        np.multiply(1 - c * c, k1[:, 1], k1[:, 0])
+        k1[:, 1] *= z
+        k1[:, 1] *= h0 - c
+        np.subtract(1, r, k2[:, 0])
+        k2[:, 0] *= r
+        k2[:, 0] *= a
+        k2[:, 1] = r
+        back, gates, u = np.zeros_like(last), d[:, 1:].reshape(long, 3 * n, many), self.p["u"]
+        for t in range(long - 1, -1, -1):
+            dt, to = dall[t], d[t]
+            np.add(dt, back, dt)
+            np.multiply(dt, k1[t], to[:2])
+            np.multiply(to[0], k2[t], to[2:])
+            np.dot(u, gates[t], back)
+            np.multiply(dt, z[t], dt)
+            np.add(back, dt, back)
+            if starts[t]:
+                back *= keep[t]
+        gu = np.matmul(h0, gates.transpose(0, 2, 1)).sum(0)
+        flat = x.ravel().astype(np.int16)
+        order = np.argsort(flat, kind="stable")
+        flat = flat[order]
+        first = np.nonzero(np.diff(flat, prepend=-1))[0]
+        ge = np.add.reduceat(d[:, :3].reshape(long, 3 * n, many).transpose(0, 2, 1).reshape(-1, 3 * n)[order], first, 0)
+        ge = np.concatenate([ge[:, n:], ge[:, :n]], 1)
+        return last, g | {"u": gu, "b": ge.sum(0), "emb": ge}, flat[first], float(logs.sum())
+
+    def gradients(self, x, y, mask, h, keep) -> tuple[np.ndarray, dict, float]:
+        """State after a window, gradients of its log-likelihood (the state before it is taken as given), and that."""
+        last, g, rows, logs = self.backward(x, y, mask, h, keep)
+        if g:
+            part, g["emb"] = g["emb"], np.zeros_like(self.p["emb"])
+            g["emb"][rows] = part
+        return last, g, logs
 
     def train_window(self, x, y, mask, h, keep, opt: dict, rate: float) -> np.ndarray:
         """One truncated backpropagation over a window (AdaGrad); returns the state after it."""
-        last, g, _ = self.gradients(x, y, mask, h, keep)
-        root = max(1, np.count_nonzero(mask)) ** 0.5
+        last, g, rows, _ = self.backward(x, y, mask, h, keep)
+        less = max(1, np.count_nonzero(mask)) ** -0.5
         for k, v in g.items():
-            v /= root
-            opt[k] += v * v
-            self.p[k] += rate * v / np.sqrt(opt[k])
+            v *= less
+            at = rows if k == "emb" else slice(None)  # other rows have no gradient
+            sums = opt[k][at]
+            sums += v * v
+            opt[k][at] = sums
+            v /= np.sqrt(sums)
+            v *= rate
+            self.p[k][at] += v
         return last
 
 
@@ -325,7 +424,7 @@ def score_documents(net: Network, docs: list[np.ndarray]) -> np.ndarray:
     for x, y, doc, keep, use in windows(docs, 0, LANES):
         states, h = net.steps(x, h[:, :use], keep)
         live = doc.ravel() >= 0
-        out += np.bincount(doc.ravel()[live], net.output(states.reshape(-1, HIDDEN)[live], y.ravel()[live], heads), len(docs))
+        out += np.bincount(doc.ravel()[live], net.output(states.reshape(-1, HIDDEN + 1)[live], y.ravel()[live], heads), len(docs))
     return out
 
 
@@ -352,14 +451,14 @@ def merged_sums(sums: np.ndarray, most: int, turns: int = 6) -> np.ndarray:
     sums, size = sums[size > 0], size[size > 0]
     if len(sums) <= most:
         return sums
-    x = sums / size[:, None]
+    x, rough = (sums / size[:, None]).astype(np.float32), sums.astype(np.float32)  # enough to tell directions apart
     c = x[np.linspace(0, len(x) - 1, most).astype(int)]
     for _ in range(turns):
-        cell = np.argmax(x @ c.T, 1)
-        got = (cell[None, :] == np.arange(most)[:, None]).astype(sums.dtype) @ sums
+        cells = np.argmax(x @ c.T, 1)[None, :] == np.arange(most)[:, None]
+        got = cells.astype(np.float32) @ rough
         norm = np.linalg.norm(got, axis=1, keepdims=True)
         c = np.where(norm > 0, got / np.where(norm > 0, norm, 1), c)
-    return got[norm[:, 0] > 0]
+    return cells[cells.any(1)].astype(sums.dtype) @ sums
 
 
 def letter_sums(texts: DataFrame, scratch: Scratch) -> DataFrame:
@@ -369,7 +468,7 @@ def letter_sums(texts: DataFrame, scratch: Scratch) -> DataFrame:
         held = np.zeros((0, 256))
         for b in batches:
             for k in range(0, len(b), SUMMED):
-                held = np.concatenate([held, *(letter_shares(raw_bytes(x))[None] for x in b.column(0)[k : k + SUMMED])])
+                held = np.concatenate([held, shares_of(b.column(0)[k : k + SUMMED])])
                 if len(held) > SUMMED:
                     held = merged_sums(held, SUMS)
         yield pa.RecordBatch.from_arrays([pa.array([v.tobytes() for v in merged_sums(held, SUMS)], pa.binary())], names=["v"])
@@ -396,22 +495,28 @@ def count_words(texts: DataFrame, centres: np.ndarray) -> DataFrame:
     """(word binary, c, g) over all rows of the single text column: its count, and the group of documents that uses it most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from collections import Counter
-
-        seen: list[Counter] = [Counter() for _ in range(len(centres))]
+        held: list[list[pa.Array]] = [[] for _ in range(len(centres))]
+        many = 0
 
         def out() -> Iterator[pa.RecordBatch]:
-            for g, c in enumerate(seen):
-                if c:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(c.keys()), pa.binary()), pa.array([g] * len(c), pa.int32()), pa.array(list(c.values()), pa.int64())], names=["word", "g", "c"])
-                c.clear()
+            for g, parts in enumerate(held):
+                if parts:
+                    seen = pc.value_counts(pa.chunked_array(parts))
+                    yield pa.RecordBatch.from_arrays([seen.field(0), pa.array(np.full(len(seen), g, np.int32)), seen.field(1)], names=["word", "g", "c"])
+                parts.clear()
 
         for b in batches:
-            for x in b.column(0):
-                text = raw_bytes(x)
-                seen[int(np.argmax(centres @ letter_shares(text)))].update(split(text))
-            if sum(map(len, seen)) > 300_000:
+            group = np.argmax(shares_of(b.column(0)) @ centres.T, 1)
+            order = np.argsort(group, kind="stable")  # so that a group's words lie together
+            words, row = words_of(b.column(0).take(pa.array(order)))
+            ends = np.searchsorted(group[order][row], np.arange(len(centres) + 1)).tolist()
+            for g in range(len(centres)):
+                if ends[g] < ends[g + 1]:
+                    held[g].append(words[ends[g] : ends[g + 1]])
+            many += len(words)
+            if many >= BATCH_TOKENS:
                 yield from out()
+                many = 0
         yield from out()
 
     found = through(texts, run, "word binary, g int, c long")
@@ -420,15 +525,22 @@ def count_words(texts: DataFrame, centres: np.ndarray) -> DataFrame:
     return per.groupBy("word").agg(F.sum("c").alias("c"), F.pmod(F.max(F.col("c") * GROUPS + F.col("g")), F.lit(GROUPS)).cast("int").alias("g"))
 
 
-def symbols_of(voc: Vocabulary, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes], list[int]]:
-    """Symbols of a document with its end, places in the head (-1 beyond), words beyond the head and their groups."""
-    at, beyond = voc.encode(words)
-    groups = [voc.group_beyond(w) for w in beyond]
-    s = np.zeros(len(words) + 1, np.int32)
-    s[:-1] = voc.symbol[at]
-    if beyond:
-        s[:-1][at < 0] = 1 + voc.own + GROUPS + np.array(groups)
-    return s, at, beyond, groups
+class Encoded:
+    """Texts as symbols: ``docs`` (each with its end), and of all words in order the row and the place in the head (-1 beyond); of those beyond the word, row and group."""
+
+    def __init__(self, voc: Vocabulary, texts: pa.Array):
+        words, self.row = words_of(texts)
+        found = pc.index_in(words, value_set=voc.words)
+        self.at = pc.fill_null(found, -1).to_numpy(zero_copy_only=False)
+        self.beyond = words.filter(pc.is_null(found))
+        out = np.nonzero(self.at < 0)[0]
+        self.beyond_row, self.groups = self.row[out], voc.groups_beyond(self.beyond)
+        symbol = voc.symbol[self.at]
+        symbol[out] = 1 + voc.own + GROUPS + self.groups
+        flat = np.zeros(len(words) + len(texts), np.int32)
+        flat[np.arange(len(words)) + self.row] = symbol  # a 0 is left behind each row
+        self.sizes = np.bincount(self.row, minlength=len(texts)) + 1
+        self.docs = np.split(flat, np.cumsum(self.sizes)[:-1]) if len(texts) else []
 
 
 def averaged(trained: DataFrame, scratch: Scratch) -> tuple[dict | None, int]:
@@ -468,12 +580,11 @@ def train_network(net: Network, learn: DataFrame, id_col: str, text_col: str, to
             own.p = {k: v.copy() for k, v in p.items()}
             opt, n, held, docs = fresh_opt(own), 0, 0, []
             for b in batches:
-                for x in b.column(0):
-                    docs.append(symbols_of(voc, split(raw_bytes(x)))[0])
-                    held += len(docs[-1])
-                    if held >= BATCH_TOKENS:
-                        train_documents(own, docs, opt, rate)
-                        n, held, docs = n + held, 0, []
+                docs += Encoded(voc, b.column(0)).docs
+                held = sum(map(len, docs))
+                if held >= BATCH_TOKENS:
+                    train_documents(own, docs, opt, rate)
+                    n, held, docs = n + held, 0, []
             if docs:
                 train_documents(own, docs, opt, rate)
             yield pa.RecordBatch.from_arrays([pa.array([n + held], pa.int64()), pa.array([pickle.dumps(own.p, protocol=5)], pa.binary())], names=["n", "p"])
@@ -541,36 +652,31 @@ def scored_documents(docs: DataFrame, net: Network, rest: DataFrame, held, id_co
         head_base = np.append(np.log10(voc.count + 1.0), 0.0)  # the last place is for words beyond
         within = np.append(voc.within, 0.0)
         beyond_base = -np.log10(voc.beyond)
-        keys, docs, rows = [], [], []
-
-        def scored() -> pa.RecordBatch:
-            n, known, base, fixed, beyond = zip(*rows, strict=True)
-            logs = score_documents(own, docs) / np.log(10) + np.array(fixed)
-            cols = [pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(logs, pa.float64()), pa.array(beyond, pa.list_(pa.binary()))]
-            out = pa.RecordBatch.from_arrays([*(pa.concat_arrays([k.column(i) for k in keys]) for i in (0, 1)), *cols], names=["id", "held_out", "n", "known", "base", "score", "beyond"])
-            for x in (keys, docs, rows):
-                x.clear()
-            return out
+        held: list[tuple[pa.RecordBatch, Encoded]] = []
+
+        def scored() -> Iterator[pa.RecordBatch]:
+            logs = score_documents(own, [d for _, e in held for d in e.docs]) / np.log(10)
+            for b, e in held:
+                many, (here, logs) = len(b), (logs[: len(b)], logs[len(b) :])
+                total = lambda at, v: np.bincount(at, v, many)  # noqa: B023, E731
+                base = total(e.row, head_base[e.at]) + np.log10(n_docs + 1.0) - e.sizes * norm
+                here = here + total(e.row, within[e.at]) + total(e.beyond_row, beyond_base[e.groups])
+                known = total(e.row, e.at >= 0).astype(np.int64) + (n_docs > 0)
+                ends = np.concatenate([[0], np.cumsum(np.bincount(e.beyond_row, minlength=many))]).astype(np.int32)
+                cols = [pa.array(e.sizes, pa.int64()), pa.array(known), pa.array(base), pa.array(here), pa.ListArray.from_arrays(pa.array(ends), e.beyond)]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], names=["id", "held_out", "n", "known", "base", "score", "beyond"])
+            held.clear()
 
         waiting = 0
         for b in batches:
-            start = 0
-            for x in b.column(2):
-                s, at, beyond, groups = symbols_of(voc, split(raw_bytes(x)))
-                base = head_base[at].sum() + np.log10(n_docs + 1.0) - len(s) * norm
-                docs.append(s)
-                rows.append((len(s), int((at >= 0).sum()) + (n_docs > 0), base, within[at].sum() + beyond_base[groups].sum(), beyond))
-                waiting += len(s)
-                if waiting >= BATCH_TOKENS:
-                    done = len(rows) - sum(map(len, keys))
-                    keys.append(b.slice(start, done))
-                    start += done
-                    yield scored()
-                    waiting = 0
-            if start < len(b):
-                keys.append(b.slice(start))
-        if rows:
-            yield scored()
+            if len(b):
+                held.append((b, Encoded(voc, b.column(2))))
+                waiting += int(held[-1][1].sizes.sum())
+            if waiting >= BATCH_TOKENS:
+                yield from scored()
+                waiting = 0
+        if held:
+            yield from scored()
 
     out = through(docs.select(F.col(id_col).alias("id"), held.alias("held_out"), F.col(text_col).alias("text")), score, f"id {kind}, held_out boolean, n long, known long, base double, score double, beyond array<binary>")
     out = scratch.stash(out.withColumn("row", F.monotonically_increasing_id()))

@@ -97,3 +97,62 @@ def test_jaccard_join_moves_few_whole_sets(spark, monkeypatch):
     got = {r["doc_id"]: r["component_id"] for r in J.jaccard_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), n=5, pct=80).collect()}
     assert got == {i: min(i, 20) for i in range(32)}
     assert sum(compared) == 11
+
+
+def test_lm_window_takes_few_calls_and_few_rows(spark, monkeypatch):
+    """A window's cost follows its symbols: an exponential per level, not per class, and no input weights but those of symbols that occur."""
+    import numpy as np
+
+    from quillmill.llm import lm_score as L
+
+    rng = np.random.default_rng(7)
+    net = L.Network(L.Vocabulary([(b"w%d" % i, 5000 - i, i % L.GROUPS) for i in range(3000)], 50, {}))
+    net.p = {k: v + rng.standard_normal(v.shape).astype(np.float32) * 0.1 for k, v in net.p.items()}
+    docs = [rng.integers(0, net.voc.symbols, n).astype(np.int32) for n in (300, 200, 250)]
+    x, y, doc, keep, use = next(L.windows(docs, 40, 3))
+    h = np.zeros((L.HIDDEN, use), np.float32)
+    g = net.gradients(x, y, doc >= 0, h, keep)[1]
+    rate, less, opt = 0.05, np.count_nonzero(doc >= 0) ** -0.5, L.fresh_opt(net)
+    want = {k: v + rate * less * g[k] / np.sqrt(opt[k] + (less * g[k]) ** 2) for k, v in net.p.items()}
+
+    calls, plain = [], np.exp
+    monkeypatch.setattr(np, "exp", lambda *a, **k: calls.append(1) or plain(*a, **k))
+    net.output(rng.uniform(-1, 1, (net.voc.symbols, L.HIDDEN)).astype(np.float32), np.arange(net.voc.symbols), grad=True)
+    assert len(calls) == 3
+    monkeypatch.setattr(np, "exp", plain)
+    assert set(net.backward(x, y, doc >= 0, h, keep)[2].tolist()) == set(x.ravel().tolist())
+    net.train_window(x, y, doc >= 0, h, keep, opt, rate)
+    assert all(np.allclose(net.p[k], want[k], atol=1e-5) for k in want)
+    big = L.Network(net.voc)  # weights beyond the bound: maxima are taken off
+    big.p = {k: v * (400 if k[0] == "w" else 1) for k, v in net.p.items()}
+    assert not all(safe for _, safe in big.heads())
+    out, dh, _ = big.output(rng.uniform(-1, 1, (500, L.HIDDEN)).astype(np.float32), rng.integers(0, net.voc.symbols, 500), grad=True)
+    assert np.isfinite(out).all() and np.isfinite(dh).all()
+
+
+def test_lm_words_in_columns_equal_plain_ones(spark):
+    from collections import Counter
+
+    import numpy as np
+    import pyarrow as pa
+
+    from quillmill.llm import lm_score as L
+
+    texts = [" a  B\x0bc\x1cd\x85é a ÀB\n", "", " ", None, "\t\n", "one", "a\x00b \r\n c", "z b b a", "q\x1fq É zz"]
+    plain = [[w.encode() for w in "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "").replace("\x0b", " ").replace("\n", " ").replace("\r", " ").replace("\t", " ").split(" ") if w] for t in texts]
+    words, row = L.words_of(pa.array(texts))
+    assert [[w for w, r in zip(words.to_pylist(), row.tolist(), strict=True) if r == i] for i in range(len(texts))] == plain
+    voc = L.Vocabulary([(b"b", 9, 2), (b"a", 5, 1), (b"one", 3, 2)], 4, {b"b": (3, 5), b"zz": (2, 6)})
+    e = L.Encoded(voc, pa.array(texts))
+    assert e.sizes.tolist() == [len(p) + 1 for p in plain] and [len(d) for d in e.docs] == e.sizes.tolist()
+    place = {b"b": 0, b"a": 1, b"one": 2}
+    assert e.at.tolist() == [place.get(w, -1) for p in plain for w in p]
+    assert e.beyond.to_pylist() == [w for p in plain for w in p if w not in place]
+    for p, d in zip(plain, e.docs, strict=True):
+        assert d[-1] == 0 and all((s in (1, 2, 3)) == (w in place) for w, s in zip(p, d[:-1].tolist(), strict=True))
+    assert len({int(voc.symbol[i]) for i in range(3)}) == 3
+    assert voc.groups_beyond(pa.array([b"xzz", b"zz", b"z"], pa.binary())).tolist()[:2] == [6, 6]
+    assert all(np.array_equal(a, L.letter_shares((t or "").encode())) for a, t in zip(L.shares_of(pa.array(texts)), texts, strict=True))
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(2)
+    got = {bytes(r["word"]): r["c"] for r in L.count_words(df, np.eye(2, 256, 97, dtype=np.float32)).collect()}
+    assert got == dict(Counter(w for p in plain for w in p))
