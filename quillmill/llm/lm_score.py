@@ -226,23 +226,23 @@ class Network:
         (wg, safe_g), (wc, safe_c), (wo, safe_o) = heads or self.heads()
         if h.shape[1] == HIDDEN:
             h = np.concatenate([h, np.ones((len(h), 1), h.dtype)], 1)
-        key = voc.cls[y]
+        key = voc.cls.take(y)
         order = np.argsort(key, kind="stable")
-        hs, ys = h[order], y[order]
+        hs, ys = h.take(order, 0), y.take(order)
         ends = np.cumsum(np.bincount(key + 1, minlength=1 + GROUPS * k)).tolist()  # of end's rows, then of each class's
         row = np.arange(len(ys))
 
         def softmax(s: np.ndarray, at: np.ndarray, safe: bool) -> tuple[np.ndarray, np.ndarray]:
             if not safe:
                 s -= s.max(1, keepdims=True)
-            r = row[: len(at)]
-            logs = s[r, at]
+            place = row[: len(at)] * s.shape[1] + at
+            logs = s.ravel().take(place)
             np.exp(s, s)
             tot = s @ np.ones(s.shape[1], s.dtype)
             logs -= np.log(tot)
             if grad:
                 s *= (-1 / tot)[:, None]
-                s[r, at] += 1
+                s.ravel()[place] += 1
             return logs
 
         s = hs @ wg.T
@@ -270,15 +270,15 @@ class Network:
             at = np.concatenate([row[i:j] for _, _, i, j in own])
             width = voc.width[ys[at]]
             start = np.cumsum(width) - width
-            flat, blocks, done, n = np.empty(int(width.sum()), h.dtype), [], 0, 0
+            flat, blocks, done = np.empty(int(width.sum()), h.dtype), [], 0
             for a, b, i, j in own:
                 size = (j - i) * (b - a)
                 block = flat[done : done + size].reshape(j - i, b - a)
                 np.dot(hs[i:j], wo[a:b].T, block)
                 if not safe_o:
                     block -= block.max(1, keepdims=True)
-                blocks.append((a, b, i, j, n, block))
-                done, n = done + size, n + j - i
+                blocks.append((a, b, i, j, block))
+                done += size
             place = start + voc.rank[ys[at]]
             log = flat[place]
             np.exp(flat, flat)
@@ -286,23 +286,23 @@ class Network:
             logs[at] += log - np.log(tot)
             if grad:
                 flat[place] -= tot
-                less = (-1 / tot)[:, None]
-                hl, d = hs[at] * less, np.empty((len(at), h.shape[1]), h.dtype)
-                for a, b, i, j, n, block in blocks:
-                    np.dot(block, wo[a:b], d[n : n + j - i])
-                    np.dot(block.T, hl[n : n + j - i], go[a:b])
+                less, d = np.zeros((len(ys), 1), h.dtype), np.zeros_like(hs)
+                less[at, 0] = -1 / tot
+                hl = hs * less
+                for a, b, i, j, block in blocks:
+                    np.dot(block, wo[a:b], d[i:j])
+                    np.dot(block.T, hl[i:j], go[a:b])
                 d *= less
-                dh[at] += d
-        out = np.empty(len(y), h.dtype)
-        out[order] = logs
+                dh += d
+        place = np.empty_like(order)
+        place[order] = row
+        out = logs.take(place)
         if not grad:
             return out
-        back = np.empty_like(dh)
-        back[order] = dh
         g = {}
         for w, b, v in (("wg", "bg", gg), ("wc", "bc", gc), ("wo", "bo", go)):
             g |= {w: np.ascontiguousarray(v[:, :-1]), b: v[:, -1].copy()}
-        return out, back[:, :-1], g
+        return out, dh.take(place, 0)[:, :-1], g
 
     def backward(self, x, y, mask, h, keep) -> tuple[np.ndarray, dict, np.ndarray, float]:
         """As ``gradients``, but for the inputs' weights only rows of the symbols that occur, which come third."""
@@ -343,13 +343,12 @@ class Network:
             if starts[t]:
                 back *= keep[t]
         gu = np.matmul(h0, gates.transpose(0, 2, 1)).sum(0)
-        flat = x.ravel().astype(np.int16)
-        order = np.argsort(flat, kind="stable")
-        flat = flat[order]
-        first = np.nonzero(np.diff(flat, prepend=-1))[0]
-        ge = np.add.reduceat(d[:, :3].reshape(long, 3 * n, many).transpose(0, 2, 1).reshape(-1, 3 * n)[order], first, 0)
-        ge = np.concatenate([ge[:, n:], ge[:, :n]], 1)
-        return last, g | {"u": gu, "b": ge.sum(0), "emb": ge}, flat[first], float(logs.sum())
+        # sums over the inputs' symbols that occur, numbered as they come
+        here = np.bincount(x.ravel(), minlength=len(self.p["emb"])) > 0
+        at, rows = (np.cumsum(here) - 1)[x.ravel()], np.nonzero(here)[0]
+        ge = d[:, :3].reshape(long, 3 * n, many).transpose(1, 0, 2).reshape(3 * n, -1)
+        ge = np.stack([np.bincount(at, ge[i]) for i in (*range(n, 3 * n), *range(n))], 1).astype(last.dtype)
+        return last, g | {"u": gu, "b": ge.sum(0), "emb": ge}, rows, float(logs.sum())
 
     def gradients(self, x, y, mask, h, keep) -> tuple[np.ndarray, dict, float]:
         """State after a window, gradients of its log-likelihood (the state before it is taken as given), and that."""
